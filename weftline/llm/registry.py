@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality_rules
+from weftline.llm import binary_output, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": quality_rules.op8_quality_rules}
+    return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op5_binary_output": binary_output.op5_binary_output,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
