@@ -125,8 +125,10 @@ def read_digests(index: DataFrame, bits: int) -> DataFrame:
 
 
 def _dealt(index: DataFrame) -> DataFrame:
-    """Stretches of each file go to different tasks, so a large shard is no single task's work."""
-    return index.select("file", "offset", "length", "start", F.expr("ordinal div 1024").alias("stretch")).repartition("file", "stretch").drop("stretch")
+    """Stretches of each file go to different tasks, so a large shard is no single task's work. The number of tasks is
+    given because the index is far smaller than what it names."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("file", "offset", "length", "start", F.expr("ordinal div 1024").alias("stretch")).repartition(tasks, "file", "stretch").drop("stretch")
 
 
 def _records(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, packing, quality_rules
+from weftline.llm import binary_output, chat_format, html_extraction, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_format": chat_format.op2_chat_format,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_binary_output": binary_output.op5_binary_output,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_html_extraction": html_extraction.op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat_format.ORACLE}
