@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, chat_format, html_extraction, packing, quality_rules
+from weftline.llm import binary_output, chat_format, html_extraction, license_scan, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_binary_output": binary_output.op5_binary_output,
