@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,6 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def words_of(text: Column, separators: str) -> Column:
-    """Words of a text as an array of strings; a null text has none. ``separators`` is a regular-expression class."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), lambda w: F.length(w) > 0)
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row however often ``then`` uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

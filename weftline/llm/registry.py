@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, chat_format, html_extraction, license_scan, packing, quality_rules
+from weftline.llm import binary_output, chat_format, decontamination, html_extraction, license_scan, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_binary_output": binary_output.op5_binary_output,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_html_extraction": html_extraction.op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.ORACLE}
+    return {"op2_chat_format": chat_format.ORACLE, "op9_decontamination": decontamination.ORACLE}
