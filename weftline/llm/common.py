@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,6 +38,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are out of use. It does so when the driver collects its garbage, which a
+    driver with little to do may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; whatever else the caller's table carries can't clash with an operator's own names."""
     return df.select(*[F.col(f"`{n}`") for n in names])

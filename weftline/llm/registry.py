@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, chat_format, decontamination, html_extraction, license_scan, packing, quality_rules
+from weftline.llm import binary_output, chat_format, decontamination, html_extraction, license_scan, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_binary_output": binary_output.op5_binary_output,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_decontamination": decontamination.op9_decontamination,

@@ -110,3 +110,18 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out += words[j : j + n] * U64(power)
         power = power * WORD_BASE % (1 << 64)
     return mixed(out + U64(k))
+
+
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of words[start:end] for spans with ascending starts, which may overlap."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, base + SEGMENT)))
+        top = int(ends[i:j].max())
+        up, down = _table(top - int(base) + 1)
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(words[base:top] * up[: top - base], dtype=U64)))
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(WORD_BASE))
+        i = j
+    return out
