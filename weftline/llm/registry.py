@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, chat_format, decontamination, html_extraction, jaccard_join, license_scan, packing, quality_rules, substring_dedup
+from weftline.llm import binary_output, chat_format, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_binary_output": binary_output.op5_binary_output,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_html_extraction": html_extraction.op10_html_extraction,
