@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bounded_batches, own_columns, table
 
 PATHS_PER_HOST, ENOUGH = 8, 0.4
+SALTS = 32  # a host's pages go to so many places, and its few paths to each
 
 # Fixed values of HTML: elements that hold others, that are never main text, that hold no markup, that break a block.
 CONTAINERS = frozenset("html body div section article main table blockquote figure details center td".split())
@@ -199,8 +200,9 @@ def winning_paths(votes: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    own = own_columns(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    joined = own.join(winning_paths(host_votes(pages)), "host", "left").select("page_id", "url", "html", "paths")
+    own = own_columns(pages, "page_id", "url", "html").withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    paths = winning_paths(host_votes(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = own.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
