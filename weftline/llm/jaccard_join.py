@@ -4,7 +4,7 @@
    rare to common, then by hash; any such order is right, a good one keeps passages that many documents share out of the
    prefixes.
 2. Documents with equal sets become one node. Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each.
-3. Prefix shingles make tiles by size band (``BAND`` times in size; a set near the top of its band is also a guest in the next).
+3. Prefix shingles make tiles by size band (a doubling; a set near the top of its band is also a guest in the next).
    The rows are sorted by tile in ranges that may cut through a tile, and those alone in theirs are dropped.
 4. Every set is compared with the first of each of its tiles. Groups of near copies become components at once, with as
    many comparisons as rows.
@@ -36,7 +36,7 @@ from weftline.llm.textarrays import U64, Texts, gram_hashes, mixed, range_hashes
 
 GRAM, SIMILAR = 5, 80
 SKETCH_BITS, CHUNK_BITS = 20, 16
-BAND, BLOCK = 4, 2048
+BLOCK = 2048
 SETS = "doc_id long, text_hash long, n long, digest long, digest2 long, prefix array<long>, bits binary"
 
 
@@ -92,16 +92,18 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(BAND ** np.arange(1, 16), n, side="right")
+    """The whole part of the binary logarithm; 0 for the empty set."""
+    return np.frexp(n)[1] - (n > 0)
 
 
 def band_bits(band: int | np.ndarray) -> int | np.ndarray:
-    return np.maximum(64, 2 * BAND ** (band + 1))
+    """A signature has a bit for each member of the largest set of its band."""
+    return np.maximum(64, 2 ** (band + 1))
 
 
 def guest(n: np.ndarray) -> np.ndarray:
     """Whether a set of n could be linked with one of the next band."""
-    return 100 * n >= SIMILAR * BAND ** (band_of(n) + 1)
+    return 100 * n >= SIMILAR * 2 ** (band_of(n) + 1)
 
 
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -148,11 +150,8 @@ def nodes_of(sets: DataFrame) -> DataFrame:
 def shared_tiles(nodes: DataFrame) -> DataFrame:
     """token, band, node, n, pos of all rows that aren't alone in their tile (and a few that are, at the edges of batches)."""
     bounded_batches(nodes.sparkSession)
-    limits = [BAND**k for k in range(1, 16)]
-    band = sum((F.when(F.col("n") >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    top = F.element_at(F.array(*[F.lit(x).cast("long") for x in [*limits, 1 << 40]]), F.col("own") + 1)
-    bands = F.when(100 * F.col("n") >= SIMILAR * top, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
-    rows = nodes.select("node", "n", "prefix", band.alias("own")).select("node", "n", "prefix", F.explode(bands).alias("band"))
+    bands = F.when(100 * F.col("n") >= SIMILAR * F.expr("shiftleft(2L, own)"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
+    rows = nodes.select("node", "n", "prefix", (F.length(F.bin("n")) - 1).alias("own")).select("node", "n", "prefix", F.explode(bands).alias("band"))
     rows = rows.select("node", "n", "band", F.posexplode("prefix").alias("pos", "token")).select("token", "band", "node", F.col("n").cast("int").alias("n"), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
