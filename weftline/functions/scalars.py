@@ -18,8 +18,8 @@ def ascii_lower(c: Column) -> Column:
 def utf8_bytes(c: Column) -> Column:
     """A text's UTF-8 bytes as numbers."""
     hexed = F.hex(F.encode(c, "UTF-8"))
-    at = F.when(F.length(hexed) > 0, F.sequence(F.lit(0), F.length(hexed) / 2 - 1)).otherwise(F.array().cast("array<double>"))
-    return F.transform(at, lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
+    at = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.octet_length(c) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
 
 
 def fnv1a32(c: Column) -> Column:
