@@ -96,7 +96,7 @@ def select_capped(work: DataFrame, cap: int, shards: int, per_shard: int) -> Dat
             pass
         return pd.DataFrame(taken, columns=["work_id", "shard", "place"])
 
-    return first.select("lane", "r", "work_id", "shard").groupBy(F.lit(0)).applyInPandas(walk, "work_id string, shard bigint, place bigint")
+    return first.select(F.lit(0).alias("one"), "lane", "r", "work_id", "shard").groupBy("one").applyInPandas(walk, "work_id string, shard bigint, place bigint")
 
 
 def satisfied(plan: DataFrame, freshness: DataFrame) -> DataFrame:

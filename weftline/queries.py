@@ -19,6 +19,12 @@ from weftline.operators import filters as P
 from weftline.operators import graph as G
 from weftline.operators import ranking as R
 from weftline.operators import sets as U
+from weftline.plans import planning as L
+from weftline.shared import scratch
+from weftline.sinks import stores as K
+from weftline.sources import documents as D
+from weftline.sources import scans as N
+from weftline.streaming import status as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -527,3 +533,281 @@ def _(packages: DataFrame, versions: DataFrame) -> DataFrame:
 def _(raw: DataFrame) -> DataFrame:
     old = raw.where("l_linenumber <= 2").groupBy("id").agg(F.max("l_partkey").alias("l_partkey"))
     return U.first_rows(old, raw.where("l_linenumber > 2").select("id", "l_partkey"), ["id"], "l_partkey")
+
+
+# ---- planning
+
+_STATE = """
+wanted AS (SELECT id, name, downloads, CAST(row_number() OVER (ORDER BY downloads DESC, name) AS INT) AS download_rank, CAST(1 + id % 3 AS VARCHAR) || '.0.0' AS version, id % 11 = 0 AS forced FROM packages),
+recorded AS (SELECT name, CAST(1 + id % 2 AS VARCHAR) || '.0.0' AS recorded_version, CASE WHEN id % 5 = 0 THEN 'rev-old' ELSE 'rev-new' END AS parser_revision, CASE WHEN id % 7 = 0 THEN 1 ELSE 2 END AS schema_version FROM packages WHERE id % 4 <> 0),
+states AS (SELECT w.*, CASE WHEN r.name IS NULL THEN 'never' WHEN recorded_version <> version THEN 'newer' WHEN parser_revision <> 'rev-new' THEN 'revision' WHEN schema_version <> 2 THEN 'schema' ELSE 'fresh' END AS state FROM wanted w LEFT JOIN recorded r ON w.name = r.name),
+tiers AS (SELECT *, CASE WHEN forced THEN 'forced' WHEN state IN ('revision', 'schema') THEN CASE WHEN download_rank <= 5000 THEN 'top-download-stale' ELSE 'catalog-stale' END WHEN state = 'newer' THEN CASE WHEN download_rank <= 5000 THEN 'newer-version' ELSE 'catalog-stale' END WHEN state = 'never' THEN CASE WHEN download_rank <= 5000 THEN 'backfill' ELSE 'long-tail' END END AS tier FROM states),
+lanes AS (SELECT *, CASE WHEN forced THEN -1 WHEN state IN ('revision', 'schema') THEN 0 WHEN state = 'newer' THEN 1 WHEN state = 'never' THEN 2 END AS lane FROM tiers WHERE forced OR state <> 'fresh'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY CASE tier WHEN 'forced' THEN 1 WHEN 'top-download-stale' THEN 2 WHEN 'newer-version' THEN 3 WHEN 'catalog-stale' THEN 4 WHEN 'backfill' THEN 5 WHEN 'long-tail' THEN 6 ELSE 99 END, download_rank, name, version) - 1 AS r FROM lanes),
+slots AS (SELECT *, CASE lane WHEN 0 THEN r // 5 WHEN 1 THEN r // 3 WHEN 2 THEN r // 2 ELSE r END AS cycle, CASE lane WHEN 0 THEN [0, 2, 4, 6, 8][r % 5 + 1] WHEN 1 THEN [1, 5, 9][r % 3 + 1] WHEN 2 THEN [3, 7][r % 2 + 1] ELSE -1 END AS slot FROM placed)
+"""
+
+
+def _work(packages: DataFrame) -> DataFrame:
+    """Packages as wanted versions against made records, with state, tier and rank."""
+    i = F.col("id")
+    wanted = R.download_rank(packages).withColumnRenamed("rank", "download_rank").withColumns({"version": F.concat((1 + i % 3).cast("string"), F.lit(".0.0")), "forced": i % 11 == 0})
+    recorded = packages.where("id % 4 <> 0").select("name", F.concat((1 + i % 2).cast("string"), F.lit(".0.0")).alias("version"), F.when(i % 5 == 0, "rev-old").otherwise("rev-new").alias("parser_revision"), F.when(i % 7 == 0, 1).otherwise(2).alias("schema_version"))
+    s = L.staleness(wanted, recorded, "rev-new", 2)
+    return s.withColumn("tier", L.priority(F.col("state"), F.col("forced"), F.col("download_rank")))
+
+
+def _todo(packages: DataFrame) -> DataFrame:
+    return _work(packages).where("forced or state <> 'fresh'")
+
+
+def _plan_sql(name: str, select: str) -> None:
+    ORACLES[name] = with_clause("packages") + "," + _STATE + select
+
+
+@query("staleness", ("packages",))
+def _(packages: DataFrame) -> DataFrame:
+    return _work(packages).select("name", "version", "state", "tier")
+
+
+_plan_sql("staleness", "SELECT name, version, state, tier FROM tiers")
+
+
+@query("work_plan", ("packages",))
+def _(packages: DataFrame) -> DataFrame:
+    return L.select_work(_todo(packages), 150).select("name", "version", "tier", "lane")
+
+
+_plan_sql("work_plan", "SELECT name, version, tier, CAST(lane AS INT) AS lane FROM slots ORDER BY CASE WHEN lane < 0 THEN 0 ELSE 1 END, cycle, slot, lane LIMIT 150")
+
+
+@query("capped_plan", ("packages",))
+def _(packages: DataFrame) -> DataFrame:
+    work = _todo(packages).withColumn("work_id", S.work_id(F.lit("crate"), F.col("name"), F.col("version"), F.lit("default")))
+    return L.select_capped(work, 120, 16, 9)
+
+
+@query("shard_counts", ("packages",), f"SELECT s.shard, count(b.shard) AS n FROM (SELECT unnest(range(17)) AS shard) s LEFT JOIN (SELECT CAST({_FNV64} % 17 AS BIGINT) AS shard FROM (SELECT 'crate:' || name || ':1.0.0:default' AS t FROM packages)) b USING (shard) GROUP BY s.shard")
+def _(packages: DataFrame) -> DataFrame:
+    return L.shard_counts(packages.select(S.work_id(F.lit("crate"), F.col("name"), F.lit("1.0.0"), F.lit("default")).alias("work_id")), 17)
+
+
+_DELTAS = "SELECT l_partkey % 8 AS shard, CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber AS VARCHAR) AS version, CASE l_returnflag WHEN 'A' THEN 'published' WHEN 'N' THEN 'fresh' ELSE 'transient' END AS outcome, CASE WHEN l_returnflag = 'R' THEN 'error ' || CAST(l_suppkey AS VARCHAR) END AS error, CASE WHEN l_returnflag = 'A' THEN 'h' || CAST(l_orderkey AS VARCHAR) END AS graph_hash, CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) END AS nodes, CASE WHEN l_suppkey % 2 = 0 THEN 'backfill' END AS tier, l_orderkey * 1000000000 + l_suppkey * 10000 + CAST(l_quantity AS BIGINT) * 100 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS seq"
+
+
+def _deltas(raw: DataFrame) -> DataFrame:
+    return raw.selectExpr(*[x.strip() for x in _split_select(_DELTAS)])
+
+
+def _split_select(sql: str) -> list[str]:
+    """The items of a select list; commas inside parentheses don't part them."""
+    out, depth = [""], 0
+    for c in sql.removeprefix("SELECT "):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.replace("VARCHAR", "STRING") for x in out]
+
+
+@query("run_summary", ("raw_methods",), f"SELECT shard, count(*) AS processed, count_if(outcome = 'published') AS published, count_if(outcome = 'fresh') AS fresh, count_if(outcome = 'transient') AS failed FROM ({_DELTAS} FROM raw_methods) GROUP BY ROLLUP (shard)")
+def _(raw: DataFrame) -> DataFrame:
+    return L.run_summary(_deltas(raw))
+
+
+@query(
+    "delta_merge", ("raw_methods",),
+    f"SELECT coalesce(i.name, d.name) AS name, coalesce(i.version, d.version) AS version, coalesce(d.graph_hash, i.graph_hash, '') AS graph_hash, coalesce(d.nodes, i.nodes) AS nodes, coalesce(d.tier, i.tier) AS tier, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN outcome END AS failure, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN error END AS failure_error FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber + 2 AS VARCHAR) AS version, 'old' AS graph_hash, CAST(1 AS BIGINT) AS nodes, 'long-tail' AS tier FROM raw_methods) i FULL JOIN (SELECT name, version, max(seq) FILTER (outcome <> 'transient') AS ok_seq, max(seq) AS last_seq, arg_max(outcome, seq) AS outcome, arg_max(error, (seq, coalesce(error, ''))) AS error0, list(error ORDER BY seq DESC)[1] AS error, arg_max(graph_hash, seq) FILTER (graph_hash IS NOT NULL) AS graph_hash, arg_max(nodes, seq) FILTER (nodes IS NOT NULL) AS nodes, arg_max(tier, seq) FILTER (tier IS NOT NULL) AS tier FROM (SELECT * FROM ({_DELTAS} FROM raw_methods) QUALIFY row_number() OVER (PARTITION BY name, version, seq ORDER BY outcome, error NULLS FIRST, graph_hash NULLS FIRST) = 1) GROUP BY ALL) d ON i.name = d.name AND i.version = d.version",
+)
+def _(raw: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    one = F.row_number().over(Window.partitionBy("name", "version", "seq").orderBy("outcome", F.asc_nulls_first("error"), F.asc_nulls_first("graph_hash")))
+    deltas = _deltas(raw).withColumn("one", one).where("one = 1")
+    index = raw.select(F.col("l_partkey").cast("string").alias("name"), (F.col("l_linenumber") + 2).cast("string").alias("version"), F.lit("old").alias("graph_hash"), F.lit(1).cast("bigint").alias("nodes"), F.lit("long-tail").alias("tier")).distinct()
+    return L.merge_deltas(index, deltas)
+
+
+@query("channel_aliases", ("versions",), "SELECT name, alias, arg_max(num, (CAST(k.a AS INT), CAST(k.b AS INT), CAST(k.c AS INT), k.d = '', coalesce(TRY_CAST(k.e AS INT), 0))) AS version FROM (SELECT CAST(package_id AS VARCHAR) AS name, 'latest' AS alias, num, k FROM versions_key UNION ALL SELECT CAST(package_id AS VARCHAR), 'stable', num, k FROM versions_key) GROUP BY ALL", ("versions_key",))
+def _(versions: DataFrame) -> DataFrame:
+    return R.channel_aliases(versions.select(F.col("package_id").cast("string").alias("name"), F.col("num").alias("version")))
+
+
+# ---- keyed state
+
+@query("final_status", ("requests",))
+def _(requests: DataFrame) -> DataFrame:
+    return T.final_status(_status_events(requests))
+
+
+def _status_events(requests: DataFrame) -> DataFrame:
+    """Events with one request for each key: the first event registers it, as queued."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("name").orderBy("ts", "event_id")) == 1
+    e = requests.select("name", F.lit("1").alias("version"), F.when(first, "queued").when(F.col("status") == "queued", "processing").otherwise(F.col("status")).alias("status"), "step", F.when(F.col("status") == "failed", F.concat(F.lit("e"), "event_id")).alias("error"), F.lit("r1").alias("request_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return e
+
+
+ORACLES["final_status"] = with_clause("requests") + """,
+e AS (SELECT name, row_number() OVER w AS r, CASE WHEN row_number() OVER w = 1 THEN 'queued' WHEN status = 'queued' THEN 'processing' ELSE status END AS status, CASE WHEN row_number() OVER w > 1 THEN step END AS step, CASE WHEN row_number() OVER w > 1 AND status = 'failed' THEN 'e' || CAST(event_id AS VARCHAR) END AS error, ts FROM requests WINDOW w AS (PARTITION BY name ORDER BY ts, event_id))
+SELECT name, '1' AS version, arg_max(status, r) AS status, arg_max(step, r) FILTER (step IS NOT NULL) AS step, arg_max(error, r) FILTER (error IS NOT NULL) AS error, 'r1' AS request_id, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS sequence FROM e GROUP BY name"""
+
+
+@query("admissions", ("requests",))
+def _(requests: DataFrame) -> DataFrame:
+    return T.admissions(requests.select(F.col("name").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.lit(1.0).alias("cost")), 3.0, 1 / 3600)
+
+
+@query("timeouts", ("requests",), "SELECT event_id, CASE WHEN status <> 'processing' THEN 'keep' WHEN user_id % 3 = 0 AND event_id % 60 < 20 THEN 'keep' WHEN user_id % 5 = 0 THEN 'ready' WHEN event_id % 60 < CASE WHEN user_id % 7 = 0 THEN 375 ELSE 30 END THEN 'keep' ELSE 'failed' END AS verdict FROM requests")
+def _(requests: DataFrame) -> DataFrame:
+    u, e = F.col("user_id"), F.col("event_id")
+    return requests.select("event_id", T.timeout_verdict(F.col("status"), F.when(u % 3 != 0, u), e % 60, u % 5 == 0, u % 7 == 0).alias("verdict"))
+
+
+@query("incremental_tree", ("nodes", "edges"), "SELECT child, parent FROM parents", (*TREE, "parents"))
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    relations = G.tree_relations(nodes, edges)
+    cut = 2_500_000_000_000
+    first = relations.where(F.col("edge_seq") < cut).groupBy("child").agg(F.min(F.struct("edge_seq", "parent")).alias("m")).select("child", "m.parent", "m.edge_seq")
+    return T.tree_update(first, relations.where(F.col("edge_seq") >= cut)).select("child", "parent")
+
+
+# ---- sources and sinks: written, read back
+
+
+@query("node_store", ("nodes",), f"SELECT package, lpad(printf('%x', {_FNV32} % 16), 3, '0') AS bucket, count(*) AS n FROM nodes GROUP BY ALL")
+def _(nodes: DataFrame) -> DataFrame:
+    path = scratch(nodes.sparkSession, "nodes")
+    K.write_nodes(nodes, path)
+    return nodes.sparkSession.read.option("recursiveFileLookup", False).schema(nodes.schema.add("bucket", "string")).parquet(path).groupBy("package", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("search_store", ("nodes",), "SELECT rpad(substr(regexp_replace(lower(trim(name)), '[^a-z0-9_]', '_', 'g'), 1, 2), 2, '_') AS prefix, count(*) AS n FROM pages GROUP BY ALL", ("pages",))
+def _(nodes: DataFrame) -> DataFrame:
+    path = scratch(nodes.sparkSession, "search")
+    K.write_search(nodes, path)
+    return nodes.sparkSession.read.schema(nodes.schema.add("prefix", "string")).parquet(path).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@query("kind_store", ("nodes",), "SELECT id, kind FROM pages WHERE kind = 'Struct'", ("pages",))
+def _(nodes: DataFrame) -> DataFrame:
+    path = scratch(nodes.sparkSession, "kinds")
+    K.write_kinds(nodes, path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path).where("kind = 'Struct'").select("id", "kind")
+
+
+@query("alias_store", ("aliases",), "SELECT alias, replace(canonical, '::', '/') AS path FROM aliases")
+def _(aliases: DataFrame) -> DataFrame:
+    path = scratch(aliases.sparkSession, "aliases")
+    K.write_aliases(aliases, path)
+    return aliases.sparkSession.read.schema("alias string, canonical string, path string, bucket string").parquet(path).select("alias", "path")
+
+
+@query("children_store", ("nodes", "edges"), "SELECT r.parent, count(*) AS n FROM relations r JOIN pages p ON r.child = p.id GROUP BY r.parent", ("pages", *TREE))
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    path = scratch(nodes.sparkSession, "children")
+    K.write_children(G.tree_children(nodes, edges), path)
+    return nodes.sparkSession.read.parquet(path).select("parent", F.size("children").cast("bigint").alias("n"))
+
+
+@query("manifests", ("nodes", "edges"), f"SELECT package, n_nodes, n_pages, n_buckets, coalesce(n_edges, 0) AS n_edges FROM (SELECT package, count(*) AS n_nodes, count_if({PAGE}) AS n_pages, count(DISTINCT {_FNV32} % 16) AS n_buckets FROM nodes GROUP BY package) LEFT JOIN (SELECT split_part(from_id, '::', 1) AS package, count(*) AS n_edges FROM edges GROUP BY 1) USING (package)")
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return K.manifest(nodes, edges)
+
+
+@query("build_report", ("nodes",), "SELECT package, count(*) AS entries, CAST(sum(s) AS BIGINT) AS bytes, max(s) AS largest, arg_min(id, (-s, id)) AS largest_id FROM (SELECT package, id, CAST(strlen('{\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"kind\":\"' || kind || '\",\"visibility\":\"' || visibility || '\"}') AS BIGINT) AS s FROM nodes) GROUP BY package")
+def _(nodes: DataFrame) -> DataFrame:
+    return K.build_report(nodes)
+
+
+@query("bucket_counts", ("nodes",), "SELECT package, CAST(least(pow(2, ceil(log2(greatest(ceil(count(*) / 100), 3)))), 64) AS BIGINT) AS buckets FROM nodes GROUP BY package")
+def _(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("package").agg(F.count("*").alias("n")).select("package", S.bucket_count(F.col("n"), 100, 3, 64).alias("buckets"))
+
+
+@query("changed_shards", ("nodes",), f"SELECT count(DISTINCT {_FNV32} % 64) AS n FROM nodes WHERE kind = 'Module'")
+def _(nodes: DataFrame) -> DataFrame:
+    spark = nodes.sparkSession
+    old = K.write_changed(nodes, ["id"], 64, None, scratch(spark, "shards"))
+    changed = nodes.withColumn("name", F.when(F.col("kind") == "Module", F.upper(F.concat("name", F.lit("!")))).otherwise(F.col("name")))
+    new = K.write_changed(changed, ["id"], 64, old, scratch(spark, "shards"))
+    return new.join(old.select("path"), "path", "left_anti").agg(F.count("*").alias("n"))
+
+
+@query("graph_hashes", ("nodes", "edges"))
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return K.graph_hashes(nodes, edges)
+
+
+@query("latest_upsert", ("raw_methods",), "SELECT id, max(l_orderkey * 1000000 + l_partkey) AS v FROM raw_methods GROUP BY id")
+def _(raw: DataFrame) -> DataFrame:
+    rows = raw.select("id", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("v"))
+    return U.latest_rows(rows.where("v % 2 = 0"), rows.where("v % 2 = 1"), ["id"], "v")
+
+
+@query("partition_replace", ("edges",), "SELECT split_part(from_id, '::', 1) AS package, CASE WHEN split_part(from_id, '::', 1) = 'ASIA' THEN count(*) // 2 * 0 + count_if(kind = 'Contains') ELSE count(*) END AS n FROM edges GROUP BY 1")
+def _(edges: DataFrame) -> DataFrame:
+    path, keyed = scratch(edges.sparkSession, "cross"), edges.withColumn("package", S.package_of(F.col("from_id")))
+    K.replace_partitions(keyed, path, ["package"])
+    K.replace_partitions(keyed.where("package = 'ASIA' and kind = 'Contains'"), path, ["package"])
+    return edges.sparkSession.read.parquet(path).groupBy("package").agg(F.count("*").alias("n"))
+
+
+@query("registry_csv", ("packages", "versions"), "SELECT p.name, p.downloads, count(v.num) AS n, count_if(v.yanked) AS n_yanked FROM packages p LEFT JOIN versions v ON p.id = v.package_id WHERE p.id % 2 = 0 GROUP BY ALL")
+def _(packages: DataFrame, versions: DataFrame) -> DataFrame:
+    spark = packages.sparkSession
+    one, two = scratch(spark, "packages"), scratch(spark, "versions")
+    packages.where("id % 2 = 0").write.csv(one, header=True)
+    versions.select("package_id", "num", F.when(F.col("yanked"), "t").otherwise("f").alias("yanked"), "created_at").write.csv(two, header=True)
+    p = N.packages_csv(spark, one)
+    v = N.versions_csv(spark, two, p)
+    return p.join(v.withColumnRenamed("package_id", "id").drop("downloads"), "id", "left").groupBy("name", "downloads").agg(F.count("num").alias("n"), F.count_if("yanked").alias("n_yanked"))
+
+
+@query("run_delta_logs", ("raw_methods",), f"SELECT outcome, count(*) AS n FROM ({_DELTAS} FROM raw_methods) GROUP BY outcome")
+def _(raw: DataFrame) -> DataFrame:
+    path = scratch(raw.sparkSession, "runs")
+    _deltas(raw).drop("seq").write.json(path)
+    return N.run_deltas(raw.sparkSession, path).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("version_pointers", ("versions",), "SELECT storage_name, wanted, version FROM (SELECT CAST(package_id AS VARCHAR) AS storage_name, 'latest' AS wanted, arg_max(num, version_seq) AS version FROM versions GROUP BY package_id)")
+def _(versions: DataFrame) -> DataFrame:
+    refs = versions.groupBy(F.col("package_id").cast("string").alias("storage_name")).agg(F.max_by("num", "version_seq").alias("version")).select("storage_name", F.lit("latest").alias("alias_or_version"), "version", F.lit("h").alias("graph_hash"))
+    return N.resolve_versions(refs.select("storage_name", F.lit("latest").alias("wanted")), refs).drop("graph_hash")
+
+
+def _api_documents(modules: DataFrame, structs: DataFrame) -> DataFrame:
+    """One API document a package, as JSON text: its modules with their structs as items, and functions that name them."""
+    item = lambda i, name, inner: F.struct(i.alias("key"), F.struct(name.alias("name"), F.lit("default").alias("visibility"), F.concat(F.lit("about "), name).alias("docs"), inner.alias("inner")).alias("value"))
+    sid = (F.col("c_custkey") + 1000).cast("string")
+    held = structs.groupBy("module_id").agg(F.sort_array(F.collect_list(sid)).alias("ids"))
+    mods = modules.join(held, modules["id"] == held["module_id"], "left").select("package", item(F.col("n_nationkey").cast("string"), F.col("name"), F.to_json(F.struct(F.struct(F.coalesce("ids", F.array().cast("array<string>")).alias("items")).alias("module")))).alias("i"))
+    subs = structs.select("package", item(sid, F.col("name"), F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct((F.col("c_custkey") + 1001).alias("id"), F.lit('say "id": 7').alias("path")).alias("resolved_path"))).alias("inputs")).alias("sig")).alias("function")))).alias("i"))
+    both = mods.union(subs).groupBy("package").agg(F.collect_list("i").alias("all"))
+    index = F.concat(F.lit("{"), F.array_join(F.transform("all", lambda x: F.concat(F.lit('"'), x["key"], F.lit('":{"name":"'), x["value"]["name"], F.lit('","visibility":"default","docs":"'), x["value"]["docs"], F.lit('","inner":'), x["value"]["inner"], F.lit("}"))), ","), F.lit("}"))
+    return both.select(F.concat(F.lit('{"root":0,"format_version":57,"index":'), index, F.lit(',"paths":{"0":{"crate_id":0,"path":["'), "package", F.lit('"],"kind":"module"}},"external_crates":{"1":{"name":"std"}}}')).alias("value"), "package")
+
+
+def _read_back(modules: DataFrame, structs: DataFrame) -> DataFrame:
+    spark, path = modules.sparkSession, scratch(modules.sparkSession, "documents")
+    _api_documents(modules, structs).repartition("package").select("package", "value").write.partitionBy("package").text(path)
+    lines = spark.read.schema("value string, package string").text(path).select(F.col("package").alias("file"), F.try_parse_json("value").alias("doc"))
+    return D.gate(lines).where("outcome = 'accepted'")
+
+
+@query("document_items", ("modules", "structs"), "SELECT package AS file, CAST(n_nationkey AS VARCHAR) AS item_id, name, 'module' AS kind FROM modules UNION ALL SELECT package, CAST(c_custkey + 1000 AS VARCHAR), name, 'function' FROM structs")
+def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
+    return D.item_nodes(D.items(_read_back(modules, structs))).select("file", "item_id", "name", "kind")
+
+
+@query("document_children", ("modules", "structs"), "SELECT s.package AS file, CAST(m.n_nationkey AS VARCHAR) AS parent, CAST(s.c_custkey + 1000 AS VARCHAR) AS child FROM structs s JOIN modules m ON s.module_id = m.id")
+def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
+    return D.children(D.items(_read_back(modules, structs))).select("file", "parent", "child")
+
+
+@query("document_type_uses", ("modules", "structs"), "SELECT package AS file, CAST(c_custkey + 1000 AS VARCHAR) AS owner, CAST(c_custkey + 1001 AS VARCHAR) AS used FROM structs")
+def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
+    return D.type_uses(D.items(_read_back(modules, structs)))
