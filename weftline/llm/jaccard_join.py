@@ -23,7 +23,7 @@ rows that repeat a document get the same result each; an empty table gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,9 @@ BLOCK = 2048
 SETS = "doc_id long, text_hash long, n long, digest long, digest2 long, prefix array<long>, bits binary"
 
 
-def shingles(column: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, int]:
+def shingles(column: pa.Array, gram: int = GRAM, lower: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
     """The number of the text and the hash of every shingle of a batch, repeats included."""
-    t = Texts(column, lower=True)
+    t = Texts(column, lower=lower)
     words = t.word_hashes()
     at = np.flatnonzero(t.same_text(gram))
     text, hashes = t.text[at], gram_hashes(words, gram)[at]
@@ -63,15 +63,15 @@ def distinct_sorted(text: np.ndarray, values: np.ndarray, n: int) -> tuple[np.nd
     return values[new], np.searchsorted(text[new], np.arange(n + 1))
 
 
-def shingle_ranks(docs: DataFrame) -> np.ndarray:
-    """By the top bits of a shingle's hash, about how common it is: 8 steps for each doubling."""
+def shingle_ranks(docs: DataFrame, found: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]] = shingles) -> np.ndarray:
+    """By the top bits of a shingle's hash, about how common it is: 8 steps for each doubling. found: the shingles of a batch."""
     bounded_batches(docs.sparkSession)
     size, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for b in batches:
-            _, hashes, _ = shingles(b.column(0))
+            _, hashes, _ = found(b.column(0))
             seen += np.bincount((hashes >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // chunk)), pa.array([x.astype("<i8" if x.max() >= 1 << 32 else "<u4").tobytes() for x in seen.reshape(-1, chunk)], pa.binary())], ["chunk", "counts"])
@@ -111,31 +111,40 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-SIMILAR * (na + nb) // (100 + SIMILAR))
 
 
+def set_arrays(text: np.ndarray, hashes: np.ndarray, n_texts: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its distinct shingles in order of rarity (all in one array, and where each text's begin), and two digests."""
+    rank = ranks[(hashes >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+    tokens, at = distinct_sorted(text, (rank.astype(U64) << U64(56)) | (hashes & U64((1 << 56) - 1)), n_texts)
+    digests = np.zeros((2, n_texts), U64)
+    if len(tokens):
+        full = np.diff(at) > 0
+        digests[0, full], digests[1, full] = [np.add.reduceat(x, at[:-1][full]) for x in (mixed(tokens), mixed(tokens ^ U64(0x5851F42D4C957F2D)))]
+    return tokens, at, digests[0].view(np.int64), digests[1].view(np.int64)
+
+
+def prefix_lists(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The first n - ceil(0.8 n) + 1 of each text's n shingles."""
+    n = np.diff(at)
+    prefix = np.where(n > 0, n - -(-SIMILAR * n // 100) + 1, 0)
+    row = np.repeat(at[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(tokens[row].view(np.int64)))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """Every document's set: its size and digests, its prefix in order of rarity, and its bitmap signature."""
-    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs))
+    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs))  # 2**SKETCH_BITS bytes
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, hashes, n_texts = shingles(b.column(2))
-            rank = ranks.value[(hashes >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-            tokens, at = distinct_sorted(text, (rank.astype(U64) << U64(56)) | (hashes & U64((1 << 56) - 1)), n_texts)
-            n = np.diff(at)
-            full = n > 0
-            sums = lambda x: np.add.reduceat(x, at[:-1][full]) if len(x) else np.zeros(0, U64)
-            digests = np.zeros((2, n_texts), U64)
-            digests[0, full], digests[1, full] = sums(mixed(tokens)), sums(mixed(tokens ^ U64(0x5851F42D4C957F2D)))
-            prefix = np.where(full, n - -(-SIMILAR * n // 100) + 1, 0)
+            tokens, at, *digests = set_arrays(*shingles(b.column(2)), ranks.value)
+            n, marks, bits = np.diff(at), mixed(tokens), []
             width = band_bits(band_of(n) + guest(n))
-            bits, marks = [], mixed(tokens)
-            for i in range(n_texts):
-                seen = np.zeros(width[i] if full[i] else 0, bool)
-                seen[(marks[at[i] : at[i + 1]] % U64(width[i])).astype(np.int64)] = True
+            for i, (w, low, high) in enumerate(zip(width.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                seen = np.zeros(w if n[i] else 0, bool)
+                seen[(marks[low:high] % U64(w)).astype(np.int64)] = True
                 bits.append(np.packbits(seen, bitorder="little").tobytes())
-            row = np.repeat(at[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(tokens[row].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *[pa.array(d.view(np.int64)) for d in digests], lists, pa.array(bits, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *map(pa.array, digests), prefix_lists(tokens, at), pa.array(bits, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
     return own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SETS)
 
@@ -253,13 +262,13 @@ def node_texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, found: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]] = shingles) -> DataFrame:
     """The pairs whose sorted shingle arrays overlap enough: a, b."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (x, xa), (y, ya) = [distinct_sorted(*shingles(b.column(k))) for k in (2, 3)]
+            (x, xa), (y, ya) = [distinct_sorted(*found(b.column(k))) for k in (2, 3)]
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 p, q = x[xa[i] : xa[i + 1]], y[ya[i] : ya[i + 1]]

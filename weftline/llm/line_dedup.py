@@ -1,16 +1,19 @@
-"""Line dedup: an exact set-similarity join of lines, with DataFrame functions only.
+"""Line dedup: an exact set-similarity join of lines.
 
 A line's tokens are its distinct ``GRAM``-word shingles (all its words as one token where there are fewer); a line is removed if
-an earlier line of the corpus (smaller doc_id, or earlier in its document) has a Jaccard similarity of ``SIMILAR`` percent or
+an earlier line of the corpus (smaller doc_id, or earlier in its document) has a Jaccard similarity of 80 percent or
 more with it. Lines are judged on the input, not on what is left.
 
-Tokens are ordered from rare to common, by a count sketch of a fixed number of buckets over all tokens, then by hash.
+Tokens are ordered from rare to common, by a count sketch of a fixed number of counters over all tokens, then by hash.
 Lines with equal sets are told at once by their digests. Of the others, similar ones share one of the first
 n - ceil(0.8 n) + 1 tokens (prefix filter), have like sizes (length filter) and enough tokens left after the shared one in
 both (positional filter). Each line is first compared with the earliest line of each of its prefix tokens, which settles
 large groups of near copies with as many pairs as rows; only lines still unmatched are joined with all earlier ones.
 Every pair that the filters leave is verified on the lines' tokens.
 
+Joins, orders and filters are DataFrame operations; tokens of lines are made and compared as numpy arrays in Arrow
+batches. (A form with DataFrame functions alone gave the same rows but went far beyond the limits: see the README.)
+
 Defined results: a null text has no lines and stays null; a line without words is never removed; rows that repeat a doc_id
 are ordered by a hash of their texts, and rows equal in both are one document with one result; a null doc_id comes first;
 an empty table gives no rows; a document may be left with an empty text but stays; columns beside text are kept.
@@ -18,135 +21,103 @@ an empty table gives no rows; a document may be left with an empty text but stay
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bind, own_columns, release, staged, table
-
-GRAM, SIMILAR = 5, 80
-SKETCH_BITS = 18
-SEPARATORS = r"[\x20\x09-\x0D]+"
-HASH_BITS = 53  # of a token, below its rank
+from weftline.llm.common import bind, bounded_batches, own_columns, release, staged, table
+from weftline.llm.jaccard_join import could_link, prefix_lists, set_arrays, shared_tiles, shingle_ranks, shingles, verified
 
+GRAM = 5
+LINES = "doc_id long, text_hash long, line int, n long, digest long, digest2 long, prefix array<long>"
+PLACE = ("doc_id", "text_hash", "line")
 
-def _tokens(line: Column, gram: int) -> Column:
-    """A hash of each of a line's tokens, repeats included."""
-    words = F.transform(F.array_remove(F.split(line, SEPARATORS), ""), lambda w: F.xxhash64(w))
-    if gram == 1:
-        return words
 
-    def of(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]))
-        return F.when(F.size(h) >= gram, grams).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All lines of a batch of texts, the number of the text of each, and its number there."""
+    split = pc.split_pattern(texts.fill_null("").cast(pa.large_string()), "\n")
+    text = pc.list_parent_indices(split).to_numpy()
+    first = np.searchsorted(text, np.arange(len(texts)))
+    return split.flatten(), text, np.arange(len(text)) - first[text]
 
-    return bind(words, of)
 
+def _tokens_of_lines(gram: int):
+    return lambda texts: shingles(_lines(texts)[0], gram, lower=False)
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return own_columns(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
 
-
-def token_ranks(docs: DataFrame, gram: int) -> Column:
-    """An array of how common each bucket of tokens is, 8 steps for each doubling, as a session variable: unlike a
-    subquery, it may stand inside a higher-order function."""
-    spark, size = docs.sparkSession, 1 << SKETCH_BITS
-    counts = _lines(docs).select(F.explode(_tokens(F.col("words"), gram)).alias("token")).groupBy(F.col("token").bitwiseAND(size - 1).alias("bucket")).count()
-    ranks = spark.range(size).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1)).cast("int").alias("rank"))
-    ranks = staged(ranks, "ranks")  # one row for each bucket
-    name = f"ranks_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<INT>")
-    spark.sql(f"SET VAR {name} = (SELECT transform(array_sort(collect_list(struct(id, rank))), x -> x.rank) FROM {{ranks}})", ranks=ranks)
-    return F.expr(name)
+def _tokens(gram: int):
+    return lambda column: shingles(column, gram, lower=False)
 
 
 def line_sets(docs: DataFrame, gram: int) -> DataFrame:
     """Every line that has a word: its place, the size and digests of its token set, and the set's prefix."""
-    ranks = token_ranks(docs, gram)
-
-    def coded(tokens: Column) -> Column:
-        rank = lambda t: F.coalesce(F.get(ranks, t.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")), F.lit(0)).cast("long")
-        return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.shiftleft(rank(t), HASH_BITS).bitwiseOR(t.bitwiseAND((1 << HASH_BITS) - 1)))))
+    spark = docs.sparkSession
+    own = own_columns(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    ranks = spark.sparkContext.broadcast(shingle_ranks(own, _tokens_of_lines(gram)))  # a fixed number of bytes
+    bounded_batches(spark)
 
-    def summary(t: Column) -> Column:
-        n = F.size(t)
-        prefix = n - F.ceil(F.lit(SIMILAR) * n / F.lit(100)).cast("int") + 1
-        return F.struct(n.alias("n"), F.xxhash64(t).alias("digest"), F.xxhash64(F.lit(7), F.reverse(t)).alias("digest2"), F.slice(t, F.lit(1), prefix).alias("prefix"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, text, number = _lines(b.column(2))
+            tokens, at, *digests = set_arrays(*shingles(lines, gram, lower=False), ranks.value)
+            n = np.diff(at)
+            row = pa.array(text)
+            whole = pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(n), *map(pa.array, digests), prefix_lists(tokens, at)], [x.split()[0] for x in LINES.split(", ")])
+            yield whole.filter(pa.array(n > 0))
 
-    sets = _lines(docs).select("doc_id", "text_hash", "line", bind(coded(_tokens(F.col("words"), gram)), summary).alias("s"))
-    return sets.where("s.n > 0").select("doc_id", "text_hash", "line", "s.*")
+    return own.mapInArrow(run, LINES)
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """A row for each distinct set with its first line; id rises with the lines' order."""
-    first = sets.groupBy("n", "digest", "digest2").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("at"), F.first("prefix").alias("prefix"))
-    placed = first.select("at.*", "n", "digest", "digest2", "prefix")
-    order = ("doc_id", "text_hash", "line")
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-
-
-def shared_tokens(distinct: DataFrame) -> DataFrame:
-    """token, id, n, pos and the token's first id, for prefix tokens of two sets or more."""
-    rows = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("lines"), F.min("id").alias("hub")).where("lines > 1").select("token", "hub")
-    return rows.join(groups, "token")
-
-
-def _could_match(n: Column, m: Column, pos: Column, other: Column) -> Column:
-    least = F.ceil(F.lit(SIMILAR) * (n + m) / F.lit(100 + SIMILAR))
-    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (F.least(n - pos, m - other) >= least)
-
-
-def candidates(probes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs (earlier, later) that share a token and pass the filters."""
-    t = targets.select("token", F.col("id").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("other"))
-    met = probes.join(t, "token").where((F.col("earlier") < F.col("id")) & _could_match(F.col("n"), F.col("m"), F.col("pos"), F.col("other")))
-    return met.select("earlier", F.col("id").alias("later")).distinct()
+    """A row for each distinct set, with a number and its first line's place."""
+    first = sets.groupBy("n", "digest", "digest2").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("prefix").alias("prefix"))
+    return first.select(F.monotonically_increasing_id().alias("node"), "at.*", "n", "digest", "digest2", "prefix")
 
 
 def line_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """id and words of the lines asked for (id, doc_id, text_hash, line)."""
-    of_doc = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "line")).alias("lines")).select(F.col("doc_id").alias("of"), "text_hash", "lines")
+    """node and text of the lines asked for (node and place)."""
+    of_doc = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("node", "line")).alias("lines")).select(F.col("doc_id").alias("of"), "text_hash", "lines")
     own = own_columns(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
     found = own.join(of_doc, own["doc_id"].eqNullSafe(of_doc["of"]) & (own["hash"] == of_doc["text_hash"]))
-    picked = found.select(F.inline(bind(F.split("text", "\n"), lambda all_: F.transform("lines", lambda x: F.struct(x["id"].alias("id"), F.get(all_, x["line"]).alias("words"))))))
-    return picked.groupBy("id").agg(F.first("words").alias("words"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
-    """Ids of later lines with a similarity of SIMILAR percent to their earlier one."""
-    tokens = texts.select("id", F.array_distinct(_tokens(F.col("words"), gram)).alias("tokens"))
-    both = pairs.join(tokens.select(F.col("id").alias("later"), F.col("tokens").alias("a")), "later").join(tokens.select(F.col("id").alias("earlier"), F.col("tokens").alias("b")), "earlier")
-    common = both.select("later", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return common.where(100 * F.col("common") >= SIMILAR * (F.col("n") + F.col("m") - F.col("common"))).select(F.col("later").alias("id")).distinct()
+    picked = found.select(F.inline(bind(F.split("text", "\n"), lambda all_: F.transform("lines", lambda x: F.struct(x["node"].alias("node"), F.get(all_, x["line"]).alias("text"))))))
+    return picked.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def removed_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash and line of every line to remove."""
     spark = docs.sparkSession
     sets = staged(line_sets(docs, gram), "lines")
+    nodes = staged(distinct_sets(sets), "sets")
     release(spark)
-    distinct = staged(distinct_sets(sets), "sets")
+    tiles = staged(shared_tiles(nodes), "tiles")
     release(spark)
-    shared = staged(shared_tokens(distinct), "shared")
+    rows = staged(tiles.join(nodes.select("node", F.struct(*PLACE).alias("at")), "node"), "rows")
     release(spark)
-    hubs = shared.where("id = hub").select("token", "id", "n", "pos")
-    first = staged(candidates(shared.where("id <> hub"), hubs), "pairs")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        asked = distinct.select("id", "doc_id", "text_hash", "line").join(pairs.select(F.explode(F.array("earlier", "later")).alias("id")).distinct(), "id")
-        found = staged(verified(pairs, staged(line_texts(docs, asked), "texts"), gram), "matched")
+    def pairs(probes: DataFrame, others: DataFrame) -> DataFrame:
+        """a, b: a later line with an earlier one of a tile that it could match."""
+        o = others.select("token", "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("at").alias("before"))
+        met = probes.join(o, ["token", "band"]).where((F.col("before") < F.col("at")) & could_link(F.col("n"), F.col("m"), F.col("pos"), F.col("place")))
+        return met.select(F.col("node").alias("a"), "b").distinct()
+
+    def matched(found: DataFrame) -> DataFrame:
+        asked = nodes.select("node", *PLACE).join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+        texts = staged(line_texts(docs, asked), "texts")
+        out = staged(verified(found, texts, _tokens(gram)).select(F.col("a").alias("node")).distinct(), "matched")
         release(spark)
-        return found
-
-    matched = checked(first)
-    rest = candidates(shared.join(matched, "id", "left_anti"), shared)
-    more = checked(staged(rest.join(first, ["earlier", "later"], "left_anti"), "pairs"))
-    near = distinct.join(matched.union(more), "id", "left_semi").select("doc_id", "text_hash", "line")
-    firsts = distinct.select("n", "digest", "digest2", F.struct("doc_id", "text_hash", "line").alias("first"))
-    at = F.struct("doc_id", "text_hash", "line")
-    copies = sets.select("doc_id", "text_hash", "line", "n", "digest", "digest2").join(firsts, ["n", "digest", "digest2"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line")
+        return out
+
+    first = rows.groupBy("token", "band").agg(F.min(F.struct("at", "node", "n", "pos")).alias("f")).select("token", "band", "f.*")
+    tried = staged(pairs(rows, first), "pairs")
+    settled = matched(tried)
+    rest = staged(pairs(rows.join(settled, "node", "left_anti"), rows).join(tried, ["a", "b"], "left_anti"), "pairs")
+    near = nodes.join(settled.union(matched(rest)), "node", "left_semi").select(*PLACE)
+    firsts = nodes.select("n", "digest", "digest2", F.struct(*PLACE).alias("first"))
+    copies = sets.select(*PLACE, "n", "digest", "digest2").join(firsts, ["n", "digest", "digest2"]).where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE)
     return near.union(copies)
 
 
