@@ -176,8 +176,10 @@ def kept_texts(t: Texts, keep: np.ndarray) -> list[bytes]:
 
 def _with_spans(docs: DataFrame, window: int, gram: int, more: tuple[str, ...] = ()) -> DataFrame:
     spans = removal_intervals(docs, window, gram)
-    own = docs.select(*[F.col(f"`{c}`") for c in ("doc_id", "text", *more)]).withColumn("text_hash", F.xxhash64("text"))
-    return own.join(spans, _same_document(own, spans), "left").select(own["doc_id"], own["text"], *[own[f"`{c}`"] for c in more], "spans")
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), F.col("spans").alias("__spans"))
+    own = docs.select(*[F.col(f"`{c}`") for c in ("doc_id", "text", *more)]).withColumn("__hash", F.xxhash64("text"))
+    joined = own.join(spans, own["doc_id"].eqNullSafe(spans["__id"]) & (own["__hash"] == spans["__of"]), "left")
+    return joined.select("doc_id", "text", *[F.col(f"`{c}`") for c in more], "__spans")
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
