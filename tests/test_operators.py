@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from weftline.fixed import LANE_PATTERN
+from weftline.operators import calls as X
 from weftline.operators import closures as C
 from weftline.operators import graph as G
 from weftline.operators import ranking as R
@@ -145,3 +146,10 @@ def test_lists_and_index_lines(spark, tmp_path):
     assert rows(N.name_list(spark, str(tmp_path / "names"))) == [("a",), ("b",)]
     (tmp_path / "lines").write_text('{"name":"a","vers":"1","yanked":false}\nbroken\n{"name":"a","vers":"2","yanked":true}\n{"name":"a","vers":"3"}\n')
     assert [r.version for r in N.version_lines(spark, str(tmp_path / "lines"), 5).orderBy("place").collect()] == ["3", "1"]
+
+
+def test_calls_are_tried_in_order(spark):
+    nodes = spark.createDataFrame([("p::m::f", "Function"), ("p::n::f", "Function"), ("p::n::g", "Function"), ("q::h", "Function")], "id string, kind string")
+    calls = spark.createDataFrame([("c1", "p::m", "f"), ("c2", "p::n", "super::m::f"), ("c3", "p", "f"), ("c4", "p::n", "crate::n::g"), ("c5", "p", "x::h"), ("c6", "p", "self::f")], "caller string, module string, path string")
+    assert rows(X.resolve(calls, nodes).select("caller", "target", "confidence")) == [("c1", "p::m::f", "Static"), ("c2", "p::m::f", "Static"), ("c4", "p::n::g", "Static"), ("c5", "q::h", "Static")]
+    assert [r.confidence for r in X.resolve(calls, nodes, ambiguous=True).where("caller = 'c3'").collect()] == ["Inferred", "Inferred"]

@@ -14,6 +14,7 @@ from weftline.derived import derive, with_clause
 from weftline.fixed import NODE_KINDS, RELATIONS, SEMANTIC
 from weftline.functions import scalars as S
 from weftline.operators import aggregates as A
+from weftline.operators import calls as X
 from weftline.operators import closures as C
 from weftline.operators import filters as P
 from weftline.operators import graph as G
@@ -811,3 +812,14 @@ def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
 @query("document_type_uses", ("modules", "structs"), "SELECT package AS file, CAST(c_custkey + 1000 AS VARCHAR) AS owner, CAST(c_custkey + 1001 AS VARCHAR) AS used FROM structs")
 def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
     return D.type_uses(D.items(_read_back(modules, structs)))
+
+
+# ---- calls
+
+_CALLS = "SELECT DISTINCT m.id AS caller, i.struct_module AS module, CASE l_linenumber % 3 WHEN 0 THEN t.name WHEN 1 THEN split_part(t.id, '::', 2) || '::' || t.name ELSE 'nowhere::' || t.name END AS path, t.id AS target FROM raw_methods m JOIN traits t ON l_suppkey = s_suppkey JOIN (SELECT id, split_part(id, '::', 1) || '::' || split_part(id, '::', 2) AS struct_module FROM impls) i ON m.impl_id = i.id"
+
+
+@query("call_resolution", ("nodes", "raw_methods", "traits", "impls"), f"SELECT caller, path, target, 'Static' AS confidence FROM ({_CALLS})")
+def _(nodes: DataFrame, raw: DataFrame, traits: DataFrame, impls: DataFrame) -> DataFrame:
+    calls = nodes.sparkSession.sql(_CALLS.replace("raw_methods m", "{raw} m").replace("JOIN traits t", "JOIN {traits} t").replace("FROM impls", "FROM {impls}"), raw=raw, traits=traits, impls=impls)
+    return X.resolve(calls.select("caller", "module", "path"), nodes)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATUS = "name string, version string, status string, step string, error string, request_id string, created_at timestamp, updated_at timestamp, sequence bigint"
 _STATE = "status string, step string, error string, request_id string, created_at timestamp, updated_at timestamp, sequence bigint"
 FIELDS = ["status", "step", "error", "request_id", "created_at", "updated_at", "sequence"]
+KEPT_MS = 24 * 3600 * 1000
 QUEUED_MINUTES, QUIET_MINUTES, RUNNING_MINUTES = 20, 30, 375
 
 
@@ -56,8 +57,8 @@ def final_status(events: DataFrame) -> DataFrame:
 
 
 def status_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: a row with the new state of each key that a trigger's events touch. State is dropped a day after its
-    last event."""
+    """The same over a stream: a row with the new state of each key that a trigger's events touch. State is dropped once the events'
+    time has gone a day beyond a key's last one (a timeout by processing time would keep an idle stream running batches)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,10 +71,11 @@ def status_stream(events: DataFrame) -> DataFrame:
             now, out = _folded(key, now, pd.concat(got))
         if now:
             state.update(now)
-            state.setTimeoutDuration(24 * 3600 * 1000)
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(now[5]).timestamp() * 1000) + KEPT_MS, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return events.groupBy("name", "version").applyInPandasWithState(run, STATUS, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("at", "1 hour")
+    return timed.groupBy("name", "version").applyInPandasWithState(run, STATUS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def admissions(requests: DataFrame, capacity: float, per_second: float, longest_wait: float = 900.0) -> DataFrame:
