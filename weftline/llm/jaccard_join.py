@@ -36,8 +36,8 @@ from weftline.llm.textarrays import U64, Texts, gram_hashes, mixed, range_hashes
 
 GRAM, SIMILAR = 5, 80
 SKETCH_BITS, CHUNK_BITS = 20, 16
-BLOCK = 2048
-SETS = "doc_id long, text_hash long, n long, digest long, digest2 long, prefix array<long>, bits binary"
+BLOCK, LEAST_BITS = 2048, 1024
+SETS = "doc_id long, text_hash long, n long, digest long, digest2 long, prefix array<long>"
 
 
 def shingles(column: pa.Array, gram: int = GRAM, lower: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,8 +97,8 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 
 def band_bits(band: int | np.ndarray) -> int | np.ndarray:
-    """A signature has a bit for each member of the largest set of its band."""
-    return np.maximum(64, 2 ** (band + 1))
+    """A signature has a bit for each member of the largest set of its band, and ``LEAST_BITS`` at least."""
+    return np.maximum(LEAST_BITS, 2 ** (band + 1))
 
 
 def guest(n: np.ndarray) -> np.ndarray:
@@ -131,20 +131,14 @@ def prefix_lists(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Every document's set: its size and digests, its prefix in order of rarity, and its bitmap signature."""
+    """Every document's set: its size and digests, and its prefix in order of rarity."""
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs))  # 2**SKETCH_BITS bytes
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, at, *digests = set_arrays(*shingles(b.column(2)), ranks.value)
-            n, marks, bits = np.diff(at), mixed(tokens), []
-            width = band_bits(band_of(n) + guest(n))
-            for i, (w, low, high) in enumerate(zip(width.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                seen = np.zeros(w if n[i] else 0, bool)
-                seen[(marks[low:high] % U64(w)).astype(np.int64)] = True
-                bits.append(np.packbits(seen, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *map(pa.array, digests), prefix_lists(tokens, at), pa.array(bits, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at)), *map(pa.array, digests), prefix_lists(tokens, at)], [x.split()[0] for x in SETS.split(", ")])
 
     return own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SETS)
 
@@ -152,8 +146,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def nodes_of(sets: DataFrame) -> DataFrame:
     """A row for each distinct set that isn't empty: node, and the first document that has it."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    same = sets.where("n > 0").groupBy("n", "digest", "digest2").agg(first, F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    return same.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "n", "digest", "digest2", "prefix", "bits")
+    same = sets.where("n > 0").groupBy("n", "digest", "digest2").agg(first, F.first("prefix").alias("prefix"))
+    return same.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "n", "digest", "digest2", "prefix")
 
 
 def shared_tiles(nodes: DataFrame) -> DataFrame:
@@ -194,7 +188,25 @@ def _folded(bits: bytes, width: int) -> np.ndarray:
     return x.view("<u8")
 
 
-def block_pairs(tiles: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def signatures(texts: DataFrame) -> DataFrame:
+    """node and the bitmap of its shingles, wide enough for each band in which it has tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, at = distinct_sorted(*shingles(b.column(1)))
+            n, marks, bits = np.diff(at), mixed(hashes), []
+            width = band_bits(band_of(n) + guest(n))
+            for w, low, high in zip(width.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                seen = np.zeros(w, bool)
+                seen[(marks[low:high] % U64(w)).astype(np.int64)] = True
+                bits.append(np.packbits(seen, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.select("node", "text").mapInArrow(run, "node long, bits binary")
+
+
+def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs of different components in one tile that length, position and signatures leave open: a, b."""
     spark = tiles.sparkSession
     bounded_batches(spark)
@@ -207,25 +219,24 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
     targets = placed.withColumns({"k": F.pmod("spot", "blocks").cast("int"), "m": F.explode(F.sequence(F.lit(0), F.col("minors") - 1)), "probe": F.lit(False)})
     probes = placed.where(minor).withColumns({"m": F.pmod("spot", "minors").cast("int"), "k": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "probe": F.lit(True)})
     columns = ["token", "band", "m", "k", "probe", "node", "n", "pos", "label", minor.alias("minor")]
-    work = targets.select(*columns).unionByName(probes.select(*columns)).join(nodes.select("node", "bits"), "node")
+    work = targets.select(*columns).unionByName(probes.select(*columns)).join(bits, "node")
     work = work.select("token", "band", "m", "k", "probe", "node", "n", "pos", "label", "minor", "bits")
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        width, probe = int(band_bits(int(group["band"][0]))), group["probe"]
+    def compare(group: dict[str, np.ndarray]) -> np.ndarray:
+        width = int(band_bits(int(group["band"][0])))
         sign = np.stack([_folded(x, width) for x in group["bits"]])
-        t = np.flatnonzero(~probe)
-        out_a, out_b = [], []
-        for p in np.flatnonzero(probe):
-            na, nb = group["n"][p], group["n"][t]
-            least = needed(na, nb)
-            fine = (group["label"][t] != group["label"][p]) & (np.minimum(na - group["pos"][p], nb - group["pos"][t]) >= least)
-            fine &= ~group["minor"][t] | (group["node"][t] > group["node"][p])  # minor pairs meet twice
-            at = t[fine]
-            apart = np.bitwise_count(sign[at] ^ sign[p]).sum(1, dtype=np.int64)
-            at = at[(na + group["n"][at] - apart) // 2 >= needed(na, group["n"][at])]
-            out_a.append(np.full(len(at), group["node"][p]))
-            out_b.append(group["node"][at])
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n, room, label, minor, node = (group[k] for k in ("n", "room", "label", "minor", "node"))
+        probes, targets = np.flatnonzero(group["probe"]), np.flatnonzero(~group["probe"])
+        step, out = max(1, (1 << 16) // max(1, len(targets))), [np.zeros((2, 0), np.int64)]
+        for low in range(0, len(probes), step):
+            i, j = probes[low : low + step, None], targets[None, :]
+            fine = (label[i] != label[j]) & (np.minimum(room[i], room[j]) >= needed(n[i], n[j]))
+            p, t = np.nonzero(fine & (~minor[j] | (node[j] > node[i])))  # minor pairs meet twice
+            p, t = probes[low + p], targets[t]
+            apart = np.bitwise_count(sign[p] ^ sign[t]).sum(1, dtype=np.int64)
+            near = (n[p] + n[t] - apart) // 2 >= needed(n[p], n[t])
+            out.append(np.stack((node[p[near]], node[t[near]])))
+        return np.concatenate(out, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -236,6 +247,7 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
             ends = [*cuts.tolist(), whole.num_rows] if last else cuts.tolist()
             out, begin = [], 0
             col = {c: whole.column(c).to_numpy() for c in ("band", "probe", "node", "n", "pos", "label", "minor")} | {"bits": np.array(whole.column("bits").to_pylist(), object)}
+            col["room"] = col["n"] - col["pos"]
             for end in ends:
                 a, b = compare({c: v[begin:end] for c, v in col.items()})
                 if len(a):
@@ -294,7 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = staged(first_of_tile_pairs(tiles), "pairs")
     links = staged(verified(tried, texts), "links")
     labels = staged(components(links), "labels")
-    open_pairs = staged(block_pairs(tiles, labels, nodes).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    open_pairs = staged(block_pairs(tiles, labels, signatures(texts)).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = verified(open_pairs, texts)
     labels = staged(components(links.unionByName(more)), "labels")
     release(spark)
