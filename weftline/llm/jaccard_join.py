@@ -8,10 +8,13 @@
    The rows are sorted by tile in ranges that may cut through a tile, and those alone in theirs are dropped.
 4. Every set is compared with the first of each of its tiles. Groups of near copies become components at once, with as
    many comparisons as rows.
-5. In tiles that still hold several components, all sets outside a tile's largest component are compared with everything
+5. ``ROUNDS`` times, every set outside its tile's largest component is compared with one member of that component, another
+   one each time, and the components are joined by the links found. This again takes as many comparisons as rows, and leaves
+   few sets of a large group of near copies outside.
+6. In tiles that still hold several components, all sets outside a tile's largest component are compared with everything
    in the tile that isn't of their component, in blocks of ``BLOCK`` rows: by length, by position, and by bitmap signatures, where the
    bits that differ bound the overlap from above.
-6. What is left in 4 and 5 is decided on the sorted shingle arrays of both texts. Labels come from the links found.
+7. What is left in 4, 5 and 6 is decided on the sorted shingle arrays of both texts. Labels come from the links found.
 
 No link is lost: a pair is left out only by a bound, or because it is in one component already.
 
@@ -36,7 +39,7 @@ from weftline.llm.textarrays import U64, Texts, gram_hashes, mixed, range_hashes
 
 GRAM, SIMILAR = 5, 80
 SKETCH_BITS, CHUNK_BITS = 20, 16
-BLOCK, LEAST_BITS = 2048, 1024
+BLOCK, LEAST_BITS, ROUNDS = 2048, 1024, 2
 SETS = "doc_id long, text_hash long, n long, digest long, digest2 long, prefix array<long>"
 
 
@@ -177,7 +180,29 @@ def first_of_tile_pairs(tiles: DataFrame) -> DataFrame:
     """Each set with the first of each of its tiles: a, b."""
     hub = tiles.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
     pairs = tiles.join(hub, ["token", "band"]).where((F.col("node") != F.col("hub.node")) & could_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()  # the hub's number is the smaller one
+
+
+def labelled_rows(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """tiles with the label of each row's component."""
+    return tiles.join(labels.withColumnRenamed("label", "of"), "node", "left").withColumn("label", F.coalesce("of", "node")).drop("of")
+
+
+def mixed_tiles(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """Tiles of several components: their rows, those of the largest component, its label and one of its members."""
+    star = F.min_by(F.struct("node", "n", "pos"), F.struct(F.xxhash64(F.lit(seed), "node"), "node")).alias("star")
+    by_label = rows.groupBy("token", "band", "label").agg(F.count("*").alias("count"), star)
+    largest = F.max_by(F.struct("label", "star"), F.struct("count", "label")).alias("largest")
+    of_tile = by_label.groupBy("token", "band").agg(F.sum("count").alias("all"), F.max("count").alias("most"), largest)
+    return of_tile.where("all > most").select("token", "band", "all", "most", F.col("largest.label").alias("major"), "largest.star")
+
+
+def star_pairs(tiles: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """Each set outside its tile's largest component with a member of that component: a, b."""
+    rows = labelled_rows(tiles, labels)
+    met = rows.join(mixed_tiles(rows, seed).select("token", "band", "major", "star"), ["token", "band"])
+    left = met.where((F.col("label") != F.col("major")) & could_link(F.col("n"), F.col("star.n"), F.col("pos"), F.col("star.pos")))
+    return left.select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b")).distinct()
 
 
 def _folded(bits: bytes, width: int) -> np.ndarray:
@@ -210,9 +235,8 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFra
     """Pairs of different components in one tile that length, position and signatures leave open: a, b."""
     spark = tiles.sparkSession
     bounded_batches(spark)
-    rows = tiles.join(labels.withColumnRenamed("label", "of"), "node", "left").withColumn("label", F.coalesce("of", "node")).drop("of")
-    by_label = rows.groupBy("token", "band", "label").count()
-    mixed_ = by_label.groupBy("token", "band").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("major")).where("all > most")
+    rows = labelled_rows(tiles, labels)
+    mixed_ = mixed_tiles(rows).drop("star")
     minor = F.col("label") != F.col("major")
     blocks = lambda rows_: F.ceil(rows_ / BLOCK).cast("int")
     placed = rows.join(mixed_, ["token", "band"]).withColumns({"minors": blocks(F.col("all") - F.col("most")), "blocks": blocks(F.col("all")), "spot": F.xxhash64("node")})
@@ -304,12 +328,20 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = staged(node_texts(docs, nodes, tiles), "texts")
     release(spark)
     tried = staged(first_of_tile_pairs(tiles), "pairs")
-    links = staged(verified(tried, texts), "links")
-    labels = staged(components(links), "labels")
-    open_pairs = staged(block_pairs(tiles, labels, signatures(texts)).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = verified(open_pairs, texts)
-    labels = staged(components(links.unionByName(more)), "labels")
-    release(spark)
+    labels = staged(components(staged(verified(tried, texts), "links")), "labels")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The labels when pairs that turn out to be links have been added."""
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs, texts))
+        found = staged(components(links), "labels")
+        release(spark)
+        return found
+
+    for seed in range(ROUNDS):
+        pairs = staged(star_pairs(tiles, labels, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels, tried = joined(pairs), tried.unionByName(pairs)
+    open_pairs = staged(block_pairs(tiles, labels, signatures(texts)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    labels = joined(open_pairs)
     labelled = nodes.select("node", "doc_id", "n", "digest", "digest2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("least"))
     of_set = labelled.join(least, "label").select("n", "digest", "digest2", F.col("least").alias("component"))
