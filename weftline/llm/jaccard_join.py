@@ -149,22 +149,34 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def nodes_of(sets: DataFrame) -> DataFrame:
     """A row for each distinct set that isn't empty: node, and the first document that has it."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    same = sets.where("n > 0").groupBy("n", "digest", "digest2").agg(first, F.first("prefix").alias("prefix"))
-    return same.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "n", "digest", "digest2", "prefix")
+    same = sets.where("n > 0").groupBy("n", "digest", "digest2").agg(first)
+    return same.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "n", "digest", "digest2")
+
+
+def of_node(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node beside the rows of its first document (one or more where a row is repeated). rows: doc_id, text_hash and others."""
+    keys = {"key": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
+    asked = nodes.withColumns(keys).select("key", "no_id", "text_hash", "node")
+    return rows.withColumns(keys).join(asked, ["key", "no_id", "text_hash"])
 
 
 def shared_tiles(nodes: DataFrame) -> DataFrame:
-    """token, band, node, n, pos of all rows that aren't alone in their tile (and a few that are, at the edges of batches)."""
+    """token, band, node, n, pos of all rows that aren't alone in their tile (and a few that are, at the edges of batches).
+    nodes: node, n and prefix; a repeated row counts once."""
     bounded_batches(nodes.sparkSession)
     bands = F.when(100 * F.col("n") >= SIMILAR * F.expr("shiftleft(2L, own)"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
     rows = nodes.select("node", "n", "prefix", (F.length(F.bin("n")) - 1).alias("own")).select("node", "n", "prefix", F.explode(bands).alias("band"))
     rows = rows.select("node", "n", "band", F.posexplode("prefix").alias("pos", "token")).select("token", "band", "node", F.col("n").cast("int").alias("n"), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             if b.num_rows:
-                same = np.logical_and(*[np.diff(b.column(k).to_numpy()) == 0 for k in (0, 1)])
-                yield b.filter(pa.array(np.concatenate(([True], same)) | np.concatenate((same, [True]))))
+                token, band, node = [b.column(k).to_numpy() for k in (0, 1, 2)]
+                same = (np.diff(token) == 0) & (np.diff(band) == 0)
+                new = np.concatenate(([(token[0], band[0], node[0]) != last], ~same | (np.diff(node) != 0)))
+                last = token[-1], band[-1], node[-1]
+                yield b.filter(pa.array(new & (np.concatenate(([True], same)) | np.concatenate((same, [True])))))
 
     order = ("token", "band", "node")
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "token long, band int, node long, n int, pos int")
@@ -292,10 +304,9 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFra
 
 def node_texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
     """node and text of every set that shares a tile."""
-    asked = nodes.join(tiles.select("node").distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     own = own_columns(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    found = own.join(asked, own["doc_id"].eqNullSafe(asked["id"]) & (own["text_hash"] == asked["hash"])).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    found = of_node(own, nodes.join(tiles.select("node").distinct(), "node", "left_semi"))
+    return found.groupBy("key", "no_id", "text_hash", "node").agg(F.first("text").alias("text")).select("node", "text")  # no other shuffle
 
 
 def verified(pairs: DataFrame, texts: DataFrame, found: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]] = shingles) -> DataFrame:
@@ -323,7 +334,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = staged(shingle_sets(docs), "sets")
     nodes = staged(nodes_of(sets), "nodes")
     release(spark)
-    tiles = staged(shared_tiles(nodes), "tiles")
+    tiles = staged(shared_tiles(of_node(sets.select("doc_id", "text_hash", "n", "prefix"), nodes)), "tiles")
     release(spark)
     texts = staged(node_texts(docs, nodes, tiles), "texts")
     release(spark)
