@@ -341,6 +341,22 @@ def test_html_extraction(spark):
     assert html.unescape("&amp;") == "&"
 
 
+@pytest.mark.parametrize("value", ["x" * 9000, "x" * 300_000, "<p>y</p> > " * 2000])
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_attribute_values_of_any_length(value, quote):
+    source = f'<p>One.</p><img src={quote}{value}{quote}><p>Two kept words.</p><p>Three <a href="x">link</a>'
+    assert html_extraction.Page(source).text([]) == "One. Two kept words. Three link"
+
+
+def test_html_stray_and_unclosed_quotes():
+    text = lambda source: html_extraction.Page(source).text([])
+    assert text('<p title="never closed>One.</p><p>Two.</p>') == "One. Two."
+    assert text("<p don't>One.</p><p>It isn't two.</p>") == "One. It isn't two."
+    assert text('<p class="a"">One.</p><p>Say "two".</p>') == 'One. Say "two".'
+    assert text("<p>1 <b and 2 < 3</p>") == "1 <b and 2 < 3"
+    assert text('<p>x</p>' + '<a v="<a" ' * 20_000).startswith("x <a v=")  # in linear time
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 

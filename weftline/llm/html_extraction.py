@@ -11,7 +11,8 @@ of readers (by tag, or by a class, id or role that says so) and hidden elements.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; a null or malformed url is the
 host ''; rows that repeat a page are extracted one by one (and vote one by one); equal votes go to the longer, then
-the smaller path; other columns are ignored. Unclosed tags end with what holds them.
+the smaller path; other columns are ignored. Unclosed tags end with what holds them. Attribute values may have any length;
+a quote opens one only after "=", and one that no later quote closes is an ordinary character.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ NOISE_NAMES = frozenset(
     " share sharing social follow newsletter subscribe subscription signup login form search searchbox skip".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*+)>", re.S
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# one attribute with what stands before it; a quote that is never closed is part of a bare value
+IN_TAG = re.compile(r"[\s/]*+(?:[^\s/><][^\s/>=<]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s><]*+))?+)?+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[a-z]+|\d+")
 
@@ -66,6 +67,20 @@ def _attributes(text: str) -> tuple[str, bool]:
     return classes, noise
 
 
+def _tag_end(source: str, at: int, open_ends: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` ends, -1 if it doesn't. open_ends: places from which no tag ends."""
+    passed = []
+    while at not in open_ends:
+        passed.append(at)
+        at = IN_TAG.match(source, at).end()
+        if source.startswith(">", at):
+            return at + 1
+        if at == passed[-1]:
+            break
+    open_ends.update(passed)
+    return -1
+
+
 class Page:
     """blocks: (container, text, characters in links) of all main-text candidates in page order; containers: a path and
     the outer container's number for each."""
@@ -75,7 +90,8 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         parts: list[str] = []
-        linked, in_link, block_noise, at = 0, False, False, 0
+        linked, in_link, block_noise, at, look = 0, False, False, 0, 0
+        open_ends: set[int] = set()
 
         def flush() -> None:
             nonlocal linked, block_noise
@@ -93,15 +109,20 @@ class Page:
                 parts.append(text)
                 linked += len(text) if in_link else 0
 
-        while m := TOKEN.search(source, at):
+        while m := TOKEN.search(source, look):
+            end = _tag_end(source, m.end(), open_ends) if m[2] else m.end()
+            if end < 0:
+                look = m.start() + 1
+                continue
             take(source[at : m.start()])
-            at = m.end()
+            at = look = end
             if not m[2]:
                 continue
+            inside = source[m.end() : end - 1]
             tag, closing = m[2].lower(), bool(m[1])
             if tag in RAW and not closing:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+                at = look = close.end() if close else len(source)
                 continue
             if tag == "a":
                 in_link = not closing
@@ -119,11 +140,11 @@ class Page:
                             del stack[i:]
                             break
                 continue
-            classes, noise = _attributes(m[3]) if m[3].strip() else ("", False)
+            classes, noise = _attributes(inside) if inside.strip() else ("", False)
             if tag in VOID:
                 continue
             if tag in CONTAINERS or tag in NOISE:
-                if m[3].endswith("/"):
+                if inside.endswith("/"):
                     continue
                 _, outer, outer_noise = stack[-1]
                 # a page's own frame may carry any class; it is never the boilerplate itself
