@@ -357,6 +357,37 @@ def test_html_stray_and_unclosed_quotes():
     assert text('<p>x</p>' + '<a v="<a" ' * 20_000).startswith("x <a v=")  # in linear time
 
 
+def _prose(name, n):
+    return (f"{name} " * n)[:n].strip()
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="post-1">{}</div>', "{}"])
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["<h1>Head line</h1>", "<p>lead</p>", "<section><p>1000 one</p></section>", "<section><p>1000 two</p></section>"],
+        ["<p>400 before</p>", "<table><tr><td>900 left</td><td>900 right</td></tr></table>", "<blockquote>90 said</blockquote>", "<p>100 after</p>"],
+        ["<p>300 before</p>", "<blockquote>800 quoted</blockquote>", "<p>200 between</p>", "<blockquote><p>800 again</p></blockquote>"],
+    ],
+)
+def test_html_parts_beside_the_best(spark, wrap, parts):
+    """Headings, leads and paragraphs beside sections, cells and quotes stay, and unlabelled links beside all that don't come in."""
+    filled = [re.sub(r"(\d+) (\w+)", lambda m: _prose(m[2], int(m[1])), p.replace("<p>lead", "<p>870 lead")) for p in parts]
+    body = wrap.format("".join(filled)) + '<div class="x9"><a href="a">Elsewhere</a> <a href="b">Far away</a></div>'
+    rows = [(i, "https://h.example/", f"<html><body><nav>menu</nav>{body}</body></html>") for i in range(3)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = " ".join(" ".join(re.sub("<[^>]*>", " ", "".join(filled)).split()).split())
+    links = " Elsewhere Far away" if wrap == "{}" else ""  # a body with text of its own is one whole
+    assert {r.text for r in got} == {want + links}
+
+
+def test_html_heading_around_the_best():
+    text = lambda source: html_extraction.Page(source).text([])
+    long = _prose("long", 2000)
+    assert text(f'<body><div class="post"><h1>Head</h1><div class="in">{long}</div></div><div class="c3">{_prose("aside", 100)}</div>') == f"Head {long}"
+    assert text(f'<body><div class="lead">{_prose("lead", 800)}</div><div class="part">{long}</div></body>') == f"{_prose('lead', 800)} {long}"
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -4,7 +4,9 @@ First pass: in every page the containers (body, article, div, ...) are scored by
 boilerplate, half of it passing on to each outer container. A page's containers vote, in shares of the page's best score,
 for their generalised paths: the tags from the root with their classes, digits made equal. Spark adds the votes of each
 host. Second pass: a page's text is taken from the containers on its host's winning path (or the next path in the host's
-order that holds ``ENOUGH`` of the page's text, or else the page's own best one), in page order.
+order that holds ``ENOUGH`` of the page's text, or else the page's own best one), in page order, and from what they are parts
+of: the innermost article or main around each whole; any outer container whole that adds ``OWN`` of the text in its own blocks
+or ``BESIDE`` of it anywhere; and of other outer containers below body the blocks of their own. Links don't count as text here.
 
 Left out wherever they stand: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments
 of readers (by tag, or by a class, id or role that says so) and hidden elements.
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bounded_batches, own_columns, table
 
 PATHS_PER_HOST, ENOUGH = 8, 0.4
+OWN, BESIDE = 0.05, 1 / 3  # text outside links that an outer container adds, itself and in all, to be taken whole
 SALTS = 32  # a host's pages go to so many places, and its few paths to each
 
 # Fixed values of HTML: elements that hold others, that are never main text, that hold no markup, that break a block.
@@ -87,6 +90,7 @@ class Page:
 
     def __init__(self, source: str):
         self.containers: list[tuple[str, int]] = [("", -1)]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         parts: list[str] = []
@@ -153,6 +157,7 @@ class Page:
                 if not noise and tag in CONTAINERS:
                     here = len(self.containers)
                     self.containers.append((f"{self.containers[outer][0]}>{tag}{classes}", outer))
+                    self.tags.append(tag)
                 stack.append((tag, here, noise))
             elif tag in BREAKS:
                 block_noise = noise
@@ -176,20 +181,55 @@ class Page:
         best = max(by.values(), default=0)
         return {p: s / best for p, s in by.items() if s > 0} if best else {}
 
-    def under(self, path: str) -> list[str]:
-        inside = [False] * len(self.containers)
-        for c, (own, outer) in enumerate(self.containers):
-            inside[c] = own == path or outer >= 0 and inside[outer]
-        return [text for c, text, _ in self.blocks if inside[c]]
+    def inside(self, roots: set[int]) -> list[bool]:
+        """By container: whether it is one of roots or in one."""
+        found = [False] * len(self.containers)
+        for c, (_, outer) in enumerate(self.containers):
+            found[c] = c in roots or outer >= 0 and found[outer]
+        return found
+
+    def whole(self, roots: set[int]) -> list[str]:
+        """The texts of the roots and of what they are parts of."""
+        outer, article = [o for _, o in self.containers], [-1] * len(self.containers)
+        for c, tag in enumerate(self.tags):
+            article[c] = c if tag in ("article", "main") else article[outer[c]] if c else -1
+        wholes, around, parts_of = roots | {article[c] for c in roots} - {-1}, set(), set()
+        for c in roots:
+            while (c := outer[c]) >= 0 and c not in around:
+                around.add(c)
+        found = self.inside(wholes)
+        every, kept, own = [0] * len(outer), [0] * len(outer), [0] * len(outer)
+        for c, text, linked in self.blocks:
+            own[c] += max(0, len(text) - 2 * linked)
+        for c in range(len(outer) - 1, -1, -1):  # inner before outer
+            every[c] += own[c]
+            beside = every[c] - kept[c]
+            if found[c]:
+                kept[c] = every[c]
+            elif c in around and beside and (own[c] and own[c] >= OWN * kept[c] or beside >= BESIDE * kept[c]):
+                kept[c] = every[c]
+                wholes.add(c)
+            elif c in around and self.tags[c] not in ("", "html", "body"):
+                parts_of.add(c)
+                kept[c] += own[c]
+            if c:
+                every[outer[c]] += every[c]
+                kept[outer[c]] += kept[c]
+        found = self.inside(wholes)
+        return [text for c, text, linked in self.blocks if found[c] or c in parts_of and len(text) > 2 * linked]
 
     def text(self, host_paths: list[str]) -> str:
         everything = sum(len(t) for _, t, _ in self.blocks)
-        own = {p for p, _ in self.containers}
+        by: dict[str, set[int]] = {}
+        for c, (path, _) in enumerate(self.containers):
+            by.setdefault(path, set()).add(c)
         for path in host_paths:
-            if path in own and sum(map(len, found := self.under(path))) >= ENOUGH * everything:
-                return " ".join(found)
+            if path in by:
+                found = self.inside(by[path])
+                if sum(len(t) for c, t, _ in self.blocks if found[c]) >= ENOUGH * everything:
+                    return " ".join(self.whole(by[path]))
         votes = self.votes()
-        return " ".join(self.under(max(votes, key=lambda p: (votes[p], len(p), p)))) if votes else ""
+        return " ".join(self.whole(by[max(votes, key=lambda p: (votes[p], len(p), p))])) if votes else ""
 
 
 def host_of(url: Column) -> Column:
