@@ -388,6 +388,30 @@ def test_html_heading_around_the_best():
     assert text(f'<body><div class="lead">{_prose("lead", 800)}</div><div class="part">{long}</div></body>') == f"{_prose('lead', 800)} {long}"
 
 
+@pytest.mark.parametrize("attribute", ['class="content no-sidebar"', 'class="layout has-toc"', 'id="discussion"', 'id="related-work"', 'class="ad-free"', 'title="a hidden valley"', 'data-hidden="false"', 'data-id="comments-12"', 'data-style="display:none"', "title='class=\"ad\"'", 'class="a" class="ad"', 'aria-hidden="false"'])
+@pytest.mark.parametrize("tag", ["div", "section", "td", "p"])
+def test_html_names_that_are_not_boilerplate(attribute, tag):
+    source = f'<body><article><p>{_prose("first", 500)}</p><{tag} {attribute}>{_prose("second", 200)}</{tag}></article></body>'
+    assert html_extraction.Page(source).text([]) == f"{_prose('first', 500)} {_prose('second', 200)}"
+
+
+@pytest.mark.parametrize("attribute", ['class="sidebar-left"', 'class="x site-header"', 'id="comments-12"', 'id=ad3', 'role="navigation"', 'CLASS="Comment_List"', "hidden", 'aria-hidden="true"', 'style="color:red;display: none"'])
+@pytest.mark.parametrize("tag", ["div", "section", "td", "p"])
+def test_html_names_that_are_boilerplate(attribute, tag):
+    """However much longer than the article it is."""
+    source = f'<body><article><p>{_prose("first", 500)}</p></article><{tag} {attribute}>{_prose("second", 2000)}</{tag}></body>'
+    assert html_extraction.Page(source).text([]) == _prose("first", 500)
+
+
+def test_html_boilerplate_names_around_the_main_text():
+    text = lambda source: html_extraction.Page(source).text([])
+    long = _prose("long", 500)
+    for inner in (f"<p>{long}</p>", f"<div>{long}</div>", f"<article><p>{long}</p></article>", f'<div class="widget">{long}</div>'):
+        assert text(f'<body><div class="widget">{inner}<div class="ad">buy</div></div><div class="comments">short</div></body>') == long
+    assert text(f'<article><div class="form">{long}</div></article>') == long
+    assert text(f'<body><p class="notice">{long}</p></body>') == long
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 

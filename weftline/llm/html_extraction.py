@@ -9,7 +9,8 @@ of: the innermost article or main around each whole; any outer container whole t
 or ``BESIDE`` of it anywhere; and of other outer containers below body the blocks of their own. Links don't count as text here.
 
 Left out wherever they stand: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers (by tag, or by a class, id or role that says so) and hidden elements.
+of readers (by tag, or by a class, id or role that as a whole says so) and hidden elements. A name drops nothing that holds
+the page's only article or main with text, or most of the text of a page without one.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; a null or malformed url is the
 host ''; rows that repeat a page are extracted one by one (and vote one by one); equal votes go to the longer, then
@@ -45,29 +46,33 @@ NOISE_NAMES = frozenset(
     " nav navbar navigation menu menus menubar breadcrumb breadcrumbs toc pagination pager header masthead topbar footer bottombar colophon"
     " sidebar sidebars aside rail widget widgets related recommended recommendations trending popular"
     " notice notices cookie cookies consent gdpr alert alerts disclaimer copyright popup modal overlay toast"
-    " comment comments commentlist disqus discussion replies reply respond reactions"
+    " comment comments commentlist disqus replies reply respond reactions"
     " share sharing social follow newsletter subscribe subscription signup login form search searchbox skip".split()
 )
+# Words that may stand beside such a name in one class ("sidebar-left", "site-header"); any other makes it another name ("no-sidebar").
+PLACES = frozenset("left right top bottom upper lower primary secondary main site page global local list box bar wrap wrapper container area section block inner outer item items link links slot unit group thread text body title".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 # one attribute with what stands before it; a quote that is never closed is part of a bare value
-IN_TAG = re.compile(r"[\s/]*+(?:[^\s/><][^\s/>=<]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s><]*+))?+)?+")
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[a-z]+|\d+")
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/><][^\s/>=<]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s><]*+)))?+)?+")
+NAME_PART = re.compile(r"[a-z]+")
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """Classes for the generalised path, and whether a name says that this isn't main text."""
-    classes, noise = "", False
+def _is_noise(name: str) -> bool:
+    """Whether a class, id or role as a whole names boilerplate; digits and words for places in it don't matter."""
+    parts = NAME_PART.findall(name)
+    return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in PLACES for p in parts)
+
+
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """Classes for the generalised path, whether a name says that this isn't main text, and whether it is hidden."""
+    own: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(text):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "class":
-            classes = "." + ".".join(sorted({re.sub(r"\d+", "0", x) for x in value.split()})) if value.split() else ""
-        if name in ("class", "id", "role"):
-            noise |= any(p in NOISE_NAMES for x in value.split() for p in NAME_PART.findall(x))
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            noise = True
-    return classes, noise
+        own.setdefault(name.lower(), html.unescape(a or b or c).lower())  # the first of a name counts
+    classes = sorted({re.sub(r"\d+", "0", x) for x in own.get("class", "").split()})
+    named = any(_is_noise(x) for name in ("class", "id", "role") for x in own.get(name, "").split())
+    hidden = "hidden" in own or own.get("aria-hidden", "").strip() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")) is not None
+    return "." + ".".join(classes) if classes else "", named, hidden
 
 
 def _tag_end(source: str, at: int, open_ends: set[int]) -> int:
@@ -75,7 +80,7 @@ def _tag_end(source: str, at: int, open_ends: set[int]) -> int:
     passed = []
     while at not in open_ends:
         passed.append(at)
-        at = IN_TAG.match(source, at).end()
+        at = ATTRIBUTE.match(source, at).end()
         if source.startswith(">", at):
             return at + 1
         if at == passed[-1]:
@@ -92,19 +97,22 @@ class Page:
         self.containers: list[tuple[str, int]] = [("", -1)]
         self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, int]] = []
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]
+        names: list[tuple[int, int]] = []  # by element whose name is boilerplate: the next one around it, and its container
+        under: list[int] = []  # by block: the innermost such element
         parts: list[str] = []
-        linked, in_link, block_noise, at, look = 0, False, False, 0, 0
+        linked, in_link, block_noise, block_name, at, look = 0, False, False, -1, 0, 0
         open_ends: set[int] = set()
 
         def flush() -> None:
-            nonlocal linked, block_noise
+            nonlocal linked, block_noise, block_name
             if parts:
                 text = " ".join("".join(parts).split())
                 if text and not block_noise:
                     self.blocks.append((stack[-1][1], text, linked))
+                    under.append(block_name if block_name >= 0 else stack[-1][3])
                 parts.clear()
-            linked, block_noise = 0, False
+            linked, block_noise, block_name = 0, False, -1
 
         def take(text: str) -> None:
             nonlocal linked
@@ -144,25 +152,61 @@ class Page:
                             del stack[i:]
                             break
                 continue
-            classes, noise = _attributes(inside) if inside.strip() else ("", False)
             if tag in VOID:
                 continue
+            classes, named, noise = _attributes(inside) if inside.strip() else ("", False, False)
+            _, outer, outer_noise, name = stack[-1]
+            # a page's own frame may carry any class; it is never the boilerplate itself
+            if named and tag not in ("html", "body", "main", "article"):
+                names.append((name, outer))
+                name = len(names) - 1
             if tag in CONTAINERS or tag in NOISE:
                 if inside.endswith("/"):
                     continue
-                _, outer, outer_noise = stack[-1]
-                # a page's own frame may carry any class; it is never the boilerplate itself
                 noise = outer_noise or tag in NOISE or noise and tag not in ("html", "body", "main", "article")
                 here = outer
                 if not noise and tag in CONTAINERS:
                     here = len(self.containers)
                     self.containers.append((f"{self.containers[outer][0]}>{tag}{classes}", outer))
                     self.tags.append(tag)
-                stack.append((tag, here, noise))
+                stack.append((tag, here, noise, name))
             elif tag in BREAKS:
-                block_noise = noise
+                block_noise, block_name = noise, name
         take(source[at:])
         flush()
+        self._drop_named(names, under)
+
+    def _articles(self) -> list[int]:
+        """By container: the innermost article or main around it, or -1."""
+        found = [-1] * len(self.containers)
+        for c, tag in enumerate(self.tags):
+            found[c] = c if tag in ("article", "main") else found[self.containers[c][1]] if c else -1
+        return found
+
+    def _drop_named(self, names: list[tuple[int, int]], under: list[int]) -> None:
+        """Drop the blocks in elements whose name is boilerplate. Where no article or main has text outside them, those that
+        hold one with text, or most of the page's text outside links, are main text in spite of their names."""
+        if not names:
+            return
+        prose = [max(0, len(text) - 2 * linked) for _, text, linked in self.blocks]
+        article = self._articles()
+        held, has = [0] * len(names), [False] * len(names)
+        main_outside = False
+        for (c, _, _), n, k in zip(self.blocks, prose, under, strict=True):
+            if k < 0:
+                main_outside |= n > 0 and article[c] >= 0
+            else:
+                held[k] += n
+                has[k] |= n > 0 and article[c] > names[k][1]
+        for k in range(len(names) - 1, -1, -1):
+            around = names[k][0]
+            if around >= 0:
+                held[around] += held[k]
+                has[around] |= has[k]
+        most, dropped = sum(prose) / 2, [False] * len(names)
+        for k, (around, _) in enumerate(names):
+            dropped[k] = around >= 0 and dropped[around] or main_outside or not (has[k] or held[k] > most)
+        self.blocks = [x for x, k in zip(self.blocks, under, strict=True) if k < 0 or not dropped[k]]
 
     def scores(self) -> list[float]:
         """By container: its own text outside links, and half of each inner container's score."""
@@ -190,9 +234,7 @@ class Page:
 
     def whole(self, roots: set[int]) -> list[str]:
         """The texts of the roots and of what they are parts of."""
-        outer, article = [o for _, o in self.containers], [-1] * len(self.containers)
-        for c, tag in enumerate(self.tags):
-            article[c] = c if tag in ("article", "main") else article[outer[c]] if c else -1
+        outer, article = [o for _, o in self.containers], self._articles()
         wholes, around, parts_of = roots | {article[c] for c in roots} - {-1}, set(), set()
         for c in roots:
             while (c := outer[c]) >= 0 and c not in around:
