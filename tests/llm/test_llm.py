@@ -218,6 +218,29 @@ def test_jaccard_join(spark, docs, empty):
     assert sorted(str(r.component_id) for r in jaccard_join.classes(odd(spark)).collect()) == ["4", "4", "4", "4", "None"]
 
 
+def test_one_of_each_row(spark):
+    """Null and repeated ids, with equal, linked and unlike texts."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (9, text("c")),  # unlike texts without ids; a copy with one
+        (4, text("d")), (4, text("e")), (4, text("e")), (5, text("e")), (3, text("f")), (3, text("f") + " end"),  # one id, unlike, equal and linked texts
+        (0, text("g")), (None, text("h")), (0, text("h") + " end"),
+        (7, ""), (7, ""), (7, " "), (7, None), (7, None), (None, ""), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", str(k), k) for k, (i, t) in enumerate(rows)], SCHEMA).withColumns({c: F.lit(7) for c in CLASHES}).repartition(3)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    linked = [p for p in got if p[0] == 3]
+    assert len(linked) == 1 and linked[0] in rows
+    want = [(None, text("a")), (None, text("b")), (9, text("c")), (4, text("d")), (4, text("e")), (0, text("g")), (0, text("h") + " end")]
+    want += [(7, ""), (7, " "), (7, None), (None, ""), (None, ""), (None, None)]
+    assert got == Counter(want + linked)
+    assert {r.source for r in kept.where("doc_id = 4").collect()} == {"5", "6"}  # the first of the repeated rows
+    bare = jaccard_join.one_of_each(docs.select("doc_id", "text"))
+    assert Counter(map(tuple, bare.collect())) == got
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     """Tiles larger than a block, with chains of copies whose ends aren't alike."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)

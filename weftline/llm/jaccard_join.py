@@ -328,8 +328,8 @@ def verified(pairs: DataFrame, texts: DataFrame, found: Callable[[pa.Array], tup
     return both.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of every row of docs."""
+def labelled_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's set, and every distinct set that isn't empty with its first document and the label of its component."""
     spark = docs.sparkSession
     sets = staged(shingle_sets(docs), "sets")
     nodes = staged(nodes_of(sets), "nodes")
@@ -353,7 +353,13 @@ def classes(docs: DataFrame) -> DataFrame:
         labels, tried = joined(pairs), tried.unionByName(pairs)
     open_pairs = staged(block_pairs(tiles, labels, signatures(texts)).join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = joined(open_pairs)
-    labelled = nodes.select("node", "doc_id", "n", "digest", "digest2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = nodes.select("node", "doc_id", "text_hash", "n", "digest", "digest2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sets, labelled
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every row of docs."""
+    sets, labelled = labelled_sets(docs)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("least"))
     of_set = labelled.join(least, "label").select("n", "digest", "digest2", F.col("least").alias("component"))
     found = sets.select("doc_id", "text_hash", "n", "digest", "digest2").join(of_set, ["n", "digest", "digest2"], "left")
@@ -361,12 +367,22 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked, directly or not, with a document of a smaller id; of rows that repeat a kept id,
-    the one with the smallest text hash."""
-    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("hash")).withColumnRenamed("doc_id", "id")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = keyed.join(found, keyed["doc_id"].eqNullSafe(found["id"]) & (keyed["__hash"] == found["hash"]), "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component: the smallest id's (no id comes last), then the smallest text hash's. Texts without
+    words are linked with nothing and stay. Of rows of the same id and text one stays, the first by the other columns; texts
+    without words or ids aren't taken for the same."""
+    _, labelled = labelled_sets(docs)
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__key"), F.col("first.no_id").alias("__no_id"), F.col("first.text_hash").alias("__hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keys = {"__key": F.coalesce("doc_id", F.lit(0)), "__no_id": F.col("doc_id").isNull(), "__hash": F.xxhash64("text"), "__wordless": wordless}
+    keyed = docs.where(~wordless | F.col("doc_id").isNotNull()).select(F.struct(*columns).alias("__row"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("__order"), *[v.alias(k) for k, v in keys.items()])
+    # repeats are dropped in each task before the rows are shuffled
+    distinct = keyed.groupBy("__key", "__no_id", "__hash").agg(F.min_by("__row", "__order").alias("__row"), F.first("__wordless").alias("__wordless"))
+    met = distinct.join(first.withColumn("__first", F.lit(True)), ["__key", "__no_id", "__hash"], "left")
+    kept = met.where("__first or __wordless").select("__row.*")
+    return kept.unionByName(docs.where(wordless & F.col("doc_id").isNull()))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
