@@ -76,6 +76,40 @@ def test_license_scan(spark, empty):
     assert license_scan.inherit(license_scan.scan(df.limit(0))).count() == 0
 
 
+def test_license_statements_over_lines(spark):
+    gpl = "This work is licensed under the GNU General Public License,\n{}version 3.\n"
+    permission = license_scan.TEMPLATES["MIT"][2].split()
+    rows = [(1, "/a.py", "# " + gpl.format("# ") + "code = here"), (2, "/b.c", "int x;\n\n/*\n * " + gpl.format(" * ").replace("\n", "\r\n") + " */")]
+    rows += [(3, "/c.js", "".join(f"// {' '.join(permission[i : i + 5])}\n" for i in range(0, len(permission), 5)) + "other code follows")]
+    rows += [(4, "/d/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "many more words stand in it\n" * 300)]
+    rows += [(5, "/e.py", "words\n\n\nand words"), (6, "/f.py", None)]
+    rows += [(10 + i, f"/n{i}", "2") for i in range(40)]  # without its second line the statement would look like the GPL-2.0's
+    got = {r.file_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {i: got[i] for i in range(1, 7)} == {1: "GPL-3.0", 2: "GPL-3.0", 3: "MIT", 4: "GPL-3.0", 5: None, 6: None}
+
+
+def test_license_joined_lines_against_all():
+    """The best of all units of a text, each compared on its own."""
+    r = random.Random(5)
+    own = [x for v in license_scan.TEMPLATES.values() for x in v]
+    statements = license_scan.Statements()
+    idf, unknown = np.array([r.uniform(1, 4) for _ in statements.vocabulary]), 5.0
+    texts = []
+    for _ in range(60):
+        parts = [p for _ in range(r.randrange(1, 4)) for p in [*r.choice(own).split(), *r.choice([[], ["zz", "yy"]])]]
+        texts.append("".join(p + r.choice([" ", " ", " ", "\n", "\n* ", "\n\n"]) for p in parts))
+    best = lambda xs, lines: license_scan.best_statements(pa.array(xs, pa.string()), lines, statements, idf, unknown)
+    names, scores = best([*texts, None, ""], True)
+    assert names[-2:] == [None, None]
+    for text, name, score in zip(texts, names, scores, strict=False):
+        runs = [[]]
+        for line in text.split("\n"):
+            runs[-1].append(line) if re.search("[a-zA-Z0-9]", line) else runs.append([])
+        units = ["\n".join(run[i:k]) for run in runs for i in range(len(run)) for k in range(i + 1, len(run) + 1) if k - i <= license_scan.JOINED or k - i == len(run)]
+        every = [(-s, x) for x, s in zip(*best(units, False), strict=True) if x]
+        assert (-score, name) == (min(every) if every else (0, None)), text
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, " ", "early"), (1, 300, "ann", "x" * 50), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 1, "ann", "same"), (3, 1, "ann", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1), "size": F.lit(2), "block": F.lit(3)})

@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor inheritance.
 
-Every line of every file, and every whole file of a licence file's name, is compared with short templates. Weights are
+Every line of every file, every 2 to ``JOINED`` lines of it that follow each other without one that holds no term, every
+whole run of such lines, and every whole file of a licence file's name, is compared with short templates: a statement may be
+wrapped, and a licence file is known by its title and opening lines. Weights are
 (1 + ln tf) * idf with idf = ln((1 + N) / (1 + df)) + 1, where df counts all files that hold the term; a term of no template is
 weighed like one that no file holds. A file's own licence is the template with the highest cosine of at least
-``THRESHOLD`` on any of its lines. A licence file lends its licence to its directory; a file without a licence of its own
+``THRESHOLD`` on any of these. A licence file lends its licence to its directory; a file without a licence of its own
 takes that of the nearest directory above it that has one. Ancestors are made from paths and matched by equi-joins.
 
 Terms are the lower-cased (A-Z) runs of letters, digits, dots and bytes beyond ASCII. In Python only hashed terms of a
@@ -28,6 +30,7 @@ from weftline.llm.common import bounded_batches, own_columns, staged, table
 from weftline.llm.textarrays import U64, Texts, mixed, span_hashes
 
 THRESHOLD = 0.7
+JOINED = 8
 LICENSE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 
 # Names and header statements of common licences.
@@ -100,18 +103,49 @@ def document_frequencies(files: DataFrame) -> tuple[int, np.ndarray]:
     return int(counts[-1]), counts[:-1]
 
 
+def _joined(gap: np.ndarray, weight: np.ndarray, known: np.ndarray, of_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units of several lines that could be statements: the first line and the last of each. gap: by line, whether it doesn't
+    follow the one before; weight and known: of every distinct term of a line (of_line)."""
+    n = len(gap)
+    known2, unknown2 = [np.bincount(of_line[k], weight[k] ** 2, n) for k in (known, ~known)]
+    run = np.cumsum(gap)
+    first, last, sums, most = np.arange(n), np.arange(n), known2, unknown2
+    out = []
+    for k in range(2, JOINED + 1):
+        first, last, sums, most = first[:-1], last[:-1] + 1, sums[:-1] + known2[k - 1 :], np.maximum(most[:-1], unknown2[k - 1 :])
+        # 1 + ln(a + b) <= 1 + ln a + 1 + ln b, so a unit's known terms weigh k times those of its lines at most
+        fine = (run[first] == run[last]) & (THRESHOLD**2 * most <= (1 - THRESHOLD**2 + 1e-9) * k * sums)
+        out.append((first[fine], last[fine]))
+    starts = np.flatnonzero(gap)
+    ends = np.append(starts[1:], n) - 1
+    long = ends - starts >= JOINED
+    out.append((starts[long], ends[long]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 def best_statements(texts: pa.Array, lines: bool, statements: Statements, idf: np.ndarray, unknown_idf: float) -> tuple[list[str | None], np.ndarray]:
-    """For each text the best template and its cosine: over the text's lines, or for the text as a whole."""
+    """For each text the best template and its cosine: over the text's lines and joined lines, or for the text as a whole."""
     t, hashes = terms(texts)
-    if lines:
+    text = t.text
+    if lines and len(hashes):
         cuts = np.flatnonzero(t.data == 0x0A)
-        unit = np.searchsorted(cuts, t.starts) + t.text  # a new text is a new unit too
-        unit = np.unique(unit, return_inverse=True)[1] if len(unit) else unit
+        place = np.searchsorted(cuts, t.starts) + text  # a new text is a new line too
+        places, at, unit = np.unique(place, return_index=True, return_inverse=True)
+        gap = np.concatenate(([True], (np.diff(places) > 1) | (np.diff(text[at]) > 0)))
+        _, one, tf = np.unique(mixed(hashes ^ mixed(unit.astype(U64))), return_index=True, return_counts=True)
+        term, known = _in(statements.vocabulary, hashes[one])
+        weight = (1 + np.log(tf)) * np.where(known, idf[term], unknown_idf)
+        first, last = _joined(gap, weight, known, unit[one])
+        begin, end = at[first], np.append(at, len(unit))[last + 1]
+        size = end - begin
+        more = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        unit = np.concatenate((unit, np.repeat(len(places) + np.arange(len(first)), size)))
+        hashes, text = np.concatenate((hashes, hashes[more])), np.concatenate((text, text[more]))
     else:
-        unit = t.text
+        unit = text
     units = int(unit.max()) + 1 if len(unit) else 0
     text_of = np.zeros(units, np.int64)
-    text_of[unit] = t.text
+    text_of[unit] = text
     names, score = np.full(t.n, None, object), np.zeros(t.n)
     _, first, tf = np.unique(mixed(hashes ^ mixed(unit.astype(U64))), return_index=True, return_counts=True)
     term, known = _in(statements.vocabulary, hashes[first])
