@@ -2,6 +2,9 @@
 
 import math
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -16,6 +19,8 @@ CHOSEN = (
     "local_pages text_kind_filter hash_buckets work_buckets name_forms path_parts visibility_keys semver_order staleness_reasons tree_children missing_stubs placeholder_modules page_edges"
     " longest_alias suffix_resolve edge_merge kind_facets relationship_groups download_rank newest_versions node_search neighbour_cap ancestors owner_modules hop_neighbourhood ordered_union"
     " work_plan delta_merge final_status timeouts alias_store changed_shards partition_replace registry_csv document_items document_type_uses"
+    " node_id_disambiguation id_resolution impl_owners item_parents impl_edges associated_ids trait_member_edges reexport_edges alias_map derive_edges doc_links doc_link_stats trait_method_sets"
+    " publish_decisions direct_items trait_item_parts root_choice hierarchy_cap touched_nodes corpus_names tree_surface detail_store node_view_store version_refs_store version_pointer_store"
 ).split()
 
 
@@ -53,5 +58,12 @@ def test_every_query_is_listed():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["public_tokenizers", "weftline.llm", "corpus_pipeline"])
+def test_entry_without_an_import(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout
+    assert int(out.split()[0]) >= len(graph.QUERIES) and int(out.split()[1]) >= len(graph.ORACLES)
+
+
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["parent", "child", "name", "kind", "has_children"]

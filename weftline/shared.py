@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset (single-machine tests) a local folder is used."""
+    """A new path below spark.checkpoint.dir. Only where that is unset on a single machine (tests) a local folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
