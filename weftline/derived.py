@@ -48,6 +48,33 @@ UNION ALL SELECT m.impl_id, t.id, 'CallsStatic', CASE l_returnflag WHEN 'A' THEN
     "edges": """
 SELECT from_id, to_id, kind, CASE max(CASE confidence WHEN 'Runtime' THEN 3 WHEN 'Static' THEN 2 ELSE 1 END) WHEN 3 THEN 'Runtime' WHEN 2 THEN 'Static' ELSE 'Inferred' END AS confidence, is_glob, min(edge_seq) AS edge_seq
 FROM {raw_edges} GROUP BY from_id, to_id, kind, is_glob""",
+    "api_items": """
+SELECT package, 1000000000000 + CAST(n_nationkey AS BIGINT) AS item_id, 'Module' AS kind, name, id AS path, true AS public, CAST(NULL AS BIGINT) AS parent_item FROM {modules}
+UNION ALL SELECT package, 2000000000000 + c_custkey, 'Struct', name, CASE c_custkey % 50 WHEN 0 THEN module_id WHEN 1 THEN module_id || '::Shared' WHEN 2 THEN package ELSE id END, c_custkey % 5 <> 0, 1000000000000 + CAST(c_nationkey AS BIGINT) FROM {structs} JOIN (SELECT c_custkey AS key, c_nationkey FROM {customer}) c ON c_custkey = key
+UNION ALL SELECT package, 3000000000000 + s_suppkey, 'Trait', name, CASE s_suppkey % 20 WHEN 1 THEN module_id || '::Shared' ELSE id END, true, 1000000000000 + CAST(s_nationkey AS BIGINT) FROM {traits} JOIN (SELECT s_suppkey AS key, s_nationkey FROM {supplier}) s ON s_suppkey = key""",
+    "api_impls": """
+SELECT i.package, 4000000000000 + o_orderkey AS item_id, i.id AS impl_id, 2000000000000 + cust AS self_item, CASE WHEN o_orderkey % 2 = 0 THEN 3000000000001 + o_orderkey % 12 END AS trait_item, 1000000000000 + CAST(c_nationkey AS BIGINT) AS parent_item
+FROM {impls} i JOIN (SELECT o_orderkey AS key, o_custkey AS cust FROM {orders}) o ON o_orderkey = key JOIN {customer} ON cust = c_custkey""",
+    "api_members": """
+SELECT 4000000000000 + l_orderkey AS owner_item, 5000000000000 + l_orderkey * 100 + l_linenumber AS item_id, name, CASE l_linenumber % 4 WHEN 0 THEN 'AssocType' WHEN 1 THEN 'Field' ELSE 'Function' END AS kind, l_linenumber % 2 = 0 AS has_body FROM {methods}
+UNION ALL SELECT DISTINCT 3000000000000 + l_suppkey, 7000000000000 + l_suppkey * 100 + l_linenumber, 'member-' || CAST(l_linenumber AS STRING), CASE l_linenumber % 4 WHEN 0 THEN 'AssocType' ELSE 'Function' END, (l_suppkey + l_linenumber) % 3 = 0 FROM {lineitem}""",
+    "api_uses": """
+SELECT package, package AS parent, 2000000000000 + c_custkey AS target_item, name, false AS is_glob FROM {structs} WHERE c_custkey % 4 = 0
+UNION ALL SELECT package, package, 1000000000000 + CAST(n_nationkey AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 2 = 0
+UNION ALL SELECT package, id, 1000000000000 + CAST((n_nationkey + 1) % 25 AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 3 = 0
+UNION ALL SELECT package, id, 2000000000001 + CAST(n_nationkey AS BIGINT), 'Renamed', false FROM {modules}""",
+    "api_types": """
+SELECT c_custkey AS item_id, replace(replace(replace(CASE c_custkey % 5 WHEN 0 THEN '<"resolved_path":<"path":"x","id":N>>' WHEN 1 THEN '<"borrowed_ref":<"type":<"resolved_path":<"id":N>>>>'
+  WHEN 2 THEN '<"raw_pointer":<"type":<"slice":<"resolved_path":<"id":N>>>>>' WHEN 3 THEN '<"array":<"type":<"borrowed_ref":<"type":<"qualified_path":<"self_type":<"resolved_path":<"id":N>>>>>>,"len":"3">>' ELSE '<"primitive":"u8">' END,
+  'N', CAST(c_custkey AS STRING)), '<', chr(123)), '>', chr(125)) AS type FROM {customer}""",
+    "api_links": """
+SELECT package, item_id, 'own' AS text, item_id AS target_item FROM {api_items}
+UNION ALL SELECT package, item_id, 'other', 2000000000000 + item_id % 1000 FROM {api_items}
+UNION ALL SELECT package, item_id, 'nowhere', 9000000000000 + item_id FROM {api_items}""",
+    "api_traits": """
+SELECT s_suppkey, id AS node, CASE WHEN s_suppkey % 4 = 0 THEN 'Common' ELSE name END AS name FROM {traits}""",
+    "api_derives": """
+SELECT s.id AS owner, CASE c_custkey % 3 WHEN 0 THEN 'Common' WHEN 1 THEN t.name ELSE t.node END AS name FROM {structs} s JOIN {api_traits} t ON s_suppkey = 1 + c_custkey % 10""",
     "aliases": """
 SELECT package || '::' || name AS alias, id AS canonical FROM {structs}""",
     "packages": """

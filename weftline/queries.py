@@ -823,3 +823,6 @@ _CALLS = "SELECT DISTINCT m.id AS caller, i.struct_module AS module, CASE l_line
 def _(nodes: DataFrame, raw: DataFrame, traits: DataFrame, impls: DataFrame) -> DataFrame:
     calls = nodes.sparkSession.sql(_CALLS.replace("raw_methods m", "{raw} m").replace("JOIN traits t", "JOIN {traits} t").replace("FROM impls", "FROM {impls}"), raw=raw, traits=traits, impls=impls)
     return X.resolve(calls.select("caller", "module", "path"), nodes)
+
+
+from weftline import ingest_queries  # noqa: E402, F401  registers its queries

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.operators.filters import is_local_page
 
-BUCKETS = 16
+BUCKETS, SALTS = 16, 8
 
 
 def write_nodes(nodes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -91,3 +91,45 @@ def graph_hashes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = row(nodes, "id", "name", "kind", "visibility").union(row(edges.withColumn("package", S.package_of(F.col("from_id"))), "from_id", "to_id", "kind", "confidence"))
     part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return both.groupBy("package").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", part(1), part(16), part(31)), 256).alias("graph_hash"))
+
+
+def page_details(page_edges: DataFrame, related: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """A row for each edge, related node and ancestor of a page, in one shape. Rows and not lists, so a page of any number of edges is
+    no single value."""
+    none = F.lit(None).cast("string")
+    edges = page_edges.select("page", F.lit("edge").alias("part"), "from_id", "to_id", "kind", F.lit(None).cast("int").alias("depth"))
+    others = related.select("page", F.lit("related").alias("part"), none.alias("from_id"), F.col("id").alias("to_id"), "kind", F.lit(None).cast("int").alias("depth"))
+    above = ancestors.select(F.col("node").alias("page"), F.lit("ancestor").alias("part"), none.alias("from_id"), F.col("ancestor").alias("to_id"), none.alias("kind"), F.col("depth").cast("int").alias("depth"))
+    return edges.unionByName(others).unionByName(above)
+
+
+def write_details(details: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """By package and bucket of the page; rows of a bucket are dealt by page and other end, and sorted by page in each file."""
+    keyed = details.withColumns({"package": S.package_of(F.col("page")), "bucket": S.bucket_label(F.col("page"), buckets)})
+    dealt = keyed.repartition("package", "bucket", F.pmod(F.xxhash64("page", "to_id"), F.lit(SALTS)))
+    dealt.sortWithinPartitions("package", "bucket", "page", "part").write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
+
+
+def node_views(related: DataFrame, nodes: DataFrame, inverse: DataFrame) -> DataFrame:
+    """page with each related node whole: under its alias if it has one, and its size as JSON. inverse: canonical, alias."""
+    whole = nodes.select("id", "name", F.col("kind").alias("node_kind"), "visibility")
+    joined = related.select("page", "id").join(whole, "id").join(inverse.withColumnRenamed("canonical", "id"), "id", "left").withColumn("shown", F.coalesce("alias", "id"))
+    size = F.octet_length(F.to_json(F.struct("shown", "name", "node_kind", "visibility"))).cast("bigint")
+    return joined.select("page", "shown", F.col("id").alias("canonical"), "name", "node_kind", "visibility", size.alias("size"))
+
+
+def write_pointers(versions: DataFrame, path: str) -> None:
+    """A row for each alias of a version (storage_name, version, aliases)."""
+    versions.select("storage_name", F.explode("aliases").alias("alias"), "version").write.mode("overwrite").parquet(path)
+
+
+def version_refs(entries: DataFrame) -> DataFrame:
+    """storage_name with its versions, newest first. entries: storage_name, version, graph_hash; those without a hash don't count."""
+    good = entries.where("graph_hash <> ''").select("storage_name", "version").distinct().withColumn("key", S.semver(F.col("version")))
+    listed = F.sort_array(F.collect_list(F.struct("key", "version")), asc=False)
+    return good.groupBy("storage_name").agg(F.transform(listed, lambda x: x["version"]).alias("versions"))
+
+
+def write_refs(refs: DataFrame, path: str) -> None:
+    """One JSON document a line for each storage name."""
+    refs.write.mode("overwrite").json(path)
