@@ -10,6 +10,7 @@ from weftline.fixed import LANE_PATTERN
 from weftline.operators import calls as X
 from weftline.operators import closures as C
 from weftline.operators import graph as G
+from weftline.operators import ingest as I
 from weftline.operators import ranking as R
 from weftline.plans import planning as L
 from weftline.sinks import stores as K
@@ -41,11 +42,25 @@ def test_fair_interleave_is_the_walk(spark):
     assert [r.name for r in L.select_work(work, 500).collect()] == walk
 
 
-def test_capped_plan_keeps_to_its_shards(spark):
-    work = spark.createDataFrame([(f"p{i}", "never" if i % 2 else "newer", i, False) for i in range(200)], "name string, state string, download_rank int, forced boolean")
-    work = work.withColumns({"version": F.lit("1"), "tier": F.lit("backfill"), "work_id": F.col("name")})
-    got = L.select_capped(work, 100, 4, 5).toPandas()
-    assert len(got) == 20 and got.groupby("shard").size().max() == 5
+def test_staleness_of_versions(spark):
+    wanted = spark.createDataFrame([("a", "1.0.0"), ("a", "2.0.0"), ("b", "1.0.0"), ("c", "1.0.0"), ("d", "1.10.0")], "name string, version string")
+    recorded = spark.createDataFrame([("a", "1.0.0", "r", 2), ("a", "0.9.0", "r", 2), ("b", "1.0.0", "old", 2), ("c", "1.0.0", "r", 1), ("d", "1.9.0", "r", 2), ("d", "1.10.0", "r", 2)], "name string, version string, parser_revision string, schema_version int")
+    assert rows(L.staleness(wanted, recorded, "r", 2).select("name", "version", "state")) == [("a", "1.0.0", "fresh"), ("a", "2.0.0", "never"), ("b", "1.0.0", "revision"), ("c", "1.0.0", "schema"), ("d", "1.10.0", "fresh")]
+    assert rows(L.staleness(wanted, recorded, "r", 2, latest=True).where("name in ('a', 'd')").select("name", "version", "state")) == [("a", "1.0.0", "fresh"), ("a", "2.0.0", "newer"), ("d", "1.10.0", "fresh")]
+
+
+def test_owner_modules_over_chains(spark):
+    nodes = [("p", "p", "Crate"), ("p::m", "p", "Module")] + [(f"n{i}", "p", "Struct") for i in range(20)] + [("x", "q", "Struct"), ("y", "q", "Struct"), ("lost", "q", "Struct")]
+    parents = [("p::m", "p"), ("n0", "p::m"), *[(f"n{i}", f"n{i - 1}") for i in range(1, 20)], ("x", "y"), ("y", "x"), ("lost", "nowhere")]
+    got = C.nearest_modules(spark.createDataFrame(parents, "child string, parent string"), spark.createDataFrame(nodes, "id string, package string, kind string"))
+    want = {"p": "p", "p::m": "p::m", **{f"n{i}": "p::m" for i in range(20)}, "x": "q", "y": "q", "lost": "q"}
+    assert {r.id: r.module for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_wrapped_types(spark):
+    inner = '{"resolved_path":{"id":7}}'
+    types = [(1, inner), (2, f'{{"borrowed_ref":{{"type":{{"slice":{inner}}}}}}}'), (3, f'{{"array":{{"type":{{"raw_pointer":{{"type":{inner}}}}},"len":"2"}}}}'), (4, '{"generic":"T"}'), (5, None)]
+    assert rows(I.unwrapped(spark.createDataFrame(types, "item_id long, type string"))) == [(1, 7), (2, 7), (3, 7), (4, None), (5, None)]
 
 
 def test_delta_merge(spark):
@@ -114,12 +129,6 @@ def test_status_stream_is_the_batch(spark, tmp_path):
     assert {r.name: tuple(r.s) for r in last} == folded(e)
 
 
-def test_admissions(spark):
-    start = datetime(2026, 1, 1)
-    r = spark.createDataFrame([("k", start + timedelta(seconds=s), i, 1.0) for i, s in enumerate([0, 0, 0, 10, 20])], "key string, at timestamp, seq long, cost double")
-    assert [(x.admitted, x.wait_s) for x in T.admissions(r, 2.0, 0.1).orderBy("seq").collect()] == [(True, 0), (True, 0), (False, 10), (True, 0), (True, 0)]
-
-
 def test_only_changed_buckets_are_written(spark, tmp_path):
     one = spark.createDataFrame([(f"k{i}", i) for i in range(100)], "id string, v long")
     first = K.write_changed(one, ["id"], 16, None, f"file://{tmp_path}/a")

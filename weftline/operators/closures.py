@@ -15,6 +15,7 @@ from weftline.shared import staged
 def ancestors(parents: DataFrame, deepest: int = MAX_DEPTH) -> DataFrame:
     """node, ancestor, depth for the chain of parents (child, parent) of every child, up to ``deepest`` steps; a chain that comes back
     to its node stops there."""
+    parents = staged(parents.select("child", "parent"), "parents")  # every round reads it
     step = parents.select(F.col("child").alias("ancestor"), F.col("parent").alias("above"))
     level = staged(parents.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "level")
     levels = [level]
@@ -44,17 +45,22 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def nearest_modules(parents: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and its owner: itself if a module or package, else the first on its chain of parents, else the package's root. Chains
-    are halved each round by pointer jumping."""
+    are halved each round by pointer jumping; what has arrived leaves the rows that move, so rounds join ever fewer."""
     kinds = nodes.select("id", "package", F.col("kind").isin("Crate", "Module").alias("is_module"))
-    at = kinds.join(parents.select(F.col("child").alias("id"), "parent"), "id", "left")
-    state = staged(at.select("id", "package", F.when(F.col("is_module"), F.col("id")).otherwise(F.col("parent")).alias("at"), "is_module"), "owners")
+    chain = staged(kinds.join(parents.select(F.col("child").alias("id"), "parent"), "id", "left"), "chain")
+    done = chain.where("is_module or parent is null").select("id", F.when(F.col("is_module"), F.col("id")).otherwise(F.col("package")).alias("module"))
+    moving = chain.where("not is_module and parent is not null").select("id", "package", F.col("parent").alias("at"))
     for _ in range(MAX_DEPTH.bit_length()):
-        jump = state.select(F.col("id").alias("at"), F.col("at").alias("jump"), F.col("is_module").alias("done"))
-        moved = state.join(jump, "at", "left")
-        state = staged(moved.select("id", "package", F.when(F.col("is_module") | F.coalesce("done", F.lit(False)), F.col("at")).otherwise(F.col("jump")).alias("at"), (F.col("is_module") | F.coalesce("done", F.lit(False))).alias("is_module")), "owners")
-        if state.where("not is_module and at is not null").isEmpty():
-            break
-    return state.select("id", F.when(F.col("is_module"), F.col("at")).otherwise(F.col("package")).alias("module"))
+        known = staged(moving.join(done.select(F.col("id").alias("at"), "module"), "at", "left"), "owners")
+        left = known.where("module is null")
+        done = done.unionByName(known.where("module is not null").select("id", "module"))
+        if left.isEmpty():
+            return done
+        jump = left.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        ahead = staged(left.drop("module").join(jump.unionByName(known.where("module is not null").select(F.col("id").alias("at"), F.col("module").alias("next"))), "at", "left"), "moving")
+        done = done.unionByName(ahead.where("next is null").select("id", F.col("package").alias("module")))  # above is no node
+        moving = ahead.where("next is not null").select("id", "package", F.col("next").alias("at"))
+    return done.unionByName(moving.select("id", F.col("package").alias("module")))  # a circle
 
 
 def module_depths(closure: DataFrame, nodes: DataFrame) -> DataFrame:

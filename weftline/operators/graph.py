@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.fixed import SEMANTIC, STRUCTURAL
 from weftline.functions import scalars as S
 from weftline.operators.filters import is_local_page
+from weftline.shared import staged
 
 EDGE = ["from_id", "to_id", "kind", "confidence", "is_glob", "edge_seq"]
 
@@ -64,7 +65,7 @@ def first_parents(relations: DataFrame) -> DataFrame:
 
 def tree_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Local pages under each parent with has_children."""
-    relations = tree_relations(nodes, edges)
+    relations = staged(tree_relations(nodes, edges), "relations")  # used twice below
     pages = nodes.where(is_local_page()).select(F.col("id").alias("child"), "name", F.col("kind").alias("child_kind"))
     local = relations.join(pages, "child")
     parents = local.select(F.col("parent").alias("child")).distinct().withColumn("has", F.lit(True))
@@ -90,7 +91,7 @@ def page_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of each local page: its own, both ways, and structural ones that leave what it defines or contains."""
     page = nodes.where(is_local_page()).select(F.col("id").alias("page"))
     e = edges.select("from_id", "to_id", "kind")
-    own = e.join(page, e["from_id"] == page["page"]).unionByName(e.join(page, e["to_id"] == page["page"]))
+    own = e.withColumn("page", F.explode(F.array_distinct(F.array("from_id", "to_id")))).join(page, "page", "left_semi").select("from_id", "to_id", "kind", "page")
     step = e.where(F.col("kind").isin(*STRUCTURAL))
     held = step.join(page, step["from_id"] == page["page"]).select("page", F.col("to_id").alias("held"))
     second = held.join(step, held["held"] == step["from_id"]).select("from_id", "to_id", "kind", "page")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
+from weftline.shared import staged
 
 
 def download_rank(packages: DataFrame) -> DataFrame:
     """rank by downloads, then name. Global, but not in one task: ranks inside ranges, and the sizes of the ranges before."""
     order = [F.desc("downloads"), F.asc("name")]
-    spread = packages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).cache()
+    spread = staged(packages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = spread.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     base = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +17,15 @@ def candidates(corpus: DataFrame, snapshot: DataFrame, forced: DataFrame) -> Dat
     return snapshot.withColumn("key", key).join(wanted, "key")
 
 
-def staleness(wanted: DataFrame, recorded: DataFrame, revision: str, schema: int) -> DataFrame:
-    """wanted (name, version) with the state of its record: never, newer, revision, schema or fresh, looked at in this order."""
+def staleness(wanted: DataFrame, recorded: DataFrame, revision: str, schema: int, latest: bool = False) -> DataFrame:
+    """wanted (name, version) with the state of the record of that very version: never, revision, schema or fresh, looked at in this
+    order. latest: of the name's newest record, which may also be of another version (newer)."""
     r = recorded.select("name", F.col("version").alias("recorded_version"), "parser_revision", "schema_version")
-    joined = wanted.join(r, "name", "left")
+    if latest:
+        newest = F.max(F.struct(S.semver(F.col("recorded_version")).alias("key"), F.struct("recorded_version", "parser_revision", "schema_version").alias("r")))
+        joined = wanted.join(r.groupBy("name").agg(newest.alias("m")).select("name", "m.r.*"), "name", "left")
+    else:
+        joined = wanted.join(r.withColumn("version", F.col("recorded_version")), ["name", "version"], "left")
     state = (
         F.when(F.col("recorded_version").isNull(), "never")
         .when(F.col("recorded_version") != F.col("version"), "newer")
@@ -67,36 +71,8 @@ def fair_order(work: DataFrame) -> DataFrame:
 
 
 def select_work(work: DataFrame, cap: int) -> DataFrame:
-    return fair_order(work).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
-
-
-def select_capped(work: DataFrame, cap: int, shards: int, per_shard: int) -> DataFrame:
-    """As select_work, but items of a full shard are passed over without taking a slot. Only the first ``per_shard`` of each lane and
-    shard can ever be taken, so what is walked in order is at most lanes * shards * per_shard rows."""
-    ordered = fair_order(work).withColumn("shard", S.work_bucket(F.col("work_id"), shards))
-    first = ordered.withColumn("in_shard", F.row_number().over(Window.partitionBy("lane", "shard").orderBy("r"))).where(F.col("in_shard") <= per_shard)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        lanes = {k: g.sort_values("r").to_dict("records") for k, g in frame.groupby("lane")}
-        at, taken, room = dict.fromkeys(lanes, 0), [], {}
-
-        def take(k: int) -> bool:
-            while at.get(k, 0) < len(lanes.get(k, ())):
-                item = lanes[k][at[k]]
-                at[k] += 1
-                if room.setdefault(item["shard"], per_shard) > 0:
-                    room[item["shard"]] -= 1
-                    taken.append({"work_id": item["work_id"], "shard": item["shard"], "place": len(taken)})
-                    return True
-            return False
-
-        while len(taken) < cap and take(-1):
-            pass
-        while len(taken) < cap and any([len(taken) < cap and take(k) for k in LANE_PATTERN]):
-            pass
-        return pd.DataFrame(taken, columns=["work_id", "shard", "place"])
-
-    return first.select(F.lit(0).alias("one"), "lane", "r", "work_id", "shard").groupBy("one").applyInPandas(walk, "work_id string, shard bigint, place bigint")
+    """The first ``cap`` of the fair order. No lane can give more than that, so each task keeps as many of a lane and no more are ranked."""
+    return fair_order(work).where(F.col("r") < cap).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
 
 
 def satisfied(plan: DataFrame, freshness: DataFrame) -> DataFrame:

@@ -554,7 +554,7 @@ def _work(packages: DataFrame) -> DataFrame:
     i = F.col("id")
     wanted = R.download_rank(packages).withColumnRenamed("rank", "download_rank").withColumns({"version": F.concat((1 + i % 3).cast("string"), F.lit(".0.0")), "forced": i % 11 == 0})
     recorded = packages.where("id % 4 <> 0").select("name", F.concat((1 + i % 2).cast("string"), F.lit(".0.0")).alias("version"), F.when(i % 5 == 0, "rev-old").otherwise("rev-new").alias("parser_revision"), F.when(i % 7 == 0, 1).otherwise(2).alias("schema_version"))
-    s = L.staleness(wanted, recorded, "rev-new", 2)
+    s = L.staleness(wanted, recorded, "rev-new", 2, latest=True)
     return s.withColumn("tier", L.priority(F.col("state"), F.col("forced"), F.col("download_rank")))
 
 
@@ -574,6 +574,16 @@ def _(packages: DataFrame) -> DataFrame:
 _plan_sql("staleness", "SELECT name, version, state, tier FROM tiers")
 
 
+@query("version_staleness", ("packages",), "SELECT name, version, CASE WHEN id % 4 = 0 THEN 'never' WHEN id % 5 = 0 THEN 'revision' WHEN id % 7 = 0 THEN 'schema' ELSE 'fresh' END AS state FROM (SELECT id, name, '1.' || CAST(id % 4 AS VARCHAR) || '.0' AS version FROM packages)")
+def _(packages: DataFrame) -> DataFrame:
+    """Two records for each name: the wanted version (but for each fourth) and another."""
+    i = F.col("id")
+    wanted = packages.select("id", "name", F.format_string("1.%d.0", i % 4).alias("version"))
+    own = wanted.where("id % 4 <> 0").select("name", "version", F.when(i % 5 == 0, "old").otherwise("now").alias("parser_revision"), F.when(i % 7 == 0, 1).otherwise(2).alias("schema_version"))
+    other = packages.select("name", F.lit("0.9.0").alias("version"), F.lit("now").alias("parser_revision"), F.lit(2).alias("schema_version"))
+    return L.staleness(wanted, own.unionByName(other), "now", 2).select("name", "version", "state")
+
+
 @query("work_plan", ("packages",))
 def _(packages: DataFrame) -> DataFrame:
     return L.select_work(_todo(packages), 150).select("name", "version", "tier", "lane")
@@ -582,12 +592,6 @@ def _(packages: DataFrame) -> DataFrame:
 _plan_sql("work_plan", "SELECT name, version, tier, CAST(lane AS INT) AS lane FROM slots ORDER BY CASE WHEN lane < 0 THEN 0 ELSE 1 END, cycle, slot, lane LIMIT 150")
 
 
-@query("capped_plan", ("packages",))
-def _(packages: DataFrame) -> DataFrame:
-    work = _todo(packages).withColumn("work_id", S.work_id(F.lit("crate"), F.col("name"), F.col("version"), F.lit("default")))
-    return L.select_capped(work, 120, 16, 9)
-
-
 @query("shard_counts", ("packages",), f"SELECT s.shard, count(b.shard) AS n FROM (SELECT unnest(range(17)) AS shard) s LEFT JOIN (SELECT CAST({_FNV64} % 17 AS BIGINT) AS shard FROM (SELECT 'crate:' || name || ':1.0.0:default' AS t FROM packages)) b USING (shard) GROUP BY s.shard")
 def _(packages: DataFrame) -> DataFrame:
     return L.shard_counts(packages.select(S.work_id(F.lit("crate"), F.col("name"), F.lit("1.0.0"), F.lit("default")).alias("work_id")), 17)
@@ -656,11 +660,6 @@ e AS (SELECT name, row_number() OVER w AS r, CASE WHEN row_number() OVER w = 1 T
 SELECT name, '1' AS version, arg_max(status, r) AS status, arg_max(step, r) FILTER (step IS NOT NULL) AS step, arg_max(error, r) FILTER (error IS NOT NULL) AS error, 'r1' AS request_id, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS sequence FROM e GROUP BY name"""
 
 
-@query("admissions", ("requests",))
-def _(requests: DataFrame) -> DataFrame:
-    return T.admissions(requests.select(F.col("name").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.lit(1.0).alias("cost")), 3.0, 1 / 3600)
-
-
 @query("timeouts", ("requests",), "SELECT event_id, CASE WHEN status <> 'processing' THEN 'keep' WHEN user_id % 3 = 0 AND event_id % 60 < 20 THEN 'keep' WHEN user_id % 5 = 0 THEN 'ready' WHEN event_id % 60 < CASE WHEN user_id % 7 = 0 THEN 375 ELSE 30 END THEN 'keep' ELSE 'failed' END AS verdict FROM requests")
 def _(requests: DataFrame) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
@@ -756,12 +755,13 @@ def _(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.read.parquet(path).groupBy("package").agg(F.count("*").alias("n"))
 
 
-@query("registry_csv", ("packages", "versions"), "SELECT p.name, p.downloads, count(v.num) AS n, count_if(v.yanked) AS n_yanked FROM packages p LEFT JOIN versions v ON p.id = v.package_id WHERE p.id % 2 = 0 GROUP BY ALL")
+@query("registry_csv", ("packages", "versions"), "SELECT p.name, p.downloads, count(v.num) AS n, count_if(v.yanked) AS n_yanked FROM packages p LEFT JOIN versions v ON p.id = v.package_id GROUP BY ALL")
 def _(packages: DataFrame, versions: DataFrame) -> DataFrame:
     spark = packages.sparkSession
     one, two = scratch(spark, "packages"), scratch(spark, "versions")
-    packages.where("id % 2 = 0").write.csv(one, header=True)
-    versions.select("package_id", "num", F.when(F.col("yanked"), "t").otherwise("f").alias("yanked"), "created_at").write.csv(two, header=True)
+    packages.write.csv(one, header=True)
+    orphans = versions.withColumn("package_id", -1 - F.col("package_id"))  # their packages aren't there
+    versions.unionByName(orphans).select("package_id", "num", F.when(F.col("yanked"), "t").otherwise("f").alias("yanked"), "created_at").write.csv(two, header=True)
     p = N.packages_csv(spark, one)
     v = N.versions_csv(spark, two, p)
     return p.join(v.withColumnRenamed("package_id", "id").drop("downloads"), "id", "left").groupBy("name", "downloads").agg(F.count("num").alias("n"), F.count_if("yanked").alias("n_yanked"))
@@ -780,36 +780,39 @@ def _(versions: DataFrame) -> DataFrame:
     return N.resolve_versions(refs.select("storage_name", F.lit("latest").alias("wanted")), refs).drop("graph_hash")
 
 
+_SLICE = "replace(module_id, '::', '-') || '-' || CAST(c_custkey // 100 AS VARCHAR)"
+
+
 def _api_documents(modules: DataFrame, structs: DataFrame) -> DataFrame:
-    """One API document a package, as JSON text: its modules with their structs as items, and functions that name them."""
-    item = lambda i, name, inner: F.struct(i.alias("key"), F.struct(name.alias("name"), F.lit("default").alias("visibility"), F.concat(F.lit("about "), name).alias("docs"), inner.alias("inner")).alias("value"))
-    sid = (F.col("c_custkey") + 1000).cast("string")
-    held = structs.groupBy("module_id").agg(F.sort_array(F.collect_list(sid)).alias("ids"))
-    mods = modules.join(held, modules["id"] == held["module_id"], "left").select("package", item(F.col("n_nationkey").cast("string"), F.col("name"), F.to_json(F.struct(F.struct(F.coalesce("ids", F.array().cast("array<string>")).alias("items")).alias("module")))).alias("i"))
-    subs = structs.select("package", item(sid, F.col("name"), F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct((F.col("c_custkey") + 1001).alias("id"), F.lit('say "id": 7').alias("path")).alias("resolved_path"))).alias("inputs")).alias("sig")).alias("function")))).alias("i"))
-    both = mods.union(subs).groupBy("package").agg(F.collect_list("i").alias("all"))
-    index = F.concat(F.lit("{"), F.array_join(F.transform("all", lambda x: F.concat(F.lit('"'), x["key"], F.lit('":{"name":"'), x["value"]["name"], F.lit('","visibility":"default","docs":"'), x["value"]["docs"], F.lit('","inner":'), x["value"]["inner"], F.lit("}"))), ","), F.lit("}"))
-    return both.select(F.concat(F.lit('{"root":0,"format_version":57,"index":'), index, F.lit(',"paths":{"0":{"crate_id":0,"path":["'), "package", F.lit('"],"kind":"module"}},"external_crates":{"1":{"name":"std"}}}')).alias("value"), "package")
+    """One API document for each hundred structs of a module, as JSON text: the module and functions that name the next one."""
+    sid, slice_ = (F.col("c_custkey") + 1000).cast("string"), F.concat_ws("-", F.replace("module_id", F.lit("::"), F.lit("-")), F.expr("c_custkey div 100").cast("string")).alias("slice")
+    entry = lambda key, name, inner: F.concat(F.lit('"'), key, F.lit('":{"name":"'), name, F.lit('","visibility":"default","docs":"about '), name, F.lit('","inner":'), inner, F.lit("}"))
+    function = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct((F.col("c_custkey") + 1001).alias("id"), F.lit('say "id": 7').alias("path")).alias("resolved_path"))).alias("inputs")).alias("sig")).alias("function")))
+    held = structs.groupBy("package", "module_id", slice_).agg(F.sort_array(F.collect_list(sid)).alias("ids"), F.array_sort(F.collect_list(entry(sid, F.col("name"), function))).alias("entries"))
+    both = held.join(modules.select(F.col("id").alias("module_id"), "n_nationkey", "name"), "module_id")
+    module = entry(F.col("n_nationkey").cast("string"), F.col("name"), F.to_json(F.struct(F.struct(F.col("ids").alias("items")).alias("module"))))
+    index = F.concat(F.lit('{"root":0,"format_version":57,"index":{'), module, F.lit(","), F.array_join("entries", ","), F.lit("}"))
+    return both.select(F.concat(index, F.lit(',"paths":{"0":{"crate_id":0,"path":["'), "package", F.lit('"],"kind":"module"}},"external_crates":{"1":{"name":"std"}}}')).alias("value"), "slice")
 
 
 def _read_back(modules: DataFrame, structs: DataFrame) -> DataFrame:
     spark, path = modules.sparkSession, scratch(modules.sparkSession, "documents")
-    _api_documents(modules, structs).repartition("package").select("package", "value").write.partitionBy("package").text(path)
-    lines = spark.read.schema("value string, package string").text(path).select(F.col("package").alias("file"), F.try_parse_json("value").alias("doc"))
+    _api_documents(modules, structs).write.json(path)
+    lines = spark.read.schema("value string, slice string").json(path).select(F.col("slice").alias("file"), F.try_parse_json("value").alias("doc"))
     return D.gate(lines).where("outcome = 'accepted'")
 
 
-@query("document_items", ("modules", "structs"), "SELECT package AS file, CAST(n_nationkey AS VARCHAR) AS item_id, name, 'module' AS kind FROM modules UNION ALL SELECT package, CAST(c_custkey + 1000 AS VARCHAR), name, 'function' FROM structs")
+@query("document_items", ("modules", "structs"), f"SELECT DISTINCT {_SLICE} AS file, CAST(n_nationkey AS VARCHAR) AS item_id, m.name, 'module' AS kind FROM structs s JOIN modules m ON module_id = m.id UNION ALL SELECT {_SLICE}, CAST(c_custkey + 1000 AS VARCHAR), name, 'function' FROM structs")
 def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
     return D.item_nodes(D.items(_read_back(modules, structs))).select("file", "item_id", "name", "kind")
 
 
-@query("document_children", ("modules", "structs"), "SELECT s.package AS file, CAST(m.n_nationkey AS VARCHAR) AS parent, CAST(s.c_custkey + 1000 AS VARCHAR) AS child FROM structs s JOIN modules m ON s.module_id = m.id")
+@query("document_children", ("modules", "structs"), f"SELECT {_SLICE} AS file, CAST(m.n_nationkey AS VARCHAR) AS parent, CAST(s.c_custkey + 1000 AS VARCHAR) AS child FROM structs s JOIN modules m ON s.module_id = m.id")
 def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
     return D.children(D.items(_read_back(modules, structs))).select("file", "parent", "child")
 
 
-@query("document_type_uses", ("modules", "structs"), "SELECT package AS file, CAST(c_custkey + 1000 AS VARCHAR) AS owner, CAST(c_custkey + 1001 AS VARCHAR) AS used FROM structs")
+@query("document_type_uses", ("modules", "structs"), f"SELECT {_SLICE} AS file, CAST(c_custkey + 1000 AS VARCHAR) AS owner, CAST(c_custkey + 1001 AS VARCHAR) AS used FROM structs")
 def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
     return D.type_uses(D.items(_read_back(modules, structs)))
 

@@ -27,11 +27,11 @@ def write_children(children: DataFrame, path: str, buckets: int = BUCKETS) -> No
 
 def write_search(nodes: DataFrame, path: str) -> None:
     """Pages by the two characters that searches begin with."""
-    nodes.where(is_local_page()).withColumn("prefix", S.search_prefix(F.col("name"))).repartition("prefix").write.partitionBy("prefix").mode("overwrite").parquet(path)
+    nodes.where(is_local_page()).withColumn("prefix", S.search_prefix(F.col("name"))).repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(SALTS))).write.partitionBy("prefix").mode("overwrite").parquet(path)
 
 
 def write_kinds(nodes: DataFrame, path: str) -> None:
-    nodes.where(is_local_page()).repartition("kind").sortWithinPartitions("kind", "id").write.partitionBy("kind").mode("overwrite").parquet(path)
+    nodes.where(is_local_page()).repartition("kind", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("kind", "id").write.partitionBy("kind").mode("overwrite").parquet(path)
 
 
 def write_aliases(aliases: DataFrame, path: str, buckets: int = BUCKETS) -> None:

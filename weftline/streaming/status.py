@@ -1,4 +1,4 @@
-"""Status events by key: a state machine as a stream and as a batch job, admission by tokens, timeouts, snapshots.
+"""Status events by key: a state machine as a stream and as a batch job, timeouts, snapshots.
 
 An event is (name, version, status, step, error, request_id, at, seq). A 'queued' event registers its request_id if there is no
 status yet, or none that is processing and the event is later than the last update. Any other event counts only if it
@@ -78,24 +78,6 @@ def status_stream(events: DataFrame) -> DataFrame:
     return timed.groupBy("name", "version").applyInPandasWithState(run, STATUS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def admissions(requests: DataFrame, capacity: float, per_second: float, longest_wait: float = 900.0) -> DataFrame:
-    """requests (key, at, seq, cost) in order of time: admitted if the key's bucket holds the cost, else how long to wait."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = capacity, None, []
-        for r in frame.sort_values(["at", "seq"]).itertuples():
-            if last is not None:
-                tokens = min(capacity, tokens + (r.at - last).total_seconds() * per_second)
-            last = r.at
-            if fits := tokens >= r.cost:
-                tokens -= r.cost
-            wait = 0.0 if fits else min(longest_wait, -(-(r.cost - tokens) // per_second))
-            out.append((r.seq, fits, wait, tokens))
-        return pd.DataFrame(out, columns=["seq", "admitted", "wait_s", "tokens"]).assign(key=key[0])
-
-    return requests.groupBy("key").applyInPandas(run, "key string, seq bigint, admitted boolean, wait_s double, tokens double")
-
-
 def timeout_verdict(status: Column, run: Column, age_minutes: Column, has_artifact: Column, runs_active: Column) -> Column:
     """keep, ready or failed for a status that may have stalled."""
     return (
