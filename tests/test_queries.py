@@ -21,6 +21,7 @@ CHOSEN = (
     " version_staleness work_plan delta_merge final_status timeouts alias_store changed_shards partition_replace registry_csv document_items document_type_uses"
     " node_id_disambiguation id_resolution impl_owners item_parents impl_edges associated_ids trait_member_edges reexport_edges alias_map derive_edges doc_links doc_link_stats trait_method_sets"
     " publish_decisions direct_items trait_item_parts root_choice hierarchy_cap touched_nodes corpus_names tree_surface detail_store node_view_store version_refs_store version_pointer_store"
+    " method_candidates unique_callers local_page_edges cross_edge_data trait_views detail_counts prefix_search already_handled latest_plan manifest_choice root_files validation_report"
 ).split()
 
 

@@ -298,3 +298,8 @@ def bucket_count(total: Column, target: int, least: int, most: int) -> Column:
     """The next power of two that keeps buckets near ``target`` bytes, within bounds."""
     wanted = F.greatest(F.ceil(total / F.lit(target)), F.lit(least))
     return F.least(F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("bigint"), F.lit(most))
+
+
+def abi_text(name: Column, unwind: Column) -> Column:
+    """The name of a calling convention; none for the language's own."""
+    return F.when(name != "Rust", F.when(unwind, F.concat(name, F.lit("-unwind"))).otherwise(name))

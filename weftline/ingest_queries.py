@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import scalars as S
+from weftline.operators import aggregates as A
+from weftline.operators import calls as X
 from weftline.operators import closures as C
 from weftline.operators import graph as G
 from weftline.operators import ingest as I
 from weftline.operators import pages as V
 from weftline.operators.filters import is_local_page
+from weftline.plans import planning as L
 from weftline.queries import PAGE, PARTS, query
 from weftline.shared import scratch, staged
 from weftline.sinks import stores as K
@@ -243,3 +247,109 @@ def _(packages: DataFrame) -> DataFrame:
     aliases = F.when(F.col("id") % 2 == 0, F.array(F.lit("latest"), F.lit("stable"))).otherwise(F.array(F.lit("latest")))
     K.write_pointers(packages.select(F.col("name").alias("storage_name"), F.format_string("1.%d.0", F.col("id") % 9).alias("version"), aliases.alias("aliases")), path)
     return spark.read.schema("storage_name string, alias string, version string").parquet(path)
+
+
+# ---- calls, lookups, choices
+
+
+@query("method_candidates", ("raw_methods", "methods"), "SELECT DISTINCT id AS caller, 'impl-' || CAST(l_orderkey AS VARCHAR) AS type, name, CAST(1 AS BIGINT) AS candidates, id AS target, 'Static' AS confidence FROM raw_methods WHERE l_linenumber % 3 = 0 UNION ALL SELECT DISTINCT r.id, CASE WHEN l_linenumber % 3 = 1 THEN 'nowhere' END, r.name, c.n, CASE WHEN c.n = 1 THEN r.id END, CASE WHEN c.n = 1 THEN 'Static' ELSE 'Inferred' END FROM raw_methods r JOIN (SELECT name, count(*) AS n FROM methods GROUP BY name) c ON r.name = c.name WHERE l_linenumber % 3 <> 0")
+def _(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    type_ = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("impl-"), F.col("l_orderkey").cast("string"))).when(F.col("l_linenumber") % 3 == 1, "nowhere")
+    calls = raw.select(F.col("id").alias("caller"), F.lit("m").alias("module"), type_.alias("type"), "name").distinct()
+    return X.method_candidates(calls, methods)
+
+
+@query("unique_callers", ("structs", "impls"), "SELECT 's' || CAST(c_custkey AS VARCHAR) AS place, id AS caller FROM structs UNION ALL SELECT 'i' || CAST(o_orderkey AS VARCHAR), id FROM impls")
+def _(structs: DataFrame, impls: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    places = structs.select(F.concat(F.lit("s"), "c_custkey").alias("place"), F.col("module_id").alias("module"), none.alias("type"), "name")
+    typed = impls.select(F.concat(F.lit("i"), "o_orderkey").alias("place"), F.lit("elsewhere").alias("module"), F.element_at(F.split("struct_id", "::"), -1).alias("type"), "name")
+    return X.unique_callers(places.unionByName(typed), structs.select("id").unionByName(impls.select("id")))
+
+
+@query(
+    "local_page_edges", ("nodes", "edges"),
+    "SELECT DISTINCT page, from_id, to_id, kind FROM (SELECT p.id AS page, from_id, to_id, e.kind FROM edges e JOIN pages p ON e.from_id = p.id OR e.to_id = p.id UNION ALL SELECT d.from_id, e.from_id, e.to_id, e.kind FROM edges d JOIN pages p ON d.from_id = p.id AND p.kind IN ('Struct', 'Enum', 'Union', 'Trait', 'TraitAlias', 'TypeAlias') JOIN edges e ON e.from_id = d.to_id OR e.to_id = d.to_id WHERE d.kind = 'Defines')",
+    ("pages",),
+)
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return V.local_page_edges(nodes, edges, nodes.where(is_local_page()).select(F.col("id").alias("page")))
+
+
+@query("cross_edge_data", ("nodes", "edges"), "SELECT c.id, from_id, to_id, c.kind, other, CASE WHEN x.id IS NULL OR x.kind = 'Enum' THEN string_split(other, '::')[-1] ELSE x.name END AS name, CASE WHEN x.id IS NULL OR x.kind = 'Enum' THEN 'ExternCrate' ELSE x.kind END AS other_kind FROM (SELECT from_id AS id, from_id, to_id, kind, to_id AS other FROM edges UNION ALL SELECT to_id, from_id, to_id, kind, from_id FROM edges) c LEFT JOIN (SELECT id, name, kind FROM nodes) x ON c.other = x.id WHERE split_part(from_id, '::', 1) <> split_part(to_id, '::', 1)")
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return V.cross_edge_data(G.cross_package_edges(edges), nodes.where("kind <> 'Enum'"), nodes.select("id"))
+
+
+@query("trait_views", ("edges",), "SELECT DISTINCT from_id AS page, to_id AS trait, split_part(to_id, '::', 1) AS trait_package, CASE WHEN split_part(to_id, '::', 1) = split_part(from_id, '::', 1) THEN '1.0' ELSE 'latest' END AS version FROM edges WHERE kind = 'Implements' AND (split_part(to_id, '::', 1) = split_part(from_id, '::', 1) OR split_part(to_id, '::', 1) IN ('ASIA', 'EUROPE'))")
+def _(edges: DataFrame) -> DataFrame:
+    impls = edges.where("kind = 'Implements'").select(F.col("from_id").alias("page"), F.split("from_id", "::")[0].alias("package"), F.lit("1.0").alias("version"), F.col("to_id").alias("trait"))
+    packages = impls.select("package").distinct().withColumn("is_std", F.col("package").isin("ASIA", "EUROPE"))
+    return V.trait_views(impls, packages)
+
+
+@query("detail_counts", ("nodes", "edges"), "SELECT page, count_if(from_id = page AND n.kind = 'Impl') AS impls, count_if(from_id <> page AND n.kind = 'Function') AS methods, count_if(from_id = page AND n.kind <> 'Impl') AS contents FROM page_edges p JOIN nodes n ON p.to_id = n.id WHERE p.kind IN ('Contains', 'Defines') GROUP BY page", ("pages", "page_edges"))
+def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return V.detail_counts(G.page_edges(nodes, edges), nodes)
+
+
+@query("catalog_order", ("packages",), "SELECT name, id % 10 = 0 AS is_std, id AS seq FROM packages")
+def _(packages: DataFrame) -> DataFrame:
+    return V.catalog_order(packages.select("name", (F.col("id") % 10 == 0).alias("is_std"), F.col("id").alias("seq")))
+
+
+@query("prefix_search", ("nodes",), "SELECT id, name FROM pages WHERE starts_with(lower(name), 'cu') AND contains(lower(name), 'customer#') ORDER BY id LIMIT 64", ("pages",))
+def _(nodes: DataFrame) -> DataFrame:
+    path = scratch(nodes.sparkSession, "search")
+    K.write_search(nodes, path)
+    store = nodes.sparkSession.read.schema(nodes.schema.add("prefix", "string")).parquet(path)
+    return V.prefix_search(store, "customer#").select("id", "name")
+
+
+@query("already_handled", ("packages",), "SELECT name, version, CASE id % 6 WHEN 0 THEN true WHEN 1 THEN id % 4 = 0 WHEN 2 THEN id % 5 <> 0 OR id % 4 = 0 WHEN 3 THEN (id % 5 <> 0 AND id % 7 <> 0) OR id % 4 = 0 ELSE id % 4 = 0 END AS handled FROM (SELECT id, name, '1.0.0' AS version FROM packages)")
+def _(packages: DataFrame) -> DataFrame:
+    i = F.col("id")
+    reason = F.when(i % 7 == 0, "parser revision aaaa -> bbbb").otherwise("never parsed")
+    plan = packages.select("id", "name", F.lit("1.0.0").alias("version"), reason.alias("reason"), F.lit("2026-01-02").cast("timestamp").alias("planned_at"), (i % 4 == 0).alias("satisfied"))
+    kind = F.when(i % 6 == 0, "processing").when(i % 6 == 1, "queued").when(i % 6 == 2, "failed").when(i % 6 == 3, "ready")
+    status = packages.select("name", F.lit("1.0.0").alias("version"), kind.alias("status"), F.when(i % 5 == 0, F.lit("2026-01-01")).otherwise("2026-01-03").cast("timestamp").alias("updated_at")).where("status is not null")
+    return L.already_handled(plan, status).select("name", "version", "handled")
+
+
+@query("latest_plan", ("requests",), "SELECT CAST(event_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 7 AS VARCHAR) AS run FROM requests ORDER BY date_trunc('day', ts) DESC, user_id DESC, event_id % 7 DESC, CAST(event_id AS VARCHAR) DESC LIMIT 1")
+def _(requests: DataFrame) -> DataFrame:
+    plans = requests.select(F.col("event_id").cast("string").alias("key"), F.concat_ws("-", "user_id", F.col("event_id") % 7).alias("run"), F.date_trunc("day", "ts").alias("uploaded"))
+    return L.latest_plan(plans).select("key", "run")
+
+
+_MANIFESTS = "SELECT CAST(l_orderkey AS STRING) AS source, CASE WHEN l_linenumber = 1 THEN 'Cargo.toml' ELSE 'member-' || CAST(l_linenumber AS STRING) || '/Cargo.toml' END AS path, CASE WHEN l_linenumber > 1 THEN 'p' || CAST(l_linenumber AS STRING) END AS package FROM methods"
+
+
+@query("manifest_choice", ("methods",), f"SELECT source, 'p3' AS name, arg_min(path, (CASE WHEN package = 'p3' THEN 0 WHEN package IS NOT NULL THEN 1 WHEN path = 'Cargo.toml' THEN 2 ELSE 3 END, length(path), path)) AS path FROM ({_MANIFESTS}) GROUP BY source")
+def _(methods: DataFrame) -> DataFrame:
+    found = methods.sparkSession.sql(_MANIFESTS.replace("methods", "{m}"), m=methods)
+    return L.manifest_choice(found, found.select("source").distinct().withColumn("name", F.lit("p3")))
+
+
+@query("root_files", ("packages",), "SELECT name AS source, CASE id % 4 WHEN 0 THEN 'a/lib.rs' WHEN 1 THEN 'src/main.rs' ELSE 'a/src/bin/two.rs' END AS path FROM packages WHERE id % 4 <> 3")
+def _(packages: DataFrame) -> DataFrame:
+    i, none = F.col("id") % 4, F.array().cast("array<string>")
+    bins = F.when(i == 2, F.array(F.lit("src/bin/one.rs"), F.lit("src/bin/two.rs"))).otherwise(none)
+    manifests = packages.select(F.col("name").alias("source"), F.when(i == 1, "").otherwise("a").alias("folder"), F.when(i.isin(0, 3), F.when(i == 0, "lib.rs").otherwise("lost.rs")).alias("lib"), bins.alias("bins"))
+    files = packages.select(F.col("name").alias("source"), F.explode(F.array(*map(F.lit, ("a/lib.rs", "src/main.rs", "a/src/bin/two.rs", "a/src/main.rs")))).alias("path"))
+    return L.root_files(manifests, files)
+
+
+@query("abi_texts", ("packages",), "SELECT name, CASE id % 3 WHEN 1 THEN 'C' || CASE WHEN id % 2 = 0 THEN '-unwind' ELSE '' END WHEN 2 THEN 'system' || CASE WHEN id % 2 = 0 THEN '-unwind' ELSE '' END END AS abi FROM packages")
+def _(packages: DataFrame) -> DataFrame:
+    i = F.col("id")
+    return packages.select("name", S.abi_text(F.when(i % 3 == 0, "Rust").when(i % 3 == 1, "C").otherwise("system"), i % 2 == 0).alias("abi"))
+
+
+@query(
+    "validation_report", ("nodes", "edges", "api_items", "api_links"),
+    "SELECT i.package, i.items, p.local_paths, p.external_paths, n.graph_nodes, coalesce(e.graph_edges, NULL) AS graph_edges, l.raw, l.resolved, l.unresolved, CASE WHEN p.n_lost > 0 THEN CAST(p.n_lost AS VARCHAR) || ' local paths without items: ' || p.sample || CASE WHEN p.n_lost > 8 THEN '; ' || CAST(p.n_lost - 8 AS VARCHAR) || ' more' ELSE '' END END AS warning, p.local_paths > 1 AND n.local_nodes = 1 AS quarantined FROM (SELECT package, count(*) AS items FROM api_items WHERE item_id % 3 <> 0 GROUP BY package) i LEFT JOIN (SELECT package, count_if(kind <> 'Trait') AS local_paths, count_if(kind = 'Trait') AS external_paths, count_if(kind <> 'Trait' AND item_id % 3 = 0) AS n_lost, array_to_string(list_sort(list(item_id) FILTER (kind <> 'Trait' AND item_id % 3 = 0))[1:8], ', ') AS sample FROM api_items GROUP BY package) p USING (package) LEFT JOIN (SELECT package, count(*) AS graph_nodes, count_if(NOT is_external) AS local_nodes FROM nodes GROUP BY package) n USING (package) LEFT JOIN (SELECT split_part(from_id, '::', 1) AS package, count(*) AS graph_edges FROM edges GROUP BY 1) e USING (package) LEFT JOIN (SELECT package, count(*) AS raw, count_if(text <> 'nowhere') AS resolved, count_if(text = 'nowhere') AS unresolved FROM api_links GROUP BY package) l USING (package)",
+)
+def _(nodes: DataFrame, edges: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
+    resolved = I.link_stats(links.withColumn("target", F.when(F.col("text") != "nowhere", F.col("text"))))
+    return A.validation_report(items.where("item_id % 3 <> 0"), items.withColumn("is_local", F.col("kind") != "Trait"), nodes, edges, resolved)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.fixed import NODE_KINDS, OVERVIEW_CONFIDENCE, SEMANTIC
@@ -100,3 +100,22 @@ def member_groups(nodes: DataFrame) -> DataFrame:
     """By impl, its members in order of kind and name."""
     place = F.when(F.col("kind") == "AssocType", 0).when(F.col("kind").isin("Constant", "AssocConst"), 1).when(F.col("kind") == "TypeAlias", 2).otherwise(3)
     return nodes.where("parent_impl is not null").groupBy("parent_impl").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "name", "id"))), lambda x: x["id"]).alias("members"))
+
+
+def validation_report(items: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """By package: items, local and external paths, nodes, edges, link counts, a warning that names up to eight local paths without an item, and
+    why the package is put aside. items: package, item_id; paths: package, item_id, is_local; links: package, raw, resolved, unresolved."""
+    there = items.select("package", "item_id", F.lit(True).alias("there")).distinct()
+    p = paths.join(there, ["package", "item_id"], "left")
+    lost = F.col("is_local") & F.col("there").isNull()
+    path_counts = p.groupBy("package").agg(F.count_if("is_local").alias("local_paths"), F.count_if(~F.col("is_local")).alias("external_paths"), F.count_if(lost).alias("n_lost"))
+    order = Window.partitionBy("package").orderBy("item_id")
+    first = p.where(lost).withColumn("r", F.row_number().over(order)).where("r <= 8").groupBy("package").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ", ").alias("sample"))
+    counts = items.groupBy("package").agg(F.count("*").alias("items")).join(path_counts, "package", "left").join(first, "package", "left")
+    n = nodes.groupBy("package").agg(F.count("*").alias("graph_nodes"), F.count_if(~F.col("is_external")).alias("local_nodes"))
+    e = edges.groupBy(S.package_of(F.col("from_id")).alias("package")).agg(F.count("*").alias("graph_edges"))
+    joined = counts.join(n, "package", "left").join(e, "package", "left").join(links, "package", "left")
+    more = F.when(F.col("n_lost") > 8, F.concat(F.lit("; "), (F.col("n_lost") - 8).cast("string"), F.lit(" more"))).otherwise("")
+    warning = F.when(F.col("n_lost") > 0, F.concat(F.col("n_lost").cast("string"), F.lit(" local paths without items: "), F.col("sample"), more))
+    aside = (F.col("local_paths") > 1) & (F.col("local_nodes") == 1)
+    return joined.select("package", "items", "local_paths", "external_paths", "graph_nodes", "graph_edges", "raw", "resolved", "unresolved", warning.alias("warning"), aside.alias("quarantined"))

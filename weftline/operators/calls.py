@@ -34,3 +34,28 @@ def resolve(calls: DataFrame, nodes: DataFrame, ambiguous: bool = False) -> Data
     matches = chosen.groupBy("caller", "path").agg(F.count("*").alias("n"))
     named = chosen.join(matches, ["caller", "path"]).where((F.col("n") == 1) | F.lit(ambiguous))
     return named.select("caller", "path", "target", F.when(F.col("n") == 1, "Static").otherwise("Inferred").alias("confidence"))
+
+
+def method_candidates(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """calls (caller, module, type, name; type: a path or null) to every method that fits: below its type as it stands or in the module; if
+    there is none, every method of the name. One candidate is Static, several are Inferred. methods: id."""
+    table = methods.select(F.col("id").alias("target"), F.explode(S.suffixes(F.col("id"))).alias("suffix"))
+    typed = F.array(F.concat_ws("::", "type", "name"), F.concat_ws("::", "module", "type", "name"))
+    tries = calls.where("type is not null").select("caller", "type", "name", F.explode(F.array_distinct(typed)).alias("suffix"))
+    direct = tries.join(table, "suffix").select("caller", "type", "name", "target").distinct()
+    key = [calls[c].eqNullSafe(direct[c]) for c in ("caller", "type", "name")]
+    rest = calls.join(direct, key, "left_anti").select("caller", "type", "name").distinct()
+    by_name = rest.join(table.select(F.col("suffix").alias("name"), "target").distinct(), "name").select("caller", "type", "name", "target")
+    found = direct.unionByName(by_name)
+    n = found.groupBy("caller", "type", "name").agg(F.count("*").alias("candidates"), F.min("target").alias("target"))
+    return n.select("caller", "type", "name", "candidates", F.when(F.col("candidates") == 1, F.col("target")).alias("target"), F.when(F.col("candidates") == 1, "Static").otherwise("Inferred").alias("confidence"))
+
+
+def unique_callers(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """places (place, module, type, name) to the one callable that they are: by type, by module and type (or module alone without a type), by
+    name alone; an attempt with several matches counts for nothing."""
+    table = nodes.select(F.col("id").alias("target"), F.explode(S.suffixes(F.col("id"))).alias("suffix"))
+    unique = table.groupBy("suffix").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select("suffix", "target")
+    typed = F.array(F.concat_ws("::", "type", "name"), F.concat_ws("::", "module", "type", "name"), F.col("name"))
+    tries = places.select("place", F.posexplode(F.when(F.col("type").isNotNull(), typed).otherwise(F.array(F.concat_ws("::", "module", "name"), F.col("name")))).alias("attempt", "suffix"))
+    return tries.join(unique, "suffix").groupBy("place").agg(F.min_by("target", "attempt").alias("caller"))

@@ -72,3 +72,55 @@ def corpus(snapshot: DataFrame, choice: str, listed: DataFrame | None = None) ->
 def nodes_with_aliases(nodes: DataFrame, alias_nodes: DataFrame) -> DataFrame:
     """The surface of a tree: pages and the aliases that are nodes of it."""
     return nodes.select("id", "name", "kind", F.lit(None).cast("string").alias("canonical")).unionByName(alias_nodes.select("id", "name", "kind", "canonical"))
+
+
+#: Kinds whose pages also show what their impls hold.
+TYPE_KINDS = ("Struct", "Enum", "Union", "Trait", "TraitAlias", "TypeAlias")
+
+
+def local_page_edges(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edges of each page (page), and for types all edges of what they define."""
+    e = edges.select("from_id", "to_id", "kind")
+    ends = e.withColumn("end", F.explode(F.array_distinct(F.array("from_id", "to_id"))))
+    own = ends.join(pages.select(F.col("page").alias("end")), "end", "left_semi").withColumnRenamed("end", "page")
+    types = nodes.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("page")).join(pages.select("page"), "page", "left_semi")
+    impls = e.where("kind = 'Defines'").select(F.col("from_id").alias("page"), F.col("to_id").alias("end")).join(types, "page", "left_semi")
+    return own.select("page", "from_id", "to_id", "kind").unionByName(impls.join(ends, "end").select("page", "from_id", "to_id", "kind")).distinct()
+
+
+def cross_edge_data(cross: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id with its cross edges, both ways, and the other end's name and kind; a made-up one where the index doesn't know it."""
+    ends = cross.select("from_id", "to_id", "kind").withColumn("id", F.explode(F.array("from_id", "to_id"))).join(ids.select("id"), "id", "left_semi")
+    other = ends.withColumn("other", F.when(F.col("id") == F.col("from_id"), F.col("to_id")).otherwise(F.col("from_id")))
+    known = nodes.select(F.col("id").alias("other"), "name", F.col("kind").alias("other_kind"))
+    return other.join(known, "other", "left").select("id", "from_id", "to_id", "kind", "other", F.coalesce("name", S.last_segment(F.col("other"))).alias("name"), F.coalesce("other_kind", F.lit("ExternCrate")).alias("other_kind"))
+
+
+def trait_views(impls: DataFrame, packages: DataFrame) -> DataFrame:
+    """page (of a package) with the traits of its trait impls whose pages are fetched: those of the same package at its version, those of
+    standard packages (packages: package, is_std) at ``latest``; others are passed over. impls: page, package, version, trait."""
+    own = S.package_of(F.col("trait"))
+    asked = impls.where("trait <> ''").select("page", "package", "version", "trait", own.alias("trait_package")).distinct()
+    std = packages.where("is_std").select(F.col("package").alias("trait_package"), F.lit(True).alias("std"))
+    same = S.normal_name(F.col("trait_package")) == S.normal_name(F.col("package"))
+    found = asked.join(std, "trait_package", "left").where(same | F.col("std"))
+    return found.select("page", "trait", "trait_package", F.when(same, F.col("version")).otherwise("latest").alias("version"))
+
+
+def detail_counts(page_edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """page with its impls, the functions that those define, and what it holds itself."""
+    kinds = nodes.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind"))
+    held = page_edges.where("kind in ('Contains', 'Defines')").join(kinds, "to_id")
+    own = F.col("from_id") == F.col("page")
+    return held.groupBy("page").agg(F.count_if(own & (F.col("to_kind") == "Impl")).alias("impls"), F.count_if(~own & (F.col("from_id") != F.col("page")) & (F.col("to_kind") == "Function")).alias("methods"), F.count_if(own & (F.col("to_kind") != "Impl")).alias("contents"))
+
+
+def catalog_order(entries: DataFrame) -> DataFrame:
+    """Third-party packages first, standard ones last, each in their own order."""
+    return entries.orderBy("is_std", "seq")
+
+
+def prefix_search(store: DataFrame, query: str, limit: int = 64) -> DataFrame:
+    """Nodes of the buckets (prefix) that a query can be in, whose names hold it; at most ``limit``. Only those buckets are read."""
+    prefix = S.query_prefix(F.lit(query))
+    return store.where(F.col("prefix").startswith(prefix)).where(F.lower("name").contains(query.lower())).orderBy("id").limit(limit)

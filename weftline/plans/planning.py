@@ -129,3 +129,36 @@ def stale_failures(failed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Failed entries without a current record."""
     return failed.join(fresh.select("name", "version"), ["name", "version"], "left_anti")
 
+
+
+def already_handled(plan: DataFrame, status: DataFrame) -> DataFrame:
+    """plan (name, version, reason, planned_at, satisfied) with handled: under way, met, failed since, or ready since if the plan doesn't name
+    a parser or schema to get to. status: name, version, status, updated_at."""
+    newer = F.coalesce(F.col("updated_at") >= F.col("planned_at"), F.lit(False))
+    target = S.reason_target(F.col("reason"), "parser revision").isNotNull() | S.reason_target(F.col("reason"), "schema").isNotNull()
+    is_ = lambda s: F.coalesce(F.col("status") == s, F.lit(False))
+    handled = is_("processing") | F.col("satisfied") | is_("failed") & newer | is_("ready") & newer & ~target
+    return plan.join(status, ["name", "version"], "left").withColumn("handled", handled)
+
+
+def latest_plan(plans: DataFrame) -> DataFrame:
+    """The plan (key, run, uploaded) uploaded last; of equals the one of the higher run and attempt (numbers before other names), then key."""
+    number = lambda i: F.regexp_extract("run", r"^(\d+)-(\d+)$", i).try_cast("bigint")
+    return plans.orderBy(F.desc_nulls_last("uploaded"), F.desc_nulls_last(number(1)), F.desc_nulls_last(number(2)), F.desc("run"), F.desc("key")).limit(1)
+
+
+def manifest_choice(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (source, name) to the path of its manifest: the shortest that names the package, else the shortest of any package, else the root's.
+    manifests: source, path, package."""
+    rule = F.when(F.col("package") == F.col("name"), 0).when(F.col("package").isNotNull(), 1).when(F.col("path") == "Cargo.toml", 2).otherwise(3)
+    return manifests.join(wanted, "source").groupBy("source", "name").agg(F.min_by("path", F.struct(rule, F.length("path"), "path")).alias("path"))
+
+
+def root_files(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """source and the first of its candidates that is a file: the library's path, the binaries', or else the usual two. manifests: source, folder,
+    lib, bins (array of paths); files: source, path."""
+    under = lambda x: F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), x)
+    usual = F.when(F.col("lib").isNull() & (F.size("bins") == 0), F.array(F.lit("src/lib.rs"), F.lit("src/main.rs"))).otherwise(F.array().cast("array<string>"))
+    candidates = F.concat(F.array_compact(F.array("lib")), "bins", usual)
+    tries = manifests.select("source", "folder", F.posexplode(candidates).alias("place", "file")).select("source", "place", under(F.col("file")).alias("path"))
+    return tries.join(files, ["source", "path"], "left_semi").groupBy("source").agg(F.min_by("path", "place").alias("path"))
