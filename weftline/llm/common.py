@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "4m"
+BROADCAST_ROWS, SALTS = 100_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset (single-machine tests) a local folder is used."""
+    """A new path below spark.checkpoint.dir. Only where that is unset on a single machine (tests) a local folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -53,3 +56,14 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value computed once for a row however often ``then`` uses it, also inside lambdas."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def attached(big: DataFrame, small: DataFrame, keys: list[str], how: str, label: str) -> DataFrame:
+    """big joined with the rows of small, which have a fixed width and a key each. small is broadcast if it has BROADCAST_ROWS rows at
+    most; beyond that both are dealt by key and salt, so a key of any share of big goes to many tasks."""
+    small = staged(small, label)
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)))
+    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, [*keys, "__salt"], how).drop("__salt")
