@@ -14,7 +14,7 @@
 6. In tiles that still hold several components, all sets outside a tile's largest component are compared with everything
    in the tile that isn't of their component, in blocks of ``BLOCK`` rows: by length, by position, and by bitmap signatures, where the
    bits that differ bound the overlap from above.
-7. What is left in 4, 5 and 6 is decided on the sorted shingle arrays of both texts. Labels come from the links found.
+7. The pairs of 4 and 5 are held against the same bitmaps. What is left in 4, 5 and 6 is decided on the sorted shingle arrays of both texts. Labels come from the links found.
 
 No link is lost: a pair is left out only by a bound, or because it is in one component already.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, own_columns, release, staged, table
+from weftline.llm.common import attached, bounded_batches, own_columns, release, staged, table
 from weftline.llm.components import components
 from weftline.llm.textarrays import U64, Texts, gram_hashes, mixed, range_hashes
 
@@ -226,7 +226,7 @@ def _folded(bits: bytes, width: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """node and the bitmap of its shingles, wide enough for each band in which it has tiles."""
+    """node, the size of its set and the bitmap of its shingles, wide enough for each band in which it has tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,10 +237,28 @@ def signatures(texts: DataFrame) -> DataFrame:
                 seen = np.zeros(w, bool)
                 seen[(marks[low:high] % U64(w)).astype(np.int64)] = True
                 bits.append(np.packbits(seen, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(bits, pa.binary())], ["node", "size", "bits"])
 
     bounded_batches(texts.sparkSession)
-    return texts.select("node", "text").mapInArrow(run, "node long, bits binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, bits binary")
+
+
+def near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Those of the pairs that their bitmaps leave open: every bit that differs is a shingle that only one of them has."""
+    a, b = [signed.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+                width = 8 * min(len(x), len(y))
+                apart[i] = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum()
+            open_ = pa.array((na + nb - apart) // 2 >= needed(na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(open_) for c in ("a", "b")], ["a", "b"])
+
+    bounded_batches(pairs.sparkSession)
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
 def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
@@ -255,7 +273,7 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFra
     targets = placed.withColumns({"k": F.pmod("spot", "blocks").cast("int"), "m": F.explode(F.sequence(F.lit(0), F.col("minors") - 1)), "probe": F.lit(False)})
     probes = placed.where(minor).withColumns({"m": F.pmod("spot", "minors").cast("int"), "k": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "probe": F.lit(True)})
     columns = ["token", "band", "m", "k", "probe", "node", "n", "pos", "label", minor.alias("minor")]
-    work = targets.select(*columns).unionByName(probes.select(*columns)).join(bits, "node")
+    work = targets.select(*columns).unionByName(probes.select(*columns)).join(bits.select("node", "bits"), "node")
     work = work.select("token", "band", "m", "k", "probe", "node", "n", "pos", "label", "minor", "bits")
 
     def compare(group: dict[str, np.ndarray]) -> np.ndarray:
@@ -304,8 +322,10 @@ def block_pairs(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFra
 
 def node_texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
     """node and text of every set that shares a tile."""
-    own = own_columns(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    found = of_node(own, nodes.join(tiles.select("node").distinct(), "node", "left_semi"))
+    keys = {"key": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
+    asked = nodes.withColumns(keys).join(tiles.select("node").distinct(), "node", "left_semi").select("key", "no_id", "text_hash", "node")
+    own = own_columns(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text")).withColumns(keys)
+    found = attached(own, asked, ["key", "no_id", "text_hash"], "inner", "asked")
     return found.groupBy("key", "no_id", "text_hash", "node").agg(F.first("text").alias("text")).select("node", "text")  # no other shuffle
 
 
@@ -338,11 +358,12 @@ def labelled_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(spark)
     texts = staged(node_texts(docs, nodes, tiles), "texts")
     release(spark)
+    signed = staged(signatures(texts), "bits")
     tried = staged(first_of_tile_pairs(tiles), "pairs")
-    labels = staged(components(staged(verified(tried, texts), "links")), "labels")
+    labels = staged(components(staged(verified(near(tried, signed), texts), "links")), "labels")
 
     def joined(pairs: DataFrame) -> DataFrame:
-        """The labels when pairs that turn out to be links have been added."""
+        """The labels when pairs that turn out to be links have been added. pairs: those that bitmaps leave open."""
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs, texts))
         found = staged(components(links), "labels")
         release(spark)
@@ -350,8 +371,8 @@ def labelled_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for seed in range(ROUNDS):
         pairs = staged(star_pairs(tiles, labels, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
-        labels, tried = joined(pairs), tried.unionByName(pairs)
-    open_pairs = staged(block_pairs(tiles, labels, signatures(texts)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels, tried = joined(near(pairs, signed)), tried.unionByName(pairs)
+    open_pairs = staged(block_pairs(tiles, labels, signed).join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = joined(open_pairs)
     labelled = nodes.select("node", "doc_id", "text_hash", "n", "digest", "digest2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return sets, labelled
