@@ -2,27 +2,31 @@
 
 A window is ``WINDOW`` consecutive words of an item. Of every ``WINDOW`` words, here and there, the smallest hash of the
 ``GRAM``-word grams in them is kept: two equal windows keep the same one, so every shared span of ``WINDOW`` words or more
-gives a match between the fingerprints of a document and an item. Matches name (document, item) pairs; these are
-extended on the words themselves, which settles exactly which windows occur and which words they cover. Items with fewer
+gives a match between the fingerprints of a document and an item. Texts with a match are extended on the words themselves: their
+windows are joined with those of the items, which settles exactly which occur and which words they cover. Items with fewer
 words than a window are one window each, fingerprinted by all grams of their length.
 
-The fingerprints of an item are few, but their number isn't bounded: whether they are broadcast or shuffled is left to
-Spark, which knows their size. Document words are lower-cased with Spark's own ``lower`` for fingerprints (which can only
-add candidates) and A-Z alone for the extension.
+Equal texts are looked at once. The fingerprints of an item are few, but their number isn't bounded: whether they are broadcast
+or shuffled is left to Spark, which knows their size; the keys of contaminated texts are broadcast behind a check of their number.
+Document words are lower-cased with Spark's own ``lower`` for fingerprints (which can only add candidates) and A-Z alone for the
+extension.
 
 Defined results: a null text has no words, and an item without words no windows; a null item_id is named 'null'; rows that
 repeat an item count once; rows that repeat a document are reported one by one; without items every document is clean;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored (``report``) or kept (``clean_documents``), whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bind, own_columns, table
+from weftline.llm.common import attached, bind, own_columns, staged, table
 
 WINDOW, GRAM = 10, 5
+KEY = ("__text", "__text2", "__size")
 #: Separators before lower-casing; A-Z are then words' letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,83 +72,69 @@ def _windows(words: Column, n: int | Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item (its id as text), text, size of its windows, and the distinct windows, for items with words."""
+    """item (its id as text), text and size of its windows, for items with words."""
     own = own_columns(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
-    sized = own.withColumn("words", _ascii_words(F.col("text"))).where(F.size("words") > 0).withColumn("window", F.least(F.size("words"), F.lit(WINDOW)))
-    return sized.select("item", "text", "window", F.array_distinct(_windows(F.col("words"), F.col("window"))).alias("windows"))
-
+    sized = own.withColumn("size", F.size(_ascii_words(F.col("text")))).where("size > 0")
+    return sized.select("item", "text", F.least("size", F.lit(WINDOW)).alias("window"))
 
-def candidates(docs: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
-    """text_key and the items whose fingerprints the text shares, with their windows. text_key only narrows down which
-    texts to look at: equal keys of different texts do no harm."""
-    marked = items.select("item", "window", "windows", F.explode(_fingerprints(F.col("text"), short)).alias("f"))
-    marked = marked.where("f.kind = window").select("item", "window", "windows", F.col("f.hash").alias("hash"))
-    found = docs.select(text_key(), F.explode(_fingerprints(F.col("text"), short)).alias("f")).select("text_key", F.col("f.kind").alias("window"), F.col("f.hash").alias("hash"))
-    pairs = found.join(marked.select("window", "hash", "item").distinct(), ["window", "hash"]).select("text_key", "item").distinct()
-    return pairs.join(items.select("item", "window", "windows"), "item").groupBy("text_key").agg(F.collect_list(F.struct("item", "window", "windows")).alias("items"))
 
+def item_windows(items: DataFrame) -> DataFrame:
+    """window, words and item of every window."""
+    return items.select("item", "window", F.explode(_windows(_ascii_words(F.col("text")), F.col("window"))).alias("words")).distinct()
 
-def text_key() -> Column:
-    return F.xxhash64("text").alias("text_key")
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with the columns KEY, by which equal texts are one: two hashes and the length. Null for a null text."""
+    there = F.col("text").isNotNull()
+    return docs.withColumns({"__text": F.when(there, F.xxhash64("text")), "__text2": F.when(there, F.hash("text")), "__size": F.length("text")})
 
-def _extended(words: Column, items: Column, lengths: list[int]) -> Column:
-    """struct<n_hit, found>: how many words occurring windows cover, and the items that have one."""
 
-    def covered(starts: Column, n: int) -> Column:
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + n).alias("end")))
+def near_texts(docs: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
+    """The keys of the texts that share a fingerprint with an item."""
+    marked = items.select("window", F.explode(_fingerprints(F.col("text"), short)).alias("f")).where("f.kind = window").select("window", F.col("f.hash").alias("hash")).distinct()
+    found = with_key(own_columns(docs, "text")).where("__size > 0").select(*KEY, F.explode(_fingerprints(F.col("text"), short)).alias("f"))
+    return found.select(*KEY, F.col("f.kind").alias("window"), F.col("f.hash").alias("hash")).join(marked, ["window", "hash"], "left_semi").select(*KEY).distinct()
 
-    def of(w: Column) -> Column:
-        def spans(n: int) -> Column:
-            own = F.filter(items, lambda x: x["window"] == n)
-            return bind(_windows(w, n), lambda all_: bind(F.array_intersect(all_, F.flatten(F.transform(own, lambda x: x["windows"]))), lambda both: F.struct(
-                F.when(F.size(both) > 0, F.filter(F.sequence(F.lit(0), F.size(all_)), lambda i: F.array_contains(both, F.coalesce(F.get(all_, i), F.lit(""))))).otherwise(F.array().cast("array<int>")).alias("at"),
-                F.transform(F.filter(own, lambda x: F.arrays_overlap(x["windows"], both)), lambda x: x["item"]).alias("item"),
-            )))
 
-        parts = [spans(n) for n in lengths]
-        return bind(F.array(*parts), lambda p: F.struct(
-            F.aggregate(
-                F.array_sort(F.concat(*[covered(F.get(p, k)["at"], n) for k, n in enumerate(lengths)])),
-                F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-                lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n")),
-            )["n"].alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform(p, lambda x: x["item"])))).alias("found"),
-        ))
+def _covered(starts: Column) -> Column:
+    """How many words sorted spans cover."""
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    longer = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"))
+    return F.aggregate(starts, none, longer)["n"]
 
-    return bind(words, of)
 
-
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows and columns of docs, and the struct ``hits``: n_words, n_hit, found."""
-    items = benchmark_items(benchmark)
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """KEY, n_hit, n_items and items_sha256 of every distinct text in which a window occurs. Hits are joined as rows; what is
+    gathered for a text is no longer than the text or its list of items."""
+    items = staged(benchmark_items(benchmark), "items")
     short = sorted(r[0] for r in items.where(F.col("window") < WINDOW).select("window").distinct().collect())  # nine numbers at most
-    near = candidates(own_columns(docs, "text").where("text is not null"), items, short)
-    lengths = [*short, WINDOW]
-    named = docs.withColumn("__key", F.xxhash64("text")).join(near.select(F.col("text_key").alias("__key"), F.col("items").alias("__items")), "__key", "left")
-    none = F.struct(F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("found"))
-    hits = F.when(F.col("__items").isNotNull(), _extended(_ascii_words(F.col("text")), F.col("__items"), lengths)).otherwise(none)
-    return named.withColumn("__hits", hits).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(F.size(_words(F.col("text"))).cast("long").alias("n_words"), F.col("__hits.n_hit").alias("n_hit"), F.col("__hits.found").alias("found")).alias("__contamination"),
-    )
+    texts = attached(with_key(own_columns(docs, "text")), near_texts(docs, items, short), list(KEY), "left_semi", "near").groupBy(*KEY).agg(F.first("text").alias("text"))
+    split = texts.select(*KEY, _ascii_words(F.col("text")).alias("all"))
+    windows = item_windows(items)
+    at = [split.select(*KEY, F.lit(n).alias("window"), F.posexplode(_windows(F.col("all"), n)).alias("start", "words")) for n in (*short, WINDOW)]
+    hits = staged(reduce(DataFrame.unionByName, at).join(windows.select("window", "words").distinct(), ["window", "words"], "left_semi"), "hits")
+    spans = hits.groupBy(*KEY).agg(_covered(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("window")).alias("end"))))).alias("n_hit"))
+    named = hits.select(*KEY, "window", "words").distinct().join(windows, ["window", "words"]).groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("found"))
+    return spans.join(named, list(KEY)).select(*KEY, "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    c = F.col("__contamination")
-    return contamination(own_columns(docs, "doc_id", "text"), benchmark).select(
+    own = own_columns(docs, "doc_id", "text")
+    counted = with_key(own).select("doc_id", F.size(_words(F.col("text"))).cast("long").alias("n_words"), *KEY)
+    return attached(counted, contaminated_texts(own, benchmark), list(KEY), "left", "contaminated").select(
         "doc_id",
-        c["n_words"].alias("n_words"),
-        c["n_hit"].alias("n_hit"),
-        F.size(c["found"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(c["found"], ","), 256).alias("items_sha256"),
-        (c["n_hit"] > 0).alias("contaminated"),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    return contamination(docs, benchmark).where(F.col("__contamination.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = with_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")).drop("text")
+    return attached(whole, contaminated_texts(docs, benchmark).select(*KEY), list(KEY), "left_anti", "contaminated").select("__row.*")
 
 
 ORACLE = r"""
