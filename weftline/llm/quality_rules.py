@@ -1,7 +1,8 @@
 """Quality rules: base rules and gradient-boosted trees over document statistics.
 
 The statistics of every document come from one Arrow pass. Trees are grown with numpy on a bounded, hashed sample of
-labelled rows (``SAMPLE_ROWS``), with monotonic constraints on the features in ``FALLING``: more symbols, repeats or
+labelled rows (``SAMPLE_ROWS``; the bound on the hash comes from the number of labels, so what is broadcast and what comes to
+the driver stays of that size), with monotonic constraints on the features in ``FALLING``: more symbols, repeats or
 capitals never raise a score. The trees are flattened into node arrays and scored for whole batches at once.
 
 Defined results: a null or empty text has no words and fails the base rules; a null doc_id is kept as a row with a null
@@ -182,14 +183,16 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents, chosen by the hash of their ids."""
-    seen = own_columns(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
-    return stats.join(seen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(rows)
+def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and quality of about ``rows`` labels at most: those whose ids' hashes are below a bound that their number sets."""
+    seen = own_columns(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").distinct()
+    share = min(1.0, rows / max(1, seen.count()))
+    return seen.where(F.xxhash64("doc_id") <= min(2**63 - 1, int(share * 2**64) - 2**63))
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees | None:
-    got = labelled_sample(stats, labels, rows).toPandas()
+def fit(stats: DataFrame, sample: DataFrame, rows: int = SAMPLE_ROWS) -> Trees | None:
+    """Trees from the statistics of the documents of a sample of labels, ``rows`` of them at most."""
+    got = stats.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(rows).toPandas()
     return fit_trees(feature_matrix({k: got[k].to_numpy() for k in COUNTS + MORE}), got["quality"].to_numpy(np.float64))
 
 
@@ -203,7 +206,8 @@ def _kept(trees: Trees | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    trees = fit(document_statistics(docs), labels)
+    sample = labelled_sample(labels)
+    trees = fit(document_statistics(docs.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")), sample)
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_kept(trees), docs.schema)
 
@@ -211,7 +215,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, COUNTS, score, base_failed and kept for every document."""
     stats = staged(document_statistics(docs), "quality")
-    trees = fit(stats, labels)
+    trees = fit(stats, labelled_sample(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
