@@ -4,8 +4,8 @@ The tokenizers used here split a text before they look up ids, and always do so
 another character and where an ASCII sign follows a letter. So a text is cut there, the library encodes each distinct
 piece once, and the ids of a text are its pieces' ids in order. Pieces of a whole Arrow batch are found, hashed and looked
 up as numpy arrays (64 bits of hash and the length name a piece); what is known is kept in tables of a fixed size. Texts
-with white space or control characters beyond blank, tab, CR and LF are given to the library whole, since the rule isn't
-sure for them.
+with white space or control characters beyond blank, tab, CR and LF, and texts that hold the string of an added token
+(which the library finds before it splits), are given to the library whole, since the rule isn't sure for them.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.names, self.sizes = np.zeros(SLOTS, U64), np.full(SLOTS, -1, np.int32)
         self.places, self.counts = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
@@ -59,6 +59,17 @@ class Encoder:
     def _library(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _with_added(self, t: Texts) -> np.ndarray:
+        """By text: whether it holds an added token's string."""
+        found, whole = np.zeros(t.n, bool), t.data.tobytes()
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(t.first, at, side="right")) - 1
+                found[i] |= at + len(token) < t.first[i + 1]
+                at = whole.find(token, int(t.first[i + 1]) if found[i] else at + 1)
+        return found
+
     def _store(self, got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts in the pool."""
         counts = np.fromiter(map(len, got), np.int32, len(got))
@@ -84,7 +95,7 @@ class Encoder:
         begins[1:] |= SIGN[data[1:]] & letter[:-1]
         begins[t.first[:-1]] = True
         begins[last] = True  # the blank after each text: a piece that is dropped
-        unsure = t.per_text(_odd(data)) > 0
+        unsure = (t.per_text(_odd(data)) > 0) | self._with_added(t)
         starts = np.flatnonzero(begins)
         ends = np.concatenate((starts[1:], [len(data)]))
         text = np.searchsorted(t.first, starts, side="right") - 1
