@@ -3,8 +3,9 @@
 First pass: in every page the containers (body, article, div, ...) are scored by the text they hold outside links and
 boilerplate, half of it passing on to each outer container. A page's containers vote, in shares of the page's best score,
 for their generalised paths: the tags from the root with their classes, digits made equal. Spark adds the votes of each
-host. Second pass: a page's text is taken from the containers on its host's winning path (or the next path in the host's
-order that holds ``ENOUGH`` of the page's text, or else the page's own best one), in page order, and from what they are parts
+host. Of the paths that hold ``ENOUGH`` of a page's text, the one with most votes of its host wins the page (rows of pages and paths are
+joined with the votes, so no path of a host is left out). Second pass: a page's text is taken from the containers on that path (or, if
+no path holds enough, on the page's own best one), in page order, and from what they are parts
 of: the innermost article or main around each whole; any outer container whole that adds ``OWN`` of the text in its own blocks
 or ``BESIDE`` of it anywhere; and of other outer containers below body the blocks of their own. Links don't count as text here.
 
@@ -26,14 +27,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, own_columns, table
+from weftline.llm.common import attached, bounded_batches, own_columns, staged, table
 
-PATHS_PER_HOST, ENOUGH = 8, 0.4
+ENOUGH = 0.4
 OWN, BESIDE = 0.05, 1 / 3  # text outside links that an outer container adds, itself and in all, to be taken whole
-SALTS = 32  # a host's pages go to so many places, and its few paths to each
+PAGE = ("page_key", "page_key2")
+PATHS = "page_key long, page_key2 int, host string, path string, share long, enough boolean"
 
 # Fixed values of HTML: elements that hold others, that are never main text, that hold no markup, that break a block.
 CONTAINERS = frozenset("html body div section article main table blockquote figure details center td".split())
@@ -260,56 +262,75 @@ class Page:
         found = self.inside(wholes)
         return [text for c, text, linked in self.blocks if found[c] or c in parts_of and len(text) > 2 * linked]
 
-    def text(self, host_paths: list[str]) -> str:
-        everything = sum(len(t) for _, t, _ in self.blocks)
+    def enough(self) -> set[str]:
+        """The paths whose containers hold ENOUGH of the page's text. No container is in another of its own path."""
+        every = [0] * len(self.containers)
+        for c, text, _ in self.blocks:
+            every[c] += len(text)
+        everything, by = sum(every), Counter[str]()
+        for c in range(len(every) - 1, -1, -1):  # inner before outer
+            by[self.containers[c][0]] += every[c]
+            if c:
+                every[self.containers[c][1]] += every[c]
+        return {p for p, n in by.items() if n >= ENOUGH * everything} if everything else set()
+
+    def text(self, winner: str | None) -> str:
+        """The main text by the winning path, or by the page's own best one."""
         by: dict[str, set[int]] = {}
         for c, (path, _) in enumerate(self.containers):
             by.setdefault(path, set()).add(c)
-        for path in host_paths:
-            if path in by:
-                found = self.inside(by[path])
-                if sum(len(t) for c, t, _ in self.blocks if found[c]) >= ENOUGH * everything:
-                    return " ".join(self.whole(by[path]))
         votes = self.votes()
-        return " ".join(self.whole(by[max(votes, key=lambda p: (votes[p], len(p), p))])) if votes else ""
+        if winner not in by:
+            winner = max(votes, key=lambda p: (votes[p], len(p), p)) if votes else None
+        return " ".join(self.whole(by[winner])) if winner is not None and self.blocks else ""
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def host_votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: added up in each task before they are shuffled."""
+def with_key(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the columns PAGE, which equal rows share."""
+    own = own_columns(pages, "page_id", "url", "html")
+    return own.withColumns({"page_key": F.xxhash64("page_id", "url", "html"), "page_key2": F.hash("html", "url", "page_id")})
+
+
+def page_paths(pages: DataFrame) -> DataFrame:
+    """A row for each page and path with a share of votes: the share in thousandths, and whether the path holds enough text."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: Counter[tuple[str, str]] = Counter()
-            for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for path, share in Page(source or "").votes().items():
-                    by[host, path] += round(share * 1000)  # whole numbers add up alike in any order
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in by], pa.string()), pa.array([p for _, p in by], pa.string()), pa.array(by.values(), pa.int64())], ["host", "path", "votes"])
+            rows = []
+            for key, key2, host, source in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                page = Page(source or "")
+                enough = page.enough()
+                rows += [(key, key2, host, path, round(share * 1000), path in enough) for path, share in page.votes().items()]  # whole numbers add up alike in any order
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PATHS.split(", ")])
 
-    found = own_columns(pages, "url", "html").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes long")
-    return found.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return with_key(pages).select(*PAGE, host_of(F.col("url")).alias("host"), "html").mapInArrow(run, PATHS)
 
 
-def winning_paths(votes: DataFrame) -> DataFrame:
-    """host and its first paths in order of votes."""
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path")
-    top = votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PATHS_PER_HOST)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+def winning_paths(paths: DataFrame) -> DataFrame:
+    """PAGE and path: of the page's paths with enough text the one with most votes of its host. Equal votes go to the longer, then the
+    smaller path. Votes are added up in each task before they are shuffled."""
+    named = paths.withColumns({"host_key": F.xxhash64("host"), "path_key": F.xxhash64("path")})
+    votes = named.groupBy("host_key", "path_key").agg(F.sum("share").alias("votes"))
+    voted = attached(named.where("enough").select(*PAGE, "host_key", "path_key", "path"), votes, ["host_key", "path_key"], "inner", "votes")
+    best = F.min_by("path", F.struct(-F.col("votes"), -F.length("path"), F.col("path")))
+    return voted.groupBy(*PAGE).agg(best.alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    own = own_columns(pages, "page_id", "url", "html").withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
-    paths = winning_paths(host_votes(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = own.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    winners = winning_paths(staged(page_paths(pages), "paths"))
+    joined = with_key(pages).join(winners, list(PAGE), "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(source or "").text(paths or []) for source, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = [Page(source or "").text(path) for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
