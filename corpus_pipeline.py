@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: rejected, repeated, near-copied and contaminated documents go, the rest is packed."""
+"""A training corpus from ``documents``: rejected, repeated, near-copied and contaminated documents go, the rest is packed.
+
+Defined results: a null text has no words and goes in the first stage; a null doc_id is an id like others (the first in order);
+rows equal in doc_id and text are one document for line dedup and one row after the join; an empty table gives no pieces;
+further columns of any name are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +16,23 @@ from weftline.llm.common import staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the trees."""
+    """Documents that pass the base rules and the trees; null and short texts go. Without labels of both classes the trees pass all."""
     return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line of the corpus is like; n_chars follows the text."""
+    """Documents without the lines that an earlier line of the corpus is like; n_chars follows the text. No row goes, even if no
+    line is left."""
     return line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the similarity join links."""
+    """One document of each group that the similarity join links, that of the least id (null comes last); texts without words stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Without items all stay."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import binary_output, chat_format, components, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_rules, substring_dedup
+from weftline.llm import binary_output, chat_format, common, components, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_rules, substring_dedup
 from weftline.llm.common import scratch
 from weftline.llm.textarrays import Texts, gram_hashes
 from weftline.llm.tokenizing import Encoder
@@ -33,6 +34,7 @@ def corpus(seed=1):
     texts += [texts[5], texts[5], texts[8].replace("w1", "W1", 1), texts[8] + " tail", "head " + texts[8]]
     texts += [f"{texts[i]}\n{passage} {texts[i + 1]}" for i in (0, 3, 7)]
     texts += ["", None, "one", "a b c", "a b c", "The " * 100, " ".join(r.choices(vocabulary, k=9000)), "\t\n ", "x\ny\nx\n\nx", passage.upper(), " ".join(vocabulary[:12] * 9)]
+    texts += SPECIAL
     return [(i, t, "en", "s", None) for i, t in enumerate(texts)]
 
 
@@ -127,19 +129,21 @@ def test_chat_format(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "|>", "<|endoftext|><|startoftext|> <|endoftext|>"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
-    texts = [t for _, t, *_ in corpus()] + ["a  b    c", "don't 'street x,y.  z!! \n\n k", "é, è; “quoted”, a b", "\x0bzz\x1c y", "Σσς ΑΣ, é x", "<|endoftext|> a", "1,000 a1.b2_c", " lead", "trail  ", "\r\n x", "日本語、テスト。", "a　b ​c"]
-    e = Encoder(public_tokenizers.path(name))
+    texts = [t for _, t, *_ in corpus()] + ["a  b    c", "don't 'street x,y.  z!! \n\n k", "é, è; “quoted”, a b", "\x0bzz\x1c y", "Σσς ΑΣ, é x", "<|endoftext|> a", "1,000 a1.b2_c", " lead", "trail  ", "\r\n x", "日本語、テスト。", "a　b ​c"] + SPECIAL
+    e, library = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
     for _ in range(2):
         ids, at = e.ids(pa.array(texts))
         for i, t in enumerate(texts):
-            assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
 def encoded(name, end, rows):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, end] for i, x, *_ in rows}
 
 
@@ -302,24 +306,66 @@ def test_components(spark):
     assert {r.node: r.label for r in components.components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
-@pytest.mark.parametrize("gram", [5, 1])
-def test_line_dedup(spark, docs, empty, gram):
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(docs, gram).collect()}
-    earlier = []
-    for i, t, *_ in corpus():
+def lines_left(rows):
+    """By document in ascending order: number of lines, lines removed, text left. Tokens of a line are its distinct words."""
+    earlier, out = [], []
+    for _, t in rows:
         kept = []
         for line in t.split("\n") if t is not None else []:
-            w = words(line)
-            s = frozenset(tuple(w[j : j + gram]) for j in range(max(1, len(w) - gram + 1))) if w else frozenset()
+            s = frozenset(words(line))
             if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in earlier):
                 kept.append(line)
             if s:
                 earlier.append(s)
         n = len(t.split("\n")) if t is not None else 0
-        assert got[i] == (n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()), i
-    if gram == 5:
-        assert line_dedup.report(empty).count() == 0 and line_dedup.without_repeats(docs).columns == docs.columns
-        assert sorted(r.n_removed for r in line_dedup.report(odd(spark)).collect()) == [0, 0, 1, 1, 1]
+        out.append((n, n - len(kept), "\n".join(kept)))
+    return out
+
+
+def near_lines(seed):
+    """Lines that differ in a few words: groups of like ones larger than tiles and blocks, chains, and other white space."""
+    r = random.Random(seed)
+    vocabulary, rows = [f"v{i}" for i in range(60)], []
+    bases = [r.sample(vocabulary, n) for n in (4, 5, 9, 14, 30, 50)]
+    for i in range(90):
+        lines = []
+        for _ in range(r.randrange(1, 4)):
+            base = list(r.choice(bases))
+            for _ in range(r.choice([0, 1, 1, 2, 4])):
+                base[r.randrange(len(base))] = r.choice([*vocabulary, f"new{i}{r.random()}"])
+            lines.append(r.choice([" ", "  ", "\t", "\x0b"]).join(base) + r.choice(["", "\r", " "]))
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+def test_line_dedup(spark, docs, empty):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(docs).collect()}
+    for (i, *_), (n, removed, text) in zip(corpus(), lines_left([(i, t) for i, t, *_ in corpus()]), strict=True):
+        assert got[i] == (n, removed, hashlib.sha256(text.encode()).hexdigest()), i
+    left = line_dedup.without_repeats(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.where("text is null").collect()} == {i for i, t, *_ in corpus() if t is None}
+    assert line_dedup.report(empty).count() == 0 and line_dedup.without_repeats(empty).count() == 0
+    assert sorted(r.n_removed for r in line_dedup.report(odd(spark)).collect()) == [0, 0, 1, 1, 1]
+
+
+def test_line_dedup_columns_that_clash(spark):
+    names = [*line_dedup.PLACE[1:], *line_dedup.ROW, "tile", "__id", "__hash", "__row", "__lines", "removed", "all_lines", "set"]
+    rows = [(i, f"one two three four {i}\nown words of {i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = line_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {i: x[2] for i, x in enumerate(lines_left(rows))} and {r["__row"] for r in got.collect()} == {"__row"}
+
+
+@pytest.mark.parametrize("seed,small,block", [(1, 256, 1024), (2, 3, 4), (3, 2, 5), (4, 1, 1000)])
+def test_line_dedup_loses_no_line(spark, monkeypatch, seed, small, block):
+    """Whatever tiles count as large, and however these are cut into blocks."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rows = near_lines(seed)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (i, _), (n, removed, text) in zip(rows, lines_left(rows), strict=True):
+        assert got[i] == (n, removed, hashlib.sha256(text.encode()).hexdigest()), i
 
 
 def counts(t):
@@ -342,6 +388,12 @@ def test_quality_rules(spark, docs, empty):
         assert r.base_failed == (c[0] < 50 or 100 * c[4] > 50 * c[0]) and not (r.base_failed and r.kept)
     assert {r.doc_id for r in quality_rules.keep_documents(docs, labels).collect()} == {i for i, r in got.items() if r.kept}
     assert quality_rules.score_documents(empty, labels.limit(0)).count() == 0
+    long = " ".join(f"x{i}" for i in range(60))
+    repeats = spark.createDataFrame([(None, long), (7, long), (7, long), (7, None)], "doc_id long, text string").withColumn("score", F.lit(1))
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in quality_rules.score_documents(repeats, labels.limit(0)).collect()) == {(None, 60, True): 1, (7, 60, True): 2, (7, 0, False): 1}
+    assert Counter(r.doc_id for r in quality_rules.keep_documents(repeats, labels.limit(0)).collect()) == {None: 1, 7: 2}
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).union(spark.createDataFrame([(5, 0)] * 50, "doc_id long, quality int"))
+    assert quality_rules.labelled_sample(many, 1000).count() in range(850, 1150) and quality_rules.labelled_sample(many, 10**6).count() == 40_001
     assert [r.kept for r in quality_rules.score_documents(docs.where("doc_id = 2 or doc_id = 8"), labels.limit(0)).collect() if not r.base_failed] in ([True], [True, True], [])
 
 
@@ -359,31 +411,46 @@ def test_trees_learn_and_stay_monotonic():
     assert quality_rules.fit_trees(x[:10], np.ones(10)) is None
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_decontamination(spark, docs, empty, monkeypatch, rows):
+    """With the contaminated texts broadcast and dealt."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     texts = {i: t for i, t, *_ in corpus()}
     span = " ".join(words(texts[6])[20:45]) if len(words(texts[6])) > 45 else " ".join(words(texts[29])[:25])
-    rows = [(1, span), (2, "W1 w2"), (3, None), (4, "!!"), (5, "one"), (5, "one"), (None, "head " + " ".join(words(texts[8])[:12])), (9, "É naïve")]
-    bench = spark.createDataFrame(rows, "item_id long, text string").withColumn("item", F.lit("clash"))
+    items = [(1, span), (2, "W1 w2"), (3, None), (4, "!!"), (5, "one"), (5, "one"), (None, "head " + " ".join(words(texts[8])[:12])), (9, "É naïve")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit("clash"))
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER))
     windows = defaultdict(set)
-    for item, t in rows:
+    for item, t in items:
         w = split(t)
         n = min(len(w), 10)
         for j in range(len(w) - n + 1 if w else 0):
             windows[tuple(w[j : j + n])].add("null" if item is None else str(item))
     got = {r.doc_id: r for r in decontamination.report(docs, bench).collect()}
     for i, t in texts.items():
-        w, hit, items = split(t), set(), set()
+        w, hit, found = split(t), set(), set()
         for n in {len(k) for k in windows}:
             for j in range(len(w) - n + 1):
                 if (k := tuple(w[j : j + n])) in windows:
                     hit |= set(range(j, j + n))
-                    items |= windows[k]
+                    found |= windows[k]
         r = got[i]
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)), i
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)), i
     clean = decontamination.clean_documents(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.contaminated}
     assert decontamination.report(empty, bench).count() == 0 and decontamination.clean_documents(docs, bench.limit(0)).count() == len(texts)
+    alphabet = spark.createDataFrame([(1, "c d e f g h i j k l"), (1, "c d e f g h i j k l")], "item_id long, text string")
+    repeated = decontamination.report(odd(spark), alphabet).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_hit, x.n_items) for x in repeated) == {(None, 26, 10, 1): 1, (4, 26, 10, 1): 1, (4, 27, 10, 1): 2, (None, 0, 0, 0): 1}
+    assert [tuple(x) for x in decontamination.clean_documents(odd(spark), alphabet).collect()] == [(None,) * 5]
+
+
+def test_decontamination_columns_that_clash(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    names = [*decontamination.KEY, "__salt", "__row", "hits", "n_hit", "window", "item"]
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "free")], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    (kept,) = decontamination.clean_documents(docs, bench).collect()
+    assert kept.asDict() == {"doc_id": 2, "text": "free", **{c: c for c in names}}
 
 
 def test_html_extraction(spark):
@@ -402,11 +469,11 @@ def test_html_extraction(spark):
 @pytest.mark.parametrize("quote", ['"', "'"])
 def test_html_attribute_values_of_any_length(value, quote):
     source = f'<p>One.</p><img src={quote}{value}{quote}><p>Two kept words.</p><p>Three <a href="x">link</a>'
-    assert html_extraction.Page(source).text([]) == "One. Two kept words. Three link"
+    assert html_extraction.Page(source).text(None) == "One. Two kept words. Three link"
 
 
 def test_html_stray_and_unclosed_quotes():
-    text = lambda source: html_extraction.Page(source).text([])
+    text = lambda source: html_extraction.Page(source).text(None)
     assert text('<p title="never closed>One.</p><p>Two.</p>') == "One. Two."
     assert text("<p don't>One.</p><p>It isn't two.</p>") == "One. It isn't two."
     assert text('<p class="a"">One.</p><p>Say "two".</p>') == 'One. Say "two".'
@@ -438,8 +505,75 @@ def test_html_parts_beside_the_best(spark, wrap, parts):
     assert {r.text for r in got} == {want + links}
 
 
+class Scores(HTMLParser):
+    """Containers of well-formed pages without boilerplate: path, own text, outer container."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.found, self.stack = [["", "", -1]], [0]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extraction.CONTAINERS:
+            path = f"{self.found[self.stack[-1]][0]}>{tag}" + "".join("." + re.sub(r"\d+", "0", c) for k, v in attrs if k == "class" for c in sorted(v.split()))
+            self.found.append([path, "", self.stack[-1]])
+            self.stack.append(len(self.found) - 1)
+
+    def handle_endtag(self, tag):
+        if tag in html_extraction.CONTAINERS:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.found[self.stack[-1]][1] += data
+
+    def under(self, c):
+        return self.found[c][1] + "".join(self.under(k) for k in range(len(self.found)) if self.found[k][2] == c)
+
+    def score(self, c):
+        text = self.found[c][1].strip()
+        return (len(text) + 1 if text else 0) + sum(self.score(k) for k in range(len(self.found)) if self.found[k][2] == c) / 2
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_html_consensus_against_brute_force(spark, monkeypatch, rows):
+    """Twelve layouts of one host, and two hosts that vote otherwise; with votes broadcast and dealt."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    r = random.Random(3)
+    part = lambda name, n: f'<div class="{name}">{_prose(r.choice("abcd"), n)}</div>'
+    pages = []
+    for i in range(60):
+        body = "".join(part(f"{r.choice('xyz')}{k}" if k else f"lay{'abcdefghijkl'[i % 12]}", r.randrange(60, 200)) for k in range(2))
+        pages.append((i, f"https://h{0 if i % 7 else i % 2 + 1}.example/{i}", f"<html><body>{body}</body></html>"))
+    votes, parsed = Counter(), {}
+    for i, url, source in pages:
+        p = parsed[i] = Scores(source)
+        by = Counter()
+        for c, (path, _, _) in enumerate(p.found):
+            by[path] += p.score(c)
+        for path, s in by.items():
+            votes[url[:19], path] += round(1000 * s / max(by.values()))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(x.page_key, x.page_key2): x.path for x in html_extraction.winning_paths(html_extraction.page_paths(df)).collect()}
+    keys = {x.page_id: (x.page_key, x.page_key2) for x in html_extraction.with_key(df).collect()}
+    for i, url, _ in pages:
+        p = parsed[i]
+        inside = Counter()
+        for c, (path, _, _) in enumerate(p.found):
+            inside[path] += len(p.under(c))
+        fit = [path for path, n in inside.items() if n >= html_extraction.ENOUGH * len(p.under(0))]
+        assert got[keys[i]] == min(fit, key=lambda path: (-votes[url[:19], path], -len(path), path)), i
+    assert len({path for (h, path) in votes if "lay" in path and h == "https://h0.example/"[:19]}) > 8
+
+
+def test_html_long_pages_and_repeats(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(1, "https://h.example/", f"<article><p>{long}</p></article>")] * 2 + [(1, "https://h.example/", "<p>other</p>"), (None, None, "<p>x</p>"), (None, None, "<p>x</p>")]
+    got = Counter((r.page_id, r.text) for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {(1, long): 2, (1, "other"): 1, (None, "x"): 2}
+
+
 def test_html_heading_around_the_best():
-    text = lambda source: html_extraction.Page(source).text([])
+    text = lambda source: html_extraction.Page(source).text(None)
     long = _prose("long", 2000)
     assert text(f'<body><div class="post"><h1>Head</h1><div class="in">{long}</div></div><div class="c3">{_prose("aside", 100)}</div>') == f"Head {long}"
     assert text(f'<body><div class="lead">{_prose("lead", 800)}</div><div class="part">{long}</div></body>') == f"{_prose('lead', 800)} {long}"
@@ -449,7 +583,7 @@ def test_html_heading_around_the_best():
 @pytest.mark.parametrize("tag", ["div", "section", "td", "p"])
 def test_html_names_that_are_not_boilerplate(attribute, tag):
     source = f'<body><article><p>{_prose("first", 500)}</p><{tag} {attribute}>{_prose("second", 200)}</{tag}></article></body>'
-    assert html_extraction.Page(source).text([]) == f"{_prose('first', 500)} {_prose('second', 200)}"
+    assert html_extraction.Page(source).text(None) == f"{_prose('first', 500)} {_prose('second', 200)}"
 
 
 @pytest.mark.parametrize("attribute", ['class="sidebar-left"', 'class="x site-header"', 'id="comments-12"', 'id=ad3', 'role="navigation"', 'CLASS="Comment_List"', "hidden", 'aria-hidden="true"', 'style="color:red;display: none"'])
@@ -457,11 +591,11 @@ def test_html_names_that_are_not_boilerplate(attribute, tag):
 def test_html_names_that_are_boilerplate(attribute, tag):
     """However much longer than the article it is."""
     source = f'<body><article><p>{_prose("first", 500)}</p></article><{tag} {attribute}>{_prose("second", 2000)}</{tag}></body>'
-    assert html_extraction.Page(source).text([]) == _prose("first", 500)
+    assert html_extraction.Page(source).text(None) == _prose("first", 500)
 
 
 def test_html_boilerplate_names_around_the_main_text():
-    text = lambda source: html_extraction.Page(source).text([])
+    text = lambda source: html_extraction.Page(source).text(None)
     long = _prose("long", 500)
     for inner in (f"<p>{long}</p>", f"<div>{long}</div>", f"<article><p>{long}</p></article>", f'<div class="widget">{long}</div>'):
         assert text(f'<body><div class="widget">{inner}<div class="ad">buy</div></div><div class="comments">short</div></body>') == long
@@ -469,6 +603,67 @@ def test_html_boilerplate_names_around_the_main_text():
     assert text(f'<body><p class="notice">{long}</p></body>') == long
 
 
+def pipeline_tables(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Labels of both classes; copies, near copies, repeated lines and a benchmark passage among the documents."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    text = lambda: "\n".join(" ".join(f"w{r.randrange(3000)}" for _ in range(20)) for _ in range(5))
+    texts = [text() for _ in range(24)] + [" ".join(f"#$%{i}" for i in range(80)) for _ in range(24)]
+    texts += [texts[0], texts[1] + " tail", texts[2] + "\n" + texts[3].split("\n")[0], texts[4].replace(" ", "  ", 3), "short text", None]
+    item = " ".join(words(texts[5])[3:15])
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    labels = [(i, int(i < 24), 0) for i in range(48) if i % 6]
+    folder = pipeline_tables(spark, tmp_path, spark.createDataFrame(rows, SCHEMA).repartition(3), labels, [(1, item), (2, None)])
+    score = quality_rules.score_documents(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    good = {x.doc_id for x in score.where("kept").collect()}
+    assert {*range(24)} <= good and not good & {*range(24, 48), 52, 53}
+    left = [(i, texts[i]) for i in sorted(good)]
+    left = [(i, t) for (i, _), (_, _, t) in zip(left, lines_left(left), strict=True)]
+    sets, least = {i: shingled(t) for i, t in left}, {i: i for i, _ in left}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = min(least[a], least[b])
+    window = lambda t: {tuple(w[j : j + 10]) for w in [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(UPPER))] for j in range(len(w) - 9)}
+    left = [(i, t) for i, t in left if least[i] == i and not window(t) & window(item)]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in left}
+    got = defaultdict(int)
+    for x in corpus_pipeline.run(spark, folder).collect():
+        got[x.doc_id] += x.length
+    assert got == want and len(want) > 15 and 5 not in want
+
+
+def test_pipeline_handles_odd_tables(spark, tmp_path):
+    """Null and repeated ids, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    base = odd(spark).withColumns({c: F.lit(7) for c in CLASHES})
+    words_ = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    base = base.unionByName(spark.createDataFrame([(None, words_[0], None, None, None), (None, words_[1], None, None, None), (4, words_[2], None, None, None), (4, words_[2], None, None, None)], SCHEMA).withColumns({c: F.lit(7) for c in CLASHES}))
+    folder = pipeline_tables(spark, tmp_path, base, [(4, 1, 0)], [(1, "nothing like it")])
+    out = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.staged(stage(spark, out, folder), name)
+        assert out.columns == base.columns, name
+        kept.append(sorted(((x.doc_id is None, x.doc_id), len(x.text or "")) for x in out.collect()))
+    # four rows of 50 words or more; the repeated one loses nothing as a copy of itself, and is one row after the join
+    assert [len(k) for k in kept] == [4, 4, 3, 3]
+    assert corpus_pipeline.run(spark, folder).count() == 3
+    nothing = pipeline_tables(spark, tmp_path / "none", base.limit(0), [(1, 1, 0)], [(1, "a")])
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
