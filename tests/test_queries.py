@@ -22,6 +22,7 @@ CHOSEN = (
     " node_id_disambiguation id_resolution impl_owners item_parents impl_edges associated_ids trait_member_edges reexport_edges alias_map derive_edges doc_links doc_link_stats trait_method_sets"
     " publish_decisions direct_items trait_item_parts root_choice hierarchy_cap touched_nodes corpus_names tree_surface detail_store node_view_store version_refs_store version_pointer_store"
     " method_candidates unique_callers local_page_edges cross_edge_data trait_views detail_counts prefix_search already_handled latest_plan manifest_choice root_files validation_report"
+    " label_forms text_forms rule_forms name_list version_lines catalog_store aggregate_index run_log freshness_upsert candidates satisfied_plans finalised matrix_cap edge_occurrences"
 ).split()
 
 

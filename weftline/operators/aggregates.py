@@ -11,9 +11,9 @@ from weftline.operators.filters import is_local_page
 
 
 def merge_edges(raw: DataFrame) -> DataFrame:
-    """One edge for each (from, to, kind, glob), the strongest confidence, the first sequence number, occurrences counted."""
+    """One edge for each (from, to, kind, glob), the strongest confidence, the first sequence number; occurrences are united, and counted."""
     strongest = F.max(F.struct(S.confidence_rank(F.col("confidence")).alias("rank"), "confidence"))["confidence"]
-    return raw.groupBy("from_id", "to_id", "kind", "is_glob").agg(strongest.alias("confidence"), F.min("edge_seq").alias("edge_seq"), F.count("*").alias("occurrences"))
+    return raw.groupBy("from_id", "to_id", "kind", "is_glob").agg(strongest.alias("confidence"), F.min("edge_seq").alias("edge_seq"), F.count_distinct("edge_seq").alias("occurrences"))
 
 
 def merge_nodes(raw: DataFrame, completeness: Column | None = None) -> DataFrame:
@@ -119,3 +119,9 @@ def validation_report(items: DataFrame, paths: DataFrame, nodes: DataFrame, edge
     warning = F.when(F.col("n_lost") > 0, F.concat(F.col("n_lost").cast("string"), F.lit(" local paths without items: "), F.col("sample"), more))
     aside = (F.col("local_paths") > 1) & (F.col("local_nodes") == 1)
     return joined.select("package", "items", "local_paths", "external_paths", "graph_nodes", "graph_edges", "raw", "resolved", "unresolved", warning.alias("warning"), aside.alias("quarantined"))
+
+
+def enriched(packages: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """Package nodes with what their document's root item says where they say nothing. roots: package and columns."""
+    found = packages.join(roots.select("package", *[F.col(c).alias(f"root_{c}") for c in columns]), "package", "left")
+    return found.select(*[F.coalesce(c, f"root_{c}").alias(c) if c in columns else c for c in packages.columns])

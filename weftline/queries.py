@@ -291,7 +291,7 @@ def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- aggregations
 
 
-@query("edge_merge", ("raw_edges",), "SELECT from_id, to_id, kind, is_glob, CASE max(CASE confidence WHEN 'Runtime' THEN 3 WHEN 'Static' THEN 2 ELSE 1 END) WHEN 3 THEN 'Runtime' WHEN 2 THEN 'Static' ELSE 'Inferred' END AS confidence, min(edge_seq) AS edge_seq, count(*) AS occurrences FROM raw_edges GROUP BY from_id, to_id, kind, is_glob")
+@query("edge_merge", ("raw_edges",), "SELECT from_id, to_id, kind, is_glob, CASE max(CASE confidence WHEN 'Runtime' THEN 3 WHEN 'Static' THEN 2 ELSE 1 END) WHEN 3 THEN 'Runtime' WHEN 2 THEN 'Static' ELSE 'Inferred' END AS confidence, min(edge_seq) AS edge_seq, count(DISTINCT edge_seq) AS occurrences FROM raw_edges GROUP BY from_id, to_id, kind, is_glob")
 def _(raw: DataFrame) -> DataFrame:
     return A.merge_edges(raw)
 
@@ -828,4 +828,4 @@ def _(nodes: DataFrame, raw: DataFrame, traits: DataFrame, impls: DataFrame) ->
     return X.resolve(calls.select("caller", "module", "path"), nodes)
 
 
-from weftline import ingest_queries  # noqa: E402, F401  registers its queries
+from weftline import ingest_queries, scan_queries  # noqa: E402, F401  they register their queries

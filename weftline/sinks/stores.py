@@ -133,3 +133,22 @@ def version_refs(entries: DataFrame) -> DataFrame:
 def write_refs(refs: DataFrame, path: str) -> None:
     """One JSON document a line for each storage name."""
     refs.write.mode("overwrite").json(path)
+
+
+def write_catalog(newest: DataFrame, path: str, schema_version: int) -> None:
+    """The newest good entry of each storage name, sorted by name in each file."""
+    rows = newest.select(F.lit(schema_version).alias("schema_version"), "name", "version")
+    rows.repartitionByRange("name").sortWithinPartitions("name").write.mode("overwrite").json(path)
+
+
+def append_log(deltas: DataFrame, path: str) -> None:
+    """A JSON line for each finished item, beside those of earlier runs."""
+    deltas.write.mode("append").json(path)
+
+
+def record_versions(before: DataFrame | None, entries: DataFrame) -> DataFrame:
+    """name, key, version: a row for each exact version, and ``latest`` if no higher version is there."""
+    exact = entries.select("name", F.col("version").alias("key"), "version")
+    both = exact.unionByName(before) if before is not None else exact
+    latest = both.groupBy("name").agg(F.max_by("version", S.semver(F.col("version"))).alias("version")).select("name", F.lit("latest").alias("key"), "version")
+    return both.where("key <> 'latest'").distinct().unionByName(latest)
