@@ -19,10 +19,8 @@ CHOSEN = (
     "local_pages text_kind_filter hash_buckets work_buckets name_forms path_parts visibility_keys semver_order staleness_reasons tree_children missing_stubs placeholder_modules page_edges"
     " longest_alias suffix_resolve edge_merge kind_facets relationship_groups download_rank newest_versions node_search neighbour_cap ancestors owner_modules hop_neighbourhood ordered_union"
     " version_staleness work_plan delta_merge final_status timeouts alias_store changed_shards partition_replace registry_csv document_items document_type_uses"
-    " node_id_disambiguation id_resolution impl_owners item_parents impl_edges associated_ids trait_member_edges reexport_edges alias_map derive_edges doc_links doc_link_stats trait_method_sets"
-    " publish_decisions direct_items trait_item_parts root_choice hierarchy_cap touched_nodes corpus_names tree_surface detail_store node_view_store version_refs_store version_pointer_store"
-    " method_candidates unique_callers local_page_edges cross_edge_data trait_views detail_counts prefix_search already_handled latest_plan manifest_choice root_files validation_report"
-    " label_forms text_forms rule_forms name_list version_lines catalog_store aggregate_index run_log freshness_upsert candidates satisfied_plans finalised matrix_cap edge_occurrences"
+    " node_id_disambiguation impl_edges associated_ids alias_map derive_edges doc_links trait_method_sets direct_items trait_item_parts hierarchy_cap corpus_names detail_store node_view_store version_refs_store"
+    " method_candidates unique_callers local_page_edges cross_edge_data already_handled latest_plan validation_report label_forms text_forms catalog_store aggregate_index freshness_upsert satisfied_plans"
 ).split()
 
 
