@@ -25,6 +25,7 @@ PARTS |= {
     "exported_as": "SELECT parent || '::' || name AS alias, min(node) AS canonical FROM exports WHERE parent || '::' || name <> node AND (is_glob OR len(string_split(parent || '::' || name, '::')) < len(string_split(node, '::'))) GROUP BY 1",
     "inverse": "SELECT canonical, arg_min(alias, (length(alias), alias)) AS alias FROM exported_as GROUP BY canonical",
     "top": "SELECT package, id FROM (SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY length(id) DESC, name, id) AS r FROM nodes WHERE kind IN ('Module', 'Crate')) WHERE r <= 3",
+    "touching": "SELECT from_id AS page, from_id, to_id, kind FROM edges UNION ALL SELECT to_id, from_id, to_id, kind FROM edges",
     "member_of": "SELECT m.*, CASE kind WHEN 'Function' THEN 'method' ELSE 'type' END AS word FROM api_members m WHERE kind <> 'Field'",
 }
 ITEMS, USES = ("api_items",), ("api_items", "api_uses")
@@ -94,7 +95,7 @@ def _(items: DataFrame, uses: DataFrame) -> DataFrame:
     return I.alias_map(I.exported(uses, items, I.node_ids(items)))
 
 
-@query("derive_edges", ("api_derives", "api_traits"), "SELECT DISTINCT d.owner AS from_id, t.node AS to_id, 'Derives' AS kind, 'Inferred' AS confidence FROM api_derives d JOIN api_traits t ON d.name = t.node OR (d.name = t.name AND (SELECT count(*) FROM api_traits o WHERE o.name = t.name) = 1)")
+@query("derive_edges", ("api_derives", "api_traits"), "SELECT d.owner AS from_id, t.node AS to_id, 'Derives' AS kind, 'Inferred' AS confidence FROM api_derives d JOIN api_traits t ON d.name = t.node UNION SELECT d.owner, t.node, 'Derives', 'Inferred' FROM api_derives d JOIN (SELECT name, min(node) AS node FROM api_traits GROUP BY name HAVING count(*) = 1) t ON d.name = t.name")
 def _(derives: DataFrame, traits: DataFrame) -> DataFrame:
     return I.derive_edges(derives, traits)
 
@@ -269,8 +270,8 @@ def _(structs: DataFrame, impls: DataFrame) -> DataFrame:
 
 @query(
     "local_page_edges", ("nodes", "edges"),
-    "SELECT DISTINCT page, from_id, to_id, kind FROM (SELECT p.id AS page, from_id, to_id, e.kind FROM edges e JOIN pages p ON e.from_id = p.id OR e.to_id = p.id UNION ALL SELECT d.from_id, e.from_id, e.to_id, e.kind FROM edges d JOIN pages p ON d.from_id = p.id AND p.kind IN ('Struct', 'Enum', 'Union', 'Trait', 'TraitAlias', 'TypeAlias') JOIN edges e ON e.from_id = d.to_id OR e.to_id = d.to_id WHERE d.kind = 'Defines')",
-    ("pages",),
+    "SELECT DISTINCT page, from_id, to_id, kind FROM (SELECT x.page, x.from_id, x.to_id, x.kind FROM touching x JOIN pages p ON x.page = p.id UNION ALL SELECT d.from_id, e.from_id, e.to_id, e.kind FROM edges d JOIN pages p ON d.from_id = p.id JOIN touching e ON e.page = d.to_id WHERE d.kind = 'Defines' AND p.kind IN ('Struct', 'Enum', 'Union', 'Trait', 'TraitAlias', 'TypeAlias'))",
+    ("pages", "touching"),
 )
 def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return V.local_page_edges(nodes, edges, nodes.where(is_local_page()).select(F.col("id").alias("page")))
