@@ -78,6 +78,15 @@ def test_license_scan(spark, empty):
     assert license_scan.inherit(license_scan.scan(df.limit(0))).count() == 0
 
 
+def test_license_ties_repeats_and_long_texts(spark):
+    """Two licence files of a directory with equal cosines: the smaller name; repeated rows are rows of their own."""
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    long = "word " * 60_000 + "\n# " + mit + "\n" + "tail " * 60_000
+    rows = [(1, "/t/LICENSE", mit), (2, "/t/COPYING", cc), (3, "/t/x.py", ""), (3, "/t/x.py", ""), (4, "/u/long.txt", long), (None, None, None), (None, None, None)]
+    got = Counter((r.file_id, r.license, r.license_from, r.basis) for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string"))).collect())
+    assert got == {(1, "MIT", None, "own"): 1, (2, "CC-BY-4.0", None, "own"): 1, (3, "CC-BY-4.0", "/t", "inherited"): 2, (4, "MIT", None, "own"): 1, (None, None, None, "none"): 2}
+
+
 def test_license_statements_over_lines(spark):
     gpl = "This work is licensed under the GNU General Public License,\n{}version 3.\n"
     permission = license_scan.TEMPLATES["MIT"][2].split()
@@ -129,6 +138,15 @@ def test_chat_format(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_format_ties(spark):
+    """Turns of one number go by speaker, then text; places still add up."""
+    rows = [(1, 5, "bob", "z"), (1, 5, "ann", "b"), (1, 5, "ann", "a"), (1, 2**40, "bob", ""), (1, -3, "ann", "first")]
+    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).where("perspective = 'ann'").orderBy("seq").collect()
+    assert [r.segment.split("\n")[1].removesuffix("<|im_end|>") for r in got] == ["first", "a", "b", "z", ""]
+    whole = "".join(r.segment for r in got)
+    assert all(whole[r.start : r.start + len(r.segment)] == r.segment for r in got)
+
+
 SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "|>", "<|endoftext|><|startoftext|> <|endoftext|>"]
 
 
