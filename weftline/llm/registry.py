@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import binary_output, chat_format, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_rules, substring_dedup
+from weftline.llm import (
+    binary_output, chat_format, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, prefix_bpe, quality_rules,
+    substring_dedup, token_alignment, word_runs,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_html_extraction": html_extraction.op10_html_extraction,
+        "op11_periodic_runs": word_runs.op11_periodic_runs,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_bpe_codec": prefix_bpe.op13_bpe_codec,
     }
 
 
