@@ -157,8 +157,38 @@ def test_lists_and_index_lines(spark, tmp_path):
     assert [r.version for r in N.version_lines(spark, str(tmp_path / "lines"), 5).orderBy("place").collect()] == ["3", "1"]
 
 
-def test_calls_are_tried_in_order(spark):
-    nodes = spark.createDataFrame([("p::m::f", "Function"), ("p::n::f", "Function"), ("p::n::g", "Function"), ("q::h", "Function")], "id string, kind string")
-    calls = spark.createDataFrame([("c1", "p::m", "f"), ("c2", "p::n", "super::m::f"), ("c3", "p", "f"), ("c4", "p::n", "crate::n::g"), ("c5", "p", "x::h"), ("c6", "p", "self::f")], "caller string, module string, path string")
-    assert rows(X.resolve(calls, nodes).select("caller", "target", "confidence")) == [("c1", "p::m::f", "Static"), ("c2", "p::m::f", "Static"), ("c4", "p::n::g", "Static"), ("c5", "q::h", "Static")]
-    assert [r.confidence for r in X.resolve(calls, nodes, ambiguous=True).where("caller = 'c3'").collect()] == ["Inferred", "Inferred"]
+FUNCTIONS = ["p::f", "p::m::f", "p::m::k::f", "p::n::g", "p::n::T::go", "p::m::T::go", "p::m::U::run", "p::q::h", "p::caller"]
+
+
+def function_table(spark):
+    return spark.createDataFrame([("p", i) for i in FUNCTIONS] + [("other", "other::m::f")], "package string, id string")
+
+
+def path_calls(spark, *calls):
+    return spark.createDataFrame([("p", f"c{i}", module, path, None) for i, (module, path) in enumerate(calls)], "package string, caller string, module string, path string, span string")
+
+
+def test_paths_of_calls(spark):
+    """One fitting function, by the path as it stands or in scope; anchors mean scope alone; any number of supers; no last segment alone."""
+    asked = [("m", "f"), ("n", "super::m::f"), ("", "f"), ("n", "crate::n::g"), ("n", "x::h"), ("m", "self::f"), ("m::k", "super::super::n::g"), ("m", "super::super::super::q::h"), ("m::k", "super"), ("n", "super::self::g"), ("m", "Self::k::f"), ("q", "h")]
+    got = {(r.caller, r.target, r.confidence) for r in X.resolve(path_calls(spark, *asked), function_table(spark)).collect()}
+    assert got == {(f"c{i}", t, "Static") for i, t in [(0, "p::m::f"), (1, "p::m::f"), (3, "p::n::g"), (5, "p::m::f"), (6, "p::n::g"), (7, "p::q::h"), (10, "p::m::k::f"), (11, "p::q::h")]}
+    many = X.resolve(path_calls(spark, ("m", "f"), ("", "f"), ("n", "x::h")), function_table(spark), ambiguous=True)
+    assert rows(many.select("caller", "target", "confidence")) == [(c, t, "Static" if (c, t) == ("c0", "p::m::f") else "Inferred") for c in ("c0", "c1") for t in ("p::f", "p::m::f", "p::m::k::f")]
+
+
+def test_calls_of_methods(spark):
+    asked = [("m", "T", "go"), ("m", "crate::n::T", "go"), ("n", "super::m::T", "go"), ("q", "T", "go"), ("q", None, "run"), ("q", "V", "run"), ("q", None, "go"), ("m", "T", "nothing")]
+    calls = spark.createDataFrame([("p", f"c{i}", *a, i) for i, a in enumerate(asked)], "package string, caller string, module string, type string, name string, span int")
+    methods = function_table(spark).where("id like '%::T::%' or id like '%::U::%'")
+    assert rows(X.resolve_methods(calls, methods).select("caller", "target", "confidence")) == [("c0", "p::m::T::go", "Static"), ("c1", "p::n::T::go", "Static"), ("c2", "p::m::T::go", "Static"), ("c4", "p::m::U::run", "Static"), ("c5", "p::m::U::run", "Static")]
+    every = {(r.caller, r.target, r.confidence) for r in X.resolve_methods(calls, methods, ambiguous=True).collect()}
+    assert {x for x in every if x[0] in ("c0", "c3", "c6")} == {("c0", "p::m::T::go", "Static"), ("c0", "p::n::T::go", "Inferred")} | {(c, t, "Inferred") for c in ("c3", "c6") for t in ("p::m::T::go", "p::n::T::go")}
+
+
+def test_places_of_calls(spark):
+    """Two calls of one function on two lines: one edge with both places; what calls itself has no edge."""
+    span = "struct<file: string, line: int, column: int>"
+    calls = spark.createDataFrame([("p", "p::caller", "", path, ("src/lib.rs", line, 5)) for path, line in [("q::h", 3), ("q::h", 2), ("q::h", 2), ("caller", 4)]], f"package string, caller string, module string, path string, span {span}")
+    edge = X.call_edges(X.resolve(calls, function_table(spark))).collect()
+    assert [(e.from_id, e.to_id, e.confidence, [o.line for o in e.occurrences]) for e in edge] == [("p::caller", "p::q::h", "Static", [2, 3])]

@@ -63,6 +63,16 @@ SELECT package, package AS parent, 2000000000000 + c_custkey AS target_item, nam
 UNION ALL SELECT package, package, 1000000000000 + CAST(n_nationkey AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 2 = 0
 UNION ALL SELECT package, id, 1000000000000 + CAST((n_nationkey + 1) % 25 AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 3 = 0
 UNION ALL SELECT package, id, 2000000000001 + CAST(n_nationkey AS BIGINT), 'Renamed', false FROM {modules}""",
+    "api_functions": """
+SELECT DISTINCT s.package, s.id || '::m' || CAST(l_partkey % 400 AS STRING) AS id, 'm' || CAST(l_partkey % 400 AS STRING) AS name, true AS is_method FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {structs} s ON o_custkey = c_custkey
+UNION ALL SELECT DISTINCT package, module_id || '::f' || CAST(c_custkey % 97 AS STRING), 'f' || CAST(c_custkey % 97 AS STRING), false FROM {structs}
+UNION ALL SELECT DISTINCT package, package || '::g' || CAST(c_custkey % 11 AS STRING), 'g' || CAST(c_custkey % 11 AS STRING), false FROM {structs}""",
+    "api_calls": """
+SELECT s.package, s.id || '::m' || CAST(l_partkey % 400 AS STRING) AS caller, m.name AS module, s.name AS type_name, 'm' || CAST(l_suppkey * 7 % 450 AS STRING) AS method,
+  CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN '' WHEN 1 THEN o.name || '::' WHEN 2 THEN 'super::' WHEN 3 THEN 'super::super::' WHEN 4 THEN 'crate::' || o.name || '::' WHEN 5 THEN 'self::' WHEN 6 THEN 'nowhere::' WHEN 7 THEN 'crate::' WHEN 8 THEN s.name || '::' ELSE 'super::self::' || o.name || '::' END
+  || CASE (l_orderkey + l_linenumber) % 10 WHEN 8 THEN 'm' || CAST(l_partkey % 400 AS STRING) WHEN 2 THEN 'g' || CAST(l_partkey % 11 AS STRING) WHEN 3 THEN 'g' || CAST(l_partkey % 11 AS STRING) WHEN 7 THEN 'g' || CAST(l_partkey % 11 AS STRING) ELSE 'f' || CAST(l_partkey % 97 AS STRING) END AS path,
+  CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN s.name WHEN 2 THEN 'crate::' || m.name || '::' || s.name ELSE 'self::' || s.name END AS type, l_linenumber AS line
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {structs} s ON o_custkey = c_custkey JOIN {modules} m ON s.module_id = m.id JOIN {modules} o ON o.n_nationkey = l_orderkey % 25""",
     "api_types": """
 SELECT c_custkey AS item_id, replace(replace(replace(CASE c_custkey % 5 WHEN 0 THEN '<"resolved_path":<"path":"x","id":N>>' WHEN 1 THEN '<"borrowed_ref":<"type":<"resolved_path":<"id":N>>>>'
   WHEN 2 THEN '<"raw_pointer":<"type":<"slice":<"resolved_path":<"id":N>>>>>' WHEN 3 THEN '<"array":<"type":<"borrowed_ref":<"type":<"qualified_path":<"self_type":<"resolved_path":<"id":N>>>>>>,"len":"3">>' ELSE '<"primitive":"u8">' END,

@@ -253,13 +253,6 @@ def _(packages: DataFrame) -> DataFrame:
 # ---- calls, lookups, choices
 
 
-@query("method_candidates", ("raw_methods", "methods"), "SELECT DISTINCT id AS caller, 'impl-' || CAST(l_orderkey AS VARCHAR) AS type, name, CAST(1 AS BIGINT) AS candidates, id AS target, 'Static' AS confidence FROM raw_methods WHERE l_linenumber % 3 = 0 UNION ALL SELECT DISTINCT r.id, CASE WHEN l_linenumber % 3 = 1 THEN 'nowhere' END, r.name, c.n, CASE WHEN c.n = 1 THEN r.id END, CASE WHEN c.n = 1 THEN 'Static' ELSE 'Inferred' END FROM raw_methods r JOIN (SELECT name, count(*) AS n FROM methods GROUP BY name) c ON r.name = c.name WHERE l_linenumber % 3 <> 0")
-def _(raw: DataFrame, methods: DataFrame) -> DataFrame:
-    type_ = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("impl-"), F.col("l_orderkey").cast("string"))).when(F.col("l_linenumber") % 3 == 1, "nowhere")
-    calls = raw.select(F.col("id").alias("caller"), F.lit("m").alias("module"), type_.alias("type"), "name").distinct()
-    return X.method_candidates(calls, methods)
-
-
 @query("unique_callers", ("structs", "impls"), "SELECT 's' || CAST(c_custkey AS VARCHAR) AS place, id AS caller FROM structs UNION ALL SELECT 'i' || CAST(o_orderkey AS VARCHAR), id FROM impls")
 def _(structs: DataFrame, impls: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")

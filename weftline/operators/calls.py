@@ -2,53 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
+from weftline.shared import staged
 
 
-def callables(nodes: DataFrame, kinds: tuple[str, ...] = ("Function", "Method", "Trait", "Struct")) -> DataFrame:
-    """suffix, target: every ``::`` suffix of every callable, once for all calls."""
-    return nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("target"), F.explode(S.suffixes(F.col("id"))).alias("suffix"))
-
-
-def resolve(calls: DataFrame, nodes: DataFrame, ambiguous: bool = False) -> DataFrame:
-    """calls (caller, module, path) to caller, path, target, confidence.
-
-    Attempts in order, the first that matches anything counts: the path under the caller's module or as a whole suffix; after
-    ``crate``, ``self`` or ``super`` only what is in scope; the last segment alone. One match is Static; several are Inferred,
-    and are given only in ambiguous mode."""
-    head, rest = S.package_of(F.col("path")), F.when(F.col("path").contains("::"), F.regexp_replace("path", "^[^:]+::", ""))
-    scope = (
-        F.when(head == "crate", F.concat_ws("::", S.package_of(F.col("module")), rest))
-        .when(head == "self", F.concat_ws("::", "module", rest))
-        .when(head == "super", F.concat_ws("::", S.parent_id(F.col("module")), rest))
-    )
-    scoped = F.concat_ws("::", "module", "path")
-    attempts = F.when(scope.isNotNull(), F.array(scope)).otherwise(F.array(scoped, F.col("path"), S.last_segment(F.col("path"))))
-    tries = calls.select("caller", "path", F.posexplode(attempts).alias("attempt", "suffix"))
-    found = tries.join(callables(nodes), "suffix").select("caller", "path", "attempt", "target").distinct()
-    first = found.groupBy("caller", "path").agg(F.min("attempt").alias("attempt"))
-    chosen = found.join(first, ["caller", "path", "attempt"])
-    matches = chosen.groupBy("caller", "path").agg(F.count("*").alias("n"))
-    named = chosen.join(matches, ["caller", "path"]).where((F.col("n") == 1) | F.lit(ambiguous))
-    return named.select("caller", "path", "target", F.when(F.col("n") == 1, "Static").otherwise("Inferred").alias("confidence"))
-
-
-def method_candidates(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """calls (caller, module, type, name; type: a path or null) to every method that fits: below its type as it stands or in the module; if
-    there is none, every method of the name. One candidate is Static, several are Inferred. methods: id."""
-    table = methods.select(F.col("id").alias("target"), F.explode(S.suffixes(F.col("id"))).alias("suffix"))
-    typed = F.array(F.concat_ws("::", "type", "name"), F.concat_ws("::", "module", "type", "name"))
-    tries = calls.where("type is not null").select("caller", "type", "name", F.explode(F.array_distinct(typed)).alias("suffix"))
-    direct = tries.join(table, "suffix").select("caller", "type", "name", "target").distinct()
-    key = [calls[c].eqNullSafe(direct[c]) for c in ("caller", "type", "name")]
-    rest = calls.join(direct, key, "left_anti").select("caller", "type", "name").distinct()
-    by_name = rest.join(table.select(F.col("suffix").alias("name"), "target").distinct(), "name").select("caller", "type", "name", "target")
-    found = direct.unionByName(by_name)
-    n = found.groupBy("caller", "type", "name").agg(F.count("*").alias("candidates"), F.min("target").alias("target"))
-    return n.select("caller", "type", "name", "candidates", F.when(F.col("candidates") == 1, F.col("target")).alias("target"), F.when(F.col("candidates") == 1, "Static").otherwise("Inferred").alias("confidence"))
+def _suffixes(functions: DataFrame) -> DataFrame:
+    """package, suffix, target: what can follow a ``::`` in each function's path, so never the whole path."""
+    return functions.select("package", F.col("id").alias("target"), F.explode(F.filter(S.suffixes(F.col("id")), lambda s, k: k > 0)).alias("suffix"))
+
+
+def _counted(functions: DataFrame) -> DataFrame:
+    """package, suffix, n, only: how many functions a suffix fits, and one of them; counted before calls are joined."""
+    return _suffixes(functions).groupBy("package", "suffix").agg(F.count("*").alias("n"), F.min("target").alias("only"))
+
+
+def _below(base: Column, rest: Column) -> Column:
+    return F.when(base == "", rest).otherwise(F.concat_ws("::", base, rest))
+
+
+def _anchored(path: Column, module: Column) -> tuple[Column, Column, Column]:
+    """What a path names: the rest after its anchor (any number of ``super``, then ``crate``, ``self`` or ``Self``), the rest below
+    the module that the anchor means, and the anchor itself. A package's root module is ''."""
+    part = lambda k: F.regexp_extract(F.concat(path, F.lit("::")), r"^((?:super::)*)(?:(crate|self|Self)::)?(.*)$", k)
+    ups, word, rest = F.regexp_count(part(1), F.lit("super")), part(2), F.regexp_replace(part(3), "::$", "")
+    anchor = F.when(word == "crate", "crate").when(word != "", "self").when(ups > 0, "super").otherwise("")
+    parts = F.split(module, "::")
+    upper = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - ups, F.lit(0))), "::")
+    base = F.when(anchor == "crate", "").when(anchor == "super", upper).otherwise(module)
+    return rest, _below(base, rest), anchor
+
+
+def _targets(tries: DataFrame, functions: DataFrame, ambiguous: bool) -> DataFrame:
+    """tries (package, suffix, attempt, further columns) with target and confidence: Static where one function fits. Where several do,
+    none counts, or in ambiguous mode each, Inferred; only that mode makes a row for every function that fits."""
+    n = _counted(functions)
+    if not ambiguous:
+        return tries.join(n.where("n = 1").select("package", "suffix", F.col("only").alias("target")), ["package", "suffix"]).withColumn("confidence", F.lit("Static"))
+    every = _suffixes(functions).join(n.select("package", "suffix", "n"), ["package", "suffix"])
+    return tries.join(every, ["package", "suffix"]).withColumn("confidence", F.when(F.col("n") == 1, "Static").otherwise("Inferred")).drop("n")
+
+
+def resolve(calls: DataFrame, functions: DataFrame, ambiguous: bool = False) -> DataFrame:
+    """calls (package, caller, module, path, span) to package, caller, target, confidence, span; functions: package, id.
+
+    A path without an anchor counts as a suffix as it stands and below its module; with one only below the module that the
+    anchor means. What fits by any of these counts, with the stronger confidence. (A single name fits the same functions
+    by name as it does as a suffix, so a further attempt by name finds nothing new.) Nothing calls itself."""
+    rest, scoped, anchor = _anchored(F.col("path"), F.col("module"))
+    suffixes = F.when(rest == "", F.array().cast("array<string>")).when(anchor == "", F.array_distinct(F.array(rest, scoped))).otherwise(F.array(scoped))
+    found = _targets(calls.select("package", "caller", "span", F.explode(suffixes).alias("suffix")), functions, ambiguous)
+    return _strongest(found.where("caller <> target").drop("suffix"), ["package", "caller", "target", "span"])
+
+
+def _strongest(found: DataFrame, keys: list[str]) -> DataFrame:
+    best = F.max(F.struct(S.confidence_rank(F.col("confidence")).alias("rank"), "confidence"))["confidence"]
+    return found.groupBy(*keys).agg(best.alias("confidence"))
+
+
+def resolve_methods(calls: DataFrame, methods: DataFrame, ambiguous: bool = False) -> DataFrame:
+    """calls (package, caller, module, type, name, span; type: the path of the type that the caller belongs to, or null) to package,
+    caller, target, confidence, span; methods: package, id.
+
+    Below the type as it stands and, unless the type's own path is anchored to a package or an upper module, below the
+    caller's module; if neither fits, by name alone."""
+    keys = ["package", "caller", "module", "type", "name"]
+    calls = calls.withColumn("type", F.coalesce("type", F.lit("")))
+    rest, scoped, anchor = _anchored(F.col("type"), F.col("module"))
+    own = F.when(anchor == "super", scoped).otherwise(rest)
+    typed = F.when(rest == "", F.array().cast("array<string>")).when(anchor.isin("crate", "super"), F.array(own)).otherwise(F.array_distinct(F.array(own, _below(F.col("module"), own))))
+    asked = calls.select(*keys).distinct()
+    by_type = asked.select(*keys, F.explode(F.transform(typed, lambda t: F.concat_ws("::", t, "name"))).alias("suffix"))
+    found = staged(_targets(by_type, methods, ambiguous).drop("suffix"), "typed_calls")
+    by_name = asked.join(found.select(*keys).distinct(), keys, "left_anti").withColumn("suffix", F.col("name"))
+    every = found.unionByName(_targets(by_name, methods, ambiguous).drop("suffix")).where("caller <> target")
+    return calls.join(_strongest(every, [*keys, "target"]), keys).select("package", "caller", "target", "confidence", "span")
+
+
+def call_edges(resolved: DataFrame) -> DataFrame:
+    """One edge for each caller and target: the strongest confidence, and the distinct places of its calls in order."""
+    best = F.max(F.struct(S.confidence_rank(F.col("confidence")).alias("rank"), "confidence"))["confidence"]
+    return resolved.groupBy("package", F.col("caller").alias("from_id"), F.col("target").alias("to_id")).agg(best.alias("confidence"), F.array_sort(F.collect_set("span")).alias("occurrences"))
 
 
 def unique_callers(places: DataFrame, nodes: DataFrame) -> DataFrame:

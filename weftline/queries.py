@@ -819,13 +819,36 @@ def _(modules: DataFrame, structs: DataFrame) -> DataFrame:
 
 # ---- calls
 
-_CALLS = "SELECT DISTINCT m.id AS caller, i.struct_module AS module, CASE l_linenumber % 3 WHEN 0 THEN t.name WHEN 1 THEN split_part(t.id, '::', 2) || '::' || t.name ELSE 'nowhere::' || t.name END AS path, t.id AS target FROM raw_methods m JOIN traits t ON l_suppkey = s_suppkey JOIN (SELECT id, split_part(id, '::', 1) || '::' || split_part(id, '::', 2) AS struct_module FROM impls) i ON m.impl_id = i.id"
+#: What every call's path names, and every suffix of every function that is not its whole path.
+PARTS |= {
+    "called": "SELECT *, regexp_extract(path || '::', '^((?:super::)*)(?:(crate|self|Self)::)?(.*)$', ['ups', 'word', 'rest']) AS p FROM api_calls",
+    "anchored": "SELECT package, caller, module, line, p.ups = '' AND p.word = '' AS plain, rtrim(p.rest, ':') AS rest, CASE WHEN p.word = 'crate' THEN '' WHEN p.word = '' AND p.ups <> '' THEN coalesce(array_to_string(list_slice(string_split(module, '::'), 1, greatest(len(string_split(module, '::')) - CAST(len(p.ups) / 7 AS INTEGER), 0)), '::'), '') ELSE module END AS base FROM called",
+    "tries": "SELECT package, caller, line, rest AS suffix FROM anchored WHERE plain UNION SELECT package, caller, line, CASE base WHEN '' THEN rest ELSE base || '::' || rest END FROM anchored",
+    "tails": "SELECT package, id, is_method, substr(id, place + 2) AS suffix FROM (SELECT *, unnest(list_filter(range(1, len(id)), lambda x: substr(id, x, 2) = '::')) AS place FROM api_functions)",
+    "typed_tries": "SELECT DISTINCT package, caller, method, type, unnest(CASE WHEN starts_with(type, 'crate::') THEN [substr(type, 8)] ELSE [replace(type, 'self::', ''), module || '::' || replace(type, 'self::', '')] END) || '::' || method AS suffix FROM api_calls WHERE type IS NOT NULL",
+    "by_type": "SELECT t.package, t.caller, t.method, t.type, f.id FROM typed_tries t JOIN (SELECT package, suffix, min(id) AS id FROM tails WHERE is_method GROUP BY ALL HAVING count(*) = 1) f USING (package, suffix)",
+    "by_method": "SELECT * FROM by_type UNION SELECT DISTINCT c.package, c.caller, c.method, c.type, f.id FROM api_calls c JOIN (SELECT package, suffix AS method, min(id) AS id FROM tails WHERE is_method GROUP BY ALL HAVING count(*) = 1) f USING (package, method) LEFT JOIN by_type b ON b.package = c.package AND b.caller = c.caller AND b.method = c.method AND b.type IS NOT DISTINCT FROM c.type WHERE b.caller IS NULL",
+}
+_SPAN = "named_struct('file', module || '.rs', 'line', line) AS span"
+_FIT = "SELECT t.*, f.id, count(*) OVER (PARTITION BY t.package, t.caller, t.line, t.suffix) AS n FROM tries t JOIN tails f USING (package, suffix)"
+
+
+@query("call_resolution", ("api_calls", "api_functions"), f"SELECT package, caller, id AS target, line, 'Static' AS confidence FROM ({_FIT}) WHERE n = 1 AND caller <> id GROUP BY ALL", ("called", "anchored", "tries", "tails"))
+def _(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    found = X.resolve(calls.selectExpr("package", "caller", "module", "path", _SPAN), functions)
+    return found.select("package", "caller", "target", F.col("span.line").alias("line"), "confidence")
+
+
+@query("call_candidates", ("api_calls", "api_functions"), f"SELECT package, caller AS from_id, id AS to_id, CASE WHEN min(n) = 1 THEN 'Static' ELSE 'Inferred' END AS confidence, count(DISTINCT line) AS n_places FROM ({_FIT}) WHERE caller <> id GROUP BY package, caller, id", ("called", "anchored", "tries", "tails"))
+def _(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    edges = X.call_edges(X.resolve(calls.selectExpr("package", "caller", "module", "path", _SPAN), functions, ambiguous=True))
+    return edges.select("package", "from_id", "to_id", "confidence", F.size("occurrences").cast("long").alias("n_places"))
 
 
-@query("call_resolution", ("nodes", "raw_methods", "traits", "impls"), f"SELECT caller, path, target, 'Static' AS confidence FROM ({_CALLS})")
-def _(nodes: DataFrame, raw: DataFrame, traits: DataFrame, impls: DataFrame) -> DataFrame:
-    calls = nodes.sparkSession.sql(_CALLS.replace("raw_methods m", "{raw} m").replace("JOIN traits t", "JOIN {traits} t").replace("FROM impls", "FROM {impls}"), raw=raw, traits=traits, impls=impls)
-    return X.resolve(calls.select("caller", "module", "path"), nodes)
+@query("method_candidates", ("api_calls", "api_functions"), "SELECT c.package, c.caller, m.id AS target, 'Static' AS confidence, c.line FROM api_calls c JOIN by_method m ON m.package = c.package AND m.caller = c.caller AND m.method = c.method AND m.type IS NOT DISTINCT FROM c.type WHERE c.caller <> m.id", ("tails", "typed_tries", "by_type", "by_method"))
+def _(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    found = X.resolve_methods(calls.selectExpr("package", "caller", "module", "type", "method AS name", _SPAN), functions.where("is_method"))
+    return found.select("package", "caller", "target", "confidence", F.col("span.line").alias("line"))
 
 
 from weftline import ingest_queries, scan_queries  # noqa: E402, F401  they register their queries
