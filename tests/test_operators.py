@@ -172,7 +172,7 @@ def test_paths_of_calls(spark):
     """One fitting function, by the path as it stands or in scope; anchors mean scope alone; any number of supers; no last segment alone."""
     asked = [("m", "f"), ("n", "super::m::f"), ("", "f"), ("n", "crate::n::g"), ("n", "x::h"), ("m", "self::f"), ("m::k", "super::super::n::g"), ("m", "super::super::super::q::h"), ("m::k", "super"), ("n", "super::self::g"), ("m", "Self::k::f"), ("q", "h")]
     got = {(r.caller, r.target, r.confidence) for r in X.resolve(path_calls(spark, *asked), function_table(spark)).collect()}
-    assert got == {(f"c{i}", t, "Static") for i, t in [(0, "p::m::f"), (1, "p::m::f"), (3, "p::n::g"), (5, "p::m::f"), (6, "p::n::g"), (7, "p::q::h"), (10, "p::m::k::f"), (11, "p::q::h")]}
+    assert got == {(f"c{i}", t, "Static") for i, t in [(0, "p::m::f"), (1, "p::m::f"), (3, "p::n::g"), (5, "p::m::f"), (6, "p::n::g"), (7, "p::q::h"), (9, "p::n::g"), (10, "p::m::k::f"), (11, "p::q::h")]}
     many = X.resolve(path_calls(spark, ("m", "f"), ("", "f"), ("n", "x::h")), function_table(spark), ambiguous=True)
     assert rows(many.select("caller", "target", "confidence")) == [(c, t, "Static" if (c, t) == ("c0", "p::m::f") else "Inferred") for c in ("c0", "c1") for t in ("p::f", "p::m::f", "p::m::k::f")]
 
