@@ -45,12 +45,14 @@ PARTS = {
     "owners": "SELECT n.id, CASE WHEN n.kind IN ('Crate', 'Module') THEN n.id ELSE coalesce(m.module, n.package) END AS module FROM nodes n LEFT JOIN (SELECT c.node, arg_min(c.ancestor, c.depth) AS module FROM chain c JOIN nodes a ON c.ancestor = a.id WHERE a.kind IN ('Crate', 'Module') GROUP BY c.node) m ON n.id = m.node",
     "versions_key": r"SELECT *, regexp_extract(num, '^(\d+)\.(\d+)\.(\d+)(-rc\.(\d+))?$', ['a', 'b', 'c', 'd', 'e']) AS k FROM versions",
 }
+#: Of these, what an engine should compute once.
+STORED = {"tree", "items", "members", "shapes", "tails", "tries"}
 _BASE = {"sides": ("nodes", "edges"), "pages": ("nodes",), "page_edges": ("edges",), "versions_key": ("versions",)}
 
 
 def _with(tables: tuple[str, ...], parts: tuple[str, ...]) -> str:
     clause = with_clause(*tables)
-    return clause + "".join(f",\n{p} AS ({PARTS[p]})" for p in parts)
+    return clause + "".join(f",\n{p} AS {'MATERIALIZED ' if p in STORED else ''}({PARTS[p]})" for p in parts)
 
 
 def query(name: str, tables: tuple[str, ...], sql: str | None = None, parts: tuple[str, ...] = ()) -> Callable:
@@ -851,4 +853,4 @@ def _(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return found.select("package", "caller", "target", "confidence", F.col("span.line").alias("line"))
 
 
-from weftline import ingest_queries, scan_queries  # noqa: E402, F401  they register their queries
+from weftline import document_queries, ingest_queries, scan_queries  # noqa: E402, F401  they register their queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OLDEST, NEWEST = 37, 61
+OLDEST, NEWEST = 35, 61
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -32,9 +32,10 @@ def items(docs: DataFrame) -> DataFrame:
     return _exploded(docs, "index", "item_id", "item")
 
 
-def _exploded(docs: DataFrame, part: str, key: str, value: str) -> DataFrame:
+def _exploded(docs: DataFrame, part: str, key: str, value: str, extra: str = "file") -> DataFrame:
+    more = "" if extra == "file" else f", {extra}"
     return docs.sparkSession.sql(
-        f"SELECT file, v.key AS {key}, v.value AS {value} FROM {{docs}}, LATERAL variant_explode(variant_get(doc, '$.{part}', 'variant')) AS v", docs=docs
+        f"SELECT file{more}, v.key AS {key}, v.value AS {value} FROM {{docs}}, LATERAL variant_explode(variant_get(doc, '$.{part}', 'variant')) AS v", docs=docs
     )
 
 
