@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -33,6 +34,7 @@ from weftline.llm.common import bounded_batches, own_columns, table
 KNOWN = 1 << 19
 MARK = 0xE000  # a last character of a word is another symbol than the same character elsewhere: moved to private characters
 NEVER = 1 << 60
+WHITE, RUN = " \t\n\v\f\r", re.compile(r"[ \t\n\v\f\r]+")
 PIECE = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
 #: White space, separators and invisible characters beyond those of PIECE: texts that hold one aren't cut.
 UNSURE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
@@ -90,6 +92,8 @@ class Merges:
 
     def __init__(self, pairs: list[tuple[str, str]], symbols: set[str]):
         self.rank = {p: i for i, p in enumerate(pairs)}
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.sides: tuple[dict, dict] = ({}, {})
         self.parts: dict[str, tuple[str, str]] = {}
         self.born = dict.fromkeys(symbols, -1)
         for i, (a, b) in enumerate(pairs):
@@ -97,17 +101,18 @@ class Merges:
                 raise ValueError("merges must name tokens made before, and make each token once")
             self.parts[a + b], self.born[a + b] = (a, b), i
         self.made = symbols | {t for t, p in self.parts.items() if self.crossing(*p) == self.born[t]}  # others never come about
-        self.apart: dict[tuple[str, str], bool] = {}
 
     def _side(self, token: str, which: int) -> list[tuple[str, int, int]]:
         """What stands at one side of a token while it is built: each part, from when to when."""
-        found, until = [], NEVER
-        while True:
-            born = self.born[token]
-            found.append((token, born, until))
-            if token not in self.parts:
-                return found
-            token, until = self.parts[token][which], born
+        known = self.sides[which].get(token)
+        if known is not None:
+            return known
+        part, found, until = token, [], NEVER
+        while part in self.parts:
+            found.append((part, self.born[part], until))
+            until, part = self.born[part], self.parts[part][which]
+        self.sides[which][token] = found = [*found, (part, -1, until)]
+        return found
 
     def crossing(self, a: str, b: str) -> int:
         """The rank of the first merge across the border of a and b, NEVER if there is none. Of equal merges the leftmost comes first:
@@ -172,19 +177,23 @@ class Codec:
         if known is not None:
             return known
         symbols = word[:-1] + chr(ord(word[-1]) + MARK) if self.suffix else word
-        m, compatible = self.matches, self.merges.compatible
+        m, compatible, apart = self.matches, self.merges.compatible, self.merges.apart
         steps, link, length, string, shorter = m.next, m.link, m.length, m.string, m.shorter
         last = [""] * (len(symbols) + 1)
         state = read = 0
         for i, c in enumerate(symbols, 1):
-            while c not in steps[state]:
+            to = steps[state].get(c)
+            while to is None:
                 state = link[state]
                 if state < 0:
                     raise ValueError(f"no token for {c!r}")
-                read = length[state]
-            state, read = steps[state][c], read + 1
+                read, to = length[state], steps[state].get(c)
+            state, read = to, read + 1
             found = state if read == length[state] and string[state] is not None else shorter[state]
-            while length[found] < i and not compatible(last[i - length[found]], string[found]):
+            while length[found] < i:
+                pair = (last[i - length[found]], string[found])
+                if apart[pair] if pair in apart else compatible(*pair):
+                    break
                 found = shorter[found]
             last[i] = string[found]
         ids, i = [], len(symbols)
@@ -204,15 +213,31 @@ class Codec:
     def _cut(self, text: str) -> list[int]:
         if UNSURE.search(text):
             return list(self._plain(text))
-        out, pieces = [], self.pieces
-        for piece in PIECE.findall(text):
-            known = pieces.get(piece)
-            if known is None:
-                if len(pieces) > KNOWN:
-                    pieces.clear()
-                known = pieces[piece] = self._plain(piece)
-            out += known
-        return out
+        parts, pieces = PIECE.findall(text), self.pieces
+        if len(pieces) > KNOWN:
+            pieces.clear()
+        new = list(set(parts).difference(pieces))
+        if new:
+            self._learn([p for p in new if p[0] in WHITE and p[-1] not in WHITE])
+            pieces.update((p, self._plain(p)) for p in new if p not in pieces)
+        return list(chain.from_iterable(map(pieces.__getitem__, parts)))
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that begin with white space and hold no other are normalised and split as one text, in which each begins at white space."""
+        text = "".join(new)
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        ends = [m.start() for m in RUN.finditer(text)][1:]
+        if len(ends) + 1 != len(new):  # a normaliser that makes or takes white space
+            return
+        found: list[list[int]] = [[] for _ in new]
+        k, end = 0, ends[0] if ends else len(text)
+        for word, (start, _) in self.pre_tokenizer.pre_tokenize_str(text):
+            while start >= end:
+                k += 1
+                end = ends[k] if k < len(ends) else len(text)
+            found[k] += self.word(word)
+        self.pieces.update(zip(new, map(tuple, found), strict=True))
 
     def encode(self, text: str) -> list[int]:
         if self.split is None or not self.split.search(text):
