@@ -18,7 +18,7 @@ from weftline.llm import prefix_bpe, token_alignment, word_runs
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BYTES, WORDS, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
-SIGNS = "abcABC'  \n\n\t éÉñß一あ😀​\x1c!?.<|>019ẞİﬁaaaa  tslveredmΣ\xa0 "
+SIGNS = "\r;abcABC'  \n\n\t éÉñß一あ😀​\x1c!?.<|>019ẞİﬁaaaa  tslveredmΣ\xa0 "
 
 
 def sha(text):
@@ -173,11 +173,11 @@ def test_large_groups_and_cuts():
         at_a, at_b = token_alignment.shared_cuts(np.array(a), np.array(b), np.array([0, len(a) - 1]), np.array([0, len(b) - 1]))
         common = sorted(set(a) & set(b))
         assert [a[i] for i in at_a] == [b[j] for j in at_b] == common
-    a, b = token_alignment.sides(public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
-    narrow = token_alignment.aligned_batch([1, 2], ["ﬀﬁ" * 60 + " 😀" * 50, "x"], a, b).to_pylist()
+    coders = token_alignment.both(public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+    narrow = token_alignment.aligned_batch([1, 2], ["ﬀﬁ" * 60 + " 😀" * 50, "x"], coders).to_pylist()
     wide, token_alignment.WIDE = token_alignment.WIDE, 1
     try:
-        assert token_alignment.aligned_batch([1, 2], ["ﬀﬁ" * 60 + " 😀" * 50, "x"], a, b).to_pylist() == narrow
+        assert token_alignment.aligned_batch([1, 2], ["ﬀﬁ" * 60 + " 😀" * 50, "x"], coders).to_pylist() == narrow
     finally:
         token_alignment.WIDE = wide
 

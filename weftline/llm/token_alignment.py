@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,46 +33,13 @@ from tokenizers import Tokenizer
 from weftline.llm.common import bounded_batches, own_columns, staged, table
 from weftline.llm.prefix_bpe import PIECE, UNSURE, byte_characters
 
-KNOWN, HEAD_PAIRS, WIDE = 1 << 19, 100_000, 64
-#: A piece model's parts: no piece holds a blank after something else, or a line feed beside something else.
-PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*")
+KNOWN, HEAD_PAIRS, WIDE, CHARACTERS = 1 << 19, 100_000, 64, 1 << 19
+WHOLE = re.compile(r"[\r\v\f]")
 LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
-class Side:
-    """ids of texts by one vocabulary; size of each id's bytes. Parts met before are looked up."""
-
-    names: list[bytes]
-
-    def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # parts that their ids don't reproduce
-        self.sizes = np.array([len(x) for x in self.names], np.int64)
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-            self.odd.clear()
-        new = list(parts.difference(self.known))
-        for part, ids in zip(new, self.library(new), strict=True):
-            self.known[part] = np.array(ids, "<i4").tobytes()
-            if b"".join([self.names[i] for i in ids]) != part.encode():
-                self.odd.add(part)
-
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether their bytes are the text's."""
-        cut = [self.parts(t) for t in texts]
-        distinct = set().union(*cut)
-        if not distinct <= self.known.keys():
-            self.learn(distinct)
-        found = [np.frombuffer(b"".join([self.known[p] for p in parts]), "<i4") for parts in cut]
-        sure = self.odd.isdisjoint(distinct)
-        same = [sure or b"".join([self.names[i] for i in ids.tolist()]) == "".join(parts).encode() for ids, parts in zip(found, cut, strict=True)]
-        return found, same
-
-
-class ByteSide(Side):
-    """A byte-level BPE file; strings of special tokens are plain text."""
+class ByteSide:
+    """A byte-level BPE file; strings of special tokens are plain text. names: the bytes of each id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,40 +52,86 @@ class ByteSide(Side):
         self.names = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.names[i] = bytes([byte[c] for c in token])
-        super().__init__()
-
-    def parts(self, text: str) -> list[str]:
-        return [text] if UNSURE.search(text) else PIECE.findall(text)
+        self.sizes = np.array([len(x) for x in self.names], np.int64)
 
-    def library(self, parts: list[str]) -> list[list[int]]:
+    def encode(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
-class PieceSide(Side):
+class PieceSide:
     """A piece model with byte fallback that puts a blank before a text. A part that begins with a blank goes without it to the
-    library, which adds it; of a part that begins with a line feed the added blank is dropped."""
+    library, which adds it; of a part that begins with a tab or line feed the added blank is dropped. So the model's own pieces
+    must not hold those, or a blank after something else."""
 
     def __init__(self, path: str):
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in pieces):
-            raise ValueError("pieces hold blanks after other characters, or line feeds")
+        if any("\u2581" in p.lstrip("\u2581") or any(c in p for c in " \t\n") for p in pieces):
+            raise ValueError("pieces hold blanks after other characters, tabs or line feeds")
         self.names = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = np.array([len(x) for x in self.names], np.int64)
         self.blank = self.model.piece_to_id("\u2581")
-        super().__init__()
 
-    def parts(self, text: str) -> list[str]:
-        return PARTS.findall(text)
-
-    def library(self, parts: list[str]) -> list[list[int]]:
+    def encode(self, parts: list[str]) -> list[list[int]]:
         got = self.model.encode([p.removeprefix(" ") for p in parts], num_threads=1)
-        return [ids[1:] if p[0] == "\n" else ids or [self.blank] for p, ids in zip(parts, got, strict=True)]
+        return [ids[1:] if p[0] != " " else ids or [self.blank] for p, ids in zip(parts, got, strict=True)]
+
+
+class Both:
+    """ids of texts by both vocabularies. A text is cut where white space follows something else, which neither crosses, and parts met
+    before are looked up. Texts with white space other than blanks, tabs and line feeds aren't cut: pieces may join it to others."""
+
+    def __init__(self, a: ByteSide, b: PieceSide):
+        self.sides = (a, b)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.odd: set[str] = set()  # parts that one side doesn't reproduce
+
+    def _learn(self, parts: list[str]) -> None:
+        texts = [p.encode() for p in parts]
+        sizes, whole, found = np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts), []
+        for side in self.sides:
+            got = side.encode(parts)
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            flat = list(chain.from_iterable(got))
+            data, ends = np.array(flat, "<i4").tobytes(), (4 * np.cumsum(n)).tolist()
+            found.append([data[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+            upto = np.concatenate(([0], np.cumsum(side.sizes[np.array(flat, np.int64)])))[np.concatenate(([0], np.cumsum(n)))]
+            if not np.array_equal(np.diff(upto), sizes) or b"".join([side.names[i] for i in flat]) != whole:
+                self.odd.update(p for p, t, ids in zip(parts, texts, got, strict=True) if b"".join([side.names[i] for i in ids]) != t)
+        self.known.update(zip(parts, zip(*found, strict=True), strict=True))
+
+    def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text its ids by both sides as 32-bit integers; none at all if one side doesn't give the text's bytes back."""
+        cut = [[t] if UNSURE.search(t) or WHOLE.search(t) else PIECE.findall(t) for t in texts]
+        distinct = set().union(*cut)
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            self.odd.clear()
+            new = distinct
+        if new:
+            self._learn(list(new))
+        out = []
+        for parts in cut:
+            if self.odd and not self.odd.isdisjoint(parts) and not self._same(parts):
+                out.append((b"", b""))
+                continue
+            pairs = list(map(self.known.__getitem__, parts))
+            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+        return out
+
+    def _same(self, parts: list[str]) -> bool:
+        for k, side in enumerate(self.sides):
+            ids = np.frombuffer(b"".join([self.known[p][k] for p in parts]), "<i4").tolist()
+            if b"".join([side.names[i] for i in ids]) != "".join(parts).encode():
+                return False
+        return True
 
 
 @lru_cache(maxsize=2)
-def sides(a: str, b: str) -> tuple[ByteSide, PieceSide]:
-    """One pair for each two files in a Python worker."""
-    return ByteSide(a), PieceSide(b)
+def both(a: str, b: str) -> Both:
+    """One for each two files in a Python worker."""
+    return Both(ByteSide(a), PieceSide(b))
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,16 +198,13 @@ def _digits(n: int) -> np.ndarray:
     return np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(n)], np.uint8)
 
 
-def aligned_batch(ids: list, texts: list[str | None], a: Side, b: Side) -> pa.RecordBatch:
+def aligned_batch(ids: list, texts: list[str | None], coders: Both) -> pa.RecordBatch:
     """A row for each text: doc_id, n_a, n_b, n_groups, n_links, groups (a1,a2|b1;a3|b2 in order), links (each pair of ids with its number)."""
-    plain = [" " + t if t else "" for t in texts]
-    (ids_a, same_a), (ids_b, same_b) = a.ids(plain), b.ids(plain)
-    none = np.empty(0, np.int32)
-    good = [x and y for x, y in zip(same_a, same_b, strict=True)]
-    ids_a, ids_b = [[x if ok else none for x, ok in zip(xs, good, strict=True)] for xs in (ids_a, ids_b)]
-    n_a, n_b = [np.array([len(x) for x in xs], np.int64) for xs in (ids_a, ids_b)]
+    a, b = coders.sides
+    found = coders.ids([" " + t if t else "" for t in texts])
+    n_a, n_b = [np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 1)]
+    flat_a, flat_b = [np.frombuffer(b"".join([x[k] for x in found]), "<i4") for k in (0, 1)]
     doc_a, doc_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-    flat_a, flat_b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
     ends_a, ends_b = [np.concatenate(([0], np.cumsum(side.sizes[x]))) for side, x in ((a, flat_a), (b, flat_b))]
     own = np.append(True, n_a > 0)
     cut_a, cut_b = shared_cuts(ends_a, ends_b, doc_a[own], doc_b[own])
@@ -243,8 +254,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield aligned_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *sides(path_a, path_b))
+            ids, texts, low, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 0
+            for i, text in enumerate(texts, 1):  # some texts at a time, since arrays over them are many times their size
+                held += len(text or "")
+                if held >= CHARACTERS or i == len(texts):
+                    yield aligned_batch(ids[low:i], texts[low:i], both(path_a, path_b))
+                    low, held = i, 0
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a: int, b: int, n: long>>"
     return own_columns(docs, "doc_id", "text").mapInArrow(run, schema)
