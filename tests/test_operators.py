@@ -97,23 +97,39 @@ def test_reexports_and_trait_docs(spark):
 
 def events(n):
     random.seed(3)
-    start = datetime(2026, 1, 1)
-    return [(f"k{random.randrange(5)}", "1", random.choice(["queued", "processing", "ready", "failed"]), random.choice([None, "s"]), None, f"r{random.randrange(3)}", start + timedelta(seconds=i), i) for i in range(n)]
+    start, pick = datetime(2026, 1, 1), random.choice
+    return [(f"k{random.randrange(5)}", "1", pick(["queue", "begin", "record", "record"]), pick([True, False, False]), pick(["processing", "ready", "failed"]), pick([None, "s"]), pick([None, "bad"]), pick([None, "r0", "r1", "r2"]), start + timedelta(seconds=i // 3), i) for i in range(n)]
 
 
 def folded(rows_):
     state = {}
-    for name, version, status, step, error, request, at, seq in rows_:
-        state[name] = T.fold(state.get(name), {"status": status, "step": step, "error": error, "request_id": request, "at": at, "seq": seq})
-    return {k: (v[0], v[1], v[3], v[6]) for k, v in state.items() if v}
+    for name, _, kind, forced, status, step, error, request, at, seq in rows_:
+        state[name] = T.fold(state.get(name), {"kind": kind, "forced": forced, "status": status, "step": step, "error": error, "request_id": request, "at": at, "seq": seq})
+    return {k: (*v[:5], v[6]) for k, v in state.items()}
 
 
-SCHEMA = "name string, version string, status string, step string, error string, request_id string, at timestamp, seq long"
+SCHEMA = "name string, version string, kind string, forced boolean, status string, step string, error string, request_id string, at timestamp, seq long"
+
+
+def test_status_rules():
+    """Registration, rivals, force, events of other requests, and step and error that null clears."""
+    at = [datetime(2026, 1, 1, i) for i in range(9)]
+    e = lambda kind, request, t, status=None, step=None, forced=False: {"kind": kind, "forced": forced, "status": status, "step": step, "error": None, "request_id": request, "at": at[t]}
+    s = T.fold(None, e("queue", "a", 0))
+    assert s == ("processing", "queued", None, "a", at[0], at[0], 1)
+    assert T.fold(s, e("queue", "b", 1)) == s and T.fold(s, e("begin", "b", 1)) == s and T.fold(s, e("record", "b", 1, "failed")) == s
+    assert T.fold(s, e("begin", "b", 1, forced=True)) == ("processing", "workflow-started", None, "b", at[1], at[1], 3)
+    s = T.fold(s, e("begin", "a", 2))
+    assert s == ("processing", "workflow-started", None, "a", at[0], at[2], 3)
+    s = T.fold(s, e("record", None, 3, "ready"))
+    assert s == ("ready", None, None, "a", at[0], at[3], 4)
+    assert T.fold(s, e("begin", "a", 4)) == s and T.fold(s, e("queue", "b", 3)) == s
+    assert T.fold(s, e("queue", "b", 4)) == ("processing", "queued", None, "b", at[4], at[4], 5)
 
 
 def test_status_batch_is_the_fold(spark):
     e = events(200)
-    got = {r.name: (r.status, r.step, r.request_id, r.sequence) for r in T.final_status(spark.createDataFrame(e, SCHEMA)).collect()}
+    got = {r.name: (r.status, r.step, r.error, r.request_id, r.created_at, r.sequence) for r in T.final_status(spark.createDataFrame(e, SCHEMA)).collect()}
     assert got == folded(e)
 
 
@@ -125,7 +141,7 @@ def test_status_stream_is_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = T.status_stream(stream).writeStream.outputMode("update").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    last = spark.table("statuses").groupBy("name").agg(F.max_by(F.struct("status", "step", "request_id", "sequence"), "sequence").alias("s")).collect()
+    last = spark.table("statuses").groupBy("name").agg(F.max_by(F.struct("status", "step", "error", "request_id", "created_at", "sequence"), "sequence").alias("s")).collect()
     assert {r.name: tuple(r.s) for r in last} == folded(e)
 
 

@@ -63,6 +63,15 @@ SELECT package, package AS parent, 2000000000000 + c_custkey AS target_item, nam
 UNION ALL SELECT package, package, 1000000000000 + CAST(n_nationkey AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 2 = 0
 UNION ALL SELECT package, id, 1000000000000 + CAST((n_nationkey + 1) % 25 AS BIGINT), name, true FROM {modules} WHERE n_nationkey % 3 = 0
 UNION ALL SELECT package, id, 2000000000001 + CAST(n_nationkey AS BIGINT), 'Renamed', false FROM {modules}""",
+    "gate_packages": """
+SELECT n_name AS graph, replace(lower(n_name), '_', '-') AS name, CASE n_nationkey % 9 WHEN 6 THEN 0 WHEN 7 THEN 5 ELSE 3 END AS local_paths FROM {nation}""",
+    "gate_nodes": """
+SELECT n_name AS graph, n_name AS id, CASE n_nationkey % 9 WHEN 3 THEN 'Module' ELSE 'Crate' END AS kind, n_nationkey % 9 = 4 AS is_external FROM {nation} WHERE n_nationkey % 9 <> 8
+UNION ALL SELECT n_name, n_name || '::' || c_name, 'Struct', n_nationkey % 9 = 5 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey % 9 NOT IN (7, 8)""",
+    "gate_edges": """
+SELECT n_name AS graph, n_name AS from_id, n_name || '::' || c_name AS to_id FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey % 9 NOT IN (7, 8)
+UNION ALL SELECT n_name, n_name || '::lost', n_name FROM {nation} WHERE n_nationkey % 9 = 2
+UNION ALL SELECT n_name, n_name, n_name || '::lost' FROM {nation} WHERE n_nationkey % 9 = 1""",
     "api_functions": """
 SELECT DISTINCT s.package, s.id || '::m' || CAST(l_partkey % 400 AS STRING) AS id, 'm' || CAST(l_partkey % 400 AS STRING) AS name, true AS is_method FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {structs} s ON o_custkey = c_custkey
 UNION ALL SELECT DISTINCT package, module_id || '::f' || CAST(c_custkey % 97 AS STRING), 'f' || CAST(c_custkey % 97 AS STRING), false FROM {structs}

@@ -29,3 +29,9 @@ PRIORITY_TIERS = ("forced", "top-download-stale", "newer-version", "catalog-stal
 #: Which of three lanes (stale, newer, never parsed) takes each of ten slots.
 LANE_PATTERN = (0, 1, 0, 2, 0, 1, 0, 2, 0, 1)
 MAX_DEPTH = 64
+
+# Relations in the order in which a focused view keeps them; kinds that it hides unless asked for.
+FOCUS_ORDER = ("UsesType", "CallsStatic", "CallsRuntime", "Implements", "Derives", "Contains", "Defines", "ReExports")
+TRAIT_LIKE = ("Trait", "TraitAlias")
+INTERNAL_ONLY = ("Impl", "StructField", "Variant", "AssocType", "AssocConst")
+SUMMARY_PREFIX = "__cv_graph_summary__"

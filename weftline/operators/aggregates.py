@@ -80,14 +80,24 @@ def edge_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("all_edges"), F.count_if(F.col("kind").isin(*SEMANTIC)).alias("semantic_edges")).join(n, F.lit(True))  # one row each
 
 
-def quality_gates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """By package: an outcome (rejected with its reason, quarantined, accepted) and the numbers that led to it."""
-    by_package = nodes.groupBy("package").agg(F.count("*").alias("n_nodes"), F.count_if(~F.col("is_external")).alias("n_local"), F.bool_or(F.col("id") == F.col("package")).alias("has_root"))
-    ids = nodes.select("id")
-    dangling = edges.join(ids, edges["to_id"] == ids["id"], "left_anti").groupBy(S.package_of(F.col("from_id")).alias("package")).agg(F.count("*").alias("n_dangling"))
-    joined = by_package.join(dangling, "package", "left").withColumn("n_dangling", F.coalesce("n_dangling", F.lit(0)))
-    outcome = F.when(F.col("n_dangling") > 0, "rejected: dangling edge").when(~F.col("has_root"), "rejected: no root").when(F.col("n_local") == 0, "rejected: no local nodes").when(F.col("n_nodes") == 1, "quarantined").otherwise("accepted")
-    return joined.withColumn("outcome", outcome)
+def quality_gates(packages: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """By graph: an outcome (rejected with its first reason, quarantined, accepted) and the numbers that led to it. packages: graph, name (of the
+    package asked for), local_paths (of its document); nodes: graph, id, kind, is_external; edges: graph, from_id, to_id.
+
+    Rejected: no nodes; an edge with an end that isn't there; no local package node of that name (hyphens and capitals aside); no
+    local node; no local paths. Put aside: more than one local path, but a single local node."""
+    n = nodes.groupBy("graph").agg(F.count("*").alias("n_nodes"), F.count_if(~F.col("is_external")).alias("n_local"))
+    end = lambda name: nodes.select("graph", F.col("id").alias(f"{name}_id"), F.lit(True).alias(f"has_{name}"))
+    lost = edges.join(end("from"), ["graph", "from_id"], "left").join(end("to"), ["graph", "to_id"], "left").where("has_from is null or has_to is null")
+    roots = nodes.where("kind = 'Crate' and not is_external").join(packages.select("graph", "name"), "graph").where(S.normal_name(F.col("id")) == S.normal_name(F.col("name")))
+    joined = packages.join(n, "graph", "left").join(lost.groupBy("graph").agg(F.count("*").alias("n_dangling")), "graph", "left")
+    joined = joined.join(roots.select("graph", F.lit(True).alias("has_root")).distinct(), "graph", "left").na.fill(0, ["n_nodes", "n_local", "n_dangling"]).na.fill(False, ["has_root"])
+    outcome = (
+        F.when(F.col("n_nodes") == 0, "rejected: empty graph").when(F.col("n_dangling") > 0, "rejected: dangling edge").when(~F.col("has_root"), "rejected: no root")
+        .when(F.col("n_local") == 0, "rejected: no local nodes").when(F.col("local_paths") == 0, "rejected: no local items")
+        .when((F.col("local_paths") > 1) & (F.col("n_local") == 1), "quarantined").otherwise("accepted")
+    )
+    return joined.select("graph", "n_nodes", "n_local", "n_dangling", "has_root", outcome.alias("outcome"))
 
 
 def publish_gate(nodes: DataFrame) -> DataFrame:

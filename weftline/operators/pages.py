@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
@@ -50,9 +50,9 @@ def root_choice(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def hierarchy_cap(modules: DataFrame, closure: DataFrame, most: int) -> DataFrame:
     """The first ``most`` modules of each package by total (falling), depth and name, and all above them. modules: package, id, total, depth,
-    name; closure: node, ancestor. The cut is a limit of the picture; a package's modules are ranked only as far as it."""
-    ranked = modules.groupBy("package").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "depth", "name", "id"))), 1, most).alias("top"))
-    kept = ranked.select("package", F.explode("top").alias("m")).select("package", F.col("m.id").alias("id"))
+    name; closure: node, ancestor. The ranking is limited in each task before a package's modules come together."""
+    place = F.row_number().over(Window.partitionBy("package").orderBy(F.desc("total"), "depth", "name", "id"))
+    kept = modules.withColumn("place", place).where(F.col("place") <= most).select("package", "id")
     above = kept.join(closure.select(F.col("node").alias("id"), "ancestor"), "id").select("package", F.col("ancestor").alias("id"))
     return kept.unionByName(above).distinct()
 

@@ -55,13 +55,28 @@ def lane(state: Column) -> Column:
     return F.when(state.isin("revision", "schema"), 0).when(state == "newer", 1).when(state == "never", 2)
 
 
+def _keyed(work: DataFrame) -> DataFrame:
+    """With the lane (forced ones in one of their own, -1) and what items of a lane are ordered by, before name and version."""
+    return work.withColumns({"lane": F.when(F.col("forced"), -1).otherwise(lane(F.col("state"))), "tier_rank": tier_order(F.col("tier")), "rank_key": F.coalesce("download_rank", F.lit(2**31 - 1))})
+
+
+def first_of_lanes(work: DataFrame, cap: int) -> DataFrame:
+    """work without most of what can't be among the first ``cap`` of its lane. Items are counted by steps of the order (combined before
+    the shuffle); steps beyond the one in which a lane's count reaches the cap go, so that no more than the cap and a
+    step of any lane is ever brought together. Items without a rank are counted by the first characters of their names."""
+    keyed = _keyed(work).withColumn("step", F.struct("tier_rank", (F.col("rank_key") / 256).cast("int").alias("ranks"), F.when(F.col("download_rank").isNull(), F.substring("name", 1, 4)).alias("names")))
+    counts = keyed.groupBy("lane", "step").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lane").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < cap).groupBy("lane").agg(F.max("step").alias("last"))
+    return keyed.join(F.broadcast(last), "lane").where(F.col("step") <= F.col("last")).select(*work.columns)  # a row for each lane
+
+
 def fair_order(work: DataFrame) -> DataFrame:
     """work (name, version, state, tier, download_rank, forced) with its place: forced ones first, then the lanes by their slots in
     a repeating pattern. An empty lane's slots are skipped, which never reorders the others, so the place of a lane's r-th
     item is known alone: (r div slots, slot[r mod slots])."""
-    lane_ = F.when(F.col("forced"), -1).otherwise(lane(F.col("state")))
-    order = Window.partitionBy("lane").orderBy("tier_rank", F.coalesce("download_rank", F.lit(2**31 - 1)), "name", "version")
-    ranked = work.withColumns({"lane": lane_, "tier_rank": tier_order(F.col("tier"))}).withColumn("r", F.row_number().over(order) - 1)
+    order = Window.partitionBy("lane").orderBy("tier_rank", "rank_key", "name", "version")
+    ranked = _keyed(work).withColumn("r", F.row_number().over(order) - 1).drop("rank_key")
     cycle, slot = F.when(F.col("lane") < 0, F.col("r")), F.lit(-1)
     for k in sorted(set(LANE_PATTERN)):
         slots = [i for i, x in enumerate(LANE_PATTERN) if x == k]
@@ -71,8 +86,8 @@ def fair_order(work: DataFrame) -> DataFrame:
 
 
 def select_work(work: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` of the fair order. No lane can give more than that, so each task keeps as many of a lane and no more are ranked."""
-    return fair_order(work).where(F.col("r") < cap).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
+    """The first ``cap`` of the fair order. No lane can give more than that, so lanes are cut to about as many before they are ranked."""
+    return fair_order(first_of_lanes(work, cap)).where(F.col("r") < cap).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
 
 
 def satisfied(plan: DataFrame, freshness: DataFrame) -> DataFrame:

@@ -367,11 +367,14 @@ def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 @query(
-    "quality_gates", ("nodes", "edges"),
-    "SELECT package, count(*) AS n_nodes, count_if(NOT is_external) AS n_local, bool_or(id = package) AS has_root, CAST(0 AS BIGINT) AS n_dangling, CASE WHEN NOT bool_or(id = package) THEN 'rejected: no root' WHEN count(*) = 1 THEN 'quarantined' ELSE 'accepted' END AS outcome FROM nodes GROUP BY package",
+    "quality_gates", ("gate_packages", "gate_nodes", "gate_edges"),
+    "SELECT graph, n_nodes, n_local, n_dangling, has_root, CASE WHEN n_nodes = 0 THEN 'rejected: empty graph' WHEN n_dangling > 0 THEN 'rejected: dangling edge' WHEN NOT has_root THEN 'rejected: no root' WHEN n_local = 0 THEN 'rejected: no local nodes' WHEN local_paths = 0 THEN 'rejected: no local items' WHEN local_paths > 1 AND n_local = 1 THEN 'quarantined' ELSE 'accepted' END AS outcome"
+    " FROM (SELECT p.graph, p.local_paths, (SELECT count(*) FROM gate_nodes n WHERE n.graph = p.graph) AS n_nodes, (SELECT count(*) FROM gate_nodes n WHERE n.graph = p.graph AND NOT is_external) AS n_local,"
+    " (SELECT count(*) FROM gate_edges e WHERE e.graph = p.graph AND ((e.graph, e.from_id) NOT IN (SELECT graph, id FROM gate_nodes) OR (e.graph, e.to_id) NOT IN (SELECT graph, id FROM gate_nodes))) AS n_dangling,"
+    " EXISTS (SELECT 1 FROM gate_nodes n WHERE n.graph = p.graph AND kind = 'Crate' AND NOT is_external AND lower(replace(id, '-', '_')) = lower(replace(p.name, '-', '_'))) AS has_root FROM gate_packages p)",
 )
-def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return A.quality_gates(nodes, edges)
+def _(packages: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return A.quality_gates(packages, nodes, edges)
 
 
 @query("publish_gate", ("nodes",), "SELECT package, count(*) AS n_nodes, count_if(NOT is_external) AS n_local, count_if(is_external) AS n_external, NOT (count(*) > 1 AND count_if(NOT is_external) <= 1 AND count_if(is_external) > 0) AS publish FROM nodes GROUP BY package")
@@ -527,9 +530,9 @@ def _(versions: DataFrame) -> DataFrame:
     return U.ordered_union(versions.where("not yanked"), versions.where("yanked"), "package_id", "num", "version_seq", 10)
 
 
-@query("missing_packages", ("packages", "versions"), "SELECT name FROM packages WHERE id NOT IN (SELECT package_id FROM versions WHERE NOT yanked)")
+@query("missing_packages", ("packages", "versions"), "SELECT name FROM packages WHERE id NOT IN (SELECT package_id FROM versions WHERE NOT yanked AND num LIKE '1.%')")
 def _(packages: DataFrame, versions: DataFrame) -> DataFrame:
-    return U.difference(packages, versions.where("not yanked").select(F.col("package_id").alias("id")), "id").select("name")
+    return U.difference(packages, versions.where("not yanked and num like '1.%'").select(F.col("package_id").alias("id")), "id").select("name")
 
 
 @query("first_rows", ("raw_methods",), "SELECT id, min(l_partkey) AS l_partkey FROM raw_methods WHERE l_linenumber > 2 AND id NOT IN (SELECT id FROM raw_methods WHERE l_linenumber <= 2) GROUP BY id UNION ALL SELECT id, max(l_partkey) FROM raw_methods WHERE l_linenumber <= 2 GROUP BY id")
@@ -643,23 +646,27 @@ def _(versions: DataFrame) -> DataFrame:
 
 # ---- keyed state
 
-@query("final_status", ("requests",))
+_EVENTS = "SELECT name, '1' AS version, CASE event_type WHEN 'view' THEN 'queue' WHEN 'signup' THEN 'begin' ELSE 'record' END AS kind, event_id % 11 = 0 AS forced, status, step, CASE WHEN status = 'failed' THEN 'e' || CAST(event_id AS STRING) END AS error, CASE WHEN event_id % 7 > 0 THEN 'r' || CAST(event_id % 3 AS STRING) END AS request_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS moment, event_id AS seq FROM requests"
+_QUEUED = "s.status IS NULL OR (s.status <> 'processing' AND e.moment > s.updated_at)"
+_BEGUN = "s.status IS NULL OR e.forced OR NOT (s.status = 'ready' OR (s.status = 'processing' AND s.request_id IS NOT NULL AND s.request_id IS DISTINCT FROM e.request_id))"
+_COUNTS = f"CASE e.kind WHEN 'queue' THEN {_QUEUED} WHEN 'begin' THEN {_BEGUN} ELSE s.status IS NULL OR e.request_id IS NULL OR s.request_id IS NULL OR s.request_id = e.request_id END"
+_NEW = lambda column, record, register: f"CASE WHEN NOT ({_COUNTS}) THEN s.{column} WHEN e.kind = 'record' THEN {record} ELSE {register} END"
+PARTS |= {
+    "e": f"SELECT *, row_number() OVER (PARTITION BY name ORDER BY moment, seq) AS r FROM ({_EVENTS})",
+    "s": "SELECT DISTINCT name, CAST(0 AS BIGINT) AS r, NULL::VARCHAR AS status, NULL::VARCHAR AS step, NULL::VARCHAR AS error, NULL::VARCHAR AS request_id, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at, CAST(0 AS BIGINT) AS sequence FROM e UNION ALL SELECT s.name, e.r, "
+    + ", ".join([
+        _NEW("status", "e.status", "'processing'"), _NEW("step", "e.step", "CASE e.kind WHEN 'queue' THEN 'queued' ELSE 'workflow-started' END"), _NEW("error", "e.error", "NULL"), _NEW("request_id", "coalesce(e.request_id, s.request_id)", "e.request_id"),
+        _NEW("created_at", "coalesce(s.created_at, e.moment)", "CASE WHEN s.request_id = e.request_id THEN s.created_at ELSE e.moment END"), _NEW("updated_at", "e.moment", "e.moment"), f"s.sequence + CASE WHEN NOT ({_COUNTS}) THEN 0 WHEN e.kind = 'begin' THEN 2 ELSE 1 END",
+    ])
+    + " FROM s JOIN e ON s.name = e.name AND e.r = s.r + 1",
+}
+STORED |= {"e"}
+
+
+@query("final_status", ("requests",), "SELECT name, '1' AS version, status, step, error, request_id, created_at, updated_at, sequence FROM (SELECT *, max(r) OVER (PARTITION BY name) AS last FROM s) WHERE r = last", ("e", "s"))
 def _(requests: DataFrame) -> DataFrame:
-    return T.final_status(_status_events(requests))
-
-
-def _status_events(requests: DataFrame) -> DataFrame:
-    """Events with one request for each key: the first event registers it, as queued."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("name").orderBy("ts", "event_id")) == 1
-    e = requests.select("name", F.lit("1").alias("version"), F.when(first, "queued").when(F.col("status") == "queued", "processing").otherwise(F.col("status")).alias("status"), "step", F.when(F.col("status") == "failed", F.concat(F.lit("e"), "event_id")).alias("error"), F.lit("r1").alias("request_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    return e
-
-
-ORACLES["final_status"] = with_clause("requests") + """,
-e AS (SELECT name, row_number() OVER w AS r, CASE WHEN row_number() OVER w = 1 THEN 'queued' WHEN status = 'queued' THEN 'processing' ELSE status END AS status, CASE WHEN row_number() OVER w > 1 THEN step END AS step, CASE WHEN row_number() OVER w > 1 AND status = 'failed' THEN 'e' || CAST(event_id AS VARCHAR) END AS error, ts FROM requests WINDOW w AS (PARTITION BY name ORDER BY ts, event_id))
-SELECT name, '1' AS version, arg_max(status, r) AS status, arg_max(step, r) FILTER (step IS NOT NULL) AS step, arg_max(error, r) FILTER (error IS NOT NULL) AS error, 'r1' AS request_id, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS sequence FROM e GROUP BY name"""
+    """Rival requests, forced ones and events without one, with ties in time."""
+    return T.final_status(requests.sparkSession.sql(_EVENTS.replace("FROM requests", "FROM {requests}"), requests=requests).withColumnRenamed("moment", "at"))
 
 
 @query("timeouts", ("requests",), "SELECT event_id, CASE WHEN status <> 'processing' THEN 'keep' WHEN user_id % 3 = 0 AND event_id % 60 < 20 THEN 'keep' WHEN user_id % 5 = 0 THEN 'ready' WHEN event_id % 60 < CASE WHEN user_id % 7 = 0 THEN 375 ELSE 30 END THEN 'keep' ELSE 'failed' END AS verdict FROM requests")
@@ -707,11 +714,16 @@ def _(aliases: DataFrame) -> DataFrame:
     return aliases.sparkSession.read.schema("alias string, canonical string, path string, bucket string").parquet(path).select("alias", "path")
 
 
-@query("children_store", ("nodes", "edges"), "SELECT r.parent, count(*) AS n FROM relations r JOIN pages p ON r.child = p.id GROUP BY r.parent", ("pages", *TREE))
+@query(
+    "children_store", ("nodes", "edges"),
+    f"SELECT parent, CAST(row_number() OVER (PARTITION BY parent ORDER BY {ORDER_OF.format('p.kind')}, name, child) AS INTEGER) AS place, child, name, EXISTS (SELECT 1 FROM relations x JOIN pages y ON x.child = y.id WHERE x.parent = r.child) AS has_children FROM relations r JOIN pages p ON r.child = p.id",
+    ("pages", *TREE),
+)
 def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     path = scratch(nodes.sparkSession, "children")
     K.write_children(G.tree_children(nodes, edges), path)
-    return nodes.sparkSession.read.parquet(path).select("parent", F.size("children").cast("bigint").alias("n"))
+    store = nodes.sparkSession.read.parquet(path)
+    return K.read_children(store, store)
 
 
 @query("manifests", ("nodes", "edges"), f"SELECT package, n_nodes, n_pages, n_buckets, coalesce(n_edges, 0) AS n_edges FROM (SELECT package, count(*) AS n_nodes, count_if({PAGE}) AS n_pages, count(DISTINCT {_FNV32} % 16) AS n_buckets FROM nodes GROUP BY package) LEFT JOIN (SELECT split_part(from_id, '::', 1) AS package, count(*) AS n_edges FROM edges GROUP BY 1) USING (package)")
@@ -853,4 +865,4 @@ def _(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return found.select("package", "caller", "target", "confidence", F.col("span.line").alias("line"))
 
 
-from weftline import document_queries, ingest_queries, scan_queries  # noqa: E402, F401  they register their queries
+from weftline import document_queries, ingest_queries, scan_queries, view_queries  # noqa: E402, F401  they register their queries

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
@@ -11,32 +11,45 @@ from weftline.operators.filters import is_local_page
 BUCKETS, SALTS = 16, 8
 
 
+def _salt(*columns: str) -> Column:
+    """Deals the rows of one bucket to several tasks."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+
+
 def write_nodes(nodes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """By package and bucket of the id."""
     labelled = nodes.withColumn("bucket", S.bucket_label(F.col("id"), buckets))
-    labelled.repartition("package", "bucket").write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
+    labelled.repartition("package", "bucket", _salt("id")).write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
 
 
 def write_children(children: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Children lists by package and bucket of the parent, in display order."""
-    place = S.kind_order(F.col("kind"))
-    listed = children.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "name", "child", "has_children"))).alias("children"))
-    keyed = listed.withColumns({"package": S.package_of(F.col("parent")), "bucket": S.bucket_label(F.col("parent"), buckets)})
-    keyed.write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
+    """A row for each child by package and bucket of the parent, with its place in display order (kind, name, id) as columns; sorted by them
+    in each file, so a parent of any number of children is no single value."""
+    order = ["parent", "kind_place", "name", "child"]
+    rows = children.withColumn("kind_place", S.kind_order(F.col("kind"))).select(*order, "kind", "has_children")
+    keyed = rows.withColumns({"package": S.package_of(F.col("parent")), "bucket": S.bucket_label(F.col("parent"), buckets)})
+    keyed.repartition("package", "bucket", _salt("child")).sortWithinPartitions("package", "bucket", *order).write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
+
+
+def read_children(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """parent, place, child, name, has_children of the parents asked for, in display order. children: the store, read back."""
+    asked = children.join(parents.select("parent").distinct(), "parent", "left_semi")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("kind_place", "name", "child"))
+    return asked.select("parent", place.alias("place"), "child", "name", "has_children")
 
 
 def write_search(nodes: DataFrame, path: str) -> None:
     """Pages by the two characters that searches begin with."""
-    nodes.where(is_local_page()).withColumn("prefix", S.search_prefix(F.col("name"))).repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(SALTS))).write.partitionBy("prefix").mode("overwrite").parquet(path)
+    nodes.where(is_local_page()).withColumn("prefix", S.search_prefix(F.col("name"))).repartition("prefix", _salt("id")).write.partitionBy("prefix").mode("overwrite").parquet(path)
 
 
 def write_kinds(nodes: DataFrame, path: str) -> None:
-    nodes.where(is_local_page()).repartition("kind", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("kind", "id").write.partitionBy("kind").mode("overwrite").parquet(path)
+    nodes.where(is_local_page()).repartition("kind", _salt("id")).sortWithinPartitions("kind", "id").write.partitionBy("kind").mode("overwrite").parquet(path)
 
 
 def write_aliases(aliases: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     rows = aliases.select("alias", "canonical", F.replace("canonical", F.lit("::"), F.lit("/")).alias("path"), S.bucket_label(F.col("alias"), buckets).alias("bucket"))
-    rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    rows.repartition("bucket", _salt("alias")).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def manifest(nodes: DataFrame, edges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -73,7 +86,7 @@ def write_changed(rows: DataFrame, keys: list[str], buckets: int, before: DataFr
     now = bucket_hashes(rows, keys, buckets)
     changed = changed_buckets(now, before.select("bucket", "n", "hash")) if before is not None else now
     bucketed = rows.withColumn("bucket", F.pmod(S.fnv1a32(F.concat_ws("@", *keys)), F.lit(buckets)))
-    bucketed.join(changed.select("bucket"), "bucket", "left_semi").repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/data")
+    bucketed.join(changed.select("bucket"), "bucket", "left_semi").repartition("bucket", _salt(*keys)).write.partitionBy("bucket").parquet(f"{folder}/data")
     fresh = changed.withColumn("path", F.concat(F.lit(f"{folder}/data/bucket="), F.col("bucket").cast("string")))
     kept = before.join(now, ["bucket", "n", "hash"], "left_semi").select("bucket", "n", "hash", "path") if before is not None else fresh.limit(0)
     fresh.select("bucket", "n", "hash", "path").unionByName(kept).coalesce(1).write.parquet(f"{folder}/manifest")  # a row for each bucket
@@ -106,7 +119,7 @@ def page_details(page_edges: DataFrame, related: DataFrame, ancestors: DataFrame
 def write_details(details: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """By package and bucket of the page; rows of a bucket are dealt by page and other end, and sorted by page in each file."""
     keyed = details.withColumns({"package": S.package_of(F.col("page")), "bucket": S.bucket_label(F.col("page"), buckets)})
-    dealt = keyed.repartition("package", "bucket", F.pmod(F.xxhash64("page", "to_id"), F.lit(SALTS)))
+    dealt = keyed.repartition("package", "bucket", _salt("page", "to_id"))
     dealt.sortWithinPartitions("package", "bucket", "page", "part").write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
 
 

@@ -1,8 +1,10 @@
 """Status events by key: a state machine as a stream and as a batch job, timeouts, snapshots.
 
-An event is (name, version, status, step, error, request_id, at, seq). A 'queued' event registers its request_id if there is no
-status yet, or none that is processing and the event is later than the last update. Any other event counts only if it
-carries the stored request_id. Null fields keep their old values; every event that counts raises the sequence by one.
+An event is (name, version, kind, forced, status, step, error, request_id, at, seq). A ``queue`` event registers its request if there
+is no status yet, or one that isn't processing and was last updated before it. A ``begin`` event starts its request: refused,
+unless forced, where the status is ready or another request is processing. A ``record`` event sets status, step and error, null
+or not; it counts unless it and the status name different requests. Whatever counts raises the sequence, a begin by two: it
+registers and then starts. The time of creation is that of the request's registration.
 """
 
 from __future__ import annotations
@@ -28,16 +30,38 @@ def _text(x: Any) -> str | None:
 
 def fold(state: tuple | None, event: dict) -> tuple | None:
     """The state after one event."""
-    status, request, at = event["status"], _text(event["request_id"]), event["at"]
-    if status == "queued":
-        if state is not None and (state[0] == "processing" or at <= state[5]):
+    kind, request, at = event["kind"], _text(event["request_id"]), event["at"]
+    status, holder, updated = (state[0], state[3], state[5]) if state else (None, None, None)
+    sequence = state[6] if state else 0
+    if kind == "record":
+        if state and request and holder and request != holder:
             return state
-        same = state is not None and state[3] == request
-        return (status, None, None, request, state[4] if same else at, at, (state[6] if state else 0) + 1)
-    if state is None or state[3] != request:
+        return (event["status"], _text(event["step"]), _text(event["error"]), request or holder, state[4] if state else at, at, sequence + 1)
+    if state and kind == "queue" and (status == "processing" or at <= updated):
         return state
-    keep = lambda new, old: old if _text(new) is None else new
-    return (keep(status, state[0]), keep(event["step"], state[1]), keep(event["error"], state[2]), request, state[4], at, state[6] + 1)
+    if state and kind == "begin" and not event["forced"] and (status == "ready" or (status == "processing" and holder and holder != request)):
+        return state
+    created = state[4] if state and holder is not None and holder == request else at
+    step, more = ("queued", 1) if kind == "queue" else ("workflow-started", 2)
+    return ("processing", step, None, request, created, at, sequence + more)
+
+
+def _after(state: Column, e: Column) -> Column:
+    """The same as a column expression: state and e are structs."""
+    none, same = state.isNull(), F.coalesce(state["request_id"] == e["request_id"], F.lit(False))
+    rival = state["request_id"].isNotNull() & ~same
+    queue = none | ((state["status"] != "processing") & (e["at"] > state["updated_at"]))
+    begin = none | e["forced"] | ~((state["status"] == "ready") | ((state["status"] == "processing") & rival))
+    record = none | e["request_id"].isNull() | ~rival
+    sequence, nothing = F.coalesce(state["sequence"], F.lit(0).cast("long")), F.lit(None).cast("string")
+    made = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, FIELDS, strict=True)])
+    created = F.when(same, state["created_at"]).otherwise(e["at"])
+    recorded = made(e["status"], e["step"], e["error"], F.coalesce(e["request_id"], state["request_id"]), F.coalesce(state["created_at"], e["at"]), e["at"], sequence + 1)
+    registered = lambda step, more: made(F.lit("processing"), F.lit(step), nothing, e["request_id"], created, e["at"], sequence + more)
+    return (
+        F.when((e["kind"] == "record") & record, recorded).when((e["kind"] == "queue") & queue, registered("queued", 1))
+        .when((e["kind"] == "begin") & begin, registered("workflow-started", 2)).otherwise(state)
+    )
 
 
 def _folded(key: tuple, state: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
@@ -48,12 +72,11 @@ def _folded(key: tuple, state: tuple | None, events: pd.DataFrame) -> tuple[tupl
 
 
 def final_status(events: DataFrame) -> DataFrame:
-    """The state of every key after all its events. A key's events are folded in order; keys are independent."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _folded(key, None, frame)[1]
-
-    return events.groupBy("name", "version").applyInPandas(run, STATUS)
+    """The state of every key after all its events, without Python: a key's events come together in one sorted list, which is folded by a column
+    expression. Keys are independent; one key's events must fit a task."""
+    columns = ["at", "seq", "kind", "forced", "status", "step", "error", "request_id"]
+    listed = events.withColumn("forced", F.coalesce("forced", F.lit(False))).groupBy("name", "version").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("events"))
+    return listed.select("name", "version", F.reduce("events", F.lit(None).cast(f"struct<{_STATE.replace(' ', ': ').replace(',: ', ', ')}>"), _after).alias("s")).select("name", "version", "s.*")
 
 
 def status_stream(events: DataFrame) -> DataFrame:
