@@ -16,6 +16,12 @@ def merge_edges(raw: DataFrame) -> DataFrame:
     return raw.groupBy("from_id", "to_id", "kind", "is_glob").agg(strongest.alias("confidence"), F.min("edge_seq").alias("edge_seq"), F.count_distinct("edge_seq").alias("occurrences"))
 
 
+def merged_occurrences(raw: DataFrame) -> DataFrame:
+    """The same with the edges' distinct places united, in order. raw: also occurrences (array of structs, null for none)."""
+    places = raw.select("from_id", "to_id", "kind", "is_glob", F.explode("occurrences").alias("place")).groupBy("from_id", "to_id", "kind", "is_glob").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return merge_edges(raw).drop("occurrences").join(places, ["from_id", "to_id", "kind", "is_glob"], "left").withColumnRenamed("places", "occurrences")
+
+
 def merge_nodes(raw: DataFrame, completeness: Column | None = None) -> DataFrame:
     """One row for each id: local beats external, then the more complete, then the first seen."""
     score = completeness if completeness is not None else F.lit(0)

@@ -104,6 +104,14 @@ def related_nodes(page_edges_: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select("id", "kind", "is_external"), "id").select("page", "id", "kind", "is_external")
 
 
+def related_by_alias(page_edges_: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """page and the other ends of its edges, where an end may be an alias: it keeps that name and has the kind of what it stands for.
+    An alias goes before a node of the same id."""
+    ends = page_edges_.select("page", F.explode(F.array("from_id", "to_id")).alias("id")).where("id <> page").distinct()
+    named = ends.join(aliases.select(F.col("alias").alias("id"), "canonical"), "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
+    return named.join(nodes.select(F.col("id").alias("canonical"), "kind", "is_external"), "canonical").select("page", "id", "canonical", "kind", "is_external")
+
+
 def cross_package_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"from_package": S.package_of(F.col("from_id")), "to_package": S.package_of(F.col("to_id"))}).where("from_package <> to_package")
 

@@ -27,6 +27,17 @@ def newest_versions(versions: DataFrame, include_pre: bool = False) -> DataFrame
     return versions.groupBy("package_id").agg(best.alias("b")).select("package_id", F.col("b.num").alias("newest"), F.col("b.created_at").alias("newest_time"))
 
 
+def with_downloads(packages: DataFrame, versions: DataFrame, include_pre: bool = False) -> DataFrame:
+    """Packages (id, name, and downloads if the registry tells them) with their newest version, its time, and downloads: those of the package, or where
+    the registry has no such column the sum over its versions (package_id, num, yanked, created_at, downloads), yanked ones too."""
+    newest = newest_versions(versions, include_pre).withColumnRenamed("package_id", "id")
+    found = packages.join(newest, "id", "left")
+    if "downloads" not in packages.columns:
+        summed = versions.groupBy(F.col("package_id").alias("id")).agg(F.sum("downloads").alias("downloads"))
+        found = found.join(summed, "id", "left").withColumn("downloads", F.coalesce("downloads", F.lit(0)))
+    return found.select("id", "name", "newest", "newest_time", "downloads")
+
+
 def newest_of_each(entries: DataFrame, key: str) -> DataFrame:
     """The first entry by version, time, name for each key; good ones (with a content hash) alone."""
     order = Window.partitionBy(key).orderBy(S.semver(F.col("version")).desc(), F.desc("parsed_at"), F.asc("name"))

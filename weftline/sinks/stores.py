@@ -165,3 +165,81 @@ def record_versions(before: DataFrame | None, entries: DataFrame) -> DataFrame:
     both = exact.unionByName(before) if before is not None else exact
     latest = both.groupBy("name").agg(F.max_by("version", S.semver(F.col("version"))).alias("version")).select("name", F.lit("latest").alias("key"), "version")
     return both.where("key <> 'latest'").distinct().unionByName(latest)
+
+
+# ---- documents in full
+
+
+def _newest_place() -> Column:
+    """The order of a package's entries: by version, then the later parse, then the name."""
+    return F.row_number().over(Window.partitionBy("storage_name").orderBy(S.semver(F.col("version")).desc(), F.desc("parsed_at"), "name"))
+
+
+def _channel(version: Column) -> Column:
+    return F.when(version.contains("beta"), "beta").when(version.contains("nightly"), "nightly").otherwise("stable")
+
+
+def ref_documents(entries: DataFrame, schema_version: int) -> DataFrame:
+    """By storage name what readers need to find a version: schema_version, display_name, aliases (name to version and hash) and versions (with
+    hash, time, nodes and edges), newest first. entries: storage_name, name, version, graph_hash, parsed_at, nodes, edges, source; only
+    those with a hash count.
+
+    Of a package of the toolchain (any entry's source is sysroot) latest and stable are the newest version of neither other channel, beta and
+    nightly the newest that says so; of others latest and stable are the newest version. A document lists one package's versions."""
+    good = entries.where("graph_hash <> ''").withColumn("place", _newest_place())
+    toolchain = good.groupBy("storage_name").agg(F.bool_or(F.col("source") == "sysroot").alias("toolchain"), F.min_by("name", "place").alias("display_name"))
+    told = good.join(toolchain, "storage_name")
+    firsts = told.withColumn("alias", F.when(F.col("toolchain"), _channel(F.col("version"))).otherwise("stable"))
+    named = firsts.groupBy("storage_name", "alias").agg(F.min_by(F.struct("version", "graph_hash"), "place").alias("entry"))
+    with_latest = named.unionByName(named.where("alias = 'stable'").withColumn("alias", F.lit("latest")))
+    aliases = with_latest.groupBy("storage_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "entry")))).alias("aliases"))
+    listed = F.array_sort(F.collect_list(F.struct("place", F.struct("version", "graph_hash", "parsed_at", "nodes", "edges").alias("v"))))
+    versions = good.groupBy("storage_name").agg(F.transform(listed, lambda x: x["v"]).alias("versions"))
+    joined = toolchain.join(versions, "storage_name").join(aliases, "storage_name", "left")
+    return joined.select(F.lit(schema_version).alias("schema_version"), "storage_name", "display_name", "aliases", "versions")
+
+
+REF_DOCUMENT = "schema_version int, storage_name string, display_name string, aliases map<string, struct<version: string, graph_hash: string>>, versions array<struct<version: string, graph_hash: string, parsed_at: timestamp, nodes: long, edges: long>>"
+
+
+def catalog_documents(entries: DataFrame, schema_version: int) -> DataFrame:
+    """The newest good entry of each storage name with its time and counts."""
+    newest = entries.where("graph_hash <> ''").withColumn("place", _newest_place()).where("place = 1")
+    return newest.select(F.lit(schema_version).alias("schema_version"), "name", "storage_name", "version", "parsed_at", F.col("nodes").alias("node_count"), F.col("edges").alias("edge_count"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One JSON document a line, sorted by storage name in each file."""
+    documents.repartitionByRange("storage_name").sortWithinPartitions("storage_name").write.mode("overwrite").json(path)
+
+
+def write_node_views(views: DataFrame, path: str, target_bytes: int, least: int, most: int) -> None:
+    """Views by package and bucket of the page. A package has as many buckets (a power of two within bounds) as keep each near
+    ``target_bytes``; rows of a bucket are dealt by a salt and sorted by page in each file."""
+    keyed = views.withColumn("package", S.package_of(F.col("page")))
+    totals = keyed.groupBy("package").agg(F.sum("size").alias("total")).select("package", S.bucket_count(F.col("total"), target_bytes, least, most).alias("buckets"))
+    placed = keyed.join(totals, "package").withColumn("bucket", F.pmod(S.fnv1a32(F.col("page")), F.col("buckets")))
+    dealt = placed.repartition("package", "bucket", _salt("page", "canonical"))
+    dealt.sortWithinPartitions("package", "bucket", "page", "shown").write.partitionBy("package", "bucket").mode("overwrite").parquet(path)
+
+
+def node_view_report(stored: DataFrame) -> DataFrame:
+    """By package of a written view store: entries, bytes in all, the largest entry, buckets, and the largest bucket's bytes."""
+    pages = stored.groupBy("package", "bucket", "buckets", "page").agg(F.sum("size").alias("bytes"))
+    buckets = pages.groupBy("package", "bucket", "buckets").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.min_by("page", F.struct(-F.col("bytes"), "page")).alias("largest_id"))
+    return buckets.groupBy("package", "buckets").agg(
+        F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest_bytes"), F.min_by("largest_id", F.struct(-F.col("largest"), "largest_id")).alias("largest_id"), F.max("bytes").alias("largest_bucket_bytes"),
+    )
+
+
+def manifest_documents(nodes: DataFrame, edges: DataFrame, roots: DataFrame, children: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """By package: counts, local pages by kind, buckets that hold nodes, and roots with how many children each shows. roots: id; children: parent, child.
+    The lists are of kinds, buckets and roots, which don't grow with a package."""
+    pages = nodes.where(is_local_page())
+    kinds = pages.groupBy("package", "kind").agg(F.count("*").alias("n")).groupBy("package").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kind_counts"), F.sum("n").alias("node_count"))
+    filled = nodes.select("package", S.bucket_label(F.col("id"), buckets).alias("bucket")).groupBy("package").agg(F.sort_array(F.collect_set("bucket")).alias("node_buckets"))
+    shown = children.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))
+    top = roots.join(pages.select("id", "package"), "id").join(shown, "id", "left").groupBy("package").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("n_children", F.lit(0)).alias("n_children")))).alias("roots"))
+    e = edges.groupBy(S.package_of(F.col("from_id")).alias("package")).agg(F.count("*").alias("edge_count"))
+    joined = filled.join(kinds, "package", "left").join(e, "package", "left").join(top, "package", "left")
+    return joined.select("package", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.coalesce("edge_count", F.lit(0)).alias("edge_count"), "kind_counts", "node_buckets", "roots")
