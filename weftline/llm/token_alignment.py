@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from weftline.llm.common import bounded_batches, own_columns, staged, table
 from weftline.llm.prefix_bpe import PIECE, UNSURE, byte_characters
 
-KNOWN, HEAD_PAIRS, WIDE, CHARACTERS = 1 << 19, 100_000, 64, 1 << 19
+KNOWN, HEAD_PAIRS, WIDE, CHARACTERS = 1 << 18, 100_000, 64, 1 << 18
 WHOLE = re.compile(r"[\r\v\f]")
 LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
