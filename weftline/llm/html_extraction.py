@@ -9,9 +9,10 @@ no path holds enough, on the page's own best one), in page order, and from what
 of: the innermost article or main around each whole; any outer container whole that adds ``OWN`` of the text in its own blocks
 or ``BESIDE`` of it anywhere; and of other outer containers below body the blocks of their own. Links don't count as text here.
 
-Left out wherever they stand: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers (by tag, or by a class, id or role that as a whole says so) and hidden elements. A name drops nothing that holds
-the page's only article or main with text, or most of the text of a page without one.
+Left out wherever they stand: menus, footers, scripts, styles and hidden elements; and page headers, sidebars, notices, adverts,
+forms, comments of readers, by their tag or by a class, id or role that says so as a whole or with its last word. The latter drop
+nothing that holds the page's only article or main with text, or most of the text of a page without one: a page in one form
+keeps its text. The header of an article is part of it.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; a null or malformed url is the
 host ''; rows that repeat a page are extracted one by one (and vote one by one); equal votes go to the longer, then
@@ -39,9 +40,12 @@ PATHS = "page_key long, page_key2 int, host string, path string, share long, eno
 
 # Fixed values of HTML: elements that hold others, that are never main text, that hold no markup, that break a block.
 CONTAINERS = frozenset("html body div section article main table blockquote figure details center td".split())
-NOISE = frozenset("head nav header footer aside form menu button select label fieldset dialog noscript svg math audio video canvas object".split())
+NOISE = frozenset("head nav footer menu button select label noscript svg math audio video canvas object".split())
+SOFT = frozenset("header aside form fieldset dialog".split())  # as a name: boilerplate, unless the main text is inside
+LISTS = frozenset("ul ol dl".split())  # their names hold for all items
+HOLDERS = CONTAINERS | NOISE | SOFT | LISTS
 RAW = frozenset("script style textarea template iframe noframes xmp title".split())
-BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr th thead tbody tfoot caption pre hr br figcaption address summary option legend".split()) | CONTAINERS | NOISE
+BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr th thead tbody tfoot caption pre hr br figcaption address summary option legend".split()) | CONTAINERS | NOISE | SOFT
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners"
@@ -54,6 +58,10 @@ NOISE_NAMES = frozenset(
 # Words that may stand beside such a name in one class ("sidebar-left", "site-header"); any other makes it another name ("no-sidebar").
 PLACES = frozenset("left right top bottom upper lower primary secondary main site page global local list box bar wrap wrapper container area section block inner outer item items link links slot unit group thread text body title".split())
 
+# Names that say so as the last word of any other ("user-comments", "article-ad"), unless a word before them says the contrary.
+LAST_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo comment comments replies disqus newsletter subscribe signup cookie cookies consent sidebar breadcrumb breadcrumbs nav navbar menu pagination share sharing".split())
+CONTRARY = frozenset("no not non has have with without is hide".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 # one attribute with what stands before it; a quote that is never closed is part of a bare value
 ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/><][^\s/>=<]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s><]*+)))?+)?+")
@@ -61,8 +69,10 @@ NAME_PART = re.compile(r"[a-z]+")
 
 
 def _is_noise(name: str) -> bool:
-    """Whether a class, id or role as a whole names boilerplate; digits and words for places in it don't matter."""
+    """Whether a class, id or role names boilerplate, as a whole (digits and words for places in it don't matter) or by its last word."""
     parts = NAME_PART.findall(name)
+    if parts and parts[-1] in LAST_WORDS and CONTRARY.isdisjoint(parts):
+        return True
     return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in PLACES for p in parts)
 
 
@@ -148,7 +158,7 @@ class Page:
             elif closing:
                 continue
             if closing:
-                if tag in CONTAINERS or tag in NOISE:
+                if tag in HOLDERS:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == tag:
                             del stack[i:]
@@ -158,11 +168,13 @@ class Page:
                 continue
             classes, named, noise = _attributes(inside) if inside.strip() else ("", False, False)
             _, outer, outer_noise, name = stack[-1]
+            if tag in SOFT:  # the header of an article holds its heading
+                named |= tag != "header" or not self._in_article(outer)
             # a page's own frame may carry any class; it is never the boilerplate itself
             if named and tag not in ("html", "body", "main", "article"):
                 names.append((name, outer))
                 name = len(names) - 1
-            if tag in CONTAINERS or tag in NOISE:
+            if tag in HOLDERS:
                 if inside.endswith("/"):
                     continue
                 noise = outer_noise or tag in NOISE or noise and tag not in ("html", "body", "main", "article")
@@ -178,6 +190,12 @@ class Page:
         flush()
         self._drop_named(names, under)
 
+    def _in_article(self, c: int) -> bool:
+        """Whether a container is an article or main, or in one."""
+        while c >= 0 and self.tags[c] not in ("article", "main"):
+            c = self.containers[c][1]
+        return c >= 0
+
     def _articles(self) -> list[int]:
         """By container: the innermost article or main around it, or -1."""
         found = [-1] * len(self.containers)
