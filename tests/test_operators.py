@@ -4,9 +4,10 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from weftline.fixed import LANE_PATTERN
+from weftline.fixed import LANE_PATTERNS
 from weftline.operators import calls as X
 from weftline.operators import closures as C
 from weftline.operators import graph as G
@@ -31,15 +32,24 @@ def test_newest_version_rules(spark):
     assert {r.package_id: r.newest for r in R.newest_versions(v, include_pre=True).collect()}[2] == "1.1.0-alpha.1"
 
 
-def test_fair_interleave_is_the_walk(spark):
+@pytest.mark.parametrize("mode", ["daily", "backfill"])
+def test_fair_interleave_is_the_walk(spark, mode):
+    """Lanes by tier; a slot of an empty lane goes to the next slot whose lane has something."""
     random.seed(5)
-    names = [(f"p{i:03}", random.choice(["revision", "newer", "never"]), i + 1, i % 13 == 0) for i in range(120)]
-    work = spark.createDataFrame(names, "name string, state string, download_rank int, forced boolean").withColumns({"version": F.lit("1.0.0"), "tier": L.priority(F.col("state"), F.col("forced"), F.col("download_rank"))})
-    lanes = {k: [n for n, s, _, f in names if not f and {"revision": 0, "newer": 1, "never": 2}[s] == k] for k in range(3)}
-    walk = [n for n, _, _, f in names if f]
+    names = [(f"p{i:03}", random.choice(["revision", "schema", "newer", "never"]), random.choice([None, 60 * i + 1, 60 * i + 1]), i % 13 == 0) for i in range(160)]
+    tier = L.priority(F.col("state"), F.col("forced"), F.col("download_rank"), mode)
+    work = spark.createDataFrame(names, "name string, state string, download_rank int, forced boolean").withColumns({"version": F.lit("1.0.0"), "tier": tier})
+    order = ["forced", "top-download-stale", "newer-version", "catalog-stale", "catalog-newer", "never-parsed-backfill", "long-tail-backfill"]
+    items = sorted((order.index(r.tier), r.download_rank or 2**31, r.name) for r in work.collect())
+    lanes = {lane: [n for t, _, n in items if t in tiers] for lane, tiers in {-1: (0,), 0: (1, 2), 1: (3, 4), 2: (5, 6)}.items()}
+    assert {t for t, _, _ in items} == set(range(7 if mode == "backfill" else 6))
+    walk, cursor, pattern = lanes.pop(-1), 0, LANE_PATTERNS[mode]
     while any(lanes.values()):
-        walk += [lanes[k].pop(0) for k in LANE_PATTERN if lanes[k]]
-    assert [r.name for r in L.select_work(work, 500).collect()] == walk
+        offset = next(o for o in range(10) if lanes[pattern[(cursor + o) % 10]])
+        walk.append(lanes[pattern[(cursor + offset) % 10]].pop(0))
+        cursor = (cursor + offset + 1) % 10
+    for cap in (10, 500):
+        assert [r.name for r in L.select_work(work, cap, mode).collect()] == walk[:cap]
 
 
 def test_staleness_of_versions(spark):

@@ -25,9 +25,10 @@ MERGE_CONFIDENCE = ("Runtime", "Static", "Inferred")
 OVERVIEW_CONFIDENCE = ("Inferred", "Runtime", "Static")
 
 TOP_RANK = 5000
-PRIORITY_TIERS = ("forced", "top-download-stale", "newer-version", "catalog-stale", "backfill", "long-tail")
-#: Which of three lanes (stale, newer, never parsed) takes each of ten slots.
-LANE_PATTERN = (0, 1, 0, 2, 0, 1, 0, 2, 0, 1)
+PRIORITY_TIERS = ("forced", "top-download-stale", "newer-version", "catalog-stale", "catalog-newer", "never-parsed-backfill", "long-tail-backfill")
+#: Which of three lanes (popular, catalog, backfill) each tier is in, and takes each of ten slots in daily and in backfill plans.
+TIER_LANES = {"forced": -1, "top-download-stale": 0, "newer-version": 0, "catalog-stale": 1, "catalog-newer": 1, "never-parsed-backfill": 2, "long-tail-backfill": 2}
+LANE_PATTERNS = {"daily": (0, 0, 1, 0, 2, 0, 1, 0, 2, 1), "backfill": (2, 2, 1, 2, 0, 2, 1, 2, 0, 2)}
 MAX_DEPTH = 64
 
 # Relations in the order in which a focused view keeps them; kinds that it hides unless asked for.

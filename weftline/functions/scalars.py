@@ -205,21 +205,30 @@ def staleness_text(state: Column, recorded: Column, current: Column) -> Column:
     short = lambda c: F.substring(c, 1, 8)
     return (
         F.when(state == "never", "never parsed")
-        .when(state == "newer", F.concat(F.lit("newer version "), current, F.lit(" (have "), recorded, F.lit(")")))
-        .when(state == "revision", F.concat(F.lit("parser revision "), short(recorded), F.lit(" -> "), short(current)))
-        .when(state == "schema", F.concat(F.lit("schema "), recorded, F.lit(" -> "), current))
+        .when(state == "newer", F.concat(F.lit("crates.io "), current, F.lit(" vs recorded "), recorded))
+        .when(state == "revision", F.concat(F.lit("parser "), short(recorded), F.lit(" \u2192 "), short(current)))
+        .when(state == "schema", F.concat(F.lit("schema v"), recorded, F.lit(" \u2192 v"), current))
         .otherwise("fresh")
     )
 
 
-def reason_target(reason: Column, what: str) -> Column:
-    """The revision ('parser revision') or schema that a reason names as its target; null if it names none."""
-    found = F.regexp_extract(reason, rf"^{what} \S+ -> (\S+)$", 1)
-    return F.nullif(found, F.lit(""))
+def plan_reason(forced: Column, staleness: Column) -> Column:
+    return F.when(forced, F.concat(F.lit("forced (otherwise: "), staleness, F.lit(")"))).otherwise(staleness)
 
 
-def revision_matches(a: Column, b: Column) -> Column:
-    return (F.length(a) > 0) & (F.length(b) > 0) & (a.startswith(b) | b.startswith(a))
+def parser_target(reason: Column) -> Column:
+    """The revision that a reason names as its target, null if it names none."""
+    return F.nullif(F.regexp_extract(reason, r"\bparser\s+\S+\s+(?:\u2192|->)\s+([0-9a-fA-F]{7,40})\b", 1), F.lit(""))
+
+
+def schema_target(reason: Column) -> Column:
+    """The schema version that a reason names as its target, null if it names none."""
+    return F.regexp_extract(reason, r"\bschema\s+v\d+\s+(?:\u2192|->)\s+v(\d+)\b", 1).try_cast("int")
+
+
+def revision_matches(actual: Column, target: Column) -> Column:
+    """Whether a revision is the one that a text of it, maybe shortened, means."""
+    return F.coalesce((F.length(actual) > 0) & actual.startswith(target), F.lit(False))
 
 
 def run_id(text: Column) -> Column:

@@ -300,16 +300,6 @@ def _(nodes: DataFrame) -> DataFrame:
     return V.prefix_search(store, "customer#").select("id", "name")
 
 
-@query("already_handled", ("packages",), "SELECT name, version, CASE id % 6 WHEN 0 THEN true WHEN 1 THEN id % 4 = 0 WHEN 2 THEN id % 5 <> 0 OR id % 4 = 0 WHEN 3 THEN (id % 5 <> 0 AND id % 7 <> 0) OR id % 4 = 0 ELSE id % 4 = 0 END AS handled FROM (SELECT id, name, '1.0.0' AS version FROM packages)")
-def _(packages: DataFrame) -> DataFrame:
-    i = F.col("id")
-    reason = F.when(i % 7 == 0, "parser revision aaaa -> bbbb").otherwise("never parsed")
-    plan = packages.select("id", "name", F.lit("1.0.0").alias("version"), reason.alias("reason"), F.lit("2026-01-02").cast("timestamp").alias("planned_at"), (i % 4 == 0).alias("satisfied"))
-    kind = F.when(i % 6 == 0, "processing").when(i % 6 == 1, "queued").when(i % 6 == 2, "failed").when(i % 6 == 3, "ready")
-    status = packages.select("name", F.lit("1.0.0").alias("version"), kind.alias("status"), F.when(i % 5 == 0, F.lit("2026-01-01")).otherwise("2026-01-03").cast("timestamp").alias("updated_at")).where("status is not null")
-    return L.already_handled(plan, status).select("name", "version", "handled")
-
-
 @query("latest_plan", ("requests",), "SELECT CAST(event_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 7 AS VARCHAR) AS run FROM requests ORDER BY date_trunc('day', ts) DESC, user_id DESC, event_id % 7 DESC, CAST(event_id AS VARCHAR) DESC LIMIT 1")
 def _(requests: DataFrame) -> DataFrame:
     plans = requests.select(F.col("event_id").cast("string").alias("key"), F.concat_ws("-", "user_id", F.col("event_id") % 7).alias("run"), F.date_trunc("day", "ts").alias("uploaded"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.fixed import LANE_PATTERN, PRIORITY_TIERS, TOP_RANK
+from weftline.fixed import LANE_PATTERNS, PRIORITY_TIERS, TIER_LANES, TOP_RANK
 from weftline.functions import scalars as S
 
 
@@ -36,13 +36,15 @@ def staleness(wanted: DataFrame, recorded: DataFrame, revision: str, schema: int
     return joined.withColumn("state", state)
 
 
-def priority(state: Column, forced: Column, rank: Column) -> Column:
-    top = rank <= TOP_RANK
+def priority(state: Column, forced: Column, rank: Column, mode: str = "daily") -> Column:
+    """The tier of an item; null for fresh ones. Only backfill plans tell the long tail from other packages never parsed."""
+    top = F.coalesce(rank <= TOP_RANK, F.lit(False))
+    never = F.when(top, "never-parsed-backfill").otherwise("long-tail-backfill") if mode == "backfill" else F.lit("never-parsed-backfill")
     return (
         F.when(forced, "forced")
         .when(state.isin("revision", "schema"), F.when(top, "top-download-stale").otherwise("catalog-stale"))
-        .when(state == "newer", F.when(top, "newer-version").otherwise("catalog-stale"))
-        .when(state == "never", F.when(top, "backfill").otherwise("long-tail"))
+        .when(state == "newer", F.when(top, "newer-version").otherwise("catalog-newer"))
+        .when(state == "never", never)
     )
 
 
@@ -50,14 +52,14 @@ def tier_order(tier: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(t) for t in PRIORITY_TIERS]), tier), F.lit(99)).cast("int")
 
 
-def lane(state: Column) -> Column:
-    """stale 0, newer 1, never parsed 2."""
-    return F.when(state.isin("revision", "schema"), 0).when(state == "newer", 1).when(state == "never", 2)
+def lane(tier: Column) -> Column:
+    """popular 0, catalog 1, backfill 2; forced ones are in none, -1."""
+    return F.coalesce(*[F.when(tier == t, k) for t, k in TIER_LANES.items()])
 
 
 def _keyed(work: DataFrame) -> DataFrame:
     """With the lane (forced ones in one of their own, -1) and what items of a lane are ordered by, before name and version."""
-    return work.withColumns({"lane": F.when(F.col("forced"), -1).otherwise(lane(F.col("state"))), "tier_rank": tier_order(F.col("tier")), "rank_key": F.coalesce("download_rank", F.lit(2**31 - 1))})
+    return work.withColumns({"lane": lane(F.col("tier")), "tier_rank": tier_order(F.col("tier")), "rank_key": F.coalesce("download_rank", F.lit(2**31 - 1))})
 
 
 def first_of_lanes(work: DataFrame, cap: int) -> DataFrame:
@@ -71,38 +73,41 @@ def first_of_lanes(work: DataFrame, cap: int) -> DataFrame:
     return keyed.join(F.broadcast(last), "lane").where(F.col("step") <= F.col("last")).select(*work.columns)  # a row for each lane
 
 
-def fair_order(work: DataFrame) -> DataFrame:
-    """work (name, version, state, tier, download_rank, forced) with its place: forced ones first, then the lanes by their slots in
+def fair_order(work: DataFrame, mode: str = "daily") -> DataFrame:
+    """work (name, version, tier, download_rank) with its place: forced ones first, then the lanes by their slots in
     a repeating pattern. An empty lane's slots are skipped, which never reorders the others, so the place of a lane's r-th
     item is known alone: (r div slots, slot[r mod slots])."""
     order = Window.partitionBy("lane").orderBy("tier_rank", "rank_key", "name", "version")
     ranked = _keyed(work).withColumn("r", F.row_number().over(order) - 1).drop("rank_key")
     cycle, slot = F.when(F.col("lane") < 0, F.col("r")), F.lit(-1)
-    for k in sorted(set(LANE_PATTERN)):
-        slots = [i for i, x in enumerate(LANE_PATTERN) if x == k]
+    for k in sorted(set(LANE_PATTERNS[mode])):
+        slots = [i for i, x in enumerate(LANE_PATTERNS[mode]) if x == k]
         cycle = cycle.when(F.col("lane") == k, F.floor(F.col("r") / len(slots)))
         slot = F.when(F.col("lane") == k, F.get(F.array(*map(F.lit, slots)), F.pmod("r", F.lit(len(slots))).cast("int"))).otherwise(slot)
     return ranked.withColumns({"forced_first": F.when(F.col("lane") < 0, 0).otherwise(1), "cycle": cycle.cast("bigint"), "slot": slot})
 
 
-def select_work(work: DataFrame, cap: int) -> DataFrame:
+def select_work(work: DataFrame, cap: int, mode: str = "daily") -> DataFrame:
     """The first ``cap`` of the fair order. No lane can give more than that, so lanes are cut to about as many before they are ranked."""
-    return fair_order(first_of_lanes(work, cap)).where(F.col("r") < cap).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
+    return fair_order(first_of_lanes(work, cap), mode).where(F.col("r") < cap).orderBy("forced_first", "cycle", "slot", "lane").limit(cap)
 
 
 def satisfied(plan: DataFrame, freshness: DataFrame) -> DataFrame:
-    """plan (name, version, reason, planned_at) with whether a record meets it: by the revision or schema that the reason names,
-    else by a parse since it was planned, or any record for a version never parsed."""
-    f = freshness.select("name", "version", F.col("parser_revision").alias("f_revision"), F.col("schema_version").alias("f_schema"), F.col("parsed_at").alias("f_parsed"))
-    revision, schema = S.reason_target(F.col("reason"), "parser revision"), S.reason_target(F.col("reason"), "schema")
+    """plan (name, version, reason, planned_at, tier) with whether the record of that very version meets it. Without one it is open. A parser or
+    schema that the reason names is met by a record of it, or one parsed since the plan was made; a first parse or a newer
+    version by any record; all else by one parsed since, or by any if the plan has no time."""
+    f = freshness.select("name", "version", F.col("parser_revision").alias("f_revision"), F.col("schema_version").alias("f_schema"), F.col("parsed_at").alias("f_parsed"), F.lit(True).alias("there"))
+    revision, schema = S.parser_target(F.col("reason")), S.schema_target(F.col("reason"))
+    since = F.coalesce(F.col("f_parsed") >= F.col("planned_at"), F.lit(False))
+    any_record = F.col("tier").isin("never-parsed-backfill", "newer-version") | F.col("reason").contains("never parsed") | F.col("reason").contains("crates.io")
     met = (
-        F.when(F.col("f_parsed").isNull(), False)
-        .when(revision.isNotNull(), S.revision_matches(revision, F.col("f_revision")))
-        .when(schema.isNotNull(), F.col("f_schema").cast("string") == schema)
-        .when(F.col("reason") == "never parsed", True)
-        .otherwise(F.col("f_parsed") >= F.col("planned_at"))
+        F.when(F.col("there").isNull(), False)
+        .when(revision.isNotNull(), S.revision_matches(F.col("f_revision"), revision) | since)
+        .when(schema.isNotNull(), F.coalesce(F.col("f_schema") == schema, F.lit(False)) | since)
+        .when(F.coalesce(any_record, F.lit(False)) | F.col("planned_at").isNull(), True)
+        .otherwise(since)
     )
-    return plan.join(f, ["name", "version"], "left").withColumn("satisfied", met)
+    return plan.join(f, ["name", "version"], "left").withColumn("satisfied", met).drop("there")
 
 
 def shard_counts(work: DataFrame, shards: int) -> DataFrame:
@@ -148,9 +153,9 @@ def stale_failures(failed: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def already_handled(plan: DataFrame, status: DataFrame) -> DataFrame:
     """plan (name, version, reason, planned_at, satisfied) with handled: under way, met, failed since, or ready since if the plan doesn't name
-    a parser or schema to get to. status: name, version, status, updated_at."""
-    newer = F.coalesce(F.col("updated_at") >= F.col("planned_at"), F.lit(False))
-    target = S.reason_target(F.col("reason"), "parser revision").isNotNull() | S.reason_target(F.col("reason"), "schema").isNotNull()
+    a parser or schema to get to. A status counts as later where one of the times isn't known. status: name, version, status, updated_at."""
+    newer = F.coalesce(F.col("updated_at") >= F.col("planned_at"), F.lit(True))
+    target = S.parser_target(F.col("reason")).isNotNull() | S.schema_target(F.col("reason")).isNotNull()
     is_ = lambda s: F.coalesce(F.col("status") == s, F.lit(False))
     handled = is_("processing") | F.col("satisfied") | is_("failed") & newer | is_("ready") & newer & ~target
     return plan.join(status, ["name", "version"], "left").withColumn("handled", handled)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.derived import derive, with_clause
-from weftline.fixed import NODE_KINDS, RELATIONS, SEMANTIC
+from weftline.fixed import NODE_KINDS, PRIORITY_TIERS, RELATIONS, SEMANTIC
 from weftline.functions import scalars as S
 from weftline.operators import aggregates as A
 from weftline.operators import calls as X
@@ -45,6 +45,7 @@ PARTS = {
     "owners": "SELECT n.id, CASE WHEN n.kind IN ('Crate', 'Module') THEN n.id ELSE coalesce(m.module, n.package) END AS module FROM nodes n LEFT JOIN (SELECT c.node, arg_min(c.ancestor, c.depth) AS module FROM chain c JOIN nodes a ON c.ancestor = a.id WHERE a.kind IN ('Crate', 'Module') GROUP BY c.node) m ON n.id = m.node",
     "versions_key": r"SELECT *, regexp_extract(num, '^(\d+)\.(\d+)\.(\d+)(-rc\.(\d+))?$', ['a', 'b', 'c', 'd', 'e']) AS k FROM versions",
 }
+PARTS["stale"] = "SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'never' WHEN 1 THEN 'newer' WHEN 2 THEN 'revision' WHEN 3 THEN 'schema' ELSE 'fresh' END AS state, CASE c_custkey % 5 WHEN 2 THEN CAST(c_custkey * 7919 AS STRING) || 'abcdef' ELSE CAST(c_custkey % 9 AS STRING) END AS recorded, CASE c_custkey % 5 WHEN 2 THEN 'abc' || CAST(c_custkey * 31 AS STRING) || '99' ELSE CAST(c_custkey % 7 AS STRING) END AS current, c_custkey % 4 = 0 AS forced FROM structs"
 #: Of these, what an engine should compute once.
 STORED = {"tree", "items", "members", "shapes", "tails", "tries"}
 _BASE = {"sides": ("nodes", "edges"), "pages": ("nodes",), "page_edges": ("edges",), "versions_key": ("versions",)}
@@ -178,19 +179,15 @@ def _(structs: DataFrame) -> DataFrame:
 
 @query(
     "staleness_reasons", ("structs",),
-    "WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'never parsed' WHEN 1 THEN 'newer version 2.0 (have 1.' || CAST(c_custkey AS VARCHAR) || ')' WHEN 2 THEN 'parser revision ' || substr('rev' || CAST(c_custkey AS VARCHAR), 1, 8) || ' -> abcdef12' ELSE 'schema 1 -> 2' END AS reason FROM structs) SELECT k, reason, CASE WHEN k % 4 = 2 THEN 'abcdef12' END AS revision, CASE WHEN k % 4 = 3 THEN '2' END AS schema FROM s",
+    "SELECT k, reason, CASE WHEN state = 'revision' AND length(current) >= 7 THEN substr(current, 1, 8) END AS revision, CASE WHEN state = 'schema' THEN CAST(current AS INTEGER) END AS schema FROM (SELECT *, CASE WHEN forced THEN 'forced (otherwise: ' || told || ')' ELSE told END AS reason FROM (SELECT *, CASE state WHEN 'never' THEN 'never parsed' WHEN 'newer' THEN 'crates.io ' || current || ' vs recorded ' || recorded WHEN 'revision' THEN 'parser ' || substr(recorded, 1, 8) || ' ' || chr(8594) || ' ' || substr(current, 1, 8) WHEN 'schema' THEN 'schema v' || recorded || ' ' || chr(8594) || ' v' || current ELSE 'fresh' END AS told FROM stale))",
+    ("stale",),
 )
 def _(structs: DataFrame) -> DataFrame:
-    m, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
-    state = F.when(m == 0, "never").when(m == 1, "newer").when(m == 2, "revision").otherwise("schema")
-    recorded = F.when(m == 1, F.concat(F.lit("1."), key)).when(m == 2, F.concat(F.lit("rev"), key)).otherwise("1")
-    current = F.when(m == 1, "2.0").when(m == 2, "abcdef1234").otherwise("2")
-    r = structs.select(F.col("c_custkey").alias("k"), S.staleness_text(state, recorded, current).alias("reason"))
-    return r.select("k", "reason", S.reason_target(F.col("reason"), "parser revision").alias("revision"), S.reason_target(F.col("reason"), "schema").alias("schema"))
+    stale = structs.sparkSession.sql(PARTS["stale"].replace("FROM structs", "FROM {s}"), s=structs)
+    told = S.plan_reason(F.col("forced"), S.staleness_text(F.col("state"), F.col("recorded"), F.col("current")))
+    return stale.select("k", told.alias("reason")).select("k", "reason", S.parser_target(F.col("reason")).alias("revision"), S.schema_target(F.col("reason")).alias("schema"))
 
 
-ORACLES["staleness_reasons"] = ORACLES["staleness_reasons"].replace("\nWITH s AS (", ",\ns AS (", 1)
-
 # ---- joins
 
 
@@ -543,28 +540,31 @@ def _(raw: DataFrame) -> DataFrame:
 
 # ---- planning
 
-_STATE = """
+_RANKS = "list_position([" + ", ".join(f"'{t}'" for t in PRIORITY_TIERS) + "], tier)"
+_STATE = f"""
 wanted AS (SELECT id, name, downloads, CAST(row_number() OVER (ORDER BY downloads DESC, name) AS INT) AS download_rank, CAST(1 + id % 3 AS VARCHAR) || '.0.0' AS version, id % 11 = 0 AS forced FROM packages),
 recorded AS (SELECT name, CAST(1 + id % 2 AS VARCHAR) || '.0.0' AS recorded_version, CASE WHEN id % 5 = 0 THEN 'rev-old' ELSE 'rev-new' END AS parser_revision, CASE WHEN id % 7 = 0 THEN 1 ELSE 2 END AS schema_version FROM packages WHERE id % 4 <> 0),
 states AS (SELECT w.*, CASE WHEN r.name IS NULL THEN 'never' WHEN recorded_version <> version THEN 'newer' WHEN parser_revision <> 'rev-new' THEN 'revision' WHEN schema_version <> 2 THEN 'schema' ELSE 'fresh' END AS state FROM wanted w LEFT JOIN recorded r ON w.name = r.name),
-tiers AS (SELECT *, CASE WHEN forced THEN 'forced' WHEN state IN ('revision', 'schema') THEN CASE WHEN download_rank <= 5000 THEN 'top-download-stale' ELSE 'catalog-stale' END WHEN state = 'newer' THEN CASE WHEN download_rank <= 5000 THEN 'newer-version' ELSE 'catalog-stale' END WHEN state = 'never' THEN CASE WHEN download_rank <= 5000 THEN 'backfill' ELSE 'long-tail' END END AS tier FROM states),
-lanes AS (SELECT *, CASE WHEN forced THEN -1 WHEN state IN ('revision', 'schema') THEN 0 WHEN state = 'newer' THEN 1 WHEN state = 'never' THEN 2 END AS lane FROM tiers WHERE forced OR state <> 'fresh'),
-placed AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY CASE tier WHEN 'forced' THEN 1 WHEN 'top-download-stale' THEN 2 WHEN 'newer-version' THEN 3 WHEN 'catalog-stale' THEN 4 WHEN 'backfill' THEN 5 WHEN 'long-tail' THEN 6 ELSE 99 END, download_rank, name, version) - 1 AS r FROM lanes),
-slots AS (SELECT *, CASE lane WHEN 0 THEN r // 5 WHEN 1 THEN r // 3 WHEN 2 THEN r // 2 ELSE r END AS cycle, CASE lane WHEN 0 THEN [0, 2, 4, 6, 8][r % 5 + 1] WHEN 1 THEN [1, 5, 9][r % 3 + 1] WHEN 2 THEN [3, 7][r % 2 + 1] ELSE -1 END AS slot FROM placed)
+modes AS (SELECT unnest(['daily', 'backfill']) AS mode),
+tiers AS (SELECT *, CASE WHEN forced THEN 'forced' WHEN state IN ('revision', 'schema') THEN CASE WHEN download_rank <= 5000 THEN 'top-download-stale' ELSE 'catalog-stale' END WHEN state = 'newer' THEN CASE WHEN download_rank <= 5000 THEN 'newer-version' ELSE 'catalog-newer' END WHEN state = 'never' THEN CASE WHEN mode = 'daily' OR download_rank <= 5000 THEN 'never-parsed-backfill' ELSE 'long-tail-backfill' END END AS tier FROM (SELECT * REPLACE (download_rank * 3 AS download_rank) FROM states), modes),
+lanes AS (SELECT *, CASE WHEN tier = 'forced' THEN -1 WHEN tier IN ('top-download-stale', 'newer-version') THEN 0 WHEN tier IN ('catalog-stale', 'catalog-newer') THEN 1 ELSE 2 END AS lane FROM tiers WHERE tier IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY mode, lane ORDER BY {_RANKS}, download_rank, name, version) - 1 AS r FROM lanes),
+patterns AS (SELECT 'daily' AS mode, [0, 0, 1, 0, 2, 0, 1, 0, 2, 1] AS pattern UNION ALL SELECT 'backfill', [2, 2, 1, 2, 0, 2, 1, 2, 0, 2]),
+slots AS (SELECT p.*, CASE WHEN lane < 0 THEN r ELSE r // len(own) END AS cycle, CASE WHEN lane < 0 THEN -1 ELSE own[r % len(own) + 1] END AS slot FROM (SELECT p.*, list_filter(range(1, 11), lambda i: pattern[i] = lane) AS own FROM placed p JOIN patterns USING (mode)) p)
 """
 
 
-def _work(packages: DataFrame) -> DataFrame:
+def _work(packages: DataFrame, mode: str = "daily") -> DataFrame:
     """Packages as wanted versions against made records, with state, tier and rank."""
     i = F.col("id")
-    wanted = R.download_rank(packages).withColumnRenamed("rank", "download_rank").withColumns({"version": F.concat((1 + i % 3).cast("string"), F.lit(".0.0")), "forced": i % 11 == 0})
+    wanted = R.download_rank(packages).withColumn("download_rank", F.col("rank") * 3).drop("rank").withColumns({"version": F.concat((1 + i % 3).cast("string"), F.lit(".0.0")), "forced": i % 11 == 0})
     recorded = packages.where("id % 4 <> 0").select("name", F.concat((1 + i % 2).cast("string"), F.lit(".0.0")).alias("version"), F.when(i % 5 == 0, "rev-old").otherwise("rev-new").alias("parser_revision"), F.when(i % 7 == 0, 1).otherwise(2).alias("schema_version"))
     s = L.staleness(wanted, recorded, "rev-new", 2, latest=True)
-    return s.withColumn("tier", L.priority(F.col("state"), F.col("forced"), F.col("download_rank")))
+    return s.withColumn("tier", L.priority(F.col("state"), F.col("forced"), F.col("download_rank"), mode))
 
 
-def _todo(packages: DataFrame) -> DataFrame:
-    return _work(packages).where("forced or state <> 'fresh'")
+def _todo(packages: DataFrame, mode: str) -> DataFrame:
+    return _work(packages, mode).where("tier is not null")
 
 
 def _plan_sql(name: str, select: str) -> None:
@@ -576,7 +576,7 @@ def _(packages: DataFrame) -> DataFrame:
     return _work(packages).select("name", "version", "state", "tier")
 
 
-_plan_sql("staleness", "SELECT name, version, state, tier FROM tiers")
+_plan_sql("staleness", "SELECT name, version, state, tier FROM tiers WHERE mode = 'daily'")
 
 
 @query("version_staleness", ("packages",), "SELECT name, version, CASE WHEN id % 4 = 0 THEN 'never' WHEN id % 5 = 0 THEN 'revision' WHEN id % 7 = 0 THEN 'schema' ELSE 'fresh' END AS state FROM (SELECT id, name, '1.' || CAST(id % 4 AS VARCHAR) || '.0' AS version FROM packages)")
@@ -591,10 +591,12 @@ def _(packages: DataFrame) -> DataFrame:
 
 @query("work_plan", ("packages",))
 def _(packages: DataFrame) -> DataFrame:
-    return L.select_work(_todo(packages), 150).select("name", "version", "tier", "lane")
+    """The first items of a daily and of a backfill plan."""
+    plans = [L.select_work(_todo(packages, mode), 150, mode).select(F.lit(mode).alias("mode"), "name", "version", "tier", "lane") for mode in ("daily", "backfill")]
+    return plans[0].unionByName(plans[1])
 
 
-_plan_sql("work_plan", "SELECT name, version, tier, CAST(lane AS INT) AS lane FROM slots ORDER BY CASE WHEN lane < 0 THEN 0 ELSE 1 END, cycle, slot, lane LIMIT 150")
+_plan_sql("work_plan", "SELECT mode, name, version, tier, CAST(lane AS INT) AS lane FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY lane >= 0, cycle, slot) AS place FROM slots) WHERE place <= 150")
 
 
 @query("shard_counts", ("packages",), f"SELECT s.shard, count(b.shard) AS n FROM (SELECT unnest(range(17)) AS shard) s LEFT JOIN (SELECT CAST({_FNV64} % 17 AS BIGINT) AS shard FROM (SELECT 'crate:' || name || ':1.0.0:default' AS t FROM packages)) b USING (shard) GROUP BY s.shard")

@@ -11,7 +11,7 @@ from weftline.operators import filters as P
 from weftline.operators import graph as G
 from weftline.operators import ranking as R
 from weftline.plans import planning as L
-from weftline.queries import query
+from weftline.queries import PARTS, query
 from weftline.shared import scratch
 from weftline.sinks import stores as K
 from weftline.sources import scans as N
@@ -124,14 +124,28 @@ def _(packages: DataFrame) -> DataFrame:
     return found.select("name", "place", "forced")
 
 
-@query("satisfied_plans", ("packages",), "SELECT name, CASE id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN id % 4 = 0 ELSE true END AS satisfied FROM packages")
+PARTS |= {
+    "plans": "SELECT name, CAST(id % 3 AS STRING) AS version, CASE id % 8 WHEN 0 THEN 'parser old00000 -> abcdef01' WHEN 1 THEN 'forced (otherwise: parser abc1234 -> 1234567)' WHEN 2 THEN 'schema v1 -> v2' WHEN 3 THEN 'schema v1 -> v3' WHEN 4 THEN 'never parsed' WHEN 5 THEN 'crates.io 2 vs recorded 1' WHEN 6 THEN 'parser x -> short' ELSE 'fresh' END AS reason, CASE WHEN id % 5 > 0 THEN CAST('2026-01-02' AS TIMESTAMP) END AS planned_at, CASE id % 7 WHEN 0 THEN 'newer-version' WHEN 1 THEN 'never-parsed-backfill' ELSE 'catalog-stale' END AS tier FROM packages",
+    "records": "SELECT name, CASE id % 11 WHEN 0 THEN '9' ELSE CAST(id % 3 AS STRING) END AS version, CASE id % 9 WHEN 0 THEN 'abcdef0123' WHEN 1 THEN '' WHEN 2 THEN '1234567' WHEN 3 THEN '123456' ELSE 'ffffffff' END AS parser_revision, CAST(id % 4 AS INT) AS schema_version, CASE id % 13 WHEN 0 THEN NULL WHEN 1 THEN CAST('2026-01-03' AS TIMESTAMP) WHEN 2 THEN CAST('2026-01-02' AS TIMESTAMP) ELSE CAST('2026-01-01' AS TIMESTAMP) END AS parsed_at FROM packages WHERE id % 6 <> 0",
+    "states_now": "SELECT name, CAST(id % 3 AS STRING) AS version, CASE id % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'failed' WHEN 2 THEN 'ready' ELSE 'queued' END AS status, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST('2026-01-02' AS TIMESTAMP) WHEN 2 THEN CAST('2026-01-03' AS TIMESTAMP) ELSE CAST('2026-01-01' AS TIMESTAMP) END AS updated_at FROM packages WHERE id % 7 <> 0",
+    "targets": r"SELECT *, nullif(regexp_extract(reason, 'parser \S+ -> ([0-9a-f]{7,40})', 1), '') AS parser, nullif(regexp_extract(reason, 'schema v\d+ -> v(\d+)', 1), '') AS schema FROM plans",
+    "met": "SELECT p.*, CASE WHEN r.name IS NULL THEN false WHEN parser IS NOT NULL THEN starts_with(parser_revision, parser) OR coalesce(parsed_at >= planned_at, false) WHEN schema IS NOT NULL THEN schema_version = CAST(schema AS INTEGER) OR coalesce(parsed_at >= planned_at, false) WHEN tier IN ('newer-version', 'never-parsed-backfill') OR contains(reason, 'never parsed') OR contains(reason, 'crates.io') OR planned_at IS NULL THEN true ELSE coalesce(parsed_at >= planned_at, false) END AS satisfied FROM targets p LEFT JOIN records r ON p.name = r.name AND p.version = r.version",
+}
+
+
+def _made(packages: DataFrame, part: str) -> DataFrame:
+    return packages.sparkSession.sql(PARTS[part].replace("FROM packages", "FROM {p}"), p=packages)
+
+
+@query("satisfied_plans", ("packages",), "SELECT name, version, satisfied FROM met", ("plans", "records", "targets", "met"))
 def _(packages: DataFrame) -> DataFrame:
-    k = F.col("id") % 6
-    reason = F.when(k == 1, "parser revision old00000 -> abcdef01").when(k == 2, "parser revision old00000 -> 99999999").when(k == 3, "schema 1 -> 2").when(k == 5, "never parsed").otherwise("newer version 2 (have 1)")
-    plan = packages.select("name", F.lit("1").alias("version"), reason.alias("reason"), F.lit("2026-01-02").cast("timestamp").alias("planned_at"))
-    parsed = F.when(F.col("id") % 4 == 0, F.lit("2026-01-03")).otherwise("2026-01-01").cast("timestamp")
-    fresh = packages.where("id % 6 <> 0").select("name", F.lit("1").alias("version"), F.lit("abcdef0123").alias("parser_revision"), F.lit(2).alias("schema_version"), parsed.alias("parsed_at"))
-    return L.satisfied(plan, fresh).select("name", "satisfied")
+    return L.satisfied(_made(packages, "plans"), _made(packages, "records")).select("name", "version", "satisfied")
+
+
+@query("already_handled", ("packages",), "SELECT m.name, m.version, coalesce(status = 'processing', false) OR satisfied OR coalesce(status = 'failed' AND coalesce(updated_at >= planned_at, true), false) OR coalesce(status = 'ready' AND coalesce(updated_at >= planned_at, true) AND parser IS NULL AND schema IS NULL, false) AS handled FROM met m LEFT JOIN states_now s ON m.name = s.name AND m.version = s.version", ("plans", "records", "states_now", "targets", "met"))
+def _(packages: DataFrame) -> DataFrame:
+    plan = L.satisfied(_made(packages, "plans"), _made(packages, "records"))
+    return L.already_handled(plan, _made(packages, "states_now")).select("name", "version", "handled")
 
 
 @query("stale_failures", ("packages",), "SELECT name FROM packages WHERE id % 2 = 0 AND id % 3 <> 0")
@@ -140,11 +154,16 @@ def _(packages: DataFrame) -> DataFrame:
     return L.stale_failures(rows.where("id % 2 = 0"), rows.where("id % 3 = 0")).select("name")
 
 
-@query("finalised", ("requests",), "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 AND event_id % 5 = 0 THEN 'ready' WHEN event_id % 2 = 0 THEN 'processing' ELSE 'failed' END AS status FROM requests")
+PARTS |= {
+    "running": "SELECT event_id, CAST(event_id AS STRING) AS name, '1' AS version, CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'ready' ELSE 'failed' END AS status, CASE event_id % 3 WHEN 0 THEN 'finalizing' WHEN 1 THEN 'parsing' END AS step FROM requests",
+    "artifacts": "SELECT CAST(event_id AS STRING) AS name, CASE user_id % 2 WHEN 0 THEN '1' ELSE '2' END AS version FROM requests WHERE user_id % 5 > 0",
+}
+
+
+@query("finalised", ("requests",), "SELECT r.event_id, CASE WHEN status = 'processing' AND step = 'finalizing' AND EXISTS (SELECT 1 FROM artifacts a WHERE a.name = r.name AND a.version = r.version) THEN 'ready' ELSE status END AS status FROM running r", ("running", "artifacts"))
 def _(requests: DataFrame) -> DataFrame:
-    e, key = F.col("event_id"), F.col("event_id").cast("string")
-    status = requests.select("event_id", key.alias("name"), F.lit("1").alias("version"), F.when(e % 2 == 0, "processing").otherwise("failed").alias("status"), F.when(e % 3 == 0, "finalizing").alias("step"))
-    return T.finalised(status, requests.where("event_id % 5 = 0").select(key.alias("name"), F.lit("1").alias("version"))).select("event_id", "status")
+    made = lambda part: requests.sparkSession.sql(PARTS[part].replace("FROM requests", "FROM {r}"), r=requests)
+    return T.finalised(made("running"), made("artifacts")).select("event_id", "status")
 
 
 @query("matrix_cap", ("nodes",), "SELECT package, module FROM (SELECT package, id AS module, row_number() OVER (PARTITION BY package ORDER BY id <> package, length(id) DESC, id) AS r FROM nodes WHERE kind IN ('Crate', 'Module')) WHERE r <= 4")
