@@ -76,10 +76,16 @@ def test_wrapped_types(spark):
 def test_delta_merge(spark):
     index = spark.createDataFrame([("alpha", "1", "old", 5, "t"), ("beta", "1", "old", 7, None)], "name string, version string, graph_hash string, nodes long, tier string")
     deltas = spark.createDataFrame(
-        [("alpha", "1", "transient", "e1", None, None, None, 1), ("alpha", "1", "published", None, "new", 9, None, 2), ("beta", "1", "transient", "late", None, None, "b", 3), ("gamma", "1", "permanent", "bad", None, None, None, 4)],
+        [("alpha", "1", "transient", "e1", None, None, None, 1), ("alpha", "1", "published", None, "new", 9, None, 2), ("beta", "1", "transient", "late", None, None, "b", 3), ("gamma", "1", "permanent", "bad", "unused", 3, None, 4), ("delta", "1", "parser-bumped", None, "d", 2, None, 5), ("beta", "1", "quarantine", None, "unused", 1, None, 6)],
         "name string, version string, outcome string, error string, graph_hash string, nodes long, tier string, seq long",
     )
-    assert rows(L.merge_deltas(index, deltas)) == [("alpha", "1", "new", 9, "t", None, None), ("beta", "1", "old", 7, "b", "transient", "late"), ("gamma", "1", "", None, None, "permanent", "bad")]
+    assert rows(L.merge_deltas(index, deltas)) == [("alpha", "1", "new", 9, "t", None, None), ("beta", "1", "old", 7, "b", "quarantine", ""), ("delta", "1", "d", 2, None, None, None), ("gamma", "1", "", None, None, "permanent", "bad")]
+
+
+def test_channels_are_the_toolchains(spark):
+    e = [("std", "1.96.0", "sysroot"), ("std", "1.97.0-beta.2", "sysroot"), ("std", "1.98.0-nightly", "sysroot"), ("core", "1.98.0-nightly", "sysroot"), ("lib", "1.0.0", "docs.rs"), ("lib", "2.0.0-beta.1", "docs.rs")]
+    got = rows(R.channel_aliases(spark.createDataFrame(e, "name string, version string, source string")))
+    assert got == [("core", "nightly", "1.98.0-nightly"), ("lib", "latest", "2.0.0-beta.1"), ("lib", "stable", "2.0.0-beta.1"), ("std", "beta", "1.97.0-beta.2"), ("std", "latest", "1.96.0"), ("std", "nightly", "1.98.0-nightly"), ("std", "stable", "1.96.0")]
 
 
 def test_cycles_end(spark):

@@ -36,3 +36,6 @@ FOCUS_ORDER = ("UsesType", "CallsStatic", "CallsRuntime", "Implements", "Derives
 TRAIT_LIKE = ("Trait", "TraitAlias")
 INTERNAL_ONLY = ("Impl", "StructField", "Variant", "AssocType", "AssocConst")
 SUMMARY_PREFIX = "__cv_graph_summary__"
+
+# Outcomes of a run that renew a package's record.
+GOOD_OUTCOMES = ("published", "parser-bumped", "fresh")

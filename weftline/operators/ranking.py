@@ -45,12 +45,14 @@ def newest_of_each(entries: DataFrame, key: str) -> DataFrame:
 
 
 def channel_aliases(entries: DataFrame) -> DataFrame:
-    """name, alias, version: latest and stable are the newest stable version, beta and nightly the newest of theirs; packages
-    without channels have latest = stable = newest."""
+    """name, alias, version: of a package of the toolchain (any of its entries has the source sysroot) latest and stable are the newest version of
+    neither other channel, beta and nightly the newest that says so; of other packages latest and stable are the newest version."""
     channel = F.when(F.col("version").contains("beta"), "beta").when(F.col("version").contains("nightly"), "nightly").otherwise("stable")
-    newest = entries.withColumn("channel", channel).groupBy("name", "channel").agg(F.max_by("version", S.semver(F.col("version"))).alias("version"))
-    latest = newest.where("channel = 'stable'").select("name", F.lit("latest").alias("alias"), "version")
-    return newest.select("name", F.col("channel").alias("alias"), "version").unionByName(latest)
+    newest = entries.groupBy("name", channel.alias("channel")).agg(F.max(F.struct(S.semver(F.col("version")).alias("key"), "version")).alias("newest"), F.bool_or(F.col("source") == "sysroot").alias("toolchain"))
+    toolchain = newest.groupBy("name").agg(F.bool_or("toolchain").alias("toolchain"))  # three rows of a package at most come together
+    told = newest.drop("toolchain").join(toolchain, "name").withColumn("alias", F.when(F.col("toolchain"), F.col("channel")).otherwise("stable"))
+    found = told.groupBy("name", "alias").agg(F.max("newest")["version"].alias("version"))
+    return found.unionByName(found.where("alias = 'stable'").withColumn("alias", F.lit("latest")))
 
 
 def search(nodes: DataFrame, query: str, limit: int, kinds: list[str] | None = None) -> DataFrame:

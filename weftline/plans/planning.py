@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.fixed import LANE_PATTERNS, PRIORITY_TIERS, TIER_LANES, TOP_RANK
+from weftline.fixed import GOOD_OUTCOMES, LANE_PATTERNS, PRIORITY_TIERS, TIER_LANES, TOP_RANK
 from weftline.functions import scalars as S
 
 
@@ -118,30 +118,31 @@ def shard_counts(work: DataFrame, shards: int) -> DataFrame:
 
 
 def run_summary(deltas: DataFrame) -> DataFrame:
-    """By shard and in all: items, published, fresh, failed."""
+    """By shard and in all: items, those published or bumped to a new parser, fresh, failed."""
     return deltas.rollup("shard").agg(
         F.count("*").alias("processed"),
-        F.count_if(F.col("outcome") == "published").alias("published"),
+        F.count_if(F.col("outcome").isin("published", "parser-bumped")).alias("published"),
         F.count_if(F.col("outcome") == "fresh").alias("fresh"),
-        F.count_if(~F.col("outcome").isin("published", "fresh")).alias("failed"),
+        F.count_if(~F.col("outcome").isin(*GOOD_OUTCOMES)).alias("failed"),
     )
 
 
 def merge_deltas(index: DataFrame, deltas: DataFrame) -> DataFrame:
     """index (name, version, graph_hash, nodes, tier) with a run's deltas (same and outcome, error, seq) folded in: any success
-    clears the failure and the last known values win; a failure keeps the old values and sets itself. Keys that are new
-    get what the deltas know, or an empty hash."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    clears the failure, and the last values that successes know win; a failure keeps the old values and sets itself. Tiers come from either. Keys that are
+    new get what the deltas know, or an empty hash; a failure without a text has an empty one."""
+    good = F.col("outcome").isin(*GOOD_OUTCOMES)
+    last = lambda c, of: F.max_by(c, F.when(F.col(c).isNotNull() & of, F.col("seq")))
     d = deltas.groupBy("name", "version").agg(
-        F.max(F.when(F.col("outcome").isin("published", "fresh"), F.col("seq"))).alias("ok_seq"), F.max("seq").alias("last_seq"), F.max_by("outcome", "seq").alias("outcome"), F.max_by("error", "seq").alias("error"),
-        *[last(c).alias(f"d_{c}") for c in ("graph_hash", "nodes", "tier")],
+        F.max(F.when(good, F.col("seq"))).alias("ok_seq"), F.max("seq").alias("last_seq"), F.max_by("outcome", "seq").alias("outcome"), F.max_by("error", "seq").alias("error"),
+        *[last(c, good).alias(f"d_{c}") for c in ("graph_hash", "nodes")], last("tier", F.lit(True)).alias("d_tier"),
     )
     merged = index.join(d, ["name", "version"], "full")
     failed = F.coalesce(F.col("last_seq").isNotNull() & ((F.col("ok_seq").isNull()) | (F.col("ok_seq") < F.col("last_seq"))), F.lit(False))
     return merged.select(
         "name", "version",
         F.coalesce("d_graph_hash", "graph_hash", F.lit("")).alias("graph_hash"), F.coalesce("d_nodes", "nodes").alias("nodes"), F.coalesce("d_tier", "tier").alias("tier"),
-        F.when(failed, F.col("outcome")).alias("failure"), F.when(failed, F.col("error")).alias("failure_error"),
+        F.when(failed, F.col("outcome")).alias("failure"), F.when(failed, F.coalesce("error", F.lit(""))).alias("failure_error"),
     )
 
 

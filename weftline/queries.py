@@ -604,7 +604,7 @@ def _(packages: DataFrame) -> DataFrame:
     return L.shard_counts(packages.select(S.work_id(F.lit("crate"), F.col("name"), F.lit("1.0.0"), F.lit("default")).alias("work_id")), 17)
 
 
-_DELTAS = "SELECT l_partkey % 8 AS shard, CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber AS VARCHAR) AS version, CASE l_returnflag WHEN 'A' THEN 'published' WHEN 'N' THEN 'fresh' ELSE 'transient' END AS outcome, CASE WHEN l_returnflag = 'R' THEN 'error ' || CAST(l_suppkey AS VARCHAR) END AS error, CASE WHEN l_returnflag = 'A' THEN 'h' || CAST(l_orderkey AS VARCHAR) END AS graph_hash, CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) END AS nodes, CASE WHEN l_suppkey % 2 = 0 THEN 'backfill' END AS tier, l_orderkey * 1000000000 + l_suppkey * 10000 + CAST(l_quantity AS BIGINT) * 100 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS seq"
+_DELTAS = "SELECT l_partkey % 8 AS shard, CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber AS VARCHAR) AS version, CASE l_returnflag WHEN 'A' THEN CASE l_suppkey % 3 WHEN 0 THEN 'parser-bumped' ELSE 'published' END WHEN 'N' THEN 'fresh' ELSE CASE l_suppkey % 4 WHEN 0 THEN 'permanent' WHEN 1 THEN 'quarantine' ELSE 'transient' END END AS outcome, CASE WHEN l_returnflag = 'R' AND l_suppkey % 5 > 0 THEN 'error ' || CAST(l_suppkey AS VARCHAR) END AS error, CASE WHEN l_returnflag = 'A' OR l_suppkey % 7 = 0 THEN 'h' || CAST(l_orderkey AS VARCHAR) END AS graph_hash, CASE WHEN l_returnflag = 'A' OR l_suppkey % 7 = 0 THEN CAST(l_quantity AS BIGINT) END AS nodes, CASE WHEN l_suppkey % 2 = 0 THEN 'backfill' END AS tier, l_orderkey * 1000000000 + l_suppkey * 10000 + CAST(l_quantity AS BIGINT) * 100 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS seq"
 
 
 def _deltas(raw: DataFrame) -> DataFrame:
@@ -623,14 +623,14 @@ def _split_select(sql: str) -> list[str]:
     return [x.replace("VARCHAR", "STRING") for x in out]
 
 
-@query("run_summary", ("raw_methods",), f"SELECT shard, count(*) AS processed, count_if(outcome = 'published') AS published, count_if(outcome = 'fresh') AS fresh, count_if(outcome = 'transient') AS failed FROM ({_DELTAS} FROM raw_methods) GROUP BY ROLLUP (shard)")
+@query("run_summary", ("raw_methods",), f"SELECT shard, count(*) AS processed, count_if(outcome IN ('published', 'parser-bumped')) AS published, count_if(outcome = 'fresh') AS fresh, count_if(outcome NOT IN ('published', 'parser-bumped', 'fresh')) AS failed FROM ({_DELTAS} FROM raw_methods) GROUP BY ROLLUP (shard)")
 def _(raw: DataFrame) -> DataFrame:
     return L.run_summary(_deltas(raw))
 
 
 @query(
     "delta_merge", ("raw_methods",),
-    f"SELECT coalesce(i.name, d.name) AS name, coalesce(i.version, d.version) AS version, coalesce(d.graph_hash, i.graph_hash, '') AS graph_hash, coalesce(d.nodes, i.nodes) AS nodes, coalesce(d.tier, i.tier) AS tier, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN outcome END AS failure, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN error END AS failure_error FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber + 2 AS VARCHAR) AS version, 'old' AS graph_hash, CAST(1 AS BIGINT) AS nodes, 'long-tail' AS tier FROM raw_methods) i FULL JOIN (SELECT name, version, max(seq) FILTER (outcome <> 'transient') AS ok_seq, max(seq) AS last_seq, arg_max(outcome, seq) AS outcome, arg_max(error, (seq, coalesce(error, ''))) AS error0, list(error ORDER BY seq DESC)[1] AS error, arg_max(graph_hash, seq) FILTER (graph_hash IS NOT NULL) AS graph_hash, arg_max(nodes, seq) FILTER (nodes IS NOT NULL) AS nodes, arg_max(tier, seq) FILTER (tier IS NOT NULL) AS tier FROM (SELECT * FROM ({_DELTAS} FROM raw_methods) QUALIFY row_number() OVER (PARTITION BY name, version, seq ORDER BY outcome, error NULLS FIRST, graph_hash NULLS FIRST) = 1) GROUP BY ALL) d ON i.name = d.name AND i.version = d.version",
+    f"SELECT coalesce(i.name, d.name) AS name, coalesce(i.version, d.version) AS version, coalesce(d.graph_hash, i.graph_hash, '') AS graph_hash, coalesce(d.nodes, i.nodes) AS nodes, coalesce(d.tier, i.tier) AS tier, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN outcome END AS failure, CASE WHEN d.last_seq IS NOT NULL AND (ok_seq IS NULL OR ok_seq < last_seq) THEN coalesce(error, '') END AS failure_error FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS name, CAST(l_linenumber + 2 AS VARCHAR) AS version, 'old' AS graph_hash, CAST(1 AS BIGINT) AS nodes, 'long-tail' AS tier FROM raw_methods) i FULL JOIN (SELECT name, version, max(seq) FILTER (outcome IN ('published', 'parser-bumped', 'fresh')) AS ok_seq, max(seq) AS last_seq, arg_max(outcome, seq) AS outcome, arg_max(error, (seq, coalesce(error, ''))) AS error0, list(error ORDER BY seq DESC)[1] AS error, arg_max(graph_hash, seq) FILTER (graph_hash IS NOT NULL AND outcome IN ('published', 'parser-bumped', 'fresh')) AS graph_hash, arg_max(nodes, seq) FILTER (nodes IS NOT NULL AND outcome IN ('published', 'parser-bumped', 'fresh')) AS nodes, arg_max(tier, seq) FILTER (tier IS NOT NULL) AS tier FROM (SELECT * FROM ({_DELTAS} FROM raw_methods) QUALIFY row_number() OVER (PARTITION BY name, version, seq ORDER BY outcome, error NULLS FIRST, graph_hash NULLS FIRST) = 1) GROUP BY ALL) d ON i.name = d.name AND i.version = d.version",
 )
 def _(raw: DataFrame) -> DataFrame:
     from pyspark.sql import Window
@@ -641,9 +641,16 @@ def _(raw: DataFrame) -> DataFrame:
     return L.merge_deltas(index, deltas)
 
 
-@query("channel_aliases", ("versions",), "SELECT name, alias, arg_max(num, (CAST(k.a AS INT), CAST(k.b AS INT), CAST(k.c AS INT), k.d = '', coalesce(TRY_CAST(k.e AS INT), 0))) AS version FROM (SELECT CAST(package_id AS VARCHAR) AS name, 'latest' AS alias, num, k FROM versions_key UNION ALL SELECT CAST(package_id AS VARCHAR), 'stable', num, k FROM versions_key) GROUP BY ALL", ("versions_key",))
+_CHANNELS = "SELECT CAST(package_id AS STRING) AS name, CASE version_seq % 3 WHEN 0 THEN replace(num, '-rc.', '-beta.') WHEN 1 THEN replace(num, '-rc.', '-nightly.') ELSE num END AS version, CASE WHEN package_id % 3 = 0 THEN 'sysroot' ELSE 'docs.rs' END AS source FROM versions"
+PARTS |= {
+    "in_channels": r"SELECT *, (CAST(k.a AS INT), CAST(k.b AS INT), CAST(k.c AS INT), k.d = '', k.d, coalesce(TRY_CAST(k.e AS INT), 0)) AS key, CASE WHEN source <> 'sysroot' THEN 'stable' WHEN contains(version, 'beta') THEN 'beta' WHEN contains(version, 'nightly') THEN 'nightly' ELSE 'stable' END AS channel FROM (SELECT *, regexp_extract(version, '^(\d+)\.(\d+)\.(\d+)(?:-([a-z]+)\.(\d+))?$', ['a', 'b', 'c', 'd', 'e']) AS k FROM (" + _CHANNELS + "))",
+}
+
+
+@query("channel_aliases", ("versions",), "SELECT name, channel AS alias, arg_max(version, key) AS version FROM in_channels GROUP BY ALL UNION ALL SELECT name, 'latest', arg_max(version, key) FROM in_channels WHERE channel = 'stable' GROUP BY name", ("in_channels",))
 def _(versions: DataFrame) -> DataFrame:
-    return R.channel_aliases(versions.select(F.col("package_id").cast("string").alias("name"), F.col("num").alias("version")))
+    """A third of the packages are the toolchain's, with all channels; others may have such versions, but no channels."""
+    return R.channel_aliases(versions.sparkSession.sql(_CHANNELS.replace("FROM versions", "FROM {v}"), v=versions))
 
 
 # ---- keyed state
