@@ -678,10 +678,13 @@ def _(requests: DataFrame) -> DataFrame:
     return T.final_status(requests.sparkSession.sql(_EVENTS.replace("FROM requests", "FROM {requests}"), requests=requests).withColumnRenamed("moment", "at"))
 
 
-@query("timeouts", ("requests",), "SELECT event_id, CASE WHEN status <> 'processing' THEN 'keep' WHEN user_id % 3 = 0 AND event_id % 60 < 20 THEN 'keep' WHEN user_id % 5 = 0 THEN 'ready' WHEN event_id % 60 < CASE WHEN user_id % 7 = 0 THEN 375 ELSE 30 END THEN 'keep' ELSE 'failed' END AS verdict FROM requests")
+PARTS["stalled"] = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'ready' ELSE 'processing' END AS status, CASE event_id % 8 WHEN 0 THEN 'finalizing' WHEN 1 THEN 'parsing' END AS step, CASE user_id % 7 WHEN 0 THEN 'active' WHEN 1 THEN 'success' WHEN 2 THEN 'unknown' WHEN 3 THEN 'failure' END AS run, event_id * 13 % 500 AS age, user_id % 5 = 0 AS has_artifact, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS runs_active FROM requests"
+
+
+@query("timeouts", ("requests",), "SELECT event_id, CASE WHEN status <> 'processing' OR coalesce(step = 'finalizing', false) THEN 'keep' WHEN run IS NOT NULL THEN CASE run WHEN 'active' THEN 'keep' WHEN 'unknown' THEN CASE WHEN age < 375 THEN 'keep' ELSE 'failed' END WHEN 'success' THEN CASE WHEN has_artifact THEN 'ready' ELSE 'failed' END ELSE 'failed' END WHEN age < 20 THEN 'keep' WHEN has_artifact THEN 'ready' WHEN age < 30 OR (runs_active IS DISTINCT FROM false AND age < 375) THEN 'keep' ELSE 'failed' END AS verdict FROM stalled", ("stalled",))
 def _(requests: DataFrame) -> DataFrame:
-    u, e = F.col("user_id"), F.col("event_id")
-    return requests.select("event_id", T.timeout_verdict(F.col("status"), F.when(u % 3 != 0, u), e % 60, u % 5 == 0, u % 7 == 0).alias("verdict"))
+    stalled = requests.sparkSession.sql(PARTS["stalled"].replace("FROM requests", "FROM {r}"), r=requests)
+    return stalled.select("event_id", T.timeout_verdict(*map(F.col, ("status", "step", "run", "age", "has_artifact", "runs_active"))).alias("verdict"))
 
 
 @query("incremental_tree", ("nodes", "edges"), "SELECT child, parent FROM parents", (*TREE, "parents"))

@@ -101,15 +101,17 @@ def status_stream(events: DataFrame) -> DataFrame:
     return timed.groupBy("name", "version").applyInPandasWithState(run, STATUS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def timeout_verdict(status: Column, run: Column, age_minutes: Column, has_artifact: Column, runs_active: Column) -> Column:
-    """keep, ready or failed for a status that may have stalled."""
+def timeout_verdict(status: Column, step: Column, run: Column, age_minutes: Column, has_artifact: Column, runs_active: Column) -> Column:
+    """keep, ready or failed for a status that may have stalled. run: null if it has none, else what is known of it: active, success, unknown
+    (the look-up failed), or any other end. A status that finalises is looked at elsewhere; runs_active is null where that isn't known."""
+    waits = (age_minutes < QUIET_MINUTES) | (F.coalesce(runs_active, F.lit(True)) & (age_minutes < RUNNING_MINUTES))
     return (
-        F.when(status != "processing", "keep")
-        .when(run.isNull() & (age_minutes < QUEUED_MINUTES), "keep")
-        .when(has_artifact, "ready")
-        .when(age_minutes < F.when(runs_active, RUNNING_MINUTES).otherwise(QUIET_MINUTES), "keep")
-        .otherwise("failed")
-    )
+        F.when((status != "processing") | F.coalesce(step == "finalizing", F.lit(False)) | (run == "active"), "keep")
+        .when(run == "unknown", F.when(age_minutes < RUNNING_MINUTES, "keep").otherwise("failed"))
+        .when(run == "success", F.when(has_artifact, "ready").otherwise("failed"))
+        .when(run.isNotNull(), "failed")
+        .when(age_minutes < QUEUED_MINUTES, "keep").when(has_artifact, "ready").when(waits, "keep").otherwise("failed")
+    )
 
 
 def finalised(status: DataFrame, artifacts: DataFrame) -> DataFrame:
