@@ -46,7 +46,8 @@ def test_texts(spark):
     assert one(spark, S.search_prefix(F.col("c")), c="é") == "__"
     assert one(spark, S.line_count(F.col("a"), F.col("b")), a=5, b=3) == 1
     assert one(spark, S.run_id(F.col("c")), c="2026-01-01T00:00:00Z") == "2026-01-01T00-00-00Z"
-    assert tuple(one(spark, S.toolchain_query(F.col("c")), c="Rust_Std nightly")) == ("rust std", "nightly")
+    for asked, want in [(" Rust-Std  nightly", ("rust_std", "nightly")), ("proc macro@beta", ("proc_macro", "beta")), ("alloc:stable", ("alloc", "stable")), ("unstable", ("unstable", None)), ("core@latest", ("core@latest", None)), ("Nightly", ("", "nightly"))]:
+        assert tuple(one(spark, S.toolchain_query(F.col("c")), c=asked)) == want
     assert one(spark, S.bucket_count(F.col("b"), 100, 3, 64), b=1000) == 16
 
 

@@ -39,3 +39,6 @@ SUMMARY_PREFIX = "__cv_graph_summary__"
 
 # Outcomes of a run that renew a package's record.
 GOOD_OUTCOMES = ("published", "parser-bumped", "fresh")
+
+# Channels of the toolchain in the order in which they are listed.
+CHANNELS = ("stable", "beta", "nightly")

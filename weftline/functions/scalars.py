@@ -294,9 +294,10 @@ def fence_language(info: Column) -> Column:
 
 
 def toolchain_query(query: Column) -> Column:
-    """A toolchain search text: spelling variants made one, an optional channel word at the end split off."""
-    cleaned = F.regexp_replace(ascii_lower(F.trim(query)), r"[\s_-]+", " ")
-    return F.struct(F.trim(F.regexp_replace(cleaned, r"( |@)(stable|beta|nightly|latest)$", "")).alias("name"), F.nullif(F.regexp_extract(cleaned, r"[ @](stable|beta|nightly|latest)$", 1), F.lit("")).alias("channel"))
+    """What a search for the toolchain's packages asks for: a struct of the name as packages write it and the channel that it ends with."""
+    value = F.regexp_replace(F.lower(F.trim(query)), r"proc[\s-]+macro", "proc_macro")
+    ending = r"(?:^|[@:\s])(stable|beta|nightly)\z"
+    return F.struct(F.regexp_replace(F.trim(F.regexp_replace(value, ending, "")), r"[\s-]+", "_").alias("name"), F.nullif(F.regexp_extract(value, ending, 1), F.lit("")).alias("channel"))
 
 
 def prefer_non_empty(a: Column, b: Column) -> Column:

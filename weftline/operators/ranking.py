@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.fixed import CHANNELS
 from weftline.functions import scalars as S
 from weftline.shared import staged
 
@@ -56,19 +57,38 @@ def channel_aliases(entries: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, query: str, limit: int, kinds: list[str] | None = None) -> DataFrame:
-    """Ranked: exact name, name prefix, last segment, name holds it, id holds it; then id."""
+    """Ranked: exact name, name prefix, last segment, name holds it, id holds it; then id. Impls aren't found, nor anything by a blank query."""
     q = query.strip().lower()
-    name, node_id = S.ascii_lower(F.col("name")), S.ascii_lower(F.col("id"))
+    name, node_id = F.lower("name"), F.lower("id")
     score = F.when(name == q, 0).when(name.startswith(q), 1).when(node_id.endswith(f"::{q}"), 2).when(name.contains(q), 3).when(node_id.contains(q), 4)
-    found = nodes.where(F.col("kind").isin(*kinds)) if kinds else nodes
+    found = nodes.where((F.col("kind") != "Impl") & F.lit(bool(q)))
+    found = found.where(F.col("kind").isin(*kinds)) if kinds else found
     return found.withColumn("score", score).where("score is not null").select("id", "name", "kind", "score").orderBy("score", "id").limit(limit)
 
 
-def search_packages(packages: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Exact, prefix, inside the name; then downloads and name."""
-    q, name = query.lower(), F.lower("name")
-    score = F.when(name == q, 0).when(name.startswith(q), 1).when(name.contains(q), 2)
-    return packages.withColumn("score", score).where("score is not null").orderBy("score", F.desc("downloads"), "name").limit(limit)
+def search_toolchain(toolchain: DataFrame, query: str) -> DataFrame:
+    """id, name, version, description, place of the toolchain's packages (name, description, seq) that a query means, in each of the channels or the one
+    that it asks for."""
+    asked = S.toolchain_query(F.lit(query))
+    needle, channel = asked["name"], asked["channel"]
+    hyphens = F.replace("name", F.lit("_"), F.lit("-"))
+    searchable = F.lower(F.concat_ws(" ", "name", hyphens, "description"))
+    hit = (needle == "") & channel.isNotNull() | (needle != "") & (F.contains("name", needle) | F.contains(searchable, F.replace(needle, F.lit("_"), F.lit(" "))))
+    every = toolchain.where(hit).select("*", hyphens.alias("id"), F.posexplode(F.array(*map(F.lit, CHANNELS))).alias("at", "version")).where(channel.isNull() | (F.col("version") == channel))
+    return every.select("id", "name", "version", F.concat("description", F.lit(" ("), "version", F.lit(")")).alias("description"), (F.col("seq") * len(CHANNELS) + F.col("at")).cast("long").alias("place"))
+
+
+def search_packages(packages: DataFrame, toolchain: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """The toolchain's packages first, then those (id or null, name, version, description) whose name or id is the query, begins with it, holds it, or
+    whose description holds it, by name; each id and version once."""
+    q = query.strip().lower()
+    name, node_id, told = F.lower("name"), F.lower(F.coalesce("id", "name")), F.lower(F.coalesce("description", F.lit("")))
+    score = F.when((name == q) | (node_id == q), 0).when(name.startswith(q) | node_id.startswith(q), 1).when(name.contains(q) | node_id.contains(q), 2).when(told.contains(q), 3)
+    columns = ["id", "name", "version", "description"]
+    found = packages.withColumn("score", score).where(F.col("score").isNotNull() & F.lit(bool(q))).select(*columns, F.struct(F.lit(1).alias("part"), F.col("score").cast("long").alias("a"), F.lower("name").alias("b"), "name", "version").alias("order"))
+    first = search_toolchain(toolchain, q).select(*columns, F.struct(F.lit(0).alias("part"), F.col("place").alias("a"), F.lit("").alias("b"), "name", "version").alias("order"))
+    keyed = first.unionByName(found).groupBy(F.coalesce("id", "name").alias("key"), "version").agg(F.min(F.struct("order", F.struct("id", "name", "description").alias("row"))).alias("m"))
+    return keyed.orderBy("m.order").limit(limit).select("m.row.id", "m.row.name", "version", "m.row.description", F.col("m.order.part").alias("part"), F.col("m.order.a").alias("score"))
 
 
 def best_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:

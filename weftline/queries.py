@@ -6,6 +6,7 @@ A query names the derived tables it reads, builds its frame from them, and state
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -405,17 +406,33 @@ def _(versions: DataFrame) -> DataFrame:
     return R.newest_versions(versions, include_pre=True)
 
 
-@query("node_search", ("nodes",), "SELECT id, name, kind, CAST(score AS INT) AS score FROM (SELECT *, CASE WHEN lower(name) = 'impl-1' THEN 0 WHEN starts_with(lower(name), 'impl-1') THEN 1 WHEN ends_with(lower(id), '::impl-1') THEN 2 WHEN contains(lower(name), 'impl-1') THEN 3 WHEN contains(lower(id), 'impl-1') THEN 4 END AS score FROM nodes) WHERE score IS NOT NULL ORDER BY score, id LIMIT 200")
+@query("node_search", ("nodes",), "SELECT id, name, kind, CAST(score AS INT) AS score FROM (SELECT *, CASE WHEN lower(name) = 'impl-1' THEN 0 WHEN starts_with(lower(name), 'impl-1') THEN 1 WHEN ends_with(lower(id), '::impl-1') THEN 2 WHEN contains(lower(name), 'impl-1') THEN 3 WHEN contains(lower(id), 'impl-1') THEN 4 END AS score FROM nodes WHERE kind <> 'Impl') WHERE score IS NOT NULL ORDER BY score, id LIMIT 200")
 def _(nodes: DataFrame) -> DataFrame:
     return R.search(nodes, "Impl-1", 200)
 
 
-@query("package_search", ("packages",), "SELECT id, name, downloads, CAST(score AS INT) AS score FROM (SELECT *, CASE WHEN lower(name) = 'part-1' THEN 0 WHEN starts_with(lower(name), 'part-1') THEN 1 WHEN contains(lower(name), 'part-1') THEN 2 WHEN contains(lower(name), '-1') THEN 2 END AS score FROM packages) WHERE contains(lower(name), '-1') ORDER BY score, downloads DESC, name LIMIT 20")
-def _(packages: DataFrame) -> DataFrame:
-    return R.search_packages(packages, "-1")
+PARTS |= {
+    "shelf": "SELECT CASE id % 3 WHEN 1 THEN name WHEN 2 THEN 'bolt-' || CAST(id AS STRING) END AS id, CASE id % 2 WHEN 0 THEN name ELSE upper(name) END AS name, CAST(id % 2 AS STRING) AS version, CASE id % 5 WHEN 0 THEN 'Fits a Bolt' WHEN 1 THEN 'for all' END AS description FROM packages UNION ALL SELECT name, name || '-twin', '1', 'twin' FROM packages WHERE id % 7 = 0",
+    "tools": "SELECT replace(lower(package), ' ', '_') || '_bolt' AS name, 'Basics of ' || lower(package) AS description, CAST(min(n_nationkey) AS BIGINT) AS seq FROM modules GROUP BY package",
+}
+_SEARCHES = {"bolt": ("bolt", None), "Middle-East  Bolt@nightly": ("middle_east_bolt", "nightly"), "@beta": ("", "beta"), "basics-of asia": ("basics_of_asia", None)}
+
+
+def _search_sql(asked: str, needle: str, channel: str | None) -> str:
+    q = asked.strip().lower()
+    hit = f"contains(name, '{needle}') OR contains(lower(name || ' ' || replace(name, '_', '-') || ' ' || description), replace('{needle}', '_', ' '))" if needle else "true"
+    tools = f"SELECT replace(name, '_', '-') AS id, name, channel AS version, description || ' (' || channel || ')' AS description, 0 AS part, seq * 3 + at AS score, '' AS b FROM tools, (SELECT unnest(['stable', 'beta', 'nightly']) AS channel, unnest([0, 1, 2]) AS at) WHERE ({hit})" + (f" AND channel = '{channel}'" if channel else "")
+    n, i = "lower(name)", "lower(coalesce(id, name))"
+    shelf = f"SELECT * FROM (SELECT id, name, version, description, 1, CASE WHEN {n} = '{q}' OR {i} = '{q}' THEN 0 WHEN starts_with({n}, '{q}') OR starts_with({i}, '{q}') THEN 1 WHEN contains({n}, '{q}') OR contains({i}, '{q}') THEN 2 WHEN contains(lower(description), '{q}') THEN 3 END AS score, {n} FROM shelf) WHERE score IS NOT NULL"
+    return f"SELECT '{asked}' AS asked, id, name, version, description, part, score FROM (SELECT * FROM ({tools.replace(' at FROM', ' place FROM').replace('3 + at', '3 + place').replace('AS at)', 'AS place)')} UNION ALL {shelf}) QUALIFY row_number() OVER (PARTITION BY coalesce(id, name), version ORDER BY part, score, b, name, version) = 1 ORDER BY part, score, b, name, version LIMIT 300)"
 
 
-ORACLES["package_search"] = _with(("packages",), ()) + "\nSELECT id, name, downloads, CAST(CASE WHEN lower(name) = '-1' THEN 0 WHEN starts_with(lower(name), '-1') THEN 1 ELSE 2 END AS INT) AS score FROM packages WHERE contains(lower(name), '-1') ORDER BY score, downloads DESC, name LIMIT 20"
+@query("package_search", ("packages", "modules"), " UNION ALL ".join(f"SELECT * FROM ({_search_sql(asked, *means)})" for asked, means in _SEARCHES.items()), ("shelf", "tools"))
+def _(packages: DataFrame, modules: DataFrame) -> DataFrame:
+    made = lambda part, name, df: df.sparkSession.sql(PARTS[part].replace(f"FROM {name}", "FROM {t}"), t=df)
+    shelf, tools = made("shelf", "packages", packages), made("tools", "modules", modules)
+    found = [R.search_packages(shelf, tools, asked, 300).select(F.lit(asked).alias("asked"), "id", "name", "version", "description", "part", "score") for asked in _SEARCHES]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("best_parents", ("nodes", "edges"), "SELECT to_id AS child, arg_min(from_id, (CASE n.kind WHEN 'Crate' THEN 0 WHEN 'Module' THEN 10 ELSE 20 END + CASE WHEN e.kind = 'Contains' THEN 0 ELSE 1 END, edge_seq, from_id)) AS parent FROM edges e JOIN nodes n ON e.from_id = n.id WHERE e.kind IN ('Contains', 'Defines') GROUP BY to_id")

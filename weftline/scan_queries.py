@@ -30,7 +30,7 @@ def _(packages: DataFrame) -> DataFrame:
 
 @query(
     "text_forms", ("packages",),
-    "SELECT id, '#[derive(' || 'A' || n || ', x::B' || n || ' )]' AS attribute, ['A' || n, 'x::B' || n] AS derives, 'run-' || n || '-1-x' AS run, 'owner/' || name AS repository, name || '-' || n IN ('x') OR regexp_matches('1.' || n || '.0-rc.1', '^[0-9]') AS valid, 'fn f' || n || '() {}' || chr(10) || '#[a]' || chr(10) || '#b' AS code, CASE k % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'toml' ELSE 'rust' END AS language, CASE WHEN k % 2 = 0 THEN 'nightly' END AS channel, 'my std ' || n AS query, CASE WHEN k % 2 = 0 THEN [n] ELSE ['z'] END AS preferred FROM (SELECT id, name, CAST(id % 41 AS VARCHAR) AS n, id % 41 AS k FROM packages)",
+    "SELECT id, '#[derive(' || 'A' || n || ', x::B' || n || ' )]' AS attribute, ['A' || n, 'x::B' || n] AS derives, 'run-' || n || '-1-x' AS run, 'owner/' || name AS repository, name || '-' || n IN ('x') OR regexp_matches('1.' || n || '.0-rc.1', '^[0-9]') AS valid, 'fn f' || n || '() {}' || chr(10) || '#[a]' || chr(10) || '#b' AS code, CASE k % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'toml' ELSE 'rust' END AS language, CASE WHEN k % 2 = 0 THEN 'nightly' END AS channel, 'my_std_' || n AS query, CASE WHEN k % 2 = 0 THEN [n] ELSE ['z'] END AS preferred FROM (SELECT id, name, CAST(id % 41 AS VARCHAR) AS n, id % 41 AS k FROM packages)",
 )
 def _(packages: DataFrame) -> DataFrame:
     n, k = (F.col("id") % 41).cast("string"), F.col("id") % 41
