@@ -42,3 +42,7 @@ GOOD_OUTCOMES = ("published", "parser-bumped", "fresh")
 
 # Channels of the toolchain in the order in which they are listed.
 CHANNELS = ("stable", "beta", "nightly")
+
+# Steps in which a status waits and uses no capacity; names of calling conventions by their tags in API documents.
+WAITING_STEPS = ("waiting-capacity", "waiting-github-capacity", "waiting-rate-limit")
+CONVENTIONS = {"C": "C", "Cdecl": "cdecl", "Stdcall": "stdcall", "Fastcall": "fastcall", "Aapcs": "aapcs", "Win64": "win64", "SysV64": "sysv64", "System": "system"}

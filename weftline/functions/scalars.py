@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.fixed import MERGE_CONFIDENCE, NODE_KINDS, RELATIONS
+from weftline.fixed import CONVENTIONS, MERGE_CONFIDENCE, NODE_KINDS, RELATIONS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
@@ -310,6 +310,9 @@ def bucket_count(total: Column, target: int, least: int, most: int) -> Column:
     return F.least(F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("bigint"), F.lit(most))
 
 
-def abi_text(name: Column, unwind: Column) -> Column:
-    """The name of a calling convention; none for the language's own."""
-    return F.when(name != "Rust", F.when(unwind, F.concat(name, F.lit("-unwind"))).otherwise(name))
+def abi_text(abi: Column) -> Column:
+    """The name of a calling convention (VARIANT: a name, or an object of a tag with its unwinding, or of any other name); none for the
+    language's own."""
+    unwind = lambda tag: F.try_variant_get(abi, f"$.{tag}.unwind", "boolean")
+    named = [F.when(unwind(tag).isNotNull(), F.concat(F.lit(text), F.when(unwind(tag), "-unwind").otherwise(""))) for tag, text in CONVENTIONS.items()]
+    return F.coalesce(F.try_variant_get(abi, "$.Other", "string"), *named)

@@ -128,8 +128,8 @@ def _(structs: DataFrame) -> DataFrame:
     return I.renamed(structs.select("id", F.split("id", "::").alias("path")), "ASIA", "Pacific").select("id", F.array_join("path", "::").alias("renamed"))
 
 
-_DOCS = "SELECT name, '1.' || CAST(id % 3 AS STRING) || '.0' AS version, CASE id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'io' END AS error, id % 11 = 0 AS suspicious, 'r' || CAST(id % 2 AS STRING) AS revision, 'h' || CAST(downloads % 5 AS STRING) AS graph_hash, id FROM packages"
-_OUTCOME = "CASE error WHEN 'json' THEN 'permanent' WHEN 'io' THEN 'transient' ELSE CASE WHEN suspicious THEN 'quarantine' ELSE 'accepted' END END"
+_DOCS = "SELECT name, '1.' || CAST(id % 3 AS STRING) || '.0' AS version, CASE id % 17 WHEN 0 THEN 'json' WHEN 1 THEN 'format' WHEN 2 THEN 'shape' WHEN 3 THEN 'deserialize' WHEN 4 THEN 'structure' WHEN 5 THEN 'graph' WHEN 6 THEN 'io' WHEN 7 THEN 'metadata' WHEN 8 THEN 'source' END AS error, id % 11 = 0 AS suspicious, 'r' || CAST(id % 2 AS STRING) AS revision, 'h' || CAST(downloads % 5 AS STRING) AS graph_hash, id FROM packages"
+_OUTCOME = "CASE WHEN error IN ('json', 'format', 'shape', 'deserialize', 'structure', 'graph') THEN 'permanent' WHEN error IS NOT NULL THEN 'transient' ELSE CASE WHEN suspicious THEN 'quarantine' ELSE 'accepted' END END"
 
 
 def _docs(packages: DataFrame) -> DataFrame:
@@ -324,10 +324,12 @@ def _(packages: DataFrame) -> DataFrame:
     return L.root_files(manifests, files)
 
 
-@query("abi_texts", ("packages",), "SELECT name, CASE id % 3 WHEN 1 THEN 'C' || CASE WHEN id % 2 = 0 THEN '-unwind' ELSE '' END WHEN 2 THEN 'system' || CASE WHEN id % 2 = 0 THEN '-unwind' ELSE '' END END AS abi FROM packages")
+_ABI = """CASE id % 11 WHEN 0 THEN '"Rust"' WHEN 1 THEN '{"Other":"msp430-interrupt"}' ELSE '{"' || CASE id % 11 WHEN 2 THEN 'C' WHEN 3 THEN 'Cdecl' WHEN 4 THEN 'Stdcall' WHEN 5 THEN 'Fastcall' WHEN 6 THEN 'Aapcs' WHEN 7 THEN 'Win64' WHEN 8 THEN 'SysV64' ELSE 'System' END || '":{"unwind":' || CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END || '}}' END"""
+
+
+@query("abi_texts", ("packages",), f"SELECT name, CASE WHEN json_type(abi) = 'OBJECT' THEN CASE json_keys(abi)[1] WHEN 'Other' THEN abi->>'$.Other' ELSE CASE json_keys(abi)[1] WHEN 'C' THEN 'C' ELSE lower(json_keys(abi)[1]) END || CASE WHEN json_extract_string(abi, '$.*.unwind')[1] = 'true' THEN '-unwind' ELSE '' END END END AS abi FROM (SELECT name, {_ABI} AS abi FROM packages)")
 def _(packages: DataFrame) -> DataFrame:
-    i = F.col("id")
-    return packages.select("name", S.abi_text(F.when(i % 3 == 0, "Rust").when(i % 3 == 1, "C").otherwise("system"), i % 2 == 0).alias("abi"))
+    return packages.selectExpr("name", f"parse_json({_ABI}) AS abi").select("name", S.abi_text(F.col("abi")).alias("abi"))
 
 
 @query(

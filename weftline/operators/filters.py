@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.fixed import SEMANTIC, STRUCTURAL
+from weftline.fixed import SEMANTIC, STRUCTURAL, WAITING_STEPS
 
 
 def is_local_page() -> Column:
@@ -47,7 +47,7 @@ def impl_category(synthetic: Column, negative: Column, blanket: Column, trait: C
 
 
 def uses_capacity(status: Column, step: Column) -> Column:
-    return (status == "processing") & ~F.coalesce(step.isin("waiting", "queued", "scheduled"), F.lit(False))
+    return (status == "processing") & ~F.coalesce(step.isin(*WAITING_STEPS), F.lit(False))
 
 
 def members_only(nodes: DataFrame, members: DataFrame) -> DataFrame:

@@ -779,7 +779,11 @@ def _(nodes: DataFrame) -> DataFrame:
     return new.join(old.select("path"), "path", "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("graph_hashes", ("nodes", "edges"))
+@query(
+    "graph_hashes", ("nodes", "edges"),
+    "SELECT package, count(*) AS n, sha256(" + " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)) AS VARCHAR)" for at in (1, 16, 31)) + ") AS graph_hash FROM (SELECT package, sha256('{\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"kind\":\"' || kind || '\",\"visibility\":\"' || visibility || '\"}') AS h FROM nodes"
+    " UNION ALL SELECT split_part(from_id, '::', 1), sha256('{\"from_id\":\"' || from_id || '\",\"to_id\":\"' || to_id || '\",\"kind\":\"' || kind || '\",\"confidence\":\"' || confidence || '\"}') FROM edges) GROUP BY package",
+)
 def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return K.graph_hashes(nodes, edges)
 

@@ -45,12 +45,14 @@ def _(packages: DataFrame) -> DataFrame:
     )
 
 
-@query("rule_forms", ("nodes",), "SELECT id, CASE node_seq % 5 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'negative' WHEN 2 THEN 'blanket' WHEN 3 THEN 'trait' ELSE 'inherent' END AS category, node_seq % 2 = 0 AND coalesce(node_seq % 3 <> 0, true) AS uses FROM nodes WHERE package IN ('ASIA', 'EUROPE')")
+PARTS["impls_told"] = "SELECT id, package, node_seq % 7 = 0 AS synthetic, node_seq % 5 = 0 AS negative, node_seq % 3 = 0 AS blanket, CASE WHEN node_seq % 2 = 0 THEN 'T' END AS trait, CASE node_seq % 4 WHEN 0 THEN 'ready' ELSE 'processing' END AS status, CASE node_seq % 6 WHEN 0 THEN 'waiting-capacity' WHEN 1 THEN 'waiting-github-capacity' WHEN 2 THEN 'waiting-rate-limit' WHEN 3 THEN 'parsing' WHEN 4 THEN 'queued' END AS step FROM nodes"
+
+
+@query("rule_forms", ("nodes",), "SELECT id, CASE WHEN synthetic THEN 'synthetic' WHEN negative THEN 'negative' WHEN blanket THEN 'blanket' WHEN trait IS NOT NULL THEN 'trait' ELSE 'inherent' END AS category, status = 'processing' AND step IS DISTINCT FROM 'waiting-capacity' AND step IS DISTINCT FROM 'waiting-github-capacity' AND step IS DISTINCT FROM 'waiting-rate-limit' AS uses FROM impls_told WHERE package IN ('ASIA', 'EUROPE')", ("impls_told",))
 def _(nodes: DataFrame) -> DataFrame:
-    k, members = F.col("node_seq") % 5, nodes.sparkSession.createDataFrame([("ASIA",), ("EUROPE",)], "package string")
-    category = P.impl_category(k == 0, k == 1, k == 2, F.when(k == 3, F.lit("T")))
-    uses = P.uses_capacity(F.when(F.col("node_seq") % 2 == 0, "processing").otherwise("ready"), F.when(F.col("node_seq") % 3 == 0, "waiting").otherwise("parsing"))
-    return P.members_only(nodes, members).select("id", category.alias("category"), uses.alias("uses"))
+    members = nodes.sparkSession.createDataFrame([("ASIA",), ("EUROPE",)], "package string")
+    told = P.members_only(nodes.sparkSession.sql(PARTS["impls_told"].replace("FROM nodes", "FROM {n}"), n=nodes), members)
+    return told.select("id", P.impl_category(*map(F.col, ("synthetic", "negative", "blanket", "trait"))).alias("category"), P.uses_capacity(F.col("status"), F.col("step")).alias("uses"))
 
 
 # ---- readers and writers
@@ -117,11 +119,15 @@ def _(packages: DataFrame) -> DataFrame:
 # ---- plan and status rules
 
 
-@query("candidates", ("packages",), "SELECT name, CASE WHEN id % 3 = 0 THEN id END AS place, id % 5 = 0 AS forced FROM packages WHERE id % 3 = 0 OR id % 5 = 0")
+PARTS |= {
+    "corpus": "SELECT CASE id % 2 WHEN 0 THEN upper(name) ELSE replace(name, '-', '_') END AS name, id AS place FROM packages WHERE id % 3 = 0 UNION ALL SELECT name, id + 7 FROM packages WHERE id % 6 = 0 UNION ALL SELECT 'absent-' || name, id FROM packages WHERE id % 10 = 0",
+    "forced_names": "SELECT replace(name, '-', '_') AS name FROM packages WHERE id % 5 = 0",
+}
+
+
+@query("candidates", ("packages",), "SELECT p.name, c.place, f.key IS NOT NULL AS forced FROM packages p LEFT JOIN (SELECT replace(lower(name), '-', '_') AS key, min(place) AS place FROM corpus GROUP BY 1) c ON replace(lower(p.name), '-', '_') = c.key LEFT JOIN (SELECT DISTINCT replace(lower(name), '-', '_') AS key FROM forced_names) f ON replace(lower(p.name), '-', '_') = f.key WHERE c.key IS NOT NULL OR f.key IS NOT NULL", ("corpus", "forced_names"))
 def _(packages: DataFrame) -> DataFrame:
-    corpus = packages.where("id % 3 = 0").select(F.upper("name").alias("name"), F.col("id").alias("place"))
-    found = L.candidates(corpus.unionByName(corpus.withColumn("place", F.col("place") + 1)), packages, packages.where("id % 5 = 0").select("name"))
-    return found.select("name", "place", "forced")
+    return L.candidates(_made(packages, "corpus"), packages, _made(packages, "forced_names")).select("name", "place", "forced")
 
 
 PARTS |= {
