@@ -24,7 +24,7 @@ PARTS |= {
     "exports": "SELECT u.parent, u.name, x.node, false AS is_glob FROM api_uses u JOIN idx x ON u.target_item = x.item_id WHERE NOT u.is_glob UNION ALL SELECT DISTINCT g.module, i.name, x.node, true FROM globs g JOIN idx p ON p.node = g.target JOIN api_items i ON i.parent_item = p.item_id AND i.public JOIN idx x ON i.item_id = x.item_id",
     "exported_as": "SELECT parent || '::' || name AS alias, min(node) AS canonical FROM exports WHERE parent || '::' || name <> node AND (is_glob OR len(string_split(parent || '::' || name, '::')) < len(string_split(node, '::'))) GROUP BY 1",
     "inverse": "SELECT canonical, arg_min(alias, (length(alias), alias)) AS alias FROM exported_as GROUP BY canonical",
-    "top": "SELECT package, id FROM (SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY length(id) DESC, name, id) AS r FROM nodes WHERE kind IN ('Module', 'Crate')) WHERE r <= 3",
+    "top": "SELECT package, id FROM (SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY length(id) DESC, name, id) AS r FROM nodes WHERE kind IN ('Module', 'Crate') AND id <> package) WHERE r <= 2 UNION ALL SELECT package, id FROM nodes WHERE kind = 'Crate'",
     "touching": "SELECT from_id AS page, from_id, to_id, kind FROM edges UNION ALL SELECT to_id, from_id, to_id, kind FROM edges",
     "member_of": "SELECT m.*, CASE kind WHEN 'Function' THEN 'method' ELSE 'type' END AS word FROM api_members m WHERE kind <> 'Field'",
 }
@@ -182,7 +182,7 @@ def _(nodes: DataFrame) -> DataFrame:
 def _(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     closure = C.ancestors(staged(G.first_parents(G.tree_relations(nodes, edges)), "parents"))
     modules = nodes.where("kind in ('Module', 'Crate')").select("package", "id", F.length("id").alias("total"), F.lit(1).alias("depth"), "name")
-    return V.hierarchy_cap(modules, closure, 3)
+    return V.hierarchy_cap(modules, nodes.where("kind = 'Crate'").select("package", F.col("id").alias("root")), closure, 3)
 
 
 

@@ -48,11 +48,12 @@ def root_choice(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return inside.groupBy("package", "name").agg(F.min_by("id", F.struct(rule, "node_seq")).alias("root"))
 
 
-def hierarchy_cap(modules: DataFrame, closure: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` modules of each package by total (falling), depth and name, and all above them. modules: package, id, total, depth,
-    name; closure: node, ancestor. The ranking is limited in each task before a package's modules come together."""
+def hierarchy_cap(modules: DataFrame, roots: DataFrame, closure: DataFrame, most: int) -> DataFrame:
+    """Of each package its root, the first ``most`` - 1 other modules by total (falling), depth and name, and all above them. modules: package, id, total,
+    depth, name; roots: package, root; closure: node, ancestor. The ranking is limited in each task before a package's modules come together."""
     place = F.row_number().over(Window.partitionBy("package").orderBy(F.desc("total"), "depth", "name", "id"))
-    kept = modules.withColumn("place", place).where(F.col("place") <= most).select("package", "id")
+    others = modules.join(roots.select(F.col("root").alias("id")), "id", "left_anti").withColumn("place", place).where(F.col("place") <= most - 1)
+    kept = others.select("package", "id").unionByName(roots.select("package", F.col("root").alias("id")))
     above = kept.join(closure.select(F.col("node").alias("id"), "ancestor"), "id").select("package", F.col("ancestor").alias("id"))
     return kept.unionByName(above).distinct()
 
