@@ -60,10 +60,10 @@ def test_staleness_of_versions(spark):
 
 
 def test_owner_modules_over_chains(spark):
-    nodes = [("p", "p", "Crate"), ("p::m", "p", "Module")] + [(f"n{i}", "p", "Struct") for i in range(20)] + [("x", "q", "Struct"), ("y", "q", "Struct"), ("lost", "q", "Struct")]
-    parents = [("p::m", "p"), ("n0", "p::m"), *[(f"n{i}", f"n{i - 1}") for i in range(1, 20)], ("x", "y"), ("y", "x"), ("lost", "nowhere")]
+    nodes = [("p", "p", "Crate"), ("p::m", "p", "Module")] + [(f"n{i}", "p", "Struct") for i in range(300)] + [("x", "q", "Struct"), ("y", "q", "Struct"), ("lost", "q", "Struct")]
+    parents = [("p::m", "p"), ("n0", "p::m"), *[(f"n{i}", f"n{i - 1}") for i in range(1, 300)], ("x", "y"), ("y", "x"), ("lost", "nowhere")]
     got = C.nearest_modules(spark.createDataFrame(parents, "child string, parent string"), spark.createDataFrame(nodes, "id string, package string, kind string"))
-    want = {"p": "p", "p::m": "p::m", **{f"n{i}": "p::m" for i in range(20)}, "x": "q", "y": "q", "lost": "q"}
+    want = {"p": "p", "p::m": "p::m", **{f"n{i}": "p::m" for i in range(300)}, "x": "q", "y": "q", "lost": "q"}
     assert {r.id: r.module for r in got.collect()} == want and got.count() == len(want)
 
 
