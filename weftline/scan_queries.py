@@ -65,11 +65,13 @@ def _(packages: DataFrame) -> DataFrame:
     return N.name_list(packages.sparkSession, path)
 
 
-@query("version_lines", ("versions",), "SELECT num AS version, count(*) AS n FROM versions WHERE NOT yanked GROUP BY num")
+@query("version_lines", ("versions",), "SELECT 'p' || CAST(g AS VARCHAR) AS name, num AS version, CAST(r AS INTEGER) AS place FROM (SELECT package_id % 25 AS g, num, row_number() OVER (PARTITION BY package_id % 25 ORDER BY version_seq DESC, num DESC) AS r FROM versions WHERE NOT yanked) WHERE r <= 60")
 def _(versions: DataFrame) -> DataFrame:
+    """An index file for each of 25 names, its lines in the order of the versions' numbers; the newest 60 of each."""
     path = scratch(versions.sparkSession, "lines")
-    versions.select(F.lit("p").alias("name"), F.col("num").alias("vers"), "yanked").write.json(path)
-    return N.version_lines(versions.sparkSession, path, 2**31 - 1).groupBy("version").agg(F.count("*").alias("n"))
+    rows = versions.select((F.col("package_id") % 25).alias("g"), F.concat(F.lit("p"), (F.col("package_id") % 25).cast("string")).alias("name"), F.col("num").alias("vers"), "yanked", "version_seq")
+    rows.repartition("g").sortWithinPartitions("g", "version_seq", "vers").drop("version_seq").write.partitionBy("g").json(path)
+    return N.version_lines(versions.sparkSession, path, 60)
 
 
 @query("freshness_records", ("packages",), "SELECT name, '1.0' AS version, 'h' || CAST(id AS VARCHAR) AS graph_hash, downloads AS nodes FROM packages")

@@ -43,10 +43,11 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def version_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """The newest versions of each index file: the last lines first, without malformed and yanked ones."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", "name string, vers string, yanked boolean").alias("v"))
+    """The newest versions of each index file: the last lines first, without malformed and yanked ones. A small limit is applied in each task
+    before a file's lines come together."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.from_json("value", "name string, vers string, yanked boolean").alias("v"))
     good = lines.where("v.vers is not null and not coalesce(v.yanked, false)")
-    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("line")))
+    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"), F.desc("line")))
     return good.select("v.name", F.col("v.vers").alias("version"), place.alias("place")).where(F.col("place") <= limit)
 
 
