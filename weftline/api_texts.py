@@ -120,4 +120,5 @@ _BREAKS = [
     """replace(value, '"name":"std"', '"name":" "')""", """replace(value, '"items":[', '"items":[77,5,')""", """replace(replace(value, '"root":0', '"root":3'), '"name":"std"', '"named":"std"')""", """replace(value, '"root":0', '"root":-1')""",
     """replace(replace(value, '"external_crates":', '"external_crates":3,"rest":'), '"root":0', '"root":5000000000')""", """replace(replace(value, '"crate_id":1', '"crate_id":4'), '"items":[', '"items":[6,')""", """replace(value, '"index":', '"index":' || chr(123) || chr(125) || ',"rest":')""",
 ]
-SQL["api_mixed_docs"] = "SELECT file, version, CASE length(file) * 7 + ascii(substr(file, length(file), 1)) * 5 + ascii(file) WHEN 0 THEN value ELSE CASE (length(file) * 7 + ascii(substr(file, length(file), 1)) * 5 + ascii(file)) % 23 " + " ".join(f"WHEN {i} THEN {b}" for i, b in enumerate(_BREAKS)) + " ELSE value END END AS value FROM {api_docs}"
+_BROKEN = "(length(file) * 7 + ascii(substr(file, length(file), 1)) * 5 + ascii(file)) % 23"
+SQL["api_mixed_docs"] = f"SELECT file, version, CASE {_BROKEN} " + " ".join(f"WHEN {i} THEN {b}" for i, b in enumerate(_BREAKS)) + " ELSE value END AS value FROM {api_docs}"
