@@ -19,10 +19,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -162,8 +163,8 @@ class Codec:
         if kind not in (None, "ByteLevel"):
             raise ValueError(f"no decoding by {kind}")
         self.bytes = {c: b for b, c in enumerate(byte_characters())} if kind else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # their ids as 32-bit integers
+        self.pieces: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -171,8 +172,8 @@ class Codec:
             return token[:-1] + chr(ord(token[-1]) + MARK)
         return token
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """The ids of one pre-token, by its prefixes."""
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token, by its prefixes, as 32-bit integers."""
         known = self.words.get(word)
         if known is not None:
             return known
@@ -190,11 +191,14 @@ class Codec:
                 read, to = length[state], steps[state].get(c)
             state, read = to, read + 1
             found = state if read == length[state] and string[state] is not None else shorter[state]
-            while length[found] < i:
-                pair = (last[i - length[found]], string[found])
-                if apart[pair] if pair in apart else compatible(*pair):
+            n = length[found]
+            while n < i:
+                pair = (last[i - n], string[found])
+                apart_ = apart.get(pair)
+                if compatible(*pair) if apart_ is None else apart_:
                     break
                 found = shorter[found]
+                n = length[found]
             last[i] = string[found]
         ids, i = [], len(symbols)
         while i:
@@ -202,17 +206,17 @@ class Codec:
             i -= len(last[i])
         if len(self.words) > KNOWN:
             self.words.clear()
-        got = self.words[word] = tuple(reversed(ids))
+        got = self.words[word] = array("i", reversed(ids)).tobytes()
         return got
 
-    def _plain(self, text: str) -> tuple[int, ...]:
+    def _plain(self, text: str) -> bytes:
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
-        return tuple(i for word, _ in self.pre_tokenizer.pre_tokenize_str(text) for i in self.word(word))
+        return b"".join([self.word(word) for word, _ in self.pre_tokenizer.pre_tokenize_str(text)])
 
-    def _cut(self, text: str) -> list[int]:
+    def _cut(self, text: str) -> bytes:
         if UNSURE.search(text):
-            return list(self._plain(text))
+            return self._plain(text)
         parts, pieces = PIECE.findall(text), self.pieces
         if len(pieces) > KNOWN:
             pieces.clear()
@@ -220,7 +224,7 @@ class Codec:
         if new:
             self._learn([p for p in new if p[0] in WHITE and p[-1] not in WHITE])
             pieces.update((p, self._plain(p)) for p in new if p not in pieces)
-        return list(chain.from_iterable(map(pieces.__getitem__, parts)))
+        return b"".join(map(pieces.__getitem__, parts))
 
     def _learn(self, new: list[str]) -> None:
         """Pieces that begin with white space and hold no other are normalised and split as one text, in which each begins at white space."""
@@ -230,23 +234,30 @@ class Codec:
         ends = [m.start() for m in RUN.finditer(text)][1:]
         if len(ends) + 1 != len(new):  # a normaliser that makes or takes white space
             return
-        found: list[list[int]] = [[] for _ in new]
+        found: list[list[bytes]] = [[] for _ in new]
         k, end = 0, ends[0] if ends else len(text)
         for word, (start, _) in self.pre_tokenizer.pre_tokenize_str(text):
             while start >= end:
                 k += 1
                 end = ends[k] if k < len(ends) else len(text)
-            found[k] += self.word(word)
-        self.pieces.update(zip(new, map(tuple, found), strict=True))
+            found[k].append(self.word(word))
+        self.pieces.update(zip(new, map(b"".join, found), strict=True))
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
         if self.split is None or not self.split.search(text):
             return self._cut(text)
-        return [i for k, part in enumerate(self.split.split(text)) for i in ((self.added[part],) if k % 2 else self._cut(part))]
+        return b"".join([array("i", [self.added[part]]).tobytes() if k % 2 else self._cut(part) for k, part in enumerate(self.split.split(text))])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Names of ids: bytes put together where the file asks for that, else joined by blanks. Ids without a name are left out."""
-        named = [self.names[i] for i in ids if i in self.names]
+        try:
+            named = list(map(self.names.__getitem__, ids))
+        except KeyError:
+            named = [self.names[i] for i in ids if i in self.names]
         if self.bytes is None:
             return " ".join(named)
         parts = [bytes(self.bytes[c] for c in t) if all(c in self.bytes for c in t) else t.encode() for t in named]
@@ -266,35 +277,38 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _mapped(rows: DataFrame, schema: str, make: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """A row for each row: the first column, and what make gives for the values of the second."""
     bounded_batches(rows.sparkSession)
-    kinds = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "text": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            made = [[doc_id, *make(x)] for doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kinds[n]) for k, n in enumerate(names)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *make(b.column(1).to_pylist())], [x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every text."""
-    return _mapped(own_columns(docs, "doc_id", "text"), "doc_id long, ids array<int>", lambda text: [codec(path).encode(text or "")])
+    return _mapped(own_columns(docs, "doc_id", "text"), "doc_id long, ids array<int>", lambda texts: [_lists([codec(path).encode_bytes(t or "") for t in texts])])
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids are none."""
-    return _mapped(own_columns(rows, "doc_id", "ids"), "doc_id long, text string", lambda ids: [codec(path).decode(ids or [])])
+    return _mapped(own_columns(rows, "doc_id", "ids"), "doc_id long, text string", lambda lists: [pa.array([codec(path).decode(ids or []) for ids in lists], pa.string())])
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of every text, and the text that they decode to."""
 
-    def make(text: str | None) -> list:
-        ids = codec(path).encode(text or "")
-        return [ids, codec(path).decode(ids)]
+    def make(texts: list) -> list[pa.Array]:
+        found = [codec(path).encode_bytes(t or "") for t in texts]
+        return [_lists(found), pa.array([codec(path).decode(np.frombuffer(ids, np.int32).tolist()) for ids in found], pa.string())]
 
     return _mapped(own_columns(docs, "doc_id", "text"), "doc_id long, ids array<int>, text string", make)
 
