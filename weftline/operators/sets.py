@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.graph import ends_of, sides
+
 
 def touching_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """id with its outgoing and incoming edges, each once."""
-    columns = ["id", "from_id", "to_id", "kind"]
-    out = edges.withColumn("id", F.col("from_id")).join(ids, "id", "left_semi").select(*columns)
-    into = edges.withColumn("id", F.col("to_id")).join(ids, "id", "left_semi").select(*columns)
-    return out.union(into).distinct()
+    found = sides(edges).join(ids.select(F.col("id").alias("page")), "page", "left_semi").distinct()
+    return ends_of(found).select(F.col("page").alias("id"), "from_id", "to_id", "kind")
 
 
 def ordered_union(primary: DataFrame, secondary: DataFrame, key: str, value: str, order: str, limit: int) -> DataFrame:
