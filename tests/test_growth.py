@@ -8,6 +8,7 @@ from weftline.functions import scalars as S
 from weftline.operators import closures as C
 from weftline.operators import graph as G
 from weftline.sinks import stores as K
+from weftline.sources import gates as W
 
 ROWS = {
     "region": ("r_regionkey int, r_name string", [(0, "R"), (1, "Q")]),
@@ -90,3 +91,10 @@ def test_changed_buckets_hash_rows_once(spark, tmp_path):
         old = K.write_changed(rows, ["id"], 8, None, f"file://{tmp_path}/one")
         new = K.write_changed(rows.withColumn("name", F.when(F.col("id") == "n7", "y").otherwise(F.col("name"))), ["id"], 8, old, f"file://{tmp_path}/two")
     assert seen == ["hashes", "hashes"] and new.join(old.select("path"), "path", "left_anti").count() == 1
+
+
+def test_gates_send_no_items_through_the_driver(spark):
+    docs = spark.createDataFrame([("f", "{}"), ("g", "no")], "file string, t string").select("file", F.try_parse_json("t").alias("doc"))
+    found = W.examined(docs)
+    assert {r.file: r.reasons[-1:] for r in found.collect()} == {"f": ["external_crates: missing"], "g": ["not JSON"]}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

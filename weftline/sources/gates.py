@@ -55,25 +55,30 @@ def examined(docs: DataFrame, strict: bool = True, compatible: bool = True) -> D
     good = shaped.where("size(shape) = 0").select("file", "doc")
     found = reduce(DataFrame.unionByName, [bad, *_structure(good)])
     reasons = found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("gate", "reason"))), lambda x: x["reason"]).alias("reasons"))  # one of each kind
-    joined = docs.select("file").join(reasons, "file", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    joined = docs.select("file").join(_shuffled(reasons), "file", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
     return joined.withColumn("outcome", F.when(F.size("reasons") == 0, "accepted").otherwise("permanent"))
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the documents: their compressed size would have them broadcast through the driver at many times that size."""
+    return rows.hint("merge")
+
+
 def _structure(docs: DataFrame) -> list[DataFrame]:
     """file, gate, reason: documents without items, roots that are no package's module, paths of unnamed packages, lost children."""
     items = _exploded(docs, "index", "item_id", "item")
     ids = items.select("file", "item_id")
     root = docs.select("file", _get("$.root", "string").alias("item_id"))
     is_root = items.select("file", "item_id", F.coalesce(_get("$.inner.module.is_crate", "boolean", "item"), F.lit(False)).alias("is_root"))
-    roots = root.join(is_root, ["file", "item_id"], "left")
+    roots = root.join(_shuffled(is_root), ["file", "item_id"], "left")
     filled = ids.select("file").distinct().withColumn("filled", F.lit(True))
-    whole = roots.join(filled, "file", "left")
+    whole = roots.join(_shuffled(filled), "file", "left")
     reason = F.when(F.col("filled").isNull(), "index: empty").when(F.col("is_root").isNull(), F.concat(F.lit("root: no item "), "item_id")).when(~F.col("is_root"), F.concat(F.lit("root: item "), "item_id", F.lit(" is not a package's module")))
     packages = _exploded(docs, "external_crates", "package_no", "package").select("file", "package_no", F.trim(_get("$.name", "string", "package")).alias("name"))
     outer = _exploded(docs, "paths", "item_id", "path").select("file", "item_id", _get("$.crate_id", "string", "path").alias("package_no")).where("package_no <> '0'")
-    unnamed = outer.join(packages, ["file", "package_no"], "left").where("name is null or name = ''")
+    unnamed = outer.join(_shuffled(packages), ["file", "package_no"], "left").where("name is null or name = ''")
     modules = items.where(_get("$.crate_id", "int", "item") == 0).select("file", F.col("item_id").alias("module"), F.explode(_get("$.inner.module.items", "array<string>", "item")).alias("item_id"))
-    lost = modules.join(ids, ["file", "item_id"], "left_anti")
+    lost = modules.join(_shuffled(ids), ["file", "item_id"], "left_anti")
     number = lambda c: F.col(c).try_cast("long")
     return [
         whole.select("file", F.lit(10).alias("gate"), reason.alias("reason")).where("reason is not null"),
