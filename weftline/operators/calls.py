@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
-from weftline.shared import staged
+from weftline.shared import parts, staged
 
 
 def _suffixes(functions: DataFrame) -> DataFrame:
     """package, suffix, target: what can follow a ``::`` in each function's path, so never the whole path."""
-    return functions.select("package", F.col("id").alias("target"), F.explode(F.filter(S.suffixes(F.col("id")), lambda s, k: k > 0)).alias("suffix"))
+    n = F.size("parts")
+    places = functions.select("package", F.col("id").alias("target"), S.segments(F.col("id")).alias("parts")).where(n > 1).select("*", F.explode(F.sequence(F.lit(2), n)).alias("k"))
+    return places.select("package", "target", F.array_join(F.slice("parts", F.col("k"), n), "::").alias("suffix"))
 
 
 def _counted(functions: DataFrame) -> DataFrame:
-    """package, suffix, n, only: how many functions a suffix fits, and one of them; counted before calls are joined."""
-    return _suffixes(functions).groupBy("package", "suffix").agg(F.count("*").alias("n"), F.min("target").alias("only"))
+    """package, suffix, n, only: how many functions a suffix fits, and one of them; counted before calls are joined. Few suffixes repeat inside
+    a task and the least of texts is found by sorting, so rows are dealt by suffix and sorted once, after that."""
+    return _suffixes(functions).repartition(parts(functions), "package", "suffix").groupBy("package", "suffix").agg(F.count("*").alias("n"), F.min("target").alias("only"))
 
 
 def _below(base: Column, rest: Column) -> Column:
@@ -35,14 +38,14 @@ def _anchored(path: Column, module: Column) -> tuple[Column, Column, Column]:
     return rest, _below(base, rest), anchor
 
 
-def _targets(tries: DataFrame, functions: DataFrame, ambiguous: bool) -> DataFrame:
-    """tries (package, suffix, attempt, further columns) with target and confidence: Static where one function fits. Where several do,
-    none counts, or in ambiguous mode each, Inferred; only that mode makes a row for every function that fits."""
+def _fits(functions: DataFrame, ambiguous: bool) -> DataFrame:
+    """package, suffix, target, confidence: Static where one function fits. Where several do, none counts, or in ambiguous mode each,
+    Inferred; only that mode makes a row for every function that fits."""
     n = _counted(functions)
     if not ambiguous:
-        return tries.join(n.where("n = 1").select("package", "suffix", F.col("only").alias("target")), ["package", "suffix"]).withColumn("confidence", F.lit("Static"))
+        return n.where("n = 1").select("package", "suffix", F.col("only").alias("target"), F.lit("Static").alias("confidence"))
     every = _suffixes(functions).join(n.select("package", "suffix", "n"), ["package", "suffix"])
-    return tries.join(every, ["package", "suffix"]).withColumn("confidence", F.when(F.col("n") == 1, "Static").otherwise("Inferred")).drop("n")
+    return every.select("package", "suffix", "target", F.when(F.col("n") == 1, "Static").otherwise("Inferred").alias("confidence"))
 
 
 def resolve(calls: DataFrame, functions: DataFrame, ambiguous: bool = False) -> DataFrame:
@@ -53,7 +56,7 @@ def resolve(calls: DataFrame, functions: DataFrame, ambiguous: bool = False) ->
     by name as it does as a suffix, so a further attempt by name finds nothing new.) Nothing calls itself."""
     rest, scoped, anchor = _anchored(F.col("path"), F.col("module"))
     suffixes = F.when(rest == "", F.array().cast("array<string>")).when(anchor == "", F.array_distinct(F.array(rest, scoped))).otherwise(F.array(scoped))
-    found = _targets(calls.select("package", "caller", "span", F.explode(suffixes).alias("suffix")), functions, ambiguous)
+    found = calls.select("package", "caller", "span", F.explode(suffixes).alias("suffix")).join(_fits(functions, ambiguous), ["package", "suffix"])
     return _strongest(found.where("caller <> target").drop("suffix"), ["package", "caller", "target", "span"])
 
 
@@ -67,17 +70,17 @@ def resolve_methods(calls: DataFrame, methods: DataFrame, ambiguous: bool = Fals
     caller, target, confidence, span; methods: package, id.
 
     Below the type as it stands and, unless the type's own path is anchored to a package or an upper module, below the
-    caller's module; if neither fits, by name alone."""
+    caller's module; if neither fits, by name alone. What fits, and what is asked, is made once for both."""
     keys = ["package", "caller", "module", "type", "name"]
     calls = calls.withColumn("type", F.coalesce("type", F.lit("")))
     rest, scoped, anchor = _anchored(F.col("type"), F.col("module"))
     own = F.when(anchor == "super", scoped).otherwise(rest)
     typed = F.when(rest == "", F.array().cast("array<string>")).when(anchor.isin("crate", "super"), F.array(own)).otherwise(F.array_distinct(F.array(own, _below(F.col("module"), own))))
-    asked = calls.select(*keys).distinct()
+    asked, fits = staged(calls.select(*keys).distinct(), "asked"), staged(_fits(methods, ambiguous), "fits")
     by_type = asked.select(*keys, F.explode(F.transform(typed, lambda t: F.concat_ws("::", t, "name"))).alias("suffix"))
-    found = staged(_targets(by_type, methods, ambiguous).drop("suffix"), "typed_calls")
+    found = staged(by_type.join(fits, ["package", "suffix"]).drop("suffix"), "typed_calls")
     by_name = asked.join(found.select(*keys).distinct(), keys, "left_anti").withColumn("suffix", F.col("name"))
-    every = found.unionByName(_targets(by_name, methods, ambiguous).drop("suffix")).where("caller <> target")
+    every = found.unionByName(by_name.join(fits, ["package", "suffix"]).drop("suffix")).where("caller <> target")
     return calls.join(_strongest(every, [*keys, "target"]), keys).select("package", "caller", "target", "confidence", "span")
 
 
