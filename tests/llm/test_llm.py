@@ -386,6 +386,24 @@ def test_line_dedup_loses_no_line(spark, monkeypatch, seed, small, block):
         assert got[i] == (n, removed, hashlib.sha256(text.encode()).hexdigest()), i
 
 
+def test_line_dedup_compares_few_texts(spark, monkeypatch):
+    """Long lines with much in common fill the bitmaps; hashes of all words tell them apart before their texts are compared."""
+    r, compared, verified = random.Random(5), [], line_dedup.verified
+    lines = [r.sample([f"w{i}" for i in range(380)], 300) for _ in range(20)]
+    lines.append(["new", *lines[3][1:]])
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: (compared.append(pairs.count()), verified(pairs, texts))[1])
+    got = {x.doc_id: x.n_removed for x in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: x[1] for i, x in enumerate(lines_left(rows))} and sum(compared) == 1
+
+
+def test_line_dedup_words_that_share_a_hash(spark):
+    """A bound on the overlap loses no pair of lines in which several words have one hash."""
+    texts = spark.createDataFrame([(0, 5, [1, 2, 3, 4]), (1, 5, [1, 2, 3, 4]), (2, 5, [1, 2, 3, 9, 8])], "node long, n int, hashes array<int>")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "later long, earlier long")
+    assert [tuple(x) for x in line_dedup.likely(pairs, texts).select("later", "earlier").collect()] == [(1, 0)]
+
+
 def counts(t):
     w, tri, seen, dup = words(t), Counter(), set(), 0
     tri.update(zip(w, w[1:], w[2:], strict=False))

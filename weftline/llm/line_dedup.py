@@ -14,7 +14,8 @@ judged on the input, not on what is left.
 5. In tiles of up to ``SMALL`` nodes all pairs are looked at. Larger ones are dealt anew by two shared tokens (sets that are similar
    share a second one among one more token). In what is still large each node meets the earliest; the nodes that
    this doesn't settle meet all others of it, in blocks of ``BLOCK``.
-6. Every pair left is verified on the words of both lines, one pair of each line first.
+6. Pairs left are held against the overlap of 32-bit hashes of all words, which bounds that of the words. Every pair that this leaves
+   is verified on the words of both lines, one pair of each line first.
 
 No pair is left out but by a bound. Sets of fewer than four words are similar only if they are equal.
 
@@ -72,7 +73,8 @@ def line_sets(docs: DataFrame) -> DataFrame:
     ranks = word_ranks(own)
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(_blanks(F.col("text")), "\n")).alias("line", "words"))
     hashes = lines.where(F.ltrim("words") != "").select(*PLACE, F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("hashes"))
-    token = lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+    rank = lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int"))
+    token = lambda h: F.coalesce(F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))), h)  # noqa: E731 (never null, so sorted as plain numbers)
     sets = hashes.select(*PLACE, F.sort_array(F.transform("hashes", token)).alias("set"))
     n = F.size("set")
 
@@ -122,12 +124,12 @@ def sized(rows: DataFrame, first: Column) -> DataFrame:
 
 
 def could_match(shared: int) -> Column:
-    """By the sizes, by what can follow the last of ``shared`` shared tokens in both, and by the bits that differ. a: node, n, ...;
-    b: node_b, n_b, ..."""
-    needed = _needed("n", "n_b")
+    """By the bits that differ, the sizes, and what can follow the last of ``shared`` shared tokens in both. a: node, n, ...; b: node_b,
+    n_b, ... What tells most pairs apart without a division comes first."""
+    both, differ = "(n + n_b)", "(bit_count(bits ^ bits_b) + bit_count(bits2 ^ bits2_b))"
     return F.expr(
-        f"100 * least(n, n_b) >= {SIMILAR} * greatest(n, n_b) and least(n - pos, n_b - pos_b) + {shared - 1} >= {needed}"
-        f" and n + n_b - bit_count(bits ^ bits_b) - bit_count(bits2 ^ bits2_b) >= 2 * {needed}"
+        f"{100 + SIMILAR} * {differ} <= {100 - SIMILAR} * {both} and 100 * least(n, n_b) >= {SIMILAR} * greatest(n, n_b)"
+        f" and {100 + SIMILAR} * (least(n - pos, n_b - pos_b) + {shared - 1}) >= {SIMILAR} * {both} and {both} - {differ} >= 2 * {_needed('n', 'n_b')}"
     )
 
 
@@ -137,11 +139,15 @@ def _second(rows: DataFrame, *keys: str | Column) -> DataFrame:
 
 def small_tile_pairs(rows: DataFrame) -> DataFrame:
     """tile, a, b: the pairs of small tiles, and for each large one a row in which a and b are its hub. rows: as ``sized`` gives them, with
-    the least node as hub."""
+    the least node as hub. In a pair, a is the larger set (of equal ones the later node) and no guest, as two guests meet in their own band;
+    the shared token of b has to stand where it could if a were no larger than b."""
     large = F.col("nodes") > SMALL
     chosen = rows.where(~large | (F.col("node") == F.col("hub")))  # one exchange for both sides
-    met = ~large & (F.col("node_b") < F.col("node")) & could_match(1) | large & (F.col("node_b") == F.col("node"))
-    return chosen.join(_second(chosen, "tile"), "tile").where(met).select("tile", F.col("node").alias("a"), F.col("node_b").alias("b"))
+    own = chosen.where(large | F.expr("length(bin(n)) - 1 = (tile & 255)"))
+    others = chosen.where(large | F.expr(f"n - pos >= {_needed('n', 'n')}"))
+    smaller = (F.col("n_b") < F.col("n")) | (F.col("n_b") == F.col("n")) & (F.col("node_b") < F.col("node"))
+    met = ~large & smaller & could_match(1) | large & (F.col("node_b") == F.col("node"))
+    return own.join(_second(others, "tile"), "tile").where(met).select("tile", F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
@@ -172,18 +178,31 @@ def by_document(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of the first lines of nodes."""
-    found = keyed(own_columns(docs, "doc_id", "text")).join(by_document(nodes, F.struct("node", "line")), ["__id", "__no_id", "__hash"])
-    lines = bind(F.split(_blanks(F.col("text")), "\n"), lambda all_: F.transform("__lines", lambda x: F.struct(x["node"].alias("node"), F.get(all_, x["line"]).alias("words"))))
-    return found.select(F.inline(lines)).dropDuplicates(["node"])
+    """node, n, text and place of the first lines of nodes, and 32 bits of each of their words."""
+    found = keyed(own_columns(docs, "doc_id", "text")).join(by_document(nodes, F.struct("node", "n", "line")), ["__id", "__no_id", "__hash"])
+    lines = bind(F.split(_blanks(F.col("text")), "\n"), lambda all_: F.transform("__lines", lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["line"].alias("line"), F.get(all_, x["line"]).alias("words"))))
+    each = found.select("doc_id", F.col("__hash").alias("text_hash"), F.inline(lines)).dropDuplicates(["node"])
+    return each.withColumn("hashes", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.hash(w))))
 
 
-def in_order(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """later, earlier: distinct pairs by the places of their lines."""
-    a, b = [nodes.select(F.col("node").alias(c), F.struct(*PLACE).alias(f"at_{c}")) for c in ("a", "b")]
-    both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (later, earlier) whose words' hashes overlap enough. Two words of one line may share a hash: such a line has fewer
+    hashes than words, and the overlap of words is larger than that of hashes by no more than this."""
+    a, b = [texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "hashes")]) for c in ("later", "earlier")]
+    both = pairs.join(a, "later").join(b, "earlier")
+    alike = f"size(array_intersect(hashes_later, hashes_earlier)) + least(n_later - size(hashes_later), n_earlier - size(hashes_earlier)) >= {_needed('n_later', 'n_earlier')}"
+    return both.where(alike).select("later", "earlier")
+
+
+def in_order(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """later, earlier: the pairs by the places of their lines."""
+    a, b = [texts.select(F.col("node").alias(c), F.struct(*PLACE).alias(f"at_{c}")) for c in ("a", "b")]
     swapped = F.col("at_b") < F.col("at_a")
-    return both.select(F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("earlier"))
+    return pairs.join(a, "a").join(b, "b").select(F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("earlier"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,11 +216,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def matched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """As ``verified``: one pair of each node first, then the other pairs of those that it hasn't settled."""
-    pairs = staged(pairs, "pairs")
-    one = staged(verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), texts), "matched")
+    """The later one of each of the pairs that are similar: one pair of each node first, then the other pairs of those that it hasn't
+    settled, each ``likely`` ones by hashes before words are compared."""
+    pairs = staged(in_order(pairs, texts), "pairs")
+    one = staged(verified(likely(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), texts), texts), "matched")
     rest = pairs.join(one.select(F.col("node").alias("later")), "later", "left_anti")
-    return one.unionByName(staged(verified(rest, texts), "matched"))
+    return one.unionByName(staged(verified(likely(rest, texts), texts), "matched"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -216,15 +236,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     large = tiles(nodes).select("tile", "node", "pos").join(large, "tile", "left_semi")
     second = staged(sized(finer(large, nodes), F.struct("doc", "node")), "tiles")
     release(spark)
-    tried = staged(in_order(first.select("a", "b").unionByName(hub_pairs(second)), nodes), "pairs")
+    tried = staged(distinct_pairs(first.select("a", "b").unionByName(hub_pairs(second))), "pairs")
     crowded = second.where(F.col("nodes") > SMALL)
-    asked = tried.select(F.explode(F.array("later", "earlier")).alias("node")).union(crowded.select("node")).distinct()
+    asked = tried.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
     texts = staged(line_texts(docs, nodes.join(asked, "node", "left_semi")), "texts")
     release(spark)
     settled = matched(tried, texts)
     release(spark)
     open_nodes = crowded.select("node").distinct().join(settled, "node", "left_anti")
-    rest = in_order(block_pairs(crowded, open_nodes), nodes).join(tried, ["later", "earlier"], "left_anti")
+    rest = distinct_pairs(block_pairs(crowded, open_nodes)).join(tried, ["a", "b"], "left_anti")
     kept = nodes.join(settled.unionByName(matched(rest, texts)), "node", "left_anti")
     release(spark)
     same = [sets[c].eqNullSafe(kept[c]) for c in PLACE]
@@ -238,7 +258,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     whole = keyed(docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("__row")))
     joined = whole.join(gone, ["__id", "__no_id", "__hash"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    return joined.select("__row", "doc_id", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text"), (1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("all_lines"), F.col("__lines").alias("removed"))
+    return joined.select("__row", "doc_id", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text"), (1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("all_lines"), F.col("__lines").alias("removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
