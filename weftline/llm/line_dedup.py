@@ -4,14 +4,14 @@ A line's tokens are its distinct words (``[^\\x20\\x09-\\x0D]+``, unchanged). A
 (smaller doc_id, or earlier in its document) has a Jaccard similarity of ``SIMILAR`` percent or more with it. Lines are
 judged on the input, not on what is left.
 
-1. Words are counted in 2**``SKETCH_BITS`` counters, a fixed number; their ranks (four for each doubling) go into the plan as one
-   array. Tokens are ordered by rank, then by hash; any one order is right, a good one begins with rare words.
+1. Tokens are ordered by length, longest first, then by hash; any one order is right, a good one begins with rare words. Long words
+   are rare ones in most texts, and this order needs no pass that counts all words.
 2. Lines with equal sets become one node at once.
 3. Prefix filter: similar sets share one of their first n - ceil(0.8 n) + 1 tokens. A tile holds the nodes of one such token and
    one doubling of sizes (a set near the top of its doubling is also a guest in the next).
 4. Two sets of a tile make a pair only if sizes (length filter), what follows the shared token in both (positional filter) and
-   bitmaps of 128 bits allow it: every bit that differs is a token that only one of them has.
-5. In tiles of up to ``SMALL`` nodes all pairs are looked at. Larger ones are dealt anew by two shared tokens (sets that are similar
+   parities of 128 bits allow it: each token turns one bit, so every bit that differs is a token that only one of them has.
+5. In tiles of up to ``SMALL`` smaller sets all pairs are looked at. Larger ones are dealt anew by two shared tokens (sets that are similar
    share a second one among one more token). In what is still large each node meets the earliest; the nodes that
    this doesn't settle meet all others of it, in blocks of ``BLOCK``.
 6. Pairs left are held against the overlap of 32-bit hashes of all words, which bounds that of the words. Every pair that this leaves
@@ -27,8 +27,8 @@ their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bind, own_columns, release, staged, table
 
 SIMILAR = 80
-SKETCH_BITS, CHUNK = 18, 1024
-SMALL, BLOCK = 256, 1024
-LOW = (1 << 56) - 1
+SMALL, BLOCK = 1024, 1024
+LOW = (1 << 54) - 1
 PLACE = ("doc_id", "text_hash", "line")
 ROW = ("node", "n", "pos", "bits", "bits2")
 
@@ -54,44 +53,31 @@ def _words(line: Column) -> Column:
     return F.when(several, F.array_remove(F.split(line, " "), "")).otherwise(F.split(line, " "))
 
 
-def word_ranks(docs: DataFrame) -> Column:
-    """By the top bits of a word's hash, about how common it is: a literal array of a fixed size."""
-    word = docs.select(F.explode(F.split(F.replace(_blanks(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SKETCH_BITS).alias("bucket")).count()
-    parts = counts.groupBy(F.expr(f"bucket div {CHUNK}").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", F.pmod("bucket", F.lit(CHUNK)), "count")), " ").alias("counts"))
-    ranks = ["0"] * (1 << SKETCH_BITS)
-    for part, found in parts.collect():  # 2**SKETCH_BITS / CHUNK rows
-        for k, n in (x.split(":") for x in found.split()):
-            ranks[part * CHUNK + int(k)] = str(min(127, int(4 * log2(int(n) + 1))))
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
+def _token(word: Column) -> Column:
+    """54 bits of a word's hash below its length, negated, so that longer words come first. Never null, so sorted as plain numbers."""
+    return F.shiftleft(F.bitwise_not(F.octet_length(word)).cast("long"), 54).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(LOW)))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """Every line that has a word: its place, a number of its own, its set's size and two digests, the tokens (32 bits of each) of one more than its
-    prefix, and the bitmap of all."""
+    """Every line that has a word: its place, a number of its own, its set's size and two digests, the tokens (31 bits of each) of one more than its
+    prefix, and the parities of all tokens and of those with one bit set."""
     own = own_columns(docs, "doc_id", "text").where("text is not null")
-    ranks = word_ranks(own)
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(_blanks(F.col("text")), "\n")).alias("line", "words"))
-    hashes = lines.where(F.ltrim("words") != "").select(*PLACE, F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("hashes"))
-    rank = lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int"))
-    token = lambda h: F.coalesce(F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))), h)  # noqa: E731 (never null, so sorted as plain numbers)
-    sets = hashes.select(*PLACE, F.sort_array(F.transform("hashes", token)).alias("set"))
+    sets = lines.where(F.ltrim("words") != "").select(*PLACE, F.sort_array(F.array_distinct(F.transform(_words(F.col("words")), _token))).alias("set"))
     n = F.size("set")
 
-    def bits(half: int) -> Column:
-        own = F.filter("set", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    def parities(bit: Callable[[Column], Column]) -> Column:
+        return F.aggregate("set", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
     prefix = F.slice("set", 1, n - F.expr(f"({SIMILAR} * size(set) + 99) div 100").cast("int") + 2)
-    tokens = F.transform(prefix, lambda x: F.shiftright(x, 32).cast("int"))
-    return sets.select(*PLACE, F.monotonically_increasing_id().alias("node"), n.alias("n"), F.xxhash64("set").alias("digest"), F.hash("set").alias("digest2"), tokens.alias("prefix"), bits(0).alias("bits"), bits(1).alias("bits2"))
+    tokens = F.transform(prefix, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    return sets.select(*PLACE, F.monotonically_increasing_id().alias("node"), n.alias("n"), F.xxhash64("set").alias("digest"), F.hash("set").alias("digest2"), tokens.alias("prefix"), parities(lambda _: F.lit(1).cast("long")).alias("bits"), parities(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias("bits2"))
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
     """A row for each distinct set, with its first line's place and number. doc: the doc_id as a number that sorts alike."""
-    first = F.min(F.struct(*PLACE, "node")).alias("at")
-    found = sets.groupBy("n", "digest", "digest2").agg(first, *[F.first(c).alias(c) for c in ("prefix", "bits", "bits2")])
-    return found.select("at.*", F.coalesce("at.doc_id", F.lit(-(2**63))).alias("doc"), "n", "prefix", "bits", "bits2")
+    first = F.min(F.struct(*PLACE, "node", "prefix", "bits", "bits2")).alias("first")
+    return sets.groupBy("n", "digest", "digest2").agg(first).select("first.*", F.coalesce("first.doc_id", F.lit(-(2**63))).alias("doc"), "n")
 
 
 def _needed(n: str, m: str) -> str:
@@ -99,14 +85,16 @@ def _needed(n: str, m: str) -> str:
     return f"(({SIMILAR} * ({n} + {m}) + {99 + SIMILAR}) div {100 + SIMILAR})"
 
 
-def tiles(nodes: DataFrame) -> DataFrame:
+def tiles(nodes: DataFrame, role: str = "") -> DataFrame:
     """A row for each node and token of its prefix in each of its size bands. A guest is the smaller set of each of its pairs there, so
-    it needs fewer tokens."""
-    own = nodes.where("n >= 4").withColumns({"band": F.length(F.bin("n")) - 1, "most": F.size("prefix") - 1})
+    it needs fewer tokens. role: larger (sets as the larger ones of pairs: no guests, as two guests meet in their own band) or smaller
+    (tokens where they stand in a set that is no larger than the other)."""
+    most = F.least(F.size("prefix") - 1, F.expr(f"cast(n + 1 - {_needed('n', 'n')} as int)")) if role == "smaller" else F.size("prefix") - 1
+    own = nodes.where("n >= 4").withColumns({"band": F.length(F.bin("n")) - 1, "most": most})
     guest = f"named_struct('band', band + 1, 'most', cast(least(most, n + 1 - {_needed('n', 'shiftleft(2L, band)')}) as int))"
     bands = F.expr(f"if(100 * n >= {SIMILAR} * shiftleft(2L, band), array(named_struct('band', band, 'most', most), {guest}), array(named_struct('band', band, 'most', most)))")
-    banded = own.select("node", "n", "bits", "bits2", "prefix", F.explode(bands).alias("in"))
-    rows = banded.select("node", "n", "bits", "bits2", "in.band", F.posexplode(F.slice("prefix", F.lit(1), F.col("in.most"))).alias("pos", "token"))
+    banded = own if role == "larger" else own.select("node", "n", "bits", "bits2", "prefix", F.inline(bands))
+    rows = banded.select("node", "n", "bits", "bits2", "band", F.posexplode(F.slice("prefix", F.lit(1), F.col("most"))).alias("pos", "token"))
     return rows.select(F.shiftleft(F.col("token").cast("long"), 8).bitwiseOR(F.col("band")).alias("tile"), *ROW)
 
 
@@ -118,15 +106,15 @@ def finer(large: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def sized(rows: DataFrame, first: Column) -> DataFrame:
-    """Those rows of tiles that hold several nodes, with their number, and the least ``first`` as hub."""
+    """Rows of tiles with the number of their tile's nodes, and the least ``first`` of these as hub."""
     of_tile = Window.partitionBy("tile")
-    return rows.select("*", F.count("*").over(of_tile).alias("nodes"), F.min(first).over(of_tile).alias("hub")).where("nodes > 1")
+    return rows.select("*", F.count("*").over(of_tile).alias("nodes"), F.min(first).over(of_tile).alias("hub"))
 
 
 def could_match(shared: int) -> Column:
     """By the bits that differ, the sizes, and what can follow the last of ``shared`` shared tokens in both. a: node, n, ...; b: node_b,
     n_b, ... What tells most pairs apart without a division comes first."""
-    both, differ = "(n + n_b)", "(bit_count(bits ^ bits_b) + bit_count(bits2 ^ bits2_b))"
+    both, differ = "(n + n_b)", "(bit_count(bits ^ bits_b ^ bits2 ^ bits2_b) + bit_count(bits2 ^ bits2_b))"
     return F.expr(
         f"{100 + SIMILAR} * {differ} <= {100 - SIMILAR} * {both} and 100 * least(n, n_b) >= {SIMILAR} * greatest(n, n_b)"
         f" and {100 + SIMILAR} * (least(n - pos, n_b - pos_b) + {shared - 1}) >= {SIMILAR} * {both} and {both} - {differ} >= 2 * {_needed('n', 'n_b')}"
@@ -137,17 +125,14 @@ def _second(rows: DataFrame, *keys: str | Column) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ROW])
 
 
-def small_tile_pairs(rows: DataFrame) -> DataFrame:
-    """tile, a, b: the pairs of small tiles, and for each large one a row in which a and b are its hub. rows: as ``sized`` gives them, with
-    the least node as hub. In a pair, a is the larger set (of equal ones the later node) and no guest, as two guests meet in their own band;
-    the shared token of b has to stand where it could if a were no larger than b."""
-    large = F.col("nodes") > SMALL
-    chosen = rows.where(~large | (F.col("node") == F.col("hub")))  # one exchange for both sides
-    own = chosen.where(large | F.expr("length(bin(n)) - 1 = (tile & 255)"))
-    others = chosen.where(large | F.expr(f"n - pos >= {_needed('n', 'n')}"))
+def small_tile_pairs(nodes: DataFrame) -> DataFrame:
+    """tile, a, b: the pairs of small tiles, and for large ones rows in which a and b are the hub. In a pair, a is the larger set (of equal
+    ones the later node). What may be b makes a tile large, so no a meets more than ``SMALL``."""
+    others = sized(tiles(nodes, "smaller"), F.col("node")).where((F.col("nodes") <= SMALL) | (F.col("node") == F.col("hub")))
+    others = _second(others, "tile", (F.col("nodes") > SMALL).alias("large")).hint("shuffle_hash")
     smaller = (F.col("n_b") < F.col("n")) | (F.col("n_b") == F.col("n")) & (F.col("node_b") < F.col("node"))
-    met = ~large & smaller & could_match(1) | large & (F.col("node_b") == F.col("node"))
-    return own.join(_second(others, "tile"), "tile").where(met).select("tile", F.col("node").alias("a"), F.col("node_b").alias("b"))
+    met = tiles(nodes, "larger").join(others, "tile").where(F.col("large") | smaller & could_match(1))
+    return met.select("tile", F.when(F.col("large"), F.col("node_b")).otherwise(F.col("node")).alias("a"), F.col("node_b").alias("b"))
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
@@ -179,9 +164,10 @@ def by_document(rows: DataFrame, value: Column) -> DataFrame:
 
 def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, n, text and place of the first lines of nodes, and 32 bits of each of their words."""
-    found = keyed(own_columns(docs, "doc_id", "text")).join(by_document(nodes, F.struct("node", "n", "line")), ["__id", "__no_id", "__hash"])
+    key = ["__id", "__no_id", "__hash"]
+    found = keyed(own_columns(docs, "doc_id", "text")).join(by_document(nodes, F.struct("node", "n", "line")), key).dropDuplicates(key)
     lines = bind(F.split(_blanks(F.col("text")), "\n"), lambda all_: F.transform("__lines", lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["line"].alias("line"), F.get(all_, x["line"]).alias("words"))))
-    each = found.select("doc_id", F.col("__hash").alias("text_hash"), F.inline(lines)).dropDuplicates(["node"])
+    each = found.select("doc_id", F.col("__hash").alias("text_hash"), F.inline(lines))
     return each.withColumn("hashes", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.hash(w))))
 
 
@@ -230,11 +216,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = staged(line_sets(docs), "lines")
     nodes = staged(distinct_sets(sets), "nodes")
     release(spark)
-    first = staged(small_tile_pairs(sized(tiles(nodes), F.col("node"))), "pairs")
+    first = staged(small_tile_pairs(nodes), "pairs")
     release(spark)
-    large = staged(first.where("a = b").select("tile"), "large")  # so Spark knows its size
+    large = staged(first.where("a = b").select("tile").distinct(), "large")  # so Spark knows its size
     large = tiles(nodes).select("tile", "node", "pos").join(large, "tile", "left_semi")
-    second = staged(sized(finer(large, nodes), F.struct("doc", "node")), "tiles")
+    second = staged(sized(finer(large, nodes), F.struct("doc", "node")).where("nodes > 1"), "tiles")
     release(spark)
     tried = staged(distinct_pairs(first.select("a", "b").unionByName(hub_pairs(second))), "pairs")
     crowded = second.where(F.col("nodes") > SMALL)
@@ -247,8 +233,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rest = distinct_pairs(block_pairs(crowded, open_nodes)).join(tried, ["a", "b"], "left_anti")
     kept = nodes.join(settled.unionByName(matched(rest, texts)), "node", "left_anti")
     release(spark)
-    same = [sets[c].eqNullSafe(kept[c]) for c in PLACE]
-    return sets.join(kept.select(*PLACE), same, "left_anti").select(*PLACE)
+    same = [sets["doc_id"].eqNullSafe(kept["doc_id"]), *[sets[c] == kept[c] for c in PLACE[1:]]]  # never null
+    return sets.join(kept.select(*PLACE).hint("shuffle_hash"), same, "left_anti").select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
