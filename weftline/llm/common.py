@@ -61,10 +61,11 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def attached(big: DataFrame, small: DataFrame, keys: list[str], how: str, label: str) -> DataFrame:
     """big joined with the rows of small, which have a fixed width and a key each. small is broadcast if it has BROADCAST_ROWS rows at
-    most; beyond that both are dealt by key and salt, so a key of any share of big goes to many tasks."""
+    most; beyond that both are dealt by key and salt, so a key of any share of big goes to many tasks. Spark takes the SALTS rows of a key
+    for one and would send them all through the driver, so the merge is asked for."""
     small = staged(small, label)
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)))
     every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(every, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(every.hint("merge"), [*keys, "__salt"], how).drop("__salt")
