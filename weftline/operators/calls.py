@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
+from weftline.operators.sieve import sieve, sifted
 from weftline.shared import parts, staged
 
 
@@ -41,11 +42,15 @@ def _anchored(path: Column, module: Column) -> tuple[Column, Column, Column]:
 def _fits(functions: DataFrame, ambiguous: bool) -> DataFrame:
     """package, suffix, target, confidence: Static where one function fits. Where several do, none counts, or in ambiguous mode each,
     Inferred; only that mode makes a row for every function that fits."""
-    n = _counted(functions)
     if not ambiguous:
-        return n.where("n = 1").select("package", "suffix", F.col("only").alias("target"), F.lit("Static").alias("confidence"))
-    every = _suffixes(functions).join(n.select("package", "suffix", "n"), ["package", "suffix"])
-    return every.select("package", "suffix", "target", F.when(F.col("n") == 1, "Static").otherwise("Inferred").alias("confidence"))
+        return _counted(functions).where("n = 1").select("package", "suffix", F.col("only").alias("target"), F.lit("Static").alias("confidence"))
+    return _every(_suffixes(functions), parts(functions))
+
+
+def _every(suffixes: DataFrame, n: int) -> DataFrame:
+    """package, suffix, target, confidence of every function that fits, dealt once by suffix."""
+    counted = suffixes.repartition(n, "package", "suffix").withColumn("n", F.count("*").over(Window.partitionBy("package", "suffix")))
+    return counted.select("package", "suffix", "target", F.when(F.col("n") == 1, "Static").otherwise("Inferred").alias("confidence"))
 
 
 def resolve(calls: DataFrame, functions: DataFrame, ambiguous: bool = False) -> DataFrame:
@@ -56,8 +61,16 @@ def resolve(calls: DataFrame, functions: DataFrame, ambiguous: bool = False) ->
     by name as it does as a suffix, so a further attempt by name finds nothing new.) Nothing calls itself."""
     rest, scoped, anchor = _anchored(F.col("path"), F.col("module"))
     suffixes = F.when(rest == "", F.array().cast("array<string>")).when(anchor == "", F.array_distinct(F.array(rest, scoped))).otherwise(F.array(scoped))
-    found = calls.select("package", "caller", "span", F.explode(suffixes).alias("suffix")).join(_fits(functions, ambiguous), ["package", "suffix"])
-    return _strongest(found.where("caller <> target").drop("suffix"), ["package", "caller", "target", "span"])
+    asked = calls.select("package", "caller", "span", F.explode(suffixes).alias("suffix"))
+    if not ambiguous:
+        found = asked.join(_fits(functions, False), ["package", "suffix"])
+        return _strongest(found.where("caller <> target").drop("suffix"), ["package", "caller", "target", "span"])
+    # calls are read once; suffixes that no call asks for go before they are shuffled; edges are grouped where their calls are
+    asked, n, key = staged(asked, "asked"), max(parts(calls), parts(functions)), F.struct("package", "suffix").alias("key")
+    table = sifted(_suffixes(functions).select("*", key), "key", sieve(asked.select(key), "key")).drop("key")
+    found = asked.repartition(n, "package", "suffix").join(_every(table, n).hint("merge"), ["package", "suffix"])
+    found = staged(found.where("caller <> target").drop("suffix"), "calls")
+    return _strongest(found.repartition(n, "package", "caller", "target"), ["package", "caller", "target", "span"])
 
 
 def _strongest(found: DataFrame, keys: list[str]) -> DataFrame:
