@@ -51,7 +51,8 @@ def parents_of(members: DataFrame) -> DataFrame:
 
 
 def _as(index: DataFrame, item: str, node: str) -> DataFrame:
-    return index.select(F.col("item_id").alias(item), F.col("node").alias(node))
+    """The index under other names, to be merged: its files are far smaller than its rows, so Spark would send all of it through the driver."""
+    return index.select(F.col("item_id").alias(item), F.col("node").alias(node)).hint("merge")
 
 
 def impl_edges(impls: DataFrame, members: DataFrame, index: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def exported(uses: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
     globs = uses.where("is_glob").join(_as(index, "target_item", "target"), "target_item").select(F.col("parent").alias("module"), "target")
     children = items.where("public").join(_as(index, "parent_item", "parent"), "parent_item").select("parent", F.col("item_id").alias("child"))
     found = glob_exports(globs, children).select(F.col("module").alias("parent"), F.col("id").alias("item_id"))
-    brought = found.join(items.select("item_id", "name"), "item_id").join(index.select("item_id", "node"), "item_id")
+    brought = found.join(items.select("item_id", "name"), "item_id").join(_as(index, "item_id", "node"), "item_id")
     return named.unionByName(brought.select("parent", "name", "node", F.lit(True).alias("is_glob")))
 
 
